@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -25,6 +26,12 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return flags + pattern.replace(r"\s", SPACE)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly value to a name, so that an expression may use it more than once and still
+    compute it once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -32,7 +39,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda word: word != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -68,26 +75,40 @@ def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
-def fold_ascii(text: Column) -> Column:
+def _spans(chars: dict[str, str], gap: int = 64) -> str:
+    """A regex class that covers the characters by a few ranges, and some others between them."""
+    spans: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if spans and point - spans[-1][1] <= gap:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    ranges = "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans)
+    return f"[\\x{{80}}-\\x{{10FFFF}}&&[{ranges}]]"
+
+
+def fold_ascii(text: Column, first_from: str = "", first_to: str = "") -> Column:
     """Compatibility-decompose and keep only ASCII.
 
     Decomposition works character by character and combining marks are dropped anyway, so a
-    per-character table is exact. Texts that are ASCII already skip all of it.
+    per-character table is exact. Texts that are ASCII already skip all of it. Character
+    replacements that go before the folding can share its pass.
     """
     single, several = _ascii_folds()
-    several_class = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
+    singles = {**single, **dict(zip(first_from, first_to))}
+    one = F.translate(text, "".join(singles), "".join(singles.values()))
+    several_class = _spans(several)
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    one = F.translate(text, "".join(single), "".join(single.values()))
     # The marker is not ASCII, so one that stood in the text would be dropped below all the same.
     marked = F.regexp_replace(one, f"({several_class})", "\ue000$1\ue000")
-    pieces = F.split(marked, "\ue000")
-    expanded = F.array_join(
-        F.transform(pieces, lambda piece: F.coalesce(F.try_element_at(table, piece), piece)), ""
+    pieces = F.transform(
+        F.split(marked, "\ue000"), lambda piece: F.coalesce(F.try_element_at(table, piece), piece)
     )
-    folded = F.when(text.rlike(several_class), expanded).otherwise(one)
+    folded = F.when(text.rlike(several_class), F.array_join(pieces, "")).otherwise(one)
+    plain = F.translate(text, first_from, first_to) if first_from else text
     return F.when(
-        text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")
-    ).otherwise(text)
+        text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]+", "")
+    ).otherwise(plain)
 
 
 def blank_separators(text: Column) -> Column:
@@ -95,21 +116,29 @@ def blank_separators(text: Column) -> Column:
 
 
 def split_camel(text: Column) -> Column:
-    return F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
+    return F.regexp_replace(text, "([a-z])(?=[A-Z])", "$1 ")
 
 
 def join_letters(text: Column) -> Column:
     r"""Close up spelled-out words: drop the blanks between single characters.
 
-    A match starts at a single character, or goes on (\G) inside the gap the last match ended
-    in, so a gap of any length and any mix of whitespace is handled in one pass.
+    Where every gap is one character wide, looking one character around a blank is enough.
+    Otherwise a match starts at a single character, or goes on (\G) inside the gap the last
+    match ended in, so a gap of any length and any mix of whitespace is handled in one pass.
     """
-    return F.regexp_replace(
-        text,
-        rf"((?:\b[a-zA-Z0-9]|\G(?!\A)){ASCII_SPACE_BUT_BLANK}*+) (?={ASCII_SPACE}*+[a-zA-Z0-9]\b)",
-        "$1",
+    char, no_char = "[a-zA-Z0-9]", "(?![a-zA-Z0-9])"
+    lone = f"(?<!{char}){char}"
+    wide = (
+        rf"((?:{lone}|\G(?!\A)){ASCII_SPACE_BUT_BLANK}*+) (?={ASCII_SPACE}*+{char}{no_char})"
     )
 
+    def join(value: Column) -> Column:
+        return F.when(
+            value.rlike(f"{ASCII_SPACE}{{2}}"), F.regexp_replace(value, wide, "$1")
+        ).otherwise(F.regexp_replace(value, f" (?<={lone} )(?={char}{no_char})", ""))
+
+    return let(text, join)
+
 
 def collapse_stutter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?d)(.)\1{2,}", "$1")
@@ -117,14 +146,13 @@ def collapse_stutter(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """The whole normaliser; the order of the steps is part of its meaning."""
-    for step in (unleet, fold_ascii, blank_separators, split_camel, join_letters, collapse_stutter):
-        text = step(text)
-    return text
+    text = fold_ascii(text, fv.LEET_FROM, fv.LEET_TO)
+    return collapse_stutter(join_letters(split_camel(blank_separators(text))))
 
 
 def normal_tokens(text: Column) -> Column:
     """Lower-case tokens of a normalised text, in order, with repeats."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda token: token != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def tokens(text: Column) -> Column:
@@ -166,4 +194,4 @@ def strip_intent(text: Column) -> Column:
     cleaned = text
     for pattern in fv.INTENT_PATTERNS:
         cleaned = F.regexp_replace(cleaned, java_pattern(pattern, ignore_case=True), "")
-    return F.when(cleaned != text, strip(cleaned)).otherwise(text)
+    return let(cleaned, lambda rest: F.when(rest != text, strip(rest)).otherwise(text))

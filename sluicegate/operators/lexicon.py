@@ -117,9 +117,12 @@ def prompt_tokens(
     ``distinct`` keeps the first of equal tokens of a prompt, before any of them leaves the row.
     """
     tokens = tx.tokens(F.col("prompt"))
+    # The outer form keeps the optimizer from guarding the explode by a filter that would compute
+    # the tokens a second time.
     rows = prompts.select(
-        "prompt_id", F.posexplode(F.array_distinct(tokens) if distinct else tokens).alias("pos", "form")
-    )
+        "prompt_id",
+        F.posexplode_outer(F.array_distinct(tokens) if distinct else tokens).alias("pos", "form"),
+    ).filter("form is not null")
     if lemmas is None:
         return rows.withColumnRenamed("form", "token")
     return dimension_join(rows, lemmas, "form", "left", F.col("prompt_id")).select(
