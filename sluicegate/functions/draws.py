@@ -27,7 +27,7 @@ def seed_of(key: Column, seed: int) -> Column:
 
 def draw(start: Column, step: Column, below: Column, streams: int) -> Column:
     """The ``step``-th number drawn from a start value, in 0 .. below-1. ``step`` counts from 0."""
-    a = F.array(*[F.lit(x).cast("bigint") for x, _ in stream(streams)])
-    c = F.array(*[F.lit(x).cast("bigint") for _, x in stream(streams)])
+    a = F.expr("array(" + ",".join(f"{x}L" for x, _ in stream(streams)) + ")")
+    c = F.expr("array(" + ",".join(f"{x}L" for _, x in stream(streams)) + ")")
     value = F.shiftright((start * F.get(a, step) + F.get(c, step)) % MODULUS, LOW_BITS)
     return (value % below).cast("int")

@@ -98,7 +98,8 @@ def fold_ascii(text: Column, first_from: str = "", first_to: str = "") -> Column
     singles = {**single, **dict(zip(first_from, first_to))}
     one = F.translate(text, "".join(singles), "".join(singles.values()))
     several_class = _spans(several)
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    entries = "\ue001".join(f"{char}\ue002{kept}" for char, kept in several.items())
+    table = F.str_to_map(F.lit(entries), F.lit("\ue001"), F.lit("\ue002"))
     # The marker is not ASCII, so one that stood in the text would be dropped below all the same.
     marked = F.regexp_replace(one, f"({several_class})", "\ue000$1\ue000")
     pieces = F.transform(

@@ -117,8 +117,8 @@ def prompt_tokens(
     ``distinct`` keeps the first of equal tokens of a prompt, before any of them leaves the row.
     """
     tokens = tx.tokens(F.col("prompt"))
-    # The outer form keeps the optimizer from guarding the explode by a filter that would compute
-    # the tokens a second time.
+    # Outer explodes throughout the package: the inner form makes the optimizer add a filter on the
+    # array, pushed below everything, which computes the whole array a second time.
     rows = prompts.select(
         "prompt_id",
         F.posexplode_outer(F.array_distinct(tokens) if distinct else tokens).alias("pos", "form"),
@@ -197,10 +197,10 @@ def lexicon_matches(
         places = F.when(size.between(least, reach), size).otherwise(0)
         cut = [F.substring("token", F.col("place"), F.lit(n)) for n in _segment_sizes(ratio)]
         looked_up = (
-            tokens.withColumn("place", F.explode(F.sequence(F.lit(0), places)))
+            tokens.withColumn("place", F.explode_outer(F.sequence(F.lit(0), places)))
             .withColumn(
                 "key",
-                F.explode(
+                F.explode_outer(
                     F.when(F.col("place") == 0, F.array(whole)).otherwise(F.array_distinct(F.array(*cut)))
                 ),
             )

@@ -149,7 +149,7 @@ def swap_synonyms(
         letters = F.coalesce(first["letters"], F.lit(0)) + F.coalesce(second["letters"], F.lit(0))
         return F.struct(
             F.when(F.size(words) < 3, prompt).otherwise(F.array_join(swapped, " ")).alias("text"),
-            letters.alias("removed"),
+            F.when(F.size(words) < 3, 0).otherwise(letters).alias("removed"),
         )
 
     return tx.let(replaced, rewrite)
@@ -188,8 +188,8 @@ def _with_choices(prompts: DataFrame, synonyms: DataFrame) -> DataFrame:
         )
     )
     used = prompts.filter(F.size("words_") > 2).select(
-        "prompt_id", F.explode(F.array_distinct(drawn)).alias("word")
-    )
+        "prompt_id", F.explode_outer(F.array_distinct(drawn)).alias("word")
+    ).filter("word is not null")
     found = (
         dimension_join(used, lists, "word", "inner", F.col("prompt_id"))
         .groupBy("prompt_id")
@@ -262,9 +262,9 @@ def add_variants(
         )
     )
 
-    def text_of(turn: Column) -> Column:
+    def text_of(turn: Column, exact_ratios: Column) -> Column:
         swap = F.get(F.col("swaps_"), turn)
-        exact = F.coalesce(F.try_element_at(F.col("admitted_"), swap["text"]), F.lit(0.0))
+        exact = F.coalesce(F.try_element_at(exact_ratios, swap["text"]), F.lit(0.0))
         size = F.length(prompt)
         typo = swap_letters(prompt, _number(start, turn, 1, F.greatest(size - 1, F.lit(1))))
         return (
@@ -278,17 +278,20 @@ def add_variants(
             .otherwise(prompt)
         )
 
-    grown = F.aggregate(
-        F.sequence(F.lit(0), F.lit(turns - 1)),
-        F.array(prompt),
-        lambda done, turn: F.when(F.size(done) > count, done).otherwise(
-            F.array_union(done, F.array(text_of(turn)))
-        ),
-    )
+    def grow(exact_ratios: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(turns - 1)),
+            F.array(prompt),
+            lambda done, turn: F.when(F.size(done) > count, done).otherwise(
+                F.array_union(done, F.array(text_of(turn, exact_ratios)))
+            ),
+        )
+
     no_ratios = F.create_map().cast(T.MapType(T.StringType(), T.DoubleType()))
     return (
         frame.withColumn("admitted_", F.when(F.size("doubtful_") > 0, admitted).otherwise(no_ratios))
-        .withColumn("variants", grown)
+        # Bound outside the loop: a Python function may not move into a lambda.
+        .withColumn("variants", tx.let(F.col("admitted_"), grow))
         .drop(
             "start_", "words_", "choices_", "kept_", "swaps_", "doubtful_", "ratios_", "stripped_",
             "admitted_",
@@ -348,7 +351,7 @@ def mutation_report(
     rows = varied.select(
         "prompt_id",
         "n_words",
-        F.posexplode(F.arrays_zip(F.col("variants").alias("text"), F.col("semantic_sims").alias("sim"))).alias(
+        F.posexplode_outer(F.arrays_zip(F.col("variants").alias("text"), F.col("semantic_sims").alias("sim"))).alias(
             "pos", "variant"
         ),
     ).select("prompt_id", "n_words", "pos", "variant.text", "variant.sim")

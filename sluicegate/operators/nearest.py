@@ -98,17 +98,17 @@ def _with_nearest_blocked(
 ) -> DataFrame:
     rows = signatures.count()
     parts = max(1, -(-rows // BLOCK_SIGNATURES))
-    queries = frame.select(key, F.posexplode(features).alias("pos", "features"))
+    queries = frame.select(key, F.posexplode_outer(features).alias("pos", "features"))
     shards = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def spread(column: Column, count: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
     left = queries.withColumn("shard", spread(F.struct(key, "pos"), shards)).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        "part", F.explode_outer(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
     right = signatures.withColumn("part", spread(F.col("sig_id"), parts)).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+        "shard", F.explode_outer(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
     key_type = frame.schema[key].dataType
 

@@ -161,7 +161,7 @@ def score_prompts(
     )
     rows = (
         varied.withColumn("slim", slim)
-        .select("prompt_id", "slim", F.posexplode("variants").alias("pos", "text"))
+        .select("prompt_id", "slim", F.posexplode_outer("variants").alias("pos", "text"))
         # The original alone carries the slim columns; it is always the first variant.
         .withColumn("slim", F.when(F.col("pos") == 0, F.col("slim")))
     )
