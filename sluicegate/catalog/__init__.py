@@ -1,6 +1,6 @@
 """Every registered query over the given tables."""
 
-from sluicegate.catalog import text_queries  # noqa: F401
+from sluicegate.catalog import data_queries, detector_queries, text_queries  # noqa: F401
 from sluicegate.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

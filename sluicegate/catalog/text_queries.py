@@ -204,7 +204,7 @@ def synonym_lookup(spark, folder):
 )
 def mutations(spark, folder):
     varied = mu.add_variants(tb.prompts(spark, folder), mu.default_synonyms(spark))
-    return varied.select("prompt_id", F.posexplode_outer("variants").alias("pos", "text"))
+    return mu.variant_rows(varied)
 
 
 @query(
@@ -215,14 +215,14 @@ bags AS (SELECT prompt_id, pos, bucket, count(*) AS tf
 norms AS (SELECT prompt_id, pos, sqrt(sum(tf * tf)) AS norm FROM bags GROUP BY ALL),
 dots AS (SELECT a.prompt_id, b.pos, sum(a.tf * b.tf) AS dot
   FROM bags a JOIN bags b ON a.prompt_id = b.prompt_id AND a.bucket = b.bucket WHERE a.pos = 0 GROUP BY ALL)
-SELECT v.prompt_id, v.pos::INTEGER AS pos, round(coalesce(dot / (n.norm * o.norm), 0.0), 2) AS semantic_sim
+SELECT v.prompt_id, v.pos::INTEGER AS pos, round(coalesce(dot / (n.norm * o.norm), 0.0), 4) AS semantic_sim
 FROM variants v LEFT JOIN dots d ON v.prompt_id = d.prompt_id AND v.pos = d.pos
 LEFT JOIN norms n ON v.prompt_id = n.prompt_id AND v.pos = n.pos
 LEFT JOIN norms o ON v.prompt_id = o.prompt_id AND o.pos = 0""",
 )
 def mutation_similarity(spark, folder):
-    varied = mu.with_similarity(mu.add_variants(tb.prompts(spark, folder), mu.default_synonyms(spark)))
-    return varied.select("prompt_id", F.posexplode_outer("semantic_sims").alias("pos", "semantic_sim"))
+    rows = mu.variant_similarity(tb.prompts(spark, folder), mu.default_synonyms(spark))
+    return rows.select("prompt_id", "pos", F.round("semantic_sim", 4).alias("semantic_sim"))
 
 
 # -- sanitiser rules --------------------------------------------------------

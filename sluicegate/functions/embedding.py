@@ -49,6 +49,11 @@ def blocks(lists: pa.Array) -> list[pa.Array]:
     return [lists.slice(at, ROWS_PER_BLOCK) for at in range(0, len(lists), ROWS_PER_BLOCK)]
 
 
+def text_cosine(left: Column, right: Column) -> Column:
+    """Cosine of two texts' hashed word counts."""
+    return bag_cosine(word_buckets(left), word_buckets(right))
+
+
 def dot(left: Column, right: Column) -> Column:
     """Dot product of two float arrays inside the JVM."""
     return F.aggregate(
@@ -66,17 +71,11 @@ def unit(vector: Column) -> Column:
     )
 
 
-@arrow_udf(T.ArrayType(T.DoubleType()))
-def similarity_to_first(bags: pa.Array) -> pa.Array:
-    """Cosine of every bag in an array of bags with the first one."""
-    sizes = pc.fill_null(pc.list_value_length(bags), 0).to_numpy(zero_copy_only=False)
-    flat = bags.flatten()
-    firsts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+@arrow_udf(T.DoubleType())
+def bag_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Cosine of two bags per row."""
     found = [np.zeros(0)]
-    for at in range(0, len(flat), ROWS_PER_BLOCK):
-        mine = unit_rows(flat.slice(at, ROWS_PER_BLOCK), "bag", DIMENSIONS)
-        picks, where = np.unique(firsts[at : at + ROWS_PER_BLOCK], return_inverse=True)
-        heads = unit_rows(flat.take(pa.array(picks)), "bag", DIMENSIONS)
-        found.append(np.einsum("ij,ij->i", mine, heads[where]))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))
+    for a, b in zip(blocks(left), blocks(right)):
+        rows = unit_rows(a, "bag", DIMENSIONS), unit_rows(b, "bag", DIMENSIONS)
+        found.append(np.einsum("ij,ij->i", *rows))
+    return pa.array(np.concatenate(found))

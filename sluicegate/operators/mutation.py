@@ -322,19 +322,18 @@ def consensus(
     )
 
 
-def with_similarity(frame: DataFrame) -> DataFrame:
-    """Add semantic_sims: the embedding cosine of the prompt with each of its variants."""
-    bags = F.transform(F.concat(F.array("prompt"), F.col("variants")), em.word_buckets)
-    sims = em.similarity_to_first(F.col("bags_"))
-    return (
-        frame.withColumn("bags_", bags)
-        .withColumn("sims_", sims)
-        .withColumn(
-            "semantic_sims",
-            F.transform(F.expr("slice(sims_, 2, size(sims_) - 1)"), lambda s: F.round(s, 2)),
-        )
-        .drop("bags_", "sims_")
+def variant_rows(frame: DataFrame, *columns: str) -> DataFrame:
+    """prompt_id, pos, text and chosen columns: one row per variant, the prompt itself at 0."""
+    return frame.select("prompt_id", *columns, F.posexplode_outer("variants").alias("pos", "text"))
+
+
+def variant_similarity(prompts: DataFrame, synonyms: DataFrame, **options) -> DataFrame:
+    """prompt_id, pos, text, n_words, semantic_sim: the embedding cosine of prompt and variant."""
+    varied = add_variants(prompts, synonyms, **options).withColumn(
+        "n_words", tx.word_count(F.col("prompt"))
     )
+    rows = variant_rows(varied, "prompt", "n_words")
+    return rows.withColumn("semantic_sim", em.text_cosine(F.col("prompt"), F.col("text"))).drop("prompt")
 
 
 def mutation_report(
@@ -345,19 +344,10 @@ def mutation_report(
     Every variant is scored in one transform; ``scorer`` adds a risk to rows with a text. A group
     holds one prompt's variants.
     """
-    varied = with_similarity(add_variants(prompts, synonyms, **options)).withColumn(
-        "n_words", tx.word_count(F.col("prompt"))
-    )
-    rows = varied.select(
-        "prompt_id",
-        "n_words",
-        F.posexplode_outer(F.arrays_zip(F.col("variants").alias("text"), F.col("semantic_sims").alias("sim"))).alias(
-            "pos", "variant"
-        ),
-    ).select("prompt_id", "n_words", "pos", "variant.text", "variant.sim")
+    rows = variant_similarity(prompts, synonyms, **options)
     tested = F.array_sort(
         F.collect_list(
-            F.struct("pos", "text", F.round("risk", 4).alias("risk"), F.col("sim").alias("semantic_sim"))
+            F.struct("pos", "text", F.round("risk", 4).alias("risk"), F.round("semantic_sim", 2).alias("semantic_sim"))
         )
     )
     grouped = scorer(rows, "text").groupBy("prompt_id", "n_words").agg(

@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from sluicegate import fixed_values as fv
 from sluicegate.functions import text as tx
 from sluicegate.operators import lexicon as lx
-from sluicegate.operators.mutation import add_variants, consensus, default_synonyms
+from sluicegate.operators.mutation import (
+    add_variants,
+    consensus,
+    default_synonyms,
+    variant_rows,
+)
 from sluicegate.operators.nearest import add_similarity
 from sluicegate.operators.sanitize import HARM_LIMIT, sanitize
 from sluicegate.session import dimension
@@ -160,8 +165,7 @@ def score_prompts(
         (sanitizer(text) if sanitizer else F.lit(None).cast("string")).alias("rewritten"),
     )
     rows = (
-        varied.withColumn("slim", slim)
-        .select("prompt_id", "slim", F.posexplode_outer("variants").alias("pos", "text"))
+        variant_rows(varied.withColumn("slim", slim), "slim")
         # The original alone carries the slim columns; it is always the first variant.
         .withColumn("slim", F.when(F.col("pos") == 0, F.col("slim")))
     )
