@@ -187,7 +187,7 @@ _HASH = "('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT"
     f"""WITH {_LABELLED},
 c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM labelled GROUP BY label),
 t AS (SELECT *, total - ceil(total * 0.2) AS train FROM c),
-w AS (SELECT *, (train * n) // total AS whole, (train * n) % total AS rest FROM t),
+w AS (SELECT *, (train * n)::BIGINT // total::BIGINT AS whole, (train * n)::BIGINT % total::BIGINT AS rest FROM t),
 q AS (SELECT label, n - whole - CASE WHEN row_number() OVER (ORDER BY rest DESC, label)
         <= train - sum(whole) OVER () THEN 1 ELSE 0 END AS test_rows FROM w),
 r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_HASH}, doc_id) AS rank FROM labelled)

@@ -188,7 +188,9 @@ def knn_sentence(spark, folder):
         "sig_id", em.word_buckets(F.col("text")).alias("features")
     )
     bags = tb.prompts(spark, folder).select(
-        "prompt_id", F.transform(tx.sentence_chunks(F.col("prompt")), em.word_buckets).alias("bags")
+        "prompt_id", F.transform(
+            tx.sentence_chunks(F.col("prompt")), lambda piece: em.word_buckets(piece)
+        ).alias("bags")
     )
     found = nn.with_nearest(bags, "bags", known)
     hits = found.select("prompt_id", F.posexplode_outer("nearest").alias("pos", "hit"))

@@ -90,7 +90,10 @@ def with_nearest(
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
 
-    return frame.withColumn(out, search(F.col(features)))
+    # Named twice, the array stays a column of its own below the Python call; merged into the
+    # call, nested lambdas would keep Spark from recognising it.
+    whole = F.when(F.size(features) >= 0, F.col(features))
+    return frame.withColumn(out, search(whole))
 
 
 def _with_nearest_blocked(
@@ -173,7 +176,7 @@ def add_similarity(
     known = signatures.select("sig_id", em.word_buckets(F.col("text")).alias("features"))
     pieces = F.concat(F.array(F.col("prompt")), F.col("sentences_"))
     queried = prompts.withColumn("sentences_", tx.sentence_chunks(F.col("prompt"))).withColumn(
-        "bags_", F.transform(pieces, em.word_buckets)
+        "bags_", F.transform(pieces, lambda piece: em.word_buckets(piece))
     )
     found = with_nearest(queried, "bags_", known, out="nearest_", broadcast=broadcast)
     named = F.transform(

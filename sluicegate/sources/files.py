@@ -66,14 +66,14 @@ def read_guarded_csv(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file of a folder: path, prompt."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("prompt"))
 
 
 def read_lexicon_json(spark: SparkSession, path: str) -> DataFrame:
     """term, weight from JSON files that each hold one map; an unreadable one counts as empty."""
     try:
-        files = spark.read.option("wholetext", True).text(path)
+        files = spark.read.text(path, wholetext=True)
     except AnalysisException:
         logger.warning("%s could not be read, taken as empty", path)
         return spark.createDataFrame([], "term string, weight double")
