@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from sluicegate.functions import text as tx
+from sluicegate.functions.portable import portable
 
 DIMENSIONS = 512
 ROWS_PER_BLOCK = 4096
@@ -30,6 +31,7 @@ def word_buckets(text: Column, dimensions: int = DIMENSIONS) -> Column:
     )
 
 
+@portable
 def unit_rows(lists: pa.Array, kind: str, dimensions: int) -> np.ndarray:
     """One unit vector per list: 'bag' lists hold bucket numbers, 'dense' lists the vector itself."""
     values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -45,6 +47,7 @@ def unit_rows(lists: pa.Array, kind: str, dimensions: int) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+@portable
 def blocks(lists: pa.Array) -> list[pa.Array]:
     return [lists.slice(at, ROWS_PER_BLOCK) for at in range(0, len(lists), ROWS_PER_BLOCK)]
 
@@ -72,6 +75,7 @@ def unit(vector: Column) -> Column:
 
 
 @arrow_udf(T.DoubleType())
+@portable
 def bag_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     """Cosine of two bags per row."""
     found = [np.zeros(0)]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from sluicegate.functions.portable import portable
+
 
 def lcs_length(left: Column, right: Column) -> Column:
     """Longest common subsequence of two short strings, inside the JVM."""
@@ -40,6 +42,7 @@ def indel_ratio(left: Column, right: Column) -> Column:
     )
 
 
+@portable
 def _common_length(a: str, b: str) -> int:
     """Longest common subsequence by bit sets: one big-integer step per character."""
     start, shortest = 0, min(len(a), len(b))
@@ -63,6 +66,7 @@ def _common_length(a: str, b: str) -> int:
 
 
 @arrow_udf(T.ArrayType(T.DoubleType()))
+@portable
 def text_ratios(text: pa.Array, others: pa.Array) -> pa.Array:
     """Similarity of a text of any length to each of an array of others; null stays null."""
     out = []

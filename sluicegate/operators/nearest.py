@@ -18,6 +18,8 @@ from pyspark.sql.functions import arrow_udf
 from sluicegate import fixed_values as fv
 from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
+from sluicegate.functions.embedding import blocks, unit_rows
+from sluicegate.functions.portable import portable
 from sluicegate.operators.joins import is_small
 
 MATRIX_BYTES = 64 * 1024 * 1024
@@ -28,6 +30,7 @@ FOUND = T.StructType(
 )
 
 
+@portable
 def _best(matrix: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position and distance of each row's nearest signature; the first one on ties."""
     distances = np.round(1.0 - matrix @ signatures.T, 12)
@@ -63,7 +66,7 @@ def with_nearest(
     features_array = table["features"].combine_chunks()
     if isinstance(features_array, pa.ChunkedArray):
         features_array = pa.concat_arrays(features_array.chunks)
-    matrix = em.unit_rows(features_array, kind, dimensions)
+    matrix = unit_rows(features_array, kind, dimensions)
     shared = frame.sparkSession.sparkContext.broadcast((ids, matrix))
 
     @arrow_udf(T.ArrayType(FOUND))
@@ -71,9 +74,9 @@ def with_nearest(
         ids, matrix = shared.value
         flat = lists.flatten()
         found_at, found = [np.zeros(0, dtype=int)], [np.zeros(0)]
-        for block in em.blocks(flat):
+        for block in blocks(flat):
             if len(matrix):
-                at, distance = _best(em.unit_rows(block, kind, dimensions), matrix)
+                at, distance = _best(unit_rows(block, kind, dimensions), matrix)
             else:
                 at, distance = np.full(len(block), -1), np.full(len(block), np.nan)
             found_at.append(at)
@@ -123,9 +126,9 @@ def _with_nearest_blocked(
             group = group.slice(0, 0)
         at, distance = [np.zeros(0, dtype=int)], [np.zeros(0)]
         if not empty:
-            matrix = em.unit_rows(pa.concat_arrays(known["features"].chunks), kind, dimensions)
-            for block in em.blocks(pa.concat_arrays(group["features"].chunks)):
-                a, d = _best(em.unit_rows(block, kind, dimensions), matrix)
+            matrix = unit_rows(pa.concat_arrays(known["features"].chunks), kind, dimensions)
+            for block in blocks(pa.concat_arrays(group["features"].chunks)):
+                a, d = _best(unit_rows(block, kind, dimensions), matrix)
                 at.append(a)
                 distance.append(d)
         return pa.table(
