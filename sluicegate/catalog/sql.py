@@ -195,7 +195,8 @@ counted AS (
   SELECT * FROM nearest
   WHERE distance < CASE WHEN pos = 0 THEN {fv.WHOLE_PROMPT_DISTANCE} ELSE {fv.SENTENCE_DISTANCE} END),
 similarities AS (
-  SELECT prompt_id, coalesce(greatest(0.0, least(1.0, 1.0 - distance)), 0.0)::DOUBLE AS similarity_score, n_details
+  SELECT prompt_id, CASE WHEN distance IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, 1.0 - distance)) END::DOUBLE
+           AS similarity_score, n_details
   FROM (SELECT p.prompt_id, min(c.distance) AS distance, count(c.distance) AS n_details
         FROM prompts p LEFT JOIN counted c USING (prompt_id) GROUP BY p.prompt_id))"""
 

@@ -208,4 +208,7 @@ def add_similarity(
 
 def similarity_score(distance: Column) -> Column:
     """Score of the least distance that counted; null, no distance, is 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - distance)), F.lit(0.0))
+    # greatest and least skip nulls, so a missing distance has to be told apart first.
+    return F.when(distance.isNull(), 0.0).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - distance))
+    )

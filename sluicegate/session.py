@@ -38,12 +38,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     set as the session's own; on a cluster a missing setting is an error, because a
     machine-local folder would not be visible to the other executors.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="sluicegate-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sluicegate-"))
+        root = context.getCheckpointDir()
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
