@@ -266,12 +266,12 @@ replaced AS (
          list[{number("turn", f"k + {2 + mu.WORD_DRAWS}", "len(list)")} + 1] AS new
   FROM picked, steps WHERE k < {mu.SWAPS}),
 pairs AS (
-  SELECT prompt_id, turn, sum(letters)::BIGINT AS removed,
+  SELECT prompt_id, turn, sum(letters)::BIGINT AS removed, count(*) AS swaps,
          max(CASE WHEN k = 0 THEN place END) AS p1, max(CASE WHEN k = 0 THEN new END) AS n1,
          max(CASE WHEN k = 1 THEN place END) AS p2, max(CASE WHEN k = 1 THEN new END) AS n2
   FROM replaced GROUP BY ALL),
 swaps AS (
-  SELECT t.prompt_id, t.turn, prompt, w, coalesce(removed, 0) AS removed,
+  SELECT t.prompt_id, t.turn, prompt, w, coalesce(removed, 0) AS removed, coalesce(swaps, 0) AS swaps,
          CASE WHEN len(w) < 3 THEN prompt ELSE array_to_string(list_transform(w, lambda x, i:
            CASE WHEN i - 1 = p2 THEN n2 WHEN i - 1 = p1 THEN n1 ELSE x END), ' ') END AS text
   FROM turns t LEFT JOIN pairs p ON t.prompt_id = p.prompt_id AND t.turn = p.turn

@@ -172,15 +172,20 @@ def mutate_typo(spark, folder):
     + sql.SWAPS.replace("AND slot = 'synonym'", "AND turn = 0").replace(
         "WHERE slot = 'synonym'", "WHERE t.turn = 0"
     )
-    + " SELECT prompt_id, text AS result, removed::INTEGER AS removed FROM swaps",
+    + " SELECT prompt_id, text AS result, swaps::INTEGER AS swaps FROM swaps",
 )
 def mutate_synonym(spark, folder):
     frame = mu._with_choices(
         tb.prompts(spark, folder).withColumn("start_", seed_of(F.col("prompt_id"), 42)),
         mu.default_synonyms(spark),
     )
-    swapped = mu.swap_synonyms(F.col("prompt"), F.col("words_"), F.col("choices_"), F.col("start_"), F.lit(0))
-    return frame.withColumn("s", swapped).select("prompt_id", F.col("s.text").alias("result"), "s.removed")
+    picks = mu.synonym_picks(F.col("words_"), F.col("choices_"), F.col("start_"), F.lit(0))
+    picked = frame.withColumn("picks", picks)
+    return picked.select(
+        "prompt_id",
+        mu.swapped_text(F.col("prompt"), F.col("words_"), F.col("picks")).alias("result"),
+        F.size("picks").alias("swaps"),
+    )
 
 
 @query(

@@ -15,6 +15,7 @@ from sluicegate import fixed_values as fv
 # What Python calls whitespace, spelled out: Java's \s and Spark's trim know fewer characters.
 SPACE_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_RANGES}]"
+SPACE_CHARS = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
 # Same for text that is already ASCII.
 ASCII_SPACE = r"[\t-\r\x1c-\x20]"
 ASCII_SPACE_BUT_BLANK = r"[\t-\r\x1c-\x1f]"
@@ -34,7 +35,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -42,6 +43,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
+def first_words(text: Column, limit: int) -> Column:
+    """The first words of a text; the rest of it is not split."""
+    pieces = F.split(F.ltrim(text, F.lit(SPACE_CHARS)), f"{SPACE}+", limit + 1)
+    return F.array_remove(F.slice(pieces, 1, limit), "")
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
@@ -174,7 +181,10 @@ def sentence_chunks(text: Column, limit: int = fv.WORDS_PER_CHUNK) -> Column:
         parts = words(sentence)
         starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(limit))
         chunks = F.transform(starts, lambda at: F.array_join(F.slice(parts, at + 1, limit), " "))
-        return F.when(F.size(parts) > limit, chunks).otherwise(F.array(sentence))
+        # More than ``limit`` words need at least two characters each, but for the last.
+        return F.when((F.length(sentence) > 2 * limit) & (F.size(parts) > limit), chunks).otherwise(
+            F.array(sentence)
+        )
 
     return F.filter(
         F.transform(F.flatten(F.transform(sentences(text), cut)), strip),

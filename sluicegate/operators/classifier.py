@@ -25,7 +25,9 @@ WORD_BREAKS = r"[^\p{L}\p{N}]+"
 
 def model_words(text: Column, limit: int = fv.MODEL_TOKENS) -> Column:
     """The words a classifier sees: its input length is part of the model's definition."""
-    return F.slice(F.array_remove(F.split(F.lower(text), WORD_BREAKS), ""), 1, limit)
+    # At most one piece is empty, the first; the last of limit + 2 pieces is the unsplit rest.
+    pieces = F.slice(F.split(F.lower(text), WORD_BREAKS, limit + 2), 1, limit + 1)
+    return F.slice(F.array_remove(pieces, ""), 1, limit)
 
 
 # -- results ----------------------------------------------------------------

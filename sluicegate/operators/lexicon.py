@@ -143,17 +143,19 @@ def _reach(size: Column, ratio: Column) -> Column:
     return F.floor(size * (200 - ratio) / ratio + 1e-9).cast("int")
 
 
-def _segment_sizes(ratio: int) -> list[int]:
-    """Sizes the segments of a long term can have; they depend on the ratio alone."""
-    sizes = set()
-    for size in range(fv.FUZZY_SHORT_CHARS + 1, 400):
-        edits = (size + size * (200 - ratio) // ratio) * (100 - ratio) // 100
-        sizes |= {size // (edits + 1)} | ({size // (edits + 1) + 1} if size % (edits + 1) else set())
-    return sorted(sizes - {0})
+def _key_size(ratio: int) -> int:
+    """Least size the segments of a long term can have; it depends on the ratio alone."""
+    sizes = range(fv.FUZZY_SHORT_CHARS + 1, 400)
+    edits = [(size + size * (200 - ratio) // ratio) * (100 - ratio) // 100 for size in sizes]
+    return max(1, min(size // (most + 1) for size, most in zip(sizes, edits)))
 
 
 def lexicon_keys(lexicon: DataFrame, ratio: int = fv.FUZZY_LONG_RATIO) -> DataFrame:
-    """key, term, weight, at, edits: whole terms at 0, segments at their place in the term."""
+    """key, term, weight, at, segment: whole terms at 0, segments at their place in the term.
+
+    Segments differ in size; their first characters are the key, so that a token is looked up
+    once per place.
+    """
     size = F.length("term")
     edits = _edits(size, _reach(size, F.lit(ratio)), F.lit(ratio))
     parts = edits + 1
@@ -163,9 +165,15 @@ def lexicon_keys(lexicon: DataFrame, ratio: int = fv.FUZZY_LONG_RATIO) -> DataFr
     def segment(i: Column) -> Column:
         start = i * base + F.greatest(F.lit(0), i - plain) + 1
         length = base + (i >= plain).cast("int")
-        return F.struct(F.substring("term", start, length).alias("key"), start.alias("at"))
+        return F.struct(
+            F.substring("term", start, F.lit(_key_size(ratio))).alias("key"),
+            start.alias("at"),
+            F.substring("term", start, length).alias("segment"),
+        )
 
-    whole = lexicon.select(F.concat(F.lit("="), "term").alias("key"), "term", "weight", F.lit(0).alias("at"))
+    whole = lexicon.select(
+        F.concat(F.lit("="), "term").alias("key"), "term", "weight", F.lit(0).alias("at"), F.col("term").alias("segment")
+    )
     parted = (
         lexicon.filter((size > fv.FUZZY_SHORT_CHARS) & (edits > 0))
         .select("term", "weight", F.transform(F.sequence(F.lit(0), edits), segment).alias("segments"))
@@ -193,34 +201,36 @@ def lexicon_matches(
     if fuzzy:
         longest = lexicon.agg(F.max(F.length("term"))).first()[0] or 0
         reach = longest * (200 - ratio) // ratio
-        least = (fv.FUZZY_SHORT_CHARS + 1) * ratio // (200 - ratio)
+        least = -(-(fv.FUZZY_SHORT_CHARS + 1) * ratio // (200 - ratio))
         places = F.when(size.between(least, reach), size).otherwise(0)
-        cut = [F.substring("token", F.col("place"), F.lit(n)) for n in _segment_sizes(ratio)]
-        looked_up = (
-            tokens.withColumn("place", F.explode_outer(F.sequence(F.lit(0), places)))
-            .withColumn(
-                "key",
-                F.explode_outer(
-                    F.when(F.col("place") == 0, F.array(whole)).otherwise(F.array_distinct(F.array(*cut)))
-                ),
-            )
+        looked_up = tokens.withColumn(
+            "place", F.explode_outer(F.sequence(F.lit(0), places))
+        ).withColumn(
+            "key",
+            F.when(F.col("place") == 0, whole).otherwise(
+                F.substring("token", F.col("place"), F.lit(_key_size(ratio)))
+            ),
         )
     else:
         keys = keys.filter("at = 0")
         looked_up = tokens.withColumn("place", F.lit(0)).withColumn("key", whole)
     pairs = dimension_join(looked_up, keys, "key", "inner", F.col("prompt_id"))
-    edits = _edits(size, F.length("term"), F.lit(ratio))
-    found = pairs.filter("at = 0").withColumn("ratio", F.lit(100.0))
+    found = pairs.withColumn("ratio", F.lit(100.0))
     if fuzzy:
-        found = pairs.withColumn("edits", edits).filter(
-            "at = 0 or (abs(place - at) <= edits and abs(length(token) - length(term)) <= edits"
-            " and token <> term and levenshtein(token, term, edits) >= 0)"
-        ).withColumn(
-            "ratio",
-            F.when(F.col("at") == 0, F.lit(100.0)).otherwise(
-                indel_ratio(F.col("token"), F.col("term"))
-            ),
-        ).filter((F.col("at") == 0) | (F.col("ratio") >= ratio))
+        near = (
+            "abs(place - at) <= edits and abs(length(token) - length(term)) <= edits"
+            " and substring(token, place, length(segment)) = segment"
+            " and token <> term and levenshtein(token, term, edits) >= 0"
+        )
+        ratios = F.when(F.col("at") == 0, F.lit(100.0)).otherwise(
+            indel_ratio(F.col("token"), F.col("term"))
+        )
+        found = (
+            pairs.withColumn("edits", _edits(size, F.length("term"), F.lit(ratio)))
+            .filter(f"at = 0 or ({near})")
+            .withColumn("ratio", ratios)
+            .filter(F.col("ratio") >= ratio)
+        )
     return found.groupBy("prompt_id", "term").agg(
         F.max("weight").alias("weight"),
         F.max(F.col("at") == 0).alias("is_exact"),

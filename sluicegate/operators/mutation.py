@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,13 +107,11 @@ def _number(start: Column, turn: Column, j: Column | int, below: Column) -> Colu
     return draw(start, turn * NUMBERS + j, below, STREAMS)
 
 
-def swap_synonyms(
-    prompt: Column, words: Column, choices: Column, start: Column, turn: Column
-) -> Column:
-    """struct(text, removed): up to two drawn words replaced by a synonym each.
+def synonym_picks(words: Column, choices: Column, start: Column, turn: Column) -> Column:
+    """array(place, letters, text): up to two drawn words and the synonym that replaces each.
 
     ``choices`` maps a lower-case word to its synonyms. Ten words are drawn; the first two that
-    have more than three letters and a synonym are replaced. ``removed`` counts their letters.
+    have more than three letters and a synonym are replaced. Short prompts stay as they are.
     """
 
     def look_up(j: Column) -> Column:
@@ -119,40 +119,42 @@ def swap_synonyms(
         word = F.get(words, place)
         return F.struct(
             place.alias("place"),
-            word.alias("word"),
+            F.length(word).alias("letters"),
             F.try_element_at(choices, F.lower(word)).alias("options"),
         )
 
+    draws = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.lit(WORD_DRAWS - 1))).otherwise(
+        F.array().cast("array<int>")
+    )
     drawn = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(WORD_DRAWS - 1)), look_up),
-        lambda pick: (F.length(pick["word"]) > 3) & pick["options"].isNotNull(),
+        F.transform(draws, look_up), lambda pick: (pick["letters"] > 3) & pick["options"].isNotNull()
     )
-    replaced = F.transform(
+    return F.transform(
         F.slice(drawn, 1, SWAPS),
         lambda pick, k: F.struct(
             pick["place"].alias("place"),
-            F.length(pick["word"]).alias("letters"),
+            pick["letters"].alias("letters"),
             F.get(
                 pick["options"], _number(start, turn, k + 2 + WORD_DRAWS, F.size(pick["options"]))
             ).alias("text"),
         ),
     )
 
-    def rewrite(picks: Column) -> Column:
-        first, second = F.get(picks, F.lit(0)), F.get(picks, F.lit(1))
-        swapped = F.transform(
-            words,
-            lambda word, i: F.when(second["place"] == i, second["text"])
-            .when(first["place"] == i, first["text"])
-            .otherwise(word),
-        )
-        letters = F.coalesce(first["letters"], F.lit(0)) + F.coalesce(second["letters"], F.lit(0))
-        return F.struct(
-            F.when(F.size(words) < 3, prompt).otherwise(F.array_join(swapped, " ")).alias("text"),
-            F.when(F.size(words) < 3, 0).otherwise(letters).alias("removed"),
-        )
 
-    return tx.let(replaced, rewrite)
+def swapped_text(prompt: Column, words: Column, picks: Column) -> Column:
+    """The prompt with the picked words replaced, re-joined by blanks."""
+
+    def put(done: Column, pick: Column) -> Column:
+        rest = F.slice(done, pick["place"] + 2, F.size(done))
+        return F.concat(F.slice(done, F.lit(1), pick["place"]), F.array(pick["text"]), rest)
+
+    return F.when(F.size(words) < 3, prompt).otherwise(
+        F.array_join(F.aggregate(picks, words, put), " ")
+    )
+
+
+def _letters(picks: Column, size: Callable[[Column], Column]) -> Column:
+    return F.aggregate(picks, F.lit(0), lambda total, pick: total + size(pick))
 
 
 # -- variant generation -----------------------------------------------------
@@ -218,33 +220,39 @@ def add_variants(
     prompt, start, turns = F.col("prompt"), F.col("start_"), fv.MUTATION_DRAWS
     slot_names = F.array(*map(F.lit, fv.MUTATION_SLOTS))
     frame = _with_choices(prompts.withColumn("start_", seed_of(F.col("prompt_id"), seed)), synonyms)
-    letters = F.length(F.array_join("words_", ""))
     # Gaps between words that hold a blank, which the re-joined text has too.
     blank_gaps = F.regexp_count(tx.strip(prompt), F.lit(f"{tx.SPACE}* {tx.SPACE}*"))
+    frame = frame.withColumn("letters_", F.length(F.array_join("words_", ""))).withColumn(
+        "gaps_", blank_gaps
+    )
 
     def slot(turn: Column) -> Column:
         return F.get(slot_names, _number(start, turn, 0, F.lit(len(fv.MUTATION_SLOTS))))
 
     def synonym_turn(turn: Column) -> Column:
-        swapped = swap_synonyms(prompt, F.col("words_"), F.col("choices_"), start, turn)
-
-        def judge(swap: Column) -> Column:
-            total = F.length(prompt) + F.length(swap["text"])
-            least = 200.0 * (F.col("kept_") - swap["removed"]) / total
-            most = 200.0 * F.least(F.length(prompt), F.length(swap["text"])) / total
+        def judge(picks: Column) -> Column:
+            # Unchanged words and blanks stand in both texts, in order; lengths bound the rest.
+            removed = _letters(picks, lambda pick: pick["letters"])
+            added = _letters(picks, lambda pick: F.length(pick["text"]))
+            length = F.col("letters_") - removed + added + F.size("words_") - 1
+            total = F.length(prompt) + length
+            least = 200.0 * (F.col("letters_") - removed + F.col("gaps_")) / total
+            most = 200.0 * F.least(F.length(prompt), length) / total
             return F.struct(
-                swap["text"].alias("text"),
-                ((least >= floor) | (swap["text"] == prompt)).alias("sure"),
-                (most >= floor).alias("open"),
+                picks.alias("picks"), (least >= floor).alias("sure"), (most >= floor).alias("open")
             )
 
-        return F.when(slot(turn) == "synonym", tx.let(swapped, judge))
+        return F.when(
+            (slot(turn) == "synonym") & (F.size("words_") >= 3),
+            tx.let(synonym_picks(F.col("words_"), F.col("choices_"), start, turn), judge),
+        )
 
-    frame = frame.withColumn("kept_", letters + blank_gaps).withColumn(
+    frame = frame.withColumn(
         "swaps_", F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), synonym_turn)
     )
     doubtful = F.transform(
-        F.filter("swaps_", lambda s: s.isNotNull() & ~s["sure"] & s["open"]), lambda s: s["text"]
+        F.filter("swaps_", lambda s: s.isNotNull() & ~s["sure"] & s["open"]),
+        lambda s: swapped_text(prompt, F.col("words_"), s["picks"]),
     )
     frame = (
         frame.withColumn("doubtful_", doubtful)
@@ -262,9 +270,10 @@ def add_variants(
         )
     )
 
-    def text_of(turn: Column, exact_ratios: Column) -> Column:
+    def text_of(turn: Column, bound: Column) -> Column:
         swap = F.get(F.col("swaps_"), turn)
-        exact = F.coalesce(F.try_element_at(exact_ratios, swap["text"]), F.lit(0.0))
+        text = swapped_text(prompt, F.col("words_"), swap["picks"])
+        exact = F.coalesce(F.try_element_at(bound["ratios"], text), F.lit(0.0))
         size = F.length(prompt)
         typo = swap_letters(prompt, _number(start, turn, 1, F.greatest(size - 1, F.lit(1))))
         return (
@@ -272,28 +281,33 @@ def add_variants(
                 slot(turn) == "wrap",
                 wrap(prompt, _number(start, turn, 1, F.lit(len(fv.WRAP_PREFIXES)))),
             )
-            .when(slot(turn) == "strip", F.col("stripped_"))
+            .when(slot(turn) == "strip", bound["stripped"])
             .when((slot(turn) == "typo") & (100.0 * (size - 1) / size >= floor), typo)
-            .when((slot(turn) == "synonym") & (swap["sure"] | (exact >= floor)), swap["text"])
+            .when(swap["sure"] | (swap["open"] & (exact >= floor)), text)
             .otherwise(prompt)
         )
 
-    def grow(exact_ratios: Column) -> Column:
+    def grow(bound: Column) -> Column:
         return F.aggregate(
             F.sequence(F.lit(0), F.lit(turns - 1)),
             F.array(prompt),
             lambda done, turn: F.when(F.size(done) > count, done).otherwise(
-                F.array_union(done, F.array(text_of(turn, exact_ratios)))
+                F.array_union(done, F.array(text_of(turn, bound)))
             ),
         )
 
     no_ratios = F.create_map().cast(T.MapType(T.StringType(), T.DoubleType()))
     return (
         frame.withColumn("admitted_", F.when(F.size("doubtful_") > 0, admitted).otherwise(no_ratios))
-        # Bound outside the loop: a Python function may not move into a lambda.
-        .withColumn("variants", tx.let(F.col("admitted_"), grow))
+        # Bound outside the loop: computed once, and no Python call moves into a lambda.
+        .withColumn(
+            "variants",
+            tx.let(
+                F.struct(F.col("admitted_").alias("ratios"), F.col("stripped_").alias("stripped")), grow
+            ),
+        )
         .drop(
-            "start_", "words_", "choices_", "kept_", "swaps_", "doubtful_", "ratios_", "stripped_",
+            "start_", "words_", "choices_", "letters_", "gaps_", "swaps_", "doubtful_", "ratios_", "stripped_",
             "admitted_",
         )
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,28 +48,55 @@ FILTER_ATTACK = (
     r"(system prompt|safety filter|system instruction|these rules|your (rules|instructions|filter))"
 )
 HARM_LIMIT = 0.8
+# Every match of a group of rules holds one of its needles, in lower case. Looking for them is
+# far cheaper than trying the patterns, and most texts hold none.
+PERSONA_NEEDLES = ("you are", "pretend to be", "roleplay as", "act as", "fictional story")
+META_NEEDLES = (
+    "ignore ", "prompt", "instructions", "system override", "developer mode", "do not refuse",
+    "do n't refuse", "hypothetically", "from now on", " next ", "for the rest of this conversation",
+)
+FORMAT_NEEDLES = ("<", "```", "##", "---", "**", "__", "~~", "%%%", "{", "}", "[", "]", "// todo:")
+ENCODED_NEEDLES = ("\\u", "\\x")
+LONG_RUN = "[a-zA-Z0-9+/]{32}"
+ATTACK_NEEDLES = ("system prompt", "safety filter", "system instruction", "these rules", "your ")
+
+
+def holds_any(text: Column, needles: tuple[str, ...]) -> Column:
+    return tx.let(
+        F.lower(text), lambda low: reduce(or_, [low.contains(F.lit(needle)) for needle in needles])
+    )
+
+
+def apply_rules(
+    text: Column, rules: tuple[tuple[str, str], ...], needed: Callable[[Column], Column]
+) -> Column:
+    """Apply rules in order to the texts that need them."""
 
+    def rewritten(value: Column) -> Column:
+        result = value
+        for pattern, replacement in rules:
+            result = F.regexp_replace(result, f"(?i){pattern}", replacement)
+        return F.when(needed(value), result).otherwise(value)
 
-def apply_rules(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, f"(?iu){pattern}", replacement)
-    return text
+    return tx.let(text, rewritten)
 
 
 def remove_persona(text: Column) -> Column:
-    return apply_rules(text, PERSONA_RULES)
+    return apply_rules(text, PERSONA_RULES, lambda t: holds_any(t, PERSONA_NEEDLES))
 
 
 def remove_meta(text: Column) -> Column:
-    return apply_rules(text, META_RULES)
+    return apply_rules(text, META_RULES, lambda t: holds_any(t, META_NEEDLES))
 
 
 def remove_format(text: Column) -> Column:
-    return apply_rules(text, FORMAT_RULES)
+    return apply_rules(text, FORMAT_RULES, lambda t: holds_any(t, FORMAT_NEEDLES))
 
 
 def remove_encoded(text: Column) -> Column:
-    return apply_rules(text, ENCODED_RULES)
+    return apply_rules(
+        text, ENCODED_RULES, lambda t: t.rlike(LONG_RUN) | holds_any(t, ENCODED_NEEDLES)
+    )
 
 
 def remove_profanity(text: Column, profanity: list[str]) -> Column:
@@ -82,11 +113,11 @@ def remove_profanity(text: Column, profanity: list[str]) -> Column:
 
 def cap_words(text: Column, limit: int = fv.SANITIZER_MAX_WORDS) -> Column:
     """At most so many words: the length of the result is part of the protocol."""
-    return F.array_join(F.slice(tx.words(text), 1, limit), " ")
+    return F.array_join(tx.first_words(text, limit), " ")
 
 
 def attacks_filter(text: Column) -> Column:
-    return text.rlike(f"(?iu){FILTER_ATTACK}")
+    return holds_any(text, ATTACK_NEEDLES) & text.rlike(f"(?i){FILTER_ATTACK}")
 
 
 def replace_attack(text: Column) -> Column:
@@ -99,7 +130,14 @@ def replace_harmful(text: Column, harm: Column, limit: float = HARM_LIMIT) -> Co
 
 def rewrite(text: Column, profanity: list[str]) -> Column:
     cleaned = remove_meta(remove_persona(remove_format(remove_encoded(text))))
-    return tx.strip(cap_words(remove_profanity(cleaned, profanity)))
+
+    def shorten(value: Column) -> Column:
+        # Dots and the like inside a word would hide a listed word from the needles.
+        plain = F.regexp_replace(F.lower(value), r"[^a-z0-9\s]", "")
+        found = holds_any(plain, tuple(profanity)) if profanity else F.lit(False)
+        return cap_words(F.when(found, remove_profanity(value, profanity)).otherwise(value))
+
+    return tx.strip(tx.let(cleaned, shorten))
 
 
 def sanitize(text: Column, profanity: list[str], harm: Column | None = None) -> Column:
