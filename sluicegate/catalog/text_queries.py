@@ -255,7 +255,7 @@ def _sql_profanity(x: str, terms: list[str]) -> str:
     listed = "[" + ", ".join(map(sql.quote, terms)) + "]"
     return (
         f"array_to_string(list_filter({sql.words(x)}, lambda v: NOT list_contains({listed}, "
-        "regexp_replace(lower(v), '[^a-z0-9]', '', 'g'))), ' ')"
+        f"translate(lower(v), {sql.quote(sz.PUNCTUATION)}, ''))), ' ')"
     )
 
 

@@ -26,12 +26,12 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
 def dimension_join(
     facts: DataFrame,
     table: DataFrame,
-    on: str,
+    on: str | list[str],
     how: str = "left",
     salt_by: Column | None = None,
     rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join facts with a dimension on one column: broadcast if its measured size allows it.
+    """Join facts with a dimension on equal columns: broadcast if its measured size allows it.
 
     Beyond that the join shuffles. Text keys are always skewed, so the facts get a salt taken
     from ``salt_by`` (the same on every retry) and each dimension row is repeated per salt.
@@ -40,6 +40,5 @@ def dimension_join(
         return facts.join(F.broadcast(table), on, how)
     salt = F.pmod(F.xxhash64(salt_by if salt_by is not None else F.struct("*")), F.lit(SALTS))
     spread = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        facts.withColumn("salt_", salt.cast("int")).join(spread, [on, "salt_"], how).drop("salt_")
-    )
+    keys = [on] if isinstance(on, str) else on
+    return facts.withColumn("salt_", salt.cast("int")).join(spread, [*keys, "salt_"], how).drop("salt_")

@@ -151,35 +151,42 @@ def _key_size(ratio: int) -> int:
 
 
 def lexicon_keys(lexicon: DataFrame, ratio: int = fv.FUZZY_LONG_RATIO) -> DataFrame:
-    """key, term, weight, at, segment: whole terms at 0, segments at their place in the term.
+    """key, place, size, term, weight, segment: what a token can be looked up by.
 
-    Segments differ in size; their first characters are the key, so that a token is looked up
-    once per place.
+    Whole terms stand at place 0. A segment stands at every place, and for every size of token,
+    at which the ratio is still possible. Segments differ in size; their first characters are the
+    key, so that a token is looked up once per place.
     """
-    size = F.length("term")
-    edits = _edits(size, _reach(size, F.lit(ratio)), F.lit(ratio))
-    parts = edits + 1
-    base, extra = F.floor(size / parts).cast("int"), size % parts
-    plain = parts - extra
+    size, limit = F.length("term"), F.lit(ratio)
+    edits = _edits(size, _reach(size, limit), limit)
+    base, extra = F.floor(size / (edits + 1)).cast("int"), size % (edits + 1)
+    plain = edits + 1 - extra
 
     def segment(i: Column) -> Column:
         start = i * base + F.greatest(F.lit(0), i - plain) + 1
-        length = base + (i >= plain).cast("int")
         return F.struct(
-            F.substring("term", start, F.lit(_key_size(ratio))).alias("key"),
             start.alias("at"),
-            F.substring("term", start, length).alias("segment"),
+            F.substring("term", start, base + (i >= plain).cast("int")).alias("segment"),
         )
 
     whole = lexicon.select(
-        F.concat(F.lit("="), "term").alias("key"), "term", "weight", F.lit(0).alias("at"), F.col("term").alias("segment")
-    )
-    parted = (
+        F.concat(F.lit("="), "term").alias("key"), F.lit(0).alias("place"), size.alias("size"),
+        "term", "weight", F.col("term").alias("segment"),
+    )
+    parts = (
         lexicon.filter((size > fv.FUZZY_SHORT_CHARS) & (edits > 0))
-        .select("term", "weight", F.transform(F.sequence(F.lit(0), edits), segment).alias("segments"))
-        .select("term", "weight", F.inline("segments"))
+        .withColumn("edits", edits)
+        .withColumn("part", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("edits")), segment)))
+        .withColumn("size", F.explode_outer(F.sequence(size - F.col("edits"), size + F.col("edits"))))
+        .withColumn("edits", _edits(size, F.col("size"), limit))
+        .filter(F.abs(size - F.col("size")) <= F.col("edits"))
+    )
+    first = F.greatest(F.lit(1), F.col("part.at") - F.col("edits"))
+    placed = parts.withColumn(
+        "place", F.explode_outer(F.sequence(first, F.col("part.at") + F.col("edits")))
     )
-    return whole.unionByName(parted)
+    key = F.substring("part.segment", 1, _key_size(ratio)).alias("key")
+    return whole.unionByName(placed.select(key, "place", "size", "term", "weight", "part.segment"))
 
 
 def lexicon_matches(
@@ -196,8 +203,8 @@ def lexicon_matches(
     """
     tokens = prompt_tokens(prompts, lemmas, distinct=True)
     keys = lexicon_keys(lexicon, ratio)
-    size = F.length("token")
-    whole = F.concat(F.lit("="), "token")
+    tokens = tokens.withColumn("size", F.length("token"))
+    size, whole = F.col("size"), F.concat(F.lit("="), "token")
     if fuzzy:
         longest = lexicon.agg(F.max(F.length("term"))).first()[0] or 0
         reach = longest * (200 - ratio) // ratio
@@ -212,29 +219,27 @@ def lexicon_matches(
             ),
         )
     else:
-        keys = keys.filter("at = 0")
+        keys = keys.filter("place = 0")
         looked_up = tokens.withColumn("place", F.lit(0)).withColumn("key", whole)
-    pairs = dimension_join(looked_up, keys, "key", "inner", F.col("prompt_id"))
+    pairs = dimension_join(looked_up, keys, ["key", "place", "size"], "inner", F.col("prompt_id"))
+    is_exact = F.col("place") == 0
     found = pairs.withColumn("ratio", F.lit(100.0))
     if fuzzy:
         near = (
-            "abs(place - at) <= edits and abs(length(token) - length(term)) <= edits"
-            " and substring(token, place, length(segment)) = segment"
+            "substring(token, place, length(segment)) = segment"
             " and token <> term and levenshtein(token, term, edits) >= 0"
         )
-        ratios = F.when(F.col("at") == 0, F.lit(100.0)).otherwise(
-            indel_ratio(F.col("token"), F.col("term"))
-        )
+        ratios = F.when(is_exact, F.lit(100.0)).otherwise(indel_ratio(F.col("token"), F.col("term")))
         found = (
             pairs.withColumn("edits", _edits(size, F.length("term"), F.lit(ratio)))
-            .filter(f"at = 0 or ({near})")
+            .filter(f"place = 0 or ({near})")
             .withColumn("ratio", ratios)
             .filter(F.col("ratio") >= ratio)
         )
     return found.groupBy("prompt_id", "term").agg(
         F.max("weight").alias("weight"),
-        F.max(F.col("at") == 0).alias("is_exact"),
-        F.max_by("token", F.struct(F.col("at") == 0, F.col("ratio"), -F.col("pos"))).alias("token"),
+        F.max(is_exact).alias("is_exact"),
+        F.max_by("token", F.struct(is_exact, F.col("ratio"), -F.col("pos"))).alias("token"),
         F.max("ratio").alias("ratio"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -48,6 +49,7 @@ FILTER_ATTACK = (
     r"(system prompt|safety filter|system instruction|these rules|your (rules|instructions|filter))"
 )
 HARM_LIMIT = 0.8
+PUNCTUATION = string.punctuation + "‘’“”«»…–—"
 # Every match of a group of rules holds one of its needles, in lower case. Looking for them is
 # far cheaper than trying the patterns, and most texts hold none.
 PERSONA_NEEDLES = ("you are", "pretend to be", "roleplay as", "act as", "fictional story")
@@ -99,13 +101,17 @@ def remove_encoded(text: Column) -> Column:
     )
 
 
+def bare(text: Column) -> Column:
+    return F.translate(F.lower(text), PUNCTUATION, "")
+
+
 def remove_profanity(text: Column, profanity: list[str]) -> Column:
     """Drop the words of a short list, whatever punctuation they carry; the rest keeps its order."""
     listed = F.array(*map(F.lit, profanity)) if profanity else F.array().cast("array<string>")
     return F.array_join(
         F.filter(
             tx.words(text),
-            lambda word: ~F.array_contains(listed, F.regexp_replace(F.lower(word), "[^a-z0-9]", "")),
+            lambda word: ~F.array_contains(listed, bare(word)),
         ),
         " ",
     )
@@ -132,9 +138,7 @@ def rewrite(text: Column, profanity: list[str]) -> Column:
     cleaned = remove_meta(remove_persona(remove_format(remove_encoded(text))))
 
     def shorten(value: Column) -> Column:
-        # Dots and the like inside a word would hide a listed word from the needles.
-        plain = F.regexp_replace(F.lower(value), r"[^a-z0-9\s]", "")
-        found = holds_any(plain, tuple(profanity)) if profanity else F.lit(False)
+        found = holds_any(bare(value), tuple(profanity)) if profanity else F.lit(False)
         return cap_words(F.when(found, remove_profanity(value, profanity)).otherwise(value))
 
     return tx.strip(tx.let(cleaned, shorten))
