@@ -51,8 +51,7 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 def spread(frame: DataFrame) -> DataFrame:
     """Spread the rows of few, small files over the cores. Tables of many splits stay as they are."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    files = frame.inputFiles()
-    return frame.repartition(2 * cores) if len(files) < cores else frame
+    return frame.repartition(2 * cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

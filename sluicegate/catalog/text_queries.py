@@ -328,3 +328,16 @@ def text_embedding(spark, folder):
             F.max("tf").cast("int").alias("top"),
         )
     )
+
+
+@query("text_embedding_tfidf")
+def text_embedding_tfidf(spark, folder):
+    """Every prompt's vector from an encoder fitted on all of them, described by length and entries."""
+    prompts = tb.prompts(spark, folder)
+    encoded = em.encode_tfidf(prompts, em.fit_tfidf(prompts, "prompt"), "prompt")
+    vector = F.col("embedding")
+    return encoded.select(
+        "prompt_id",
+        F.round(F.sqrt(em.dot(vector, vector)), 4).alias("norm"),
+        F.size(F.filter(vector, lambda x: x != 0)).alias("entries"),
+    )

@@ -6,10 +6,15 @@ vectors are formed batch-wise where they are used. Any other encoder fits by pro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -52,6 +57,61 @@ def blocks(lists: pa.Array) -> list[pa.Array]:
     return [lists.slice(at, ROWS_PER_BLOCK) for at in range(0, len(lists), ROWS_PER_BLOCK)]
 
 
+class WordBuckets:
+    """The default encoder: hashed word counts, computed inside the JVM."""
+
+    kind, dimensions = "bag", DIMENSIONS
+
+    def encode(self, frame: DataFrame, texts: str, out: str) -> DataFrame:
+        """Add an array of features, one per text of the array column ``texts``."""
+        return frame.withColumn(out, F.transform(texts, lambda text: word_buckets(text)))
+
+
+class BatchEncoder:
+    """Any model that turns a list of texts into a matrix, called batch by batch."""
+
+    kind = "dense"
+
+    def __init__(self, predict: Callable[[list[str]], np.ndarray], dimensions: int):
+        self.predict, self.dimensions = predict, dimensions
+
+    def encode(self, frame: DataFrame, texts: str, out: str) -> DataFrame:
+        predict, dimensions, size = self.predict, self.dimensions, ROWS_PER_BLOCK
+
+        @arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+        def encoded(lists: pa.Array) -> pa.Array:
+            flat = lists.flatten().to_pylist()
+            parts = [np.zeros((0, dimensions), np.float32)]
+            parts += [np.asarray(predict(flat[i : i + size]), np.float32) for i in range(0, len(flat), size)]
+            values = np.concatenate(parts)
+            starts = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dimensions)
+            vectors = pa.ListArray.from_arrays(starts, pa.array(values.ravel()))
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), vectors)
+
+        whole = F.when(F.size(texts) >= 0, F.col(texts))
+        return frame.withColumn(out, encoded(whole))
+
+
+def fit_tfidf(texts: DataFrame, text: str = "text", features: int = DIMENSIONS) -> PipelineModel:
+    """An encoder fitted on a corpus: hashed word counts, weighted by rarity, of length one."""
+    stages = [
+        HashingTF(inputCol="words_", outputCol="counts_", numFeatures=features),
+        IDF(inputCol="counts_", outputCol="weighted_"),
+        Normalizer(inputCol="weighted_", outputCol="vector_"),
+    ]
+    return Pipeline(stages=stages).fit(texts.withColumn("words_", tx.words(F.lower(text))))
+
+
+def encode_tfidf(frame: DataFrame, model: PipelineModel, text: str, out: str = "embedding") -> DataFrame:
+    """Add a dense vector of floats."""
+    encoded = model.transform(frame.withColumn("words_", tx.words(F.lower(text))))
+    return encoded.withColumn(out, vector_to_array("vector_", "float32")).drop(
+        "words_", "counts_", "weighted_", "vector_"
+    )
+
+
 def text_cosine(left: Column, right: Column) -> Column:
     """Cosine of two texts' hashed word counts."""
     return bag_cosine(word_buckets(left), word_buckets(right))

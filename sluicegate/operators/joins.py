@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+LOCAL_ROWS = 10_000
 SALTS = 64
 
 
@@ -23,6 +24,14 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
     return measured["rows"] <= rows and measured["size"] <= size
 
 
+def localized(table: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
+    """A table of few rows as a local relation, read once; a larger one as it is."""
+    head = table.limit(rows + 1).toArrow()  # never more than the limit
+    if head.num_rows > rows:
+        return table
+    return table.sparkSession.createDataFrame(head, schema=table.schema)
+
+
 def dimension_join(
     facts: DataFrame,
     table: DataFrame,

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from sluicegate import fixed_values as fv
 from sluicegate.functions import text as tx
 from sluicegate.functions.similarity import indel_ratio
-from sluicegate.operators.joins import dimension_join
+from sluicegate.operators.joins import dimension_join, localized
 from sluicegate.session import dimension
 
 LEXICON_SCHEMA = "term string, weight double, category string"
@@ -201,6 +201,7 @@ def lexicon_matches(
     A term found exactly is not looked for fuzzily; otherwise its best token counts, the first
     one on ties. Terms of up to four characters need a ratio of 95, which only equality reaches.
     """
+    lexicon = localized(lexicon.select("term", "weight"))
     tokens = prompt_tokens(prompts, lemmas, distinct=True)
     keys = lexicon_keys(lexicon, ratio)
     tokens = tokens.withColumn("size", F.length("token"))

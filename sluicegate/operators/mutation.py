@@ -13,7 +13,7 @@ from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
 from sluicegate.functions.draws import draw, seed_of
 from sluicegate.functions.similarity import text_ratios
-from sluicegate.operators.joins import dimension_join, is_small
+from sluicegate.operators.joins import dimension_join, is_small, localized
 from sluicegate.session import dimension
 
 SYNONYM_SCHEMA = "word string, synset_id int, lemma string"
@@ -166,7 +166,7 @@ def _with_choices(prompts: DataFrame, synonyms: DataFrame) -> DataFrame:
     A small thesaurus becomes a literal in the plan. A large one is joined with the drawn words,
     at most 150 per prompt; only those words, not the texts, are matched with it.
     """
-    lists = _synonym_lists(synonyms)
+    lists = localized(_synonym_lists(localized(synonyms)), SYNONYM_MAP_ROWS)
     prompts = prompts.withColumn("words_", tx.words(F.col("prompt")))
     if is_small(lists, SYNONYM_MAP_ROWS):
         rows = lists.orderBy("word").collect()  # bounded by the check above

@@ -21,6 +21,7 @@ from sluicegate.functions import text as tx
 from sluicegate.functions.embedding import blocks, unit_rows
 from sluicegate.functions.portable import portable
 from sluicegate.operators.joins import is_small
+from sluicegate.session import stored
 
 MATRIX_BYTES = 64 * 1024 * 1024
 BLOCK_SIGNATURES = 8192
@@ -39,7 +40,9 @@ def _best(matrix: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def matrix_fits(signatures: DataFrame, dimensions: int) -> bool:
-    return is_small(signatures.select("sig_id"), rows=MATRIX_BYTES // (8 * dimensions))
+    return is_small(
+        signatures.select("sig_id", "features"), rows=MATRIX_BYTES // (8 * dimensions), size=MATRIX_BYTES
+    )
 
 
 def with_nearest(
@@ -104,7 +107,10 @@ def _with_nearest_blocked(
 ) -> DataFrame:
     rows = signatures.count()
     parts = max(1, -(-rows // BLOCK_SIGNATURES))
-    queries = frame.select(key, F.posexplode_outer(features).alias("pos", "features"))
+    queries = stored(
+        frame.select(key, F.posexplode_outer(features).alias("pos", "features")).filter("pos is not null"),
+        "queries",
+    )
     shards = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def spread(column: Column, count: int) -> Column:
@@ -169,6 +175,7 @@ def add_similarity(
     signatures: DataFrame,
     whole_limit: float = fv.WHOLE_PROMPT_DISTANCE,
     sentence_limit: float = fv.SENTENCE_DISTANCE,
+    encoder: em.WordBuckets | em.BatchEncoder | None = None,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """Add similarity_score and similarity_details: the whole prompt, then its sentences in order.
@@ -176,12 +183,18 @@ def add_similarity(
     ``signatures``: sig_id, text. A sentence counts below its own limit; the score is one minus
     the least distance that counted, 0 if none did.
     """
-    known = signatures.select("sig_id", em.word_buckets(F.col("text")).alias("features"))
-    pieces = F.concat(F.array(F.col("prompt")), F.col("sentences_"))
+    encoder = encoder or em.WordBuckets()
+    texts = signatures.select("sig_id", F.array("text").alias("texts_"))
+    known = encoder.encode(texts, "texts_", "coded_").select(
+        "sig_id", F.get("coded_", F.lit(0)).alias("features")
+    )
     queried = prompts.withColumn("sentences_", tx.sentence_chunks(F.col("prompt"))).withColumn(
-        "bags_", F.transform(pieces, lambda piece: em.word_buckets(piece))
+        "pieces_", F.concat(F.array("prompt"), "sentences_")
     )
-    found = with_nearest(queried, "bags_", known, out="nearest_", broadcast=broadcast)
+    found = with_nearest(
+        encoder.encode(queried, "pieces_", "bags_"),
+        "bags_", known, encoder.kind, encoder.dimensions, out="nearest_", broadcast=broadcast,
+    )
     named = F.transform(
         "nearest_",
         lambda hit, i: F.struct(
@@ -202,7 +215,7 @@ def add_similarity(
     return (
         found.withColumn("similarity_details", counted)
         .withColumn("similarity_score", similarity_score(F.array_min(F.col("similarity_details.distance"))))
-        .drop("sentences_", "bags_", "nearest_")
+        .drop("sentences_", "pieces_", "bags_", "nearest_")
     )
 
 

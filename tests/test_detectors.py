@@ -61,6 +61,23 @@ def test_similarity_details(spark):
         assert rows["none"]["similarity_score"] == 0 and rows["none"]["similarity_details"] == []
 
 
+def test_other_encoders(spark):
+    """Any model fits that turns texts into vectors; here, letter counts."""
+    from sluicegate.functions.embedding import BatchEncoder, encode_tfidf, fit_tfidf
+
+    def letters(texts):
+        return np.array([[t.count(chr(97 + i)) for i in range(26)] for t in texts], dtype=float)
+
+    known = spark.createDataFrame([("s1", "abc abc"), ("s2", "xyz")], "sig_id string, text string")
+    prompts = spark.createDataFrame([("p", "bca. zyx zyx"), ("q", "mmm")], PROMPT)
+    rows = {r["prompt_id"]: r for r in nn.add_similarity(prompts, known, encoder=BatchEncoder(letters, 26)).collect()}
+    assert [d["text"] for d in rows["p"]["similarity_details"]] == ["ENTIRE PROMPT", "bca.", "zyx zyx"]
+    assert rows["p"]["similarity_score"] == pytest.approx(1) and rows["q"]["similarity_score"] == 0
+    model = fit_tfidf(prompts, "prompt")
+    vectors = [r["embedding"] for r in encode_tfidf(prompts, model, "prompt").collect()]
+    assert all(np.linalg.norm(v) == pytest.approx(1) for v in vectors)
+
+
 def test_unit_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, z array<double>").select(
         unit(F.col("a")).alias("u"), unit(F.col("z")).alias("z"), dot(F.col("a"), F.col("a")).alias("d")
