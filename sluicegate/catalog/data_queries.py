@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluicegate import fixed_values as fv
@@ -413,6 +412,11 @@ def classifier_risk(spark, folder):
 _LINE_RISKS = f"line_risks AS (SELECT l_orderkey, ({_RISK})::DOUBLE AS risk FROM lineitem)"
 
 
+def _line_risks(spark, folder):
+    lines = tb.table(spark, folder, "lineitem")
+    return lines.select("l_orderkey", F.expr(_RISK).cast("double").alias("risk"))
+
+
 @query(
     "mutation_score",
     f"""WITH {_LINE_RISKS}, {sql.consensus('line_risks', 'l_orderkey')}
@@ -421,11 +425,11 @@ SELECT l_orderkey, round(raw, 4) AS layer_score, raw < {fv.CONSENSUS_THRESHOLD}:
 )
 def mutation_score(spark, folder):
     """Consensus over the lines of each order."""
-    rows = tb.table(spark, folder, "lineitem").select("l_orderkey", F.expr(_RISK).cast("double").alias("risk"))
-    grouped = rows.groupBy("l_orderkey").agg(F.collect_list("risk").alias("risks"))
-    return grouped.select("l_orderkey", mu.consensus(F.col("risks"), F.lit(3)).alias("c")).select(
-        "l_orderkey", "c.*"
-    )
+    counts = mu.risk_counts(_line_risks(spark, folder), "l_orderkey")
+    grouped = counts.groupBy("l_orderkey").agg(F.collect_list(F.struct("risk", "n")).alias("pairs"))
+    return grouped.select(
+        "l_orderkey", mu.counted_consensus(F.col("pairs"), F.lit(3)).alias("c")
+    ).select("l_orderkey", "c.*")
 
 
 @query(
@@ -435,15 +439,9 @@ SELECT l_orderkey, round(raw, 4) AS layer_score FROM consensus""",
 )
 def mutation_score_window(spark, folder):
     """The same, the riskier half taken by rank."""
-    rows = tb.table(spark, folder, "lineitem").select("l_orderkey", F.expr(_RISK).cast("double").alias("risk"))
-    group = Window.partitionBy("l_orderkey")
-    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(F.desc("risk")))).withColumn(
-        "half", F.greatest(F.lit(1), F.floor(F.count("*").over(group) / 2))
-    )
-    return ranked.groupBy("l_orderkey").agg(
-        F.round(
-            0.7 * F.max("risk") + 0.3 * F.avg(F.when(F.col("rank") <= F.col("half"), F.col("risk"))), 4
-        ).alias("layer_score")
+    counts = mu.risk_counts(_line_risks(spark, folder), "l_orderkey")
+    return mu.ranked_consensus(counts, "l_orderkey").select(
+        "l_orderkey", F.round("raw", 4).alias("layer_score")
     )
 
 

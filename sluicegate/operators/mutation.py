@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -336,6 +336,52 @@ def consensus(
     )
 
 
+def risk_counts(rows: DataFrame, key: str, risk: str = "risk") -> DataFrame:
+    """key, risk, n: equal risks of a key collapse before the shuffle, so a key with very many rows
+    stays small: at the four decimals of a report it has at most 10,001 different risks."""
+    return rows.groupBy(key, F.round(risk, 4).alias("risk")).agg(F.count("*").alias("n"))
+
+
+def counted_consensus(
+    pairs: Column, word_count: Column, threshold: float = fv.CONSENSUS_THRESHOLD
+) -> Column:
+    """The consensus of an array(risk, n) in which equal risks are counted."""
+    total = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda done, pair: done + pair["n"])
+
+    def settle(half: Column) -> Column:
+        summed = F.aggregate(
+            F.sort_array(pairs, asc=False),
+            F.struct(half.alias("left"), F.lit(0.0).alias("sum")),
+            lambda done, pair: F.struct(
+                F.greatest(F.lit(0).cast("bigint"), done["left"] - pair["n"]).alias("left"),
+                (done["sum"] + pair["risk"] * F.least(done["left"], pair["n"])).alias("sum"),
+            ),
+        )
+        worst = F.array_max(pairs)["risk"]
+        raw = (0.7 * worst + 0.3 * summed["sum"] / half) * F.when(word_count < 3, 0.5).otherwise(1.0)
+        return F.struct(
+            F.round(raw, 4).alias("layer_score"),
+            (raw < threshold).alias("is_safe"),
+            total.cast("int").alias("mutation_count"),
+            F.round(worst, 4).alias("max_risk"),
+        )
+
+    return tx.let(F.greatest(F.lit(1).cast("bigint"), F.floor(total / 2)), settle)
+
+
+def ranked_consensus(counts: DataFrame, key: str) -> DataFrame:
+    """key, raw: the same by rank, over counted risks; a window holds one key's different risks."""
+    group = Window.partitionBy(key)
+    before = F.sum("n").over(group.orderBy(F.desc("risk"))) - F.col("n")
+    ranked = counts.withColumn("before", before).withColumn(
+        "half", F.greatest(F.lit(1), F.floor(F.sum("n").over(group) / 2))
+    )
+    taken = F.least(F.col("n"), F.greatest(F.lit(0), F.col("half") - F.col("before")))
+    return ranked.groupBy(key).agg(
+        (0.7 * F.max("risk") + 0.3 * F.sum(taken * F.col("risk")) / F.max("half")).alias("raw")
+    )
+
+
 def variant_rows(frame: DataFrame, *columns: str) -> DataFrame:
     """prompt_id, pos, text and chosen columns: one row per variant, the prompt itself at 0."""
     return frame.select("prompt_id", *columns, F.posexplode_outer("variants").alias("pos", "text"))
