@@ -393,7 +393,7 @@ def stream_gateway(spark, folder):
         F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("prompt_id"),
         F.col("text").alias("prompt"),
     )
-    detectors = _detectors(spark, folder)
+    detectors = _detectors(spark, folder).loaded()
     target = work_dir(spark, "scored")
     running = stream.start_gateway_stream(
         arriving,

@@ -25,11 +25,10 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
 
 
 def localized(table: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
-    """A table of few rows as a local relation, read once; a larger one as it is."""
-    head = table.limit(rows + 1).toArrow()  # never more than the limit
-    if head.num_rows > rows:
+    """A table of measured small size as a local relation, read once; a larger one as it is."""
+    if not is_small(table, rows):
         return table
-    return table.sparkSession.createDataFrame(head, schema=table.schema)
+    return table.sparkSession.createDataFrame(table.toArrow(), schema=table.schema)
 
 
 def dimension_join(

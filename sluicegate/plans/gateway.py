@@ -8,7 +8,7 @@ such short texts are grouped by prompt. The lexicon hits arrive grouped by the s
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sluicegate import fixed_values as fv
 from sluicegate.functions import text as tx
 from sluicegate.operators import lexicon as lx
+from sluicegate.operators.joins import localized
 from sluicegate.operators.mutation import (
     add_variants,
     consensus,
@@ -66,6 +67,12 @@ class Detectors:
             self.similarity_options,
         )
 
+    def loaded(self) -> Detectors:
+        """The same with small tables read once, for jobs that use them again and again."""
+        used = self.completed()
+        tables = ("signatures", "lexicon", "lemmas", "synonyms")
+        return replace(used, **{name: localized(getattr(used, name)) for name in tables})
+
 
 # -- blending and decisions -------------------------------------------------
 

@@ -92,7 +92,7 @@ def test_prompt_text_is_not_shuffled(spark, prompts):
 def test_stream_equals_batch(spark, prompts, tmp_path):
     source = str(tmp_path / "in")
     prompts.repartition(3).write.parquet(source)
-    used = detectors(spark)
+    used = detectors(spark).loaded()
     arriving = stream.read_prompt_stream(spark, source, "*.parquet", "prompt_id string, prompt string", 1)
     target = str(tmp_path / "out")
     running = stream.start_gateway_stream(

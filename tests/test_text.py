@@ -1,5 +1,6 @@
 """Text rules against literal cases and plain statements of each rule."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -55,14 +56,15 @@ def test_normalize_random(spark):
 
 
 def plain_chunks(text):
-    found = []
-    for sentence in re.split(r"(?<=[.!?]) +", text):
-        parts = sentence.split()
-        if len(parts) > 200:
-            found += [" ".join(parts[at : at + 200]) for at in range(0, len(parts), 200)]
-        else:
-            found.append(sentence)
-    return [s.strip() for s in found if s.strip()]
+    chunks = []
+    for sentence in re.compile("(?<=[.!?]) +").split(text):
+        numbered = list(enumerate(sentence.split()))
+        pieces = [sentence]
+        if len(numbered) > 200:
+            groups = itertools.groupby(numbered, key=lambda pair: pair[0] // 200)
+            pieces = [" ".join(word for _, word in group) for _, group in groups]
+        chunks.extend(filter(None, map(str.strip, pieces)))
+    return chunks
 
 
 def test_sentence_chunks_and_words(spark):
