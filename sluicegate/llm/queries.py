@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe
+from sluicegate.llm import bpe, tokens
 from sluicegate.llm.common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+MODEL_TOKENS = 512
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
+    counted = tokens.count_tokens(documents(spark, folder), TOKENIZER, keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > MODEL_TOKENS)
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
     return bpe.round_trip(documents(spark, folder), TOKENIZER, keep=["doc_id"])
 
 
 CORPUS_QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op6_bpe": op6_bpe,
 }
 CORPUS_CHECKS: dict[str, str] = {}
