@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm import bpe, tokens
-from sluicegate.llm.common import documents
+from sluicegate.catalog.tables import table
+from sluicegate.llm import bpe, decontamination, language, tokens, toxicity
+from sluicegate.llm.common import documents, held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,6 +16,14 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MODEL_TOKENS = 512
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, n_spans of every document."""
+    docs = documents(spark, folder)
+    model = language.fit(docs.filter(~held_out()))
+    named = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return language.label(named, model, keep=["doc_id", "held_out"], with_spans=False)
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     counted = tokens.count_tokens(documents(spark, folder), TOKENIZER, keep=["doc_id"])
@@ -26,8 +35,38 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), TOKENIZER, keep=["doc_id"])
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    found = decontamination.find_benchmark(
+        documents(spark, folder), table(spark, folder, "benchmark"), keep=["doc_id"]
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
+    """Learned from the labels of documents that aren't held out."""
+    return toxicity.fit(documents(spark, folder), table(spark, folder, "labels").filter(~held_out()))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    named = documents(spark, folder).select("doc_id", held_out().alias("held_out"), "text")
+    scored = toxicity.score(named, toxicity_model(spark, folder), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 CORPUS_QUERIES = {
+    "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
     "op6_bpe": op6_bpe,
+    "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 CORPUS_CHECKS: dict[str, str] = {}
