@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams with word borders, hashed into a fixed number of buckets; its
 vector is the mean of their embeddings. The vector of a text averages its different words and some neutral ones,
-and a linear softmax over it gives the classes. Embeddings and softmax are trained jointly in numpy. A misspelling that was never
+n-grams that few texts have weighing more, and a linear softmax over it gives the classes. Embeddings and softmax are trained jointly in numpy. A misspelling that was never
 seen still shares most n-grams with the words it comes from.
 
 *Learning* takes a bounded sample of the labelled rows: up to ``rows_per_class`` of each label, the lowest
@@ -38,13 +38,15 @@ DIMENSIONS = 4
 SHORTEST, LONGEST = 3, 5
 ROWS_PER_CLASS = 3000
 EPOCHS = 14
-LEAST_STEPS = 500
+LEAST_STEPS = 250
 BATCH = 128
 RATE = 0.1
 CACHED_PIECES = 600_000
 # Words of no meaning that every text has besides its own: a few words alone prove little.
 NEUTRAL_WORDS = 30
-SCALE = 5.0
+SCALE = 2.5
+# N-grams of fewer sampled texts aren't learned.
+LEAST_TEXTS = 2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -105,6 +107,10 @@ def train(
     if min(classes) == 0:
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.zeros(buckets), float(odds))
+    # N-grams that most texts have say little, and those of a single text nothing about others.
+    texts = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=buckets)
+    gain = (np.log((1 + len(bags)) / (1 + texts)) / np.log(1 + len(bags))) ** 2
+    gain[texts < LEAST_TEXTS] = 0
     rng = np.random.default_rng(seed)
     weight = 0.5 / classes[labels] * len(labels)
     table = rng.normal(0, 0.1, (DIMENSIONS, buckets))
@@ -120,7 +126,7 @@ def train(
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             ids = np.concatenate([bags[r][0] for r in rows])
-            part = np.concatenate([bags[r][1] for r in rows])
+            part = np.concatenate([bags[r][1] for r in rows]) * gain[ids]
             row = np.repeat(np.arange(len(rows)), sizes[rows])
             mean = np.stack([np.bincount(row, table[d][ids] * part, len(rows)) for d in range(DIMENSIONS)], 1)
             wrong = _softmax(mean @ layer + shift)
@@ -135,7 +141,7 @@ def train(
                 power[i] = 0.99 * power[i] + 0.01 * float((grad * grad).mean())
                 scale = np.sqrt(power[i] / (1 - 0.99**step)) + 1e-12
                 values[i][...] -= RATE * (1 - step / steps) * pace[i] / scale / (1 - 0.9**step)
-    return Model((layer[:, 1] - layer[:, 0]) @ table, float(shift[1] - shift[0]))
+    return Model((layer[:, 1] - layer[:, 0]) @ table * gain, float(shift[1] - shift[0]))
 
 
 def fit(
