@@ -7,7 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.catalog.tables import table
-from sluicegate.llm import bpe, decontamination, language, tokens, toxicity
+from sluicegate.llm import (
+    bpe,
+    decontamination,
+    language,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+    urls,
+)
 from sluicegate.llm.common import documents, held_out
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +27,16 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MODEL_TOKENS = 512
 
 
+# A job passes its own; with another key every surrogate is another one.
+SURROGATE_KEY = "corpus-surrogates"
+
+
+def op1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text with surrogates, n_mentions of every document."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    return pii.replace(docs, SURROGATE_KEY, counts="n_mentions")
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans of every document."""
     docs = documents(spark, folder)
@@ -30,11 +51,31 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > MODEL_TOKENS)
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document."""
+    judged = quality.judge(documents(spark, folder), keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return urls.judge(table(spark, folder, "pages"), keep=["page_id"])
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
     return bpe.round_trip(documents(spark, folder), TOKENIZER, keep=["doc_id"])
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal), component_id of every document."""
+    grouped = simhash.group_documents(documents(spark, folder))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return grouped.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = decontamination.find_benchmark(
@@ -50,6 +91,12 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    found = secrets.find_secrets(documents(spark, folder), keep=["doc_id"])
+    return found.select("doc_id", *[column.alias(name) for name, column in secrets.summary(found).items()])
+
+
 def toxicity_model(spark: SparkSession, folder: str) -> toxicity.Model:
     """Learned from the labels of documents that aren't held out."""
     return toxicity.fit(documents(spark, folder), table(spark, folder, "labels").filter(~held_out()))
@@ -63,10 +110,15 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CORPUS_QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_language": op2_language,
     "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op5_url_verdicts": op5_url_verdicts,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
 CORPUS_CHECKS: dict[str, str] = {}
