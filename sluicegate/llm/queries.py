@@ -19,8 +19,11 @@ from sluicegate.llm import (
     toxicity,
     urls,
 )
+from sluicegate.llm.checks import CORPUS_CHECKS
 from sluicegate.llm.common import documents, held_out
 
+__all__ = ["CORPUS_CHECKS", "CORPUS_QUERIES"]
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -121,4 +124,3 @@ CORPUS_QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
 }
-CORPUS_CHECKS: dict[str, str] = {}

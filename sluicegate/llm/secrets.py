@@ -29,41 +29,51 @@ from pyspark.sql import functions as F
 from sluicegate.session import stored
 
 SCOPE = 200
-# Kind, pattern, least length of the value, group of the value. Longer runs keep the base rule's leftmost choice.
+
+
+def either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_LOGINS = "|".join(map(either_case, ("username", "user", "login", "account", "client_?id")))
+_GIVES = r"""["']?\x20*[:=]\x20*["']?"""
+# Kind, pattern, group of the value and its least length. The patterns of access and hex take runs whole.
 STRONG = (
-    (
-        "assign",
-        r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        12,
-        2,
-    ),
-    ("access", r"AKIA[A-Z0-9]{14,}", 18, 0),
-    ("hex", r"[0-9a-f]{16,}", 16, 0),
+    ("assign", rf"({_KEYS}){_GIVES}([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 WEAK = (
-    (
-        "login",
-        r"""(?i)(?<![a-z0-9])(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
-    ),
-    ("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])[A-Za-z0-9+/_-]{20,}"),
-    ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9_./-]*)?"),
+    ("login", rf"({_LOGINS}){_GIVES}([A-Za-z0-9_.@-]+)", 2, 3),
+    ("blob", r"[A-Za-z0-9+/_-]{20,}", 0, 20),
+    ("endpoint", r"https?://[A-Za-z0-9.-]+(:[0-9]+)?(/[A-Za-z0-9_./-]*)?", 0, 10),
 )
-ORDER = [kind for kind, *_ in STRONG] + [kind for kind, _ in WEAK]
+# A blob counts if it has all of these.
+BLOB_PARTS = ("[0-9]", "[A-Z]", "[a-z]")
+ORDER = [kind for kind, *_ in (*STRONG, *WEAK)]
 IDENTIFIERS = ("access", "login")
 SECRETS = ("assign", "hex", "blob")
 
 
-def _pieces(text: Column, kind: str, pattern: str, least: int, group: int) -> Column:
+def _pieces(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """kind, gaps (lengths), sizes of the matches, and which of them count; null without a match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+
+    def counts(value: Column) -> Column:
+        result = F.length(value) >= least
+        for part in BLOB_PARTS if kind == "blob" else ():
+            result = result & value.rlike(part)
+        return result
+
     return F.when(
         text.rlike(pattern),
         F.struct(
             F.lit(kind).alias("kind"),
             F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
             F.transform(found, F.length).alias("sizes"),
-            F.transform(values, lambda v: F.length(v) >= least).alias("counts"),
+            F.transform(values, counts).alias("counts"),
         ),
     )
 
@@ -74,7 +84,7 @@ def scan(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     strong = [_pieces(value, *rule) for rule in STRONG]
     # Weak parts matter only beside an identifier or a login.
     can_link = value.rlike(STRONG[1][1]) | value.rlike(WEAK[0][1])
-    weak = [F.when(can_link, _pieces(value, kind, pattern, 1, 0)) for kind, pattern in WEAK]
+    weak = [F.when(can_link, _pieces(value, *rule)) for rule in WEAK]
     found = F.array_compact(F.array(*strong, *weak))
     named = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text}`").alias("row text"))
     pieces = named.withColumn("pieces", found)

@@ -102,6 +102,11 @@ def add_fingerprints(
     return annotate(docs, [StructField(fingerprint, LongType())], start, text, keep)
 
 
+def _signed(number: int) -> int:
+    """The long with the lowest 64 bits of a number."""
+    return (number + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def segments(most_bits: int) -> list[tuple[int, int]]:
     """Offset and width of segments of which one has at most one of ``most_bits`` different bits."""
     number = most_bits // 2 + 1
@@ -112,9 +117,9 @@ def variants(fingerprints: DataFrame, most_bits: int) -> DataFrame:
     """segment, bit, value, fingerprint: each segment once per bit, with that bit wiped."""
     made = []
     for number, (offset, width) in enumerate(segments(most_bits)):
-        value = F.shiftrightunsigned("fingerprint", offset).bitwiseAND((1 << width) - 1)
+        value = F.shiftrightunsigned("fingerprint", offset).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         for bit in range(width):
-            wiped = value.bitwiseAND(F.lit(~(1 << bit)))
+            wiped = value.bitwiseAND(F.lit(_signed(~(1 << bit))))
             made.append(F.struct(F.lit(number).alias("segment"), F.lit(bit).alias("bit"), wiped.alias("value")))
     return fingerprints.select("fingerprint", F.explode(F.array(*made)).alias("v")).select(
         F.col("v.segment").alias("segment"), F.col("v.bit").alias("bit"), F.col("v.value").alias("value"), "fingerprint"
@@ -125,7 +130,7 @@ def _first_meeting(difference: Column, most_bits: int) -> Column:
     """Whether a pair's variant is the first in which it meets."""
     result, earlier = F.lit(False), F.lit(True)
     for number, (offset, width) in enumerate(segments(most_bits)):
-        part = F.shiftrightunsigned(difference, offset).bitwiseAND((1 << width) - 1)
+        part = F.shiftrightunsigned(difference, offset).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         wiped = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
         here = ((part == 0) & (F.col("bit") == 0)) | (part == wiped)
         result = result | ((F.col("segment") == number) & here & earlier)
