@@ -8,7 +8,7 @@ from sluicegate.operators.lexicon import lexicon_score as lexicon
 from sluicegate.operators.mutation import mutation_report as mutation
 from sluicegate.operators.nearest import add_similarity as similarity
 from sluicegate.operators.sanitize import sanitize
-from sluicegate.plans.gateway import Detectors, analyze, gateway
+from sluicegate.plans.gateway import Detectors, analyze, gateway, rejected
 from sluicegate.session import build_session
 
 __all__ = [
@@ -19,6 +19,7 @@ __all__ = [
     "gateway",
     "lexicon",
     "mutation",
+    "rejected",
     "sanitize",
     "similarity",
 ]

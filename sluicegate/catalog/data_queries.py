@@ -118,7 +118,7 @@ _WORD = "CASE WHEN role = 'user' THEN 'jailbreak' WHEN role = 'assistant' THEN '
 def label_encode(spark, folder):
     """Roles as label words; those outside the vocabulary go to the quarantine branch."""
     rows = tb.table(spark, folder, "conversations").select("conv_id", "turn", F.expr(_WORD).alias("label"))
-    good, bad = ds.split_labels(rows)
+    good, bad = ds.split_labels(rows, "benchmark")
     return good.select("conv_id", "turn", F.col("label").alias("code"), F.lit(False).alias("quarantined")).unionByName(
         bad.select("conv_id", "turn", F.lit(None).cast("int").alias("code"), F.lit(True).alias("quarantined"))
     )
@@ -213,7 +213,7 @@ def classification_metrics(spark, folder):
 
 @query(
     "argmax_label",
-    """SELECT event_id, CASE WHEN value - floor(value) > 1 - (value - floor(value)) THEN 'malicious' ELSE 'benign' END AS name
+    """SELECT event_id, CASE WHEN value - floor(value) > 1 - (value - floor(value)) THEN 'jailbreak/malicious' ELSE 'benign' END AS name
 FROM events WHERE value IS NOT NULL""",
 )
 def argmax_label(spark, folder):
@@ -399,7 +399,7 @@ _RISK = "round(l_discount * 10, 4) + 0.0"
 @query(
     "classifier_risk",
     """WITH r AS (SELECT l_orderkey, l_linenumber, round(l_discount * 10, 4) + 0.0 AS p FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN p > 0.5 THEN 'malicious' ELSE 'benign' END AS label, round(p, 4) AS risk FROM r""",
+SELECT l_orderkey, l_linenumber, CASE WHEN p > 0.5 THEN 'jailbreak/malicious' ELSE 'benign' END AS label, round(p, 4) AS risk FROM r""",
 )
 def classifier_risk(spark, folder):
     rows = tb.table(spark, folder, "lineitem").withColumn("p", F.expr(_RISK))

@@ -17,7 +17,8 @@ from sluicegate.operators import classifier as cl
 from sluicegate.operators import lexicon as lx
 from sluicegate.operators import mutation as mu
 from sluicegate.operators import nearest as nn
-from sluicegate.operators.sanitize import HARM_LIMIT
+from sluicegate.operators.sanitize import HARM_LIMIT, TOPIC_TEXT
+from sluicegate.plans import dataset as ds
 from sluicegate.plans import gateway as gw
 from sluicegate.session import stored, work_dir
 from sluicegate.sources import files
@@ -130,11 +131,14 @@ FROM prompts JOIN lexicon_scores USING (prompt_id)""")
 def text_files_scan(spark, folder):
     """Every benchmark text as a file of its own, read back whole and rated for review."""
     path = work_dir(spark, "texts")
-    items = tb.table(spark, folder, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("value"))
-    items.write.partitionBy("item").option("lineSep", "\n").text(path)
+    named = F.concat(F.col("item_id").cast("string"), F.lit("\n"), F.col("text"))
+    items = tb.table(spark, folder, "benchmark").select(
+        F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("part"), named.alias("value")
+    )
+    items.write.partitionBy("part").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
     scanned = files.read_text_files(spark, path).select(
-        F.regexp_extract("path", r"item=(\d+)", 1).alias("prompt_id"),
-        F.regexp_replace("prompt", r"\n\z", "").alias("prompt"),
+        F.substring_index("prompt", "\n", 1).alias("prompt_id"),
+        F.regexp_replace(F.regexp_replace("prompt", r"\A[^\n]*\n", ""), r"\n\z", "").alias("prompt"),
     )
     scores = lx.lexicon_score(scanned, tb.lexicon(spark), tb.lemmas(spark))
     sizes = scanned.select("prompt_id", F.length("prompt").alias("chars"))
@@ -216,6 +220,34 @@ def similarity_score(spark, folder):
     )
 
 
+_INDEXED = _NEAREST.replace("item_id::VARCHAR AS sig_id", "sig_id").replace("FROM benchmark)", "FROM indexed)")
+
+
+@query(
+    "signature_index_search",
+    f"""WITH indexed AS (SELECT text, 'id_' || (row_number() OVER (ORDER BY sha256(text)) - 1) AS sig_id
+  FROM (SELECT DISTINCT text FROM benchmark)), {_INDEXED}
+SELECT s.prompt_id, round(similarity_score, 4) AS similarity_score, n_details::INTEGER AS n_details,
+  n.sig_id, round(n.distance, 4) AS distance FROM similarities s LEFT JOIN nearest n ON n.prompt_id = s.prompt_id AND n.pos = 0""",
+)
+def signature_index_search(spark, folder):
+    """Every prompt against an index that was built, stored and read back: its score and nearest entry."""
+    path = work_dir(spark, "signatures")
+    corpus = tb.table(spark, folder, "benchmark").select("text").distinct()
+    ds.write_signatures(ds.signature_index(corpus), path)
+    index = spark.read.parquet(path).select("sig_id", "features")
+    scored = nn.add_similarity(tb.prompts(spark, folder), index)
+    bags = F.array(em.word_buckets(F.col("prompt")))
+    hit = F.get("nearest", F.lit(0))
+    return nn.with_nearest(scored.withColumn("bags", bags), "bags", index).select(
+        "prompt_id",
+        F.round("similarity_score", 4).alias("similarity_score"),
+        F.size("similarity_details").alias("n_details"),
+        hit["sig_id"].alias("sig_id"),
+        F.round(hit["distance"], 4).alias("distance"),
+    )
+
+
 @query(
     "similarity_details",
     f"""WITH {_NEAREST} SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY pos) - 1)::INTEGER AS rank,
@@ -250,7 +282,7 @@ _RISKS = f"{sql.PROMPTS}, {_TEXTS}, {sql.risks('texts', 'prompt_id')}"
     "classifier_analyze",
     f"""WITH {_RISKS} SELECT prompt_id,
   CASE WHEN length(text) > {fv.SHORT_PREVIEW_CHARS} THEN substr(text, 1, {fv.SHORT_PREVIEW_CHARS}) || '...' ELSE text END AS text_preview,
-  CASE WHEN risk > 0.5 THEN 'malicious' ELSE 'benign' END AS label,
+  CASE WHEN risk > 0.5 THEN 'jailbreak/malicious' ELSE 'benign' END AS label,
   round(greatest(risk, 1 - risk), 4) AS confidence, risk > 0.5 AS is_dangerous FROM risks""",
 )
 def classifier_analyze(spark, folder):
@@ -348,7 +380,7 @@ _GATEWAY = f"""WITH {_LAYERS}, rewritten AS (
   SELECT *, {sql_rewrite("prompt")} AS rewrite, {sql.band('total')} AS action FROM sums)
 SELECT prompt_id, {_PREVIEW} AS prompt_preview, action, round(total, 4) AS weighted_score,
   CASE WHEN action <> 'sanitize' THEN NULL
-       WHEN s1 >= {HARM_LIMIT} AND rewrite <> {sql.quote(fv.SANITIZER_GENERIC_TEXT)} THEN {sql.quote(fv.SANITIZER_TOPIC_TEXT)}
+       WHEN s1 >= {HARM_LIMIT} AND rewrite <> {sql.quote(fv.SANITIZER_GENERIC_TEXT)} THEN {sql.quote(TOPIC_TEXT)}
        ELSE rewrite END AS sanitized_prompt
 FROM rewritten"""
 
@@ -381,18 +413,28 @@ def layer_bands(spark, folder):
     return layers.groupBy("name", gw.layer_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "stream_gateway",
-    _GATEWAY.replace("UNION ALL\n  SELECT 'c:' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user'", ""),
-)
+@query("stream_gateway", _GATEWAY)
 def stream_gateway(spark, folder):
-    """Documents arriving as files, scored batch by batch until none is left, then read back."""
-    arriving = stream.read_prompt_stream(
+    """Documents and user turns arriving as files, scored batch by batch until none is left, then read back."""
+    documents = stream.read_prompt_stream(
         spark, folder, "documents.parquet", "doc_id bigint, text string, lang string"
     ).select(
         F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("prompt_id"),
         F.col("text").alias("prompt"),
     )
+    turns = (
+        stream.read_prompt_stream(
+            spark, folder, "conversations.parquet", "conv_id bigint, turn bigint, role string, text string"
+        )
+        .filter("role = 'user'")
+        .select(
+            F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias(
+                "prompt_id"
+            ),
+            F.col("text").alias("prompt"),
+        )
+    )
+    arriving = documents.unionByName(turns)
     detectors = _detectors(spark, folder).loaded()
     target = work_dir(spark, "scored")
     running = stream.start_gateway_stream(

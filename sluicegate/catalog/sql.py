@@ -319,7 +319,6 @@ variants AS (
 def model_words(x: str) -> str:
     return (
         f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-        f"[1:{fv.MODEL_TOKENS}]"
     )
 
 
@@ -327,12 +326,20 @@ COEFFICIENTS = f"coefficients(word, weight) AS {values(list(tb.COEFFICIENTS.item
 
 
 def risks(source: str, key: str) -> str:
-    """risks: key columns and risk of the rows of a relation with a text."""
+    """risks: key columns and risk, that of the riskiest window, of the rows of a relation with a text."""
     return f"""{COEFFICIENTS},
-occurrences AS (SELECT {key}, unnest({model_words("text")}) AS word FROM {source}),
-margins AS (
-  SELECT {key}, sum(weight::DECIMAL(18,6))::DOUBLE AS margin
+word_lists AS (SELECT {key}, {model_words("text")} AS list FROM {source}),
+occurrences AS (
+  SELECT {key}, unnest(range(len(list))) // {fv.MODEL_TOKENS} AS piece, unnest(list) AS word FROM word_lists),
+piece_list AS (
+  SELECT {key}, unnest(range(greatest(1, (len(list) + {fv.MODEL_TOKENS - 1}) // {fv.MODEL_TOKENS}))) AS piece
+  FROM word_lists),
+piece_margins AS (
+  SELECT {key}, piece, sum(weight::DECIMAL(18,6))::DOUBLE AS margin
   FROM occurrences JOIN coefficients USING (word) GROUP BY ALL),
+margins AS (
+  SELECT {key}, max(coalesce(margin, 0.0)) AS margin
+  FROM piece_list LEFT JOIN piece_margins USING ({key}, piece) GROUP BY {key}),
 risks AS (
   SELECT v.*, 1.0 / (1.0 + exp(-(coalesce(margin, 0.0) + {tb.INTERCEPT}))) AS risk
   FROM {source} v LEFT JOIN margins USING ({key}))"""

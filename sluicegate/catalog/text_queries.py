@@ -295,16 +295,15 @@ def sanitize_format(spark, folder):
 @query(
     "sanitize_replace",
     f"WITH {sql.LEXICON_SCORES} SELECT prompt_id, CASE WHEN lexicon_score >= {sz.HARM_LIMIT} "
-    f"THEN {sql.quote(fv.SANITIZER_TOPIC_TEXT)} ELSE substr(prompt, 1, {fv.PREVIEW_CHARS}) END AS result "
+    f"THEN {sql.quote(sz.TOPIC_TEXT)} ELSE prompt END AS result "
     "FROM prompts JOIN lexicon_scores USING (prompt_id)",
 )
 def sanitize_replace(spark, folder):
-    """The replaced request, or what a preview shows of the others; texts are not shuffled whole."""
+    """Every request as it is, or the fixed text if the lexicon rates it harmful."""
     prompts = tb.prompts(spark, folder)
     scores = lx.lexicon_score(prompts, tb.lexicon(spark), tb.lemmas(spark))
-    short = prompts.select("prompt_id", F.substring("prompt", 1, fv.PREVIEW_CHARS).alias("short"))
-    return short.join(scores, "prompt_id").select(
-        "prompt_id", sz.replace_harmful(F.col("short"), F.col("lexicon_score")).alias("result")
+    return prompts.join(scores, "prompt_id").select(
+        "prompt_id", sz.replace_harmful(F.col("prompt"), F.col("lexicon_score")).alias("result")
     )
 
 

@@ -64,63 +64,73 @@ WRAP_PREFIXES = (
 
 # -- label vocabularies of the training sources ------------------------------
 LABEL_CODES = {
-    "harmful": 1, "safe": 0,
-    "jailbreak": 1, "benign": 0,
-    "malicious": 1,
+    "synthetic": {"harmful": 1, "safe": 0},
+    "benchmark": {"jailbreak": 1, "benign": 0},
+    "evasion": {"malicious": 1, "benign": 0},
 }
 EXAMPLE_SUFFIX = r"\.\s*Example\s+\d+\.$"
 
 # -- sanitiser texts ---------------------------------------------------------
 SANITIZER_MAX_WORDS = 50
-SANITIZER_TOPIC_TEXT = "Request for information about general safety"
 SANITIZER_GENERIC_TEXT = "Request for general information"
 SANITIZER_FAILURE_TEXT = "[Sanitization failed - prompt blocked for safety]"
 
-# -- default lexicon: category, then "term weight" separated by commas -------
+# -- default lexicon: term, weight, category -----------------------------------
 # Used only to detect and filter such content.
-LEXICON_TEXT = """
-violence: kill 1.0, murder 1.0, assassinate 1.0, slaughter 1.0,
-  massacre 1.0, execute 0.8, decapitate 1.0, behead 1.0,
-  maim 1.0, torture 1.0, strangle 1.0, suffocate 1.0,
-  poison 0.9, annihilate 0.8, exterminate 0.9, lynch 1.0,
-  genocide 1.0, shoot 0.7, stab 0.9, slash 0.7,
-  disembowel 1.0, dismember 1.0, rape 1.0, assault 0.8
-weapons: weapon 0.8, gun 0.8, knife 0.7, blade 0.6, bomb 1.0,
-  explosive 0.9, detonate 0.9, blast 0.8,
-  glock 0.8, ar15 0.8, ak47 0.8, silencer 0.8, suppressor 0.7,
-  ammo 0.6, ammunition 0.6, caliber 0.5,
-  c4 1.0, semtex 1.0, dynamite 0.9, tnt 0.8, ied 1.0,
-  pipebomb 1.0, molotov 1.0, napalm 1.0, shrapnel 0.8,
-  fertilizer 0.3, ammonium 0.4, nitrate 0.4,
-  timer 0.3, fuse 0.4, detonator 0.9,
-  anthrax 1.0, ricin 1.0, sarin 1.0, cyanide 1.0,
-  arsenic 0.9, mustard gas 1.0, nerve agent 1.0, pathogen 0.6
-self_harm: suicide 1.0, overdose 0.9, self-harm 1.0, cutting 0.6,
-  hang 0.6, noose 0.9, jump 0.4, bleach 0.5, end it 0.5,
-  worthless 0.4, hopeless 0.4, anorexia 0.8, bulimia 0.8
-hacking: hack 0.8, crack 0.7, exploit 0.8, bypass 0.6,
-  breach 0.7, infiltrate 0.7, spoof 0.7, sniff 0.6,
-  decrypt 0.6, bruteforce 0.9, phish 0.9,
-  keylogger 1.0, ransomware 1.0, malware 0.9, spyware 0.9,
-  rootkit 1.0, trojan 0.8, worm 0.7, virus 0.6,
-  botnet 1.0, ddos 1.0, rat 0.5,
-  metasploit 0.9, wireshark 0.5, nmap 0.5, kali 0.5,
-  reverse shell 1.0, shellcode 0.9, payload 0.6,
-  sql injection 1.0, sqli 1.0, xss 0.9, csrf 0.9,
-  rce 1.0, buffer overflow 0.9, zero-day 0.8
-illicit: cocaine 0.9, heroin 1.0, meth 1.0, fentanyl 1.0,
-  lsd 0.8, mdma 0.8, ecstasy 0.8, dealer 0.7,
-  trafficking 1.0, smuggle 0.9, cartel 0.8,
-  credit card 0.4, cc 0.3, dump 0.5, fullz 0.9,
-  darkweb 0.8, tor 0.6, onion 0.6, fake id 1.0,
-  counterfeit 0.9, money laundering 1.0, ponzi 0.9
-hate: nigger 1.0, nigga 0.9, fag 1.0, faggot 1.0,
-  retard 0.9, spic 1.0, kike 1.0, chink 1.0,
-  tranny 1.0, shemale 0.9, dyke 1.0, cunt 0.9,
-  whore 0.8, slut 0.8, bitch 0.7, mongoloid 0.9,
-  gook 1.0, raghead 1.0, wetback 1.0, negro 0.9
-manipulation: unfiltered 0.8, uncensored 0.8, jailbreak 1.0,
-  dan 0.4, gpt 0.2, developer mode 0.8, god mode 0.8,
-  override 0.7, ignore rules 0.9, ignore constraints 0.9,
-  do anything now 0.9, always answer 0.7, roleplay 0.3
-"""
+LEXICON = (
+    ("kill", 1.0, "violence"), ("murder", 1.0, "violence"), ("assassinate", 1.0, "violence"),
+    ("slaughter", 1.0, "violence"), ("massacre", 1.0, "violence"), ("execute", 0.8, "violence"),
+    ("decapitate", 1.0, "violence"), ("behead", 1.0, "violence"), ("maim", 1.0, "violence"),
+    ("torture", 1.0, "violence"), ("strangle", 1.0, "violence"), ("suffocate", 1.0, "violence"),
+    ("poison", 0.9, "violence"), ("annihilate", 0.8, "violence"), ("exterminate", 0.9, "violence"),
+    ("lynch", 1.0, "violence"), ("genocide", 1.0, "violence"), ("shoot", 0.7, "violence"),
+    ("stab", 0.9, "violence"), ("slash", 0.7, "violence"), ("disembowel", 1.0, "violence"),
+    ("dismember", 1.0, "violence"), ("rape", 1.0, "violence"), ("assault", 0.8, "violence"),
+    ("weapon", 0.8, "weapons"), ("gun", 0.8, "weapons"), ("knife", 0.7, "weapons"), ("blade", 0.6, "weapons"),
+    ("bomb", 1.0, "weapons"), ("explosive", 0.9, "weapons"), ("detonate", 0.9, "weapons"),
+    ("blast", 0.8, "weapons"), ("glock", 0.8, "weapons"), ("ar15", 0.8, "weapons"), ("ak47", 0.8, "weapons"),
+    ("silencer", 0.8, "weapons"), ("suppressor", 0.7, "weapons"), ("ammo", 0.6, "weapons"),
+    ("ammunition", 0.6, "weapons"), ("caliber", 0.5, "weapons"), ("c4", 1.0, "weapons"),
+    ("semtex", 1.0, "weapons"), ("dynamite", 0.9, "weapons"), ("tnt", 0.8, "weapons"), ("ied", 1.0, "weapons"),
+    ("pipebomb", 1.0, "weapons"), ("molotov", 1.0, "weapons"), ("napalm", 1.0, "weapons"),
+    ("shrapnel", 0.8, "weapons"), ("fertilizer", 0.3, "weapons"), ("ammonium", 0.4, "weapons"),
+    ("nitrate", 0.4, "weapons"), ("timer", 0.3, "weapons"), ("fuse", 0.4, "weapons"),
+    ("detonator", 0.9, "weapons"), ("anthrax", 1.0, "weapons"), ("ricin", 1.0, "weapons"),
+    ("sarin", 1.0, "weapons"), ("cyanide", 1.0, "weapons"), ("arsenic", 0.9, "weapons"),
+    ("mustard gas", 1.0, "weapons"), ("nerve agent", 1.0, "weapons"), ("pathogen", 0.6, "weapons"),
+    ("suicide", 1.0, "self_harm"), ("overdose", 0.9, "self_harm"), ("self-harm", 1.0, "self_harm"),
+    ("cutting", 0.6, "self_harm"), ("hang", 0.6, "self_harm"), ("noose", 0.9, "self_harm"),
+    ("jump", 0.4, "self_harm"), ("bleach", 0.5, "self_harm"), ("end it", 0.5, "self_harm"),
+    ("worthless", 0.4, "self_harm"), ("hopeless", 0.4, "self_harm"), ("anorexia", 0.8, "self_harm"),
+    ("bulimia", 0.8, "self_harm"),
+    ("hack", 0.8, "hacking"), ("crack", 0.7, "hacking"), ("exploit", 0.8, "hacking"),
+    ("bypass", 0.6, "hacking"), ("breach", 0.7, "hacking"), ("infiltrate", 0.7, "hacking"),
+    ("spoof", 0.7, "hacking"), ("sniff", 0.6, "hacking"), ("decrypt", 0.6, "hacking"),
+    ("bruteforce", 0.9, "hacking"), ("phish", 0.9, "hacking"), ("keylogger", 1.0, "hacking"),
+    ("ransomware", 1.0, "hacking"), ("malware", 0.9, "hacking"), ("spyware", 0.9, "hacking"),
+    ("rootkit", 1.0, "hacking"), ("trojan", 0.8, "hacking"), ("worm", 0.7, "hacking"),
+    ("virus", 0.6, "hacking"), ("botnet", 1.0, "hacking"), ("ddos", 1.0, "hacking"), ("rat", 0.5, "hacking"),
+    ("metasploit", 0.9, "hacking"), ("wireshark", 0.5, "hacking"), ("nmap", 0.5, "hacking"),
+    ("kali", 0.5, "hacking"), ("reverse shell", 1.0, "hacking"), ("shellcode", 0.9, "hacking"),
+    ("payload", 0.6, "hacking"), ("sql injection", 1.0, "hacking"), ("sqli", 1.0, "hacking"),
+    ("xss", 0.9, "hacking"), ("csrf", 0.9, "hacking"), ("rce", 1.0, "hacking"),
+    ("buffer overflow", 0.9, "hacking"), ("zero-day", 0.8, "hacking"),
+    ("cocaine", 0.9, "illicit"), ("heroin", 1.0, "illicit"), ("meth", 1.0, "illicit"),
+    ("fentanyl", 1.0, "illicit"), ("lsd", 0.8, "illicit"), ("mdma", 0.8, "illicit"),
+    ("ecstasy", 0.8, "illicit"), ("dealer", 0.7, "illicit"), ("trafficking", 1.0, "illicit"),
+    ("smuggle", 0.9, "illicit"), ("cartel", 0.8, "illicit"), ("credit card", 0.4, "illicit"),
+    ("cc", 0.3, "illicit"), ("dump", 0.5, "illicit"), ("fullz", 0.9, "illicit"), ("darkweb", 0.8, "illicit"),
+    ("tor", 0.6, "illicit"), ("onion", 0.6, "illicit"), ("fake id", 1.0, "illicit"),
+    ("counterfeit", 0.9, "illicit"), ("money laundering", 1.0, "illicit"), ("ponzi", 0.9, "illicit"),
+    ("nigger", 1.0, "hate"), ("nigga", 0.9, "hate"), ("fag", 1.0, "hate"), ("faggot", 1.0, "hate"),
+    ("retard", 0.9, "hate"), ("spic", 1.0, "hate"), ("kike", 1.0, "hate"), ("chink", 1.0, "hate"),
+    ("tranny", 1.0, "hate"), ("shemale", 0.9, "hate"), ("dyke", 1.0, "hate"), ("cunt", 0.9, "hate"),
+    ("whore", 0.8, "hate"), ("slut", 0.8, "hate"), ("bitch", 0.7, "hate"), ("mongoloid", 0.9, "hate"),
+    ("gook", 1.0, "hate"), ("raghead", 1.0, "hate"), ("wetback", 1.0, "hate"), ("negro", 0.9, "hate"),
+    ("unfiltered", 0.8, "manipulation"), ("uncensored", 0.8, "manipulation"),
+    ("jailbreak", 1.0, "manipulation"), ("dan", 0.4, "manipulation"), ("gpt", 0.2, "manipulation"),
+    ("developer mode", 0.8, "manipulation"), ("god mode", 0.8, "manipulation"),
+    ("override", 0.7, "manipulation"), ("ignore rules", 0.9, "manipulation"),
+    ("ignore constraints", 0.9, "manipulation"), ("do anything now", 0.9, "manipulation"),
+    ("always answer", 0.7, "manipulation"), ("roleplay", 0.3, "manipulation"),
+)

@@ -6,6 +6,7 @@ have ``token_weights(tokens)``, which adds a weight to rows with a word, for att
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -14,20 +15,32 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from sluicegate import fixed_values as fv
 from sluicegate.functions import text as tx
+from sluicegate.functions.portable import portable
 from sluicegate.operators.joins import dimension_join
 
-LABEL_NAMES = {0: "benign", 1: "malicious"}
+LABEL_NAMES = {0: "benign", 1: "jailbreak/malicious"}
 WORD_BREAKS = r"[^\p{L}\p{N}]+"
+# Up to so many coefficients a linear model is part of the plan; beyond, it is broadcast.
+PLAN_WORDS = 2000
 
 
-def model_words(text: Column, limit: int = fv.MODEL_TOKENS) -> Column:
-    """The words a classifier sees: its input length is part of the model's definition."""
-    # At most one piece is empty, the first; the last of limit + 2 pieces is the unsplit rest.
-    pieces = F.slice(F.split(F.lower(text), WORD_BREAKS, limit + 2), 1, limit + 1)
-    return F.slice(F.array_remove(pieces, ""), 1, limit)
+def model_words(text: Column) -> Column:
+    """All words of a text, as a classifier sees them."""
+    return F.array_remove(F.split(F.lower(text), WORD_BREAKS), "")
+
+
+def model_windows(words: Column, size: int = fv.MODEL_TOKENS) -> Column:
+    """A classifier's inputs: consecutive windows of its input length, one empty window without words.
+
+    A text's risk is that of its riskiest window, so nothing hides behind filler.
+    """
+    last = F.greatest(F.ceil(F.size(words) / size).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(words, k * size + 1, size))
 
 
 # -- results ----------------------------------------------------------------
@@ -66,35 +79,63 @@ def prediction_of_risk(risk: Column) -> Column:
 
 
 class LinearScorer:
-    """Logistic score with given word coefficients, as a plain expression in the row.
+    """Logistic score with given word coefficients, computed in the row.
 
-    The coefficients are part of the plan, so they must be few; a model with many words is a
-    fitted pipeline and belongs to ``ModelScorer``.
+    ``risk`` is the score as an expression, for up to ``PLAN_WORDS`` coefficients. More of them are
+    broadcast once and looked up by Arrow batch.
     """
 
-    MOST_WORDS = 2000
-
     def __init__(self, coefficients: dict[str, float], intercept: float):
-        if len(coefficients) > self.MOST_WORDS:
-            raise ValueError(f"more than {self.MOST_WORDS} coefficients: use a fitted model")
         self.coefficients, self.intercept = coefficients, intercept
 
+    @property
+    def in_row(self) -> bool:
+        return len(self.coefficients) <= PLAN_WORDS
+
+    def _logistic(self, margin: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-(margin + self.intercept)))
+
     def risk(self, text: Column) -> Column:
         table = F.create_map(*[F.lit(x) for pair in self.coefficients.items() for x in pair])
         known = F.array(*map(F.lit, self.coefficients))
-        counted = F.filter(model_words(text), lambda word: F.array_contains(known, word))
-        # Exact sums, whatever the order of the words.
-        total = F.aggregate(
-            counted,
-            F.lit(0).cast("decimal(20,6)"),
-            lambda sum_, word: (sum_ + F.try_element_at(table, word).cast("decimal(18,6)")).cast(
-                "decimal(20,6)"
-            ),
-        ).cast("double")
-        return 1.0 / (1.0 + F.exp(-(total + self.intercept)))
+
+        def margin(window: Column) -> Column:
+            # Exact sums, whatever the order of the words.
+            return F.aggregate(
+                F.filter(window, lambda word: F.array_contains(known, word)),
+                F.lit(0).cast("decimal(20,6)"),
+                lambda sum_, word: (sum_ + F.try_element_at(table, word).cast("decimal(18,6)")).cast(
+                    "decimal(20,6)"
+                ),
+            )
+
+        margins = tx.let(model_words(text), lambda words: F.transform(model_windows(words), margin))
+        return self._logistic(F.array_max(margins).cast("double"))
 
     def __call__(self, frame: DataFrame, text: str) -> DataFrame:
-        return frame.withColumn("risk", self.risk(F.col(text)))
+        if self.in_row:
+            return frame.withColumn("risk", self.risk(F.col(text)))
+        millionths = {word: round(weight * 1e6) for word, weight in self.coefficients.items()}
+        shared = frame.sparkSession.sparkContext.broadcast(millionths)
+
+        @arrow_udf(T.DoubleType())
+        @portable
+        def largest_margin(texts: pa.Array) -> pa.Array:
+            known = shared.value.get
+            sums = [
+                None if windows is None else max(sum(known(word, 0) for word in window) for window in windows) / 1e6
+                for windows in texts.to_pylist()
+            ]
+            return pa.array(sums, pa.float64())
+
+        windows = tx.let(model_words(F.col(text)), lambda words: model_windows(words))
+        # Named twice, the windows stay a column of their own below the Python call.
+        whole = F.when(F.size("windows_") >= 0, F.col("windows_"))
+        return (
+            frame.withColumn("windows_", windows)
+            .withColumn("risk", self._logistic(largest_margin(whole)))
+            .drop("windows_")
+        )
 
     def token_weights(self, tokens: DataFrame) -> DataFrame:
         table = tokens.sparkSession.createDataFrame(
@@ -109,12 +150,24 @@ class ModelScorer:
     def __init__(self, model: PipelineModel):
         self.model = model
 
-    def __call__(self, frame: DataFrame, text: str) -> DataFrame:
-        scored = self.model.transform(frame.withColumn("words", model_words(F.col(text))))
+    in_row = False
+
+    def _scored(self, frame: DataFrame) -> DataFrame:
+        scored = self.model.transform(frame)
         return scored.withColumn("risk", F.get(vector_to_array("probability"), F.lit(1))).drop(
             "words", "counts", "features", "rawPrediction", "probability", "prediction"
         )
 
+    def __call__(self, frame: DataFrame, text: str) -> DataFrame:
+        """Texts of one window are scored in their row; of longer ones, every window, by content."""
+        words = frame.withColumn("words", model_words(F.col(text)))
+        long = F.coalesce(F.size("words") > fv.MODEL_TOKENS, F.lit(False))
+        keyed = words.filter(long).withColumn("text_key", F.sha2(F.col(text).cast("binary"), 256))
+        windows = keyed.select("text_key", F.explode_outer(model_windows(F.col("words"))).alias("words"))
+        worst = self._scored(windows).groupBy("text_key").agg(F.max("risk").alias("risk"))
+        joined = keyed.drop("words").join(worst, "text_key").drop("text_key")
+        return self._scored(words.filter(~long)).unionByName(joined)
+
     def token_weights(self, tokens: DataFrame) -> DataFrame:
         """A word's weight is what it adds to the margin of an otherwise empty text."""
         scored = self.model.transform(tokens.withColumn("words", F.array("word")))
@@ -137,8 +190,8 @@ def attributions(
 ) -> DataFrame:
     """prompt_id, features array(word, impact): words that drove a verdict, in text order.
 
-    A word's impact is its share of the text's contribution vector, scaled to length one. Give
-    only the dangerous prompts; a group is one prompt's distinct words, at most the model's input.
+    A word's impact is its share of the whole text's contribution vector, scaled to length one. Give
+    only the dangerous prompts; a group is one prompt's distinct words.
     """
     words = prompts.select(
         "prompt_id", F.posexplode_outer(model_words(F.col(text))).alias("pos", "word")
@@ -209,7 +262,7 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def training_rows(rows: DataFrame) -> DataFrame:
-    """label, words, class_weight from rows with text and label."""
+    """label, words (of the whole text), class_weight from rows with text and label."""
     weights = class_weights(rows).select("label", F.col("weight").alias("class_weight"))
     return dimension_join(
         rows.select("label", model_words(F.col("text")).alias("words")), weights, "label", "inner"

@@ -24,13 +24,7 @@ LEXICON_SCHEMA = "term string, weight double, category string"
 
 
 def lexicon_rows() -> list[tuple[str, float, str]]:
-    rows = []
-    for line in fv.LEXICON_TEXT.strip().replace("\n  ", " ").splitlines():
-        category, entries = line.split(":", 1)
-        for entry in entries.split(","):
-            term, weight = entry.strip().rsplit(" ", 1)
-            rows.append((term, float(weight), category))
-    return rows
+    return list(fv.LEXICON)
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:

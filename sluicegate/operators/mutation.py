@@ -209,17 +209,19 @@ def add_variants(
     count: int = fv.MUTATION_COUNT,
     floor: float = fv.SIMILARITY_FLOOR,
     seed: int = 42,
+    draw_key: str = "prompt_id",
 ) -> DataFrame:
     """Add variants: the prompt itself, then up to ``count`` distinct variants of it.
 
     Fifteen turns each draw one of five slots. Wrapping and intent stripping are always
     admitted, synonyms and typos only from a similarity of ``floor``. A typo's similarity is
     known in closed form; a synonym swap's lies between two bounds, and only where they do not
-    decide is the exact value computed.
+    decide is the exact value computed. Draws depend on the column ``draw_key``; a null counts as ''.
     """
     prompt, start, turns = F.col("prompt"), F.col("start_"), fv.MUTATION_DRAWS
     slot_names = F.array(*map(F.lit, fv.MUTATION_SLOTS))
-    frame = _with_choices(prompts.withColumn("start_", seed_of(F.col("prompt_id"), seed)), synonyms)
+    drawn_by = F.coalesce(F.col(draw_key).cast("string"), F.lit(""))
+    frame = _with_choices(prompts.withColumn("start_", seed_of(drawn_by, seed)), synonyms)
     # Gaps between words that hold a blank, which the re-joined text has too.
     blank_gaps = F.regexp_count(tx.strip(prompt), F.lit(f"{tx.SPACE}* {tx.SPACE}*"))
     frame = frame.withColumn("letters_", F.length(F.array_join("words_", ""))).withColumn(
@@ -231,9 +233,14 @@ def add_variants(
 
     def synonym_turn(turn: Column) -> Column:
         def judge(picks: Column) -> Column:
+            # Of two picks for one place the later one stands in the text.
+            places = F.reverse(F.transform(picks, lambda pick: pick["place"]))
+            standing = F.filter(
+                picks, lambda pick, k: F.array_position(places, pick["place"]) == F.size(picks) - k
+            )
             # Unchanged words and blanks stand in both texts, in order; lengths bound the rest.
-            removed = _letters(picks, lambda pick: pick["letters"])
-            added = _letters(picks, lambda pick: F.length(pick["text"]))
+            removed = _letters(standing, lambda pick: pick["letters"])
+            added = _letters(standing, lambda pick: F.length(pick["text"]))
             length = F.col("letters_") - removed + added + F.size("words_") - 1
             total = F.length(prompt) + length
             least = 200.0 * (F.col("letters_") - removed + F.col("gaps_")) / total
@@ -336,10 +343,16 @@ def consensus(
     )
 
 
-def risk_counts(rows: DataFrame, key: str, risk: str = "risk") -> DataFrame:
-    """key, risk, n: equal risks of a key collapse before the shuffle, so a key with very many rows
-    stays small: at the four decimals of a report it has at most 10,001 different risks."""
-    return rows.groupBy(key, F.round(risk, 4).alias("risk")).agg(F.count("*").alias("n"))
+def risk_counts(
+    rows: DataFrame, key: str, risk: str = "risk", decimals: int | None = None
+) -> DataFrame:
+    """key, risk, n: equal risks of a key collapse before the shuffle.
+
+    Risks count as they are. Rounded to ``decimals`` on demand, a key with very many rows stays small:
+    at four decimals it has at most 10,001 different risks.
+    """
+    value = F.col(risk) if decimals is None else F.round(risk, decimals)
+    return rows.groupBy(key, value.alias("risk")).agg(F.count("*").alias("n"))
 
 
 def counted_consensus(

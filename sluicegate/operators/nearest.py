@@ -25,6 +25,8 @@ from sluicegate.session import stored
 
 MATRIX_BYTES = 64 * 1024 * 1024
 BLOCK_SIGNATURES = 8192
+# Distances in memory at a time: 16 MB, and as much again to round them.
+PAIRS_PER_STEP = 1 << 21
 BLOCK_QUERIES = 20_000
 FOUND = T.StructType(
     [T.StructField("sig_id", T.StringType()), T.StructField("distance", T.DoubleType())]
@@ -33,10 +35,18 @@ FOUND = T.StructType(
 
 @portable
 def _best(matrix: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position and distance of each row's nearest signature; the first one on ties."""
-    distances = np.round(1.0 - matrix @ signatures.T, 12)
-    at = distances.argmin(axis=1)
-    return at, distances[np.arange(len(matrix)), at]
+    """Position and distance of each row's nearest signature; the first one on ties.
+
+    A step compares at most PAIRS_PER_STEP pairs, or one row with all signatures.
+    """
+    at, nearest = np.zeros(len(matrix), dtype=np.int64), np.zeros(len(matrix))
+    rows = max(1, PAIRS_PER_STEP // max(1, len(signatures)))
+    for start in range(0, len(matrix), rows):
+        distances = np.round(1.0 - matrix[start : start + rows] @ signatures.T, 12)
+        best = distances.argmin(axis=1)
+        at[start : start + rows] = best
+        nearest[start : start + rows] = distances[np.arange(len(best)), best]
+    return at, nearest
 
 
 def matrix_fits(signatures: DataFrame, dimensions: int) -> bool:
@@ -170,6 +180,17 @@ def _with_nearest_blocked(
     )
 
 
+def encode_signatures(
+    signatures: DataFrame, encoder: em.WordBuckets | em.BatchEncoder | None = None
+) -> DataFrame:
+    """sig_id, features: as they are if they have been encoded, else from the texts."""
+    if "features" in signatures.columns:
+        return signatures.select("sig_id", "features")
+    texts = signatures.select("sig_id", F.array("text").alias("texts_"))
+    coded = (encoder or em.WordBuckets()).encode(texts, "texts_", "coded_")
+    return coded.select("sig_id", F.get("coded_", F.lit(0)).alias("features"))
+
+
 def add_similarity(
     prompts: DataFrame,
     signatures: DataFrame,
@@ -180,14 +201,11 @@ def add_similarity(
 ) -> DataFrame:
     """Add similarity_score and similarity_details: the whole prompt, then its sentences in order.
 
-    ``signatures``: sig_id, text. A sentence counts below its own limit; the score is one minus
-    the least distance that counted, 0 if none did.
+    ``signatures``: sig_id, text, or sig_id, features of a stored index. A sentence counts below its
+    own limit; the score is one minus the least distance that counted, 0 if none did.
     """
     encoder = encoder or em.WordBuckets()
-    texts = signatures.select("sig_id", F.array("text").alias("texts_"))
-    known = encoder.encode(texts, "texts_", "coded_").select(
-        "sig_id", F.get("coded_", F.lit(0)).alias("features")
-    )
+    known = encode_signatures(signatures, encoder)
     queried = prompts.withColumn("sentences_", tx.sentence_chunks(F.col("prompt"))).withColumn(
         "pieces_", F.concat(F.array("prompt"), "sentences_")
     )

@@ -49,6 +49,8 @@ FILTER_ATTACK = (
     r"(system prompt|safety filter|system instruction|these rules|your (rules|instructions|filter))"
 )
 HARM_LIMIT = 0.8
+# What a request that the lexicon rates harmful is replaced by.
+TOPIC_TEXT = "Request for information about general safety"
 PUNCTUATION = string.punctuation + "‘’“”«»…–—"
 # Every match of a group of rules holds one of its needles, in lower case. Looking for them is
 # far cheaper than trying the patterns, and most texts hold none.
@@ -131,7 +133,7 @@ def replace_attack(text: Column) -> Column:
 
 
 def replace_harmful(text: Column, harm: Column, limit: float = HARM_LIMIT) -> Column:
-    return F.when(harm >= limit, F.lit(fv.SANITIZER_TOPIC_TEXT)).otherwise(text)
+    return F.when(harm >= limit, F.lit(TOPIC_TEXT)).otherwise(text)
 
 
 def rewrite(text: Column, profanity: list[str]) -> Column:
@@ -149,7 +151,7 @@ def sanitize(text: Column, profanity: list[str], harm: Column | None = None) ->
     else keeps its cleaned core; what cannot be rewritten becomes the failure text."""
     result = F.when(attacks_filter(text), F.lit(fv.SANITIZER_GENERIC_TEXT))
     if harm is not None:
-        result = result.when(harm >= HARM_LIMIT, F.lit(fv.SANITIZER_TOPIC_TEXT))
+        result = result.when(harm >= HARM_LIMIT, F.lit(TOPIC_TEXT))
     return F.coalesce(
         result.otherwise(rewrite(text, profanity)), F.lit(fv.SANITIZER_FAILURE_TEXT)
     )

@@ -12,40 +12,43 @@ from sluicegate.operators.ranking import dense_ids
 from sluicegate.sources import files
 
 
-def encode_label(label: Column) -> Column:
-    """Label word to 0 or 1; a word outside the vocabulary is an error."""
-    codes = F.create_map(*[F.lit(x) for pair in fv.LABEL_CODES.items() for x in pair])
+def encode_label(label: Column, vocabulary: str) -> Column:
+    """Label word to 0 or 1; a word outside the vocabulary of its source is an error."""
+    codes = F.create_map(*[F.lit(x) for pair in fv.LABEL_CODES[vocabulary].items() for x in pair])
     code = F.try_element_at(codes, label)
     return F.when(
         code.isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(label, F.lit("null"))))
     ).otherwise(code)
 
 
-def split_labels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a known label word, encoded, and the rest untouched: the quarantine branch."""
-    known = F.col("label").isin(*fv.LABEL_CODES)
+def split_labels(rows: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a label word of the vocabulary, encoded, and the rest untouched: the quarantine branch."""
+    known = F.col("label").isin(*fv.LABEL_CODES[vocabulary])
     return (
-        rows.filter(known).withColumn("label", encode_label(F.col("label"))),
+        rows.filter(known).withColumn("label", encode_label(F.col("label"), vocabulary)),
         rows.filter(~known | F.col("label").isNull()),
     )
 
 
+def _valid_label(label: str) -> Column:
+    """Whether a label is the number 0 or 1; 0.7 is not, and neither is null."""
+    return F.coalesce(F.expr(f"try_cast({label} as double)").isin(0.0, 1.0), F.lit(False))
+
+
 def label_violations(rows: DataFrame, label: str = "label") -> DataFrame:
     """value, n: labels that are not the integers 0 or 1."""
-    number = F.expr(f"try_cast({label} as int)")
     return (
-        rows.filter(number.isNull() | ~number.isin(0, 1))
+        rows.filter(~_valid_label(label))
         .groupBy(F.col(label).cast("string").alias("value"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def checked_labels(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Rows with an integer label; any label outside 0 and 1 is an error."""
-    number = F.expr(f"try_cast({label} as int)")
+    """Rows with an integer label; any label outside 0 and 1, or without a value, is an error."""
     return rows.withColumn(
         label,
-        F.when(number.isin(0, 1), number).otherwise(
+        F.when(_valid_label(label), F.expr(f"try_cast({label} as double)").cast("int")).otherwise(
             F.raise_error(
                 F.concat(F.lit("label outside 0, 1: "), F.coalesce(F.col(label).cast("string"), F.lit("null")))
             )
@@ -54,20 +57,20 @@ def checked_labels(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def drop_embedded_headers(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Drop header rows repeated by appends."""
-    return rows.filter(F.col(label) != label)
+    """Drop header rows repeated by appends; rows without a label stay."""
+    return rows.filter(~F.col(label).cast("string").eqNullSafe(F.lit(label)))
 
 
 def synthetic_part(spark: SparkSession, path: str) -> DataFrame:
     raw = files.read_csv(spark, path, "prompt_clean string, label string, topic string")
     return raw.withColumnsRenamed({"prompt_clean": "text"}).select(
-        tx.clean_suffix(F.col("text")).alias("text"), encode_label(F.col("label")).alias("label")
+        tx.clean_suffix(F.col("text")).alias("text"), encode_label(F.col("label"), "synthetic").alias("label")
     )
 
 
 def benchmark_part(spark: SparkSession, path: str) -> DataFrame:
     raw = files.read_csv(spark, path, "text string, label string")
-    return raw.select("text", encode_label(F.col("label")).alias("label"))
+    return raw.select("text", encode_label(F.col("label"), "benchmark").alias("label"))
 
 
 def cleaned_part(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +81,7 @@ def cleaned_part(spark: SparkSession, path: str) -> DataFrame:
 def evasion_part(spark: SparkSession, path: str) -> DataFrame:
     raw = files.read_json_lines(spark, path, "prompt string, label string")
     return raw.withColumnsRenamed({"prompt": "text"}).select(
-        "text", encode_label(F.col("label")).alias("label")
+        "text", encode_label(F.col("label"), "evasion").alias("label")
     )
 
 

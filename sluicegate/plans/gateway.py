@@ -1,8 +1,9 @@
 """Blending of the four detectors, decisions, and the two user-level jobs.
 
-Prompt text is never shuffled. Everything that needs the text (similarity, variants and their
-scoring, previews, the rewrite of at most fifty words) is computed in the row; only scores and
-such short texts are grouped by prompt. The lexicon hits arrive grouped by the same key.
+Everything that needs the text (similarity, variants, their scoring by an expression, previews, the
+rewrite of at most fifty words) is computed in the row; only scores and such short texts meet the
+lexicon hits, by request. Texts move in two cases: a scorer that takes rows gets the variants as rows
+(which it scores before they are grouped), and a model that rewrites gets the texts of the middle band.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from sluicegate.operators.mutation import (
     default_synonyms,
     variant_rows,
 )
-from sluicegate.operators.nearest import add_similarity
-from sluicegate.operators.sanitize import HARM_LIMIT, sanitize
-from sluicegate.session import dimension
+from sluicegate.operators.nearest import add_similarity, encode_signatures
+from sluicegate.operators.sanitize import HARM_LIMIT, TOPIC_TEXT, sanitize
+from sluicegate.session import dimension, stored
 
 LAYERS = tuple(fv.LAYER_WEIGHTS)
 WEIGHTS_TYPE = "struct<" + ",".join(f"{name}:double" for name in LAYERS) + ">"
@@ -43,7 +44,8 @@ def rule_sanitizer(text: Column) -> Column:
 class Detectors:
     """What the four detectors use. Only the scorer and the signatures have no default.
 
-    scorer: adds a risk to rows with a text. signatures: sig_id, text. lexicon: term, weight.
+    scorer: adds a risk to rows with a text. signatures: sig_id, text, or sig_id, features of a stored
+    index. lexicon: term, weight.
     lemmas: form, lemma. synonyms: word, synset_id, lemma.
     """
 
@@ -68,10 +70,13 @@ class Detectors:
         )
 
     def loaded(self) -> Detectors:
-        """The same with small tables read once, for jobs that use them again and again."""
+        """The same for jobs that use it again and again: signatures are encoded and stored once, and
+        small tables read once."""
         used = self.completed()
-        tables = ("signatures", "lexicon", "lemmas", "synonyms")
-        return replace(used, **{name: localized(getattr(used, name)) for name in tables})
+        encoder = used.similarity_options.get("encoder")
+        encoded = stored(encode_signatures(used.signatures, encoder), "encoded-signatures")
+        tables = {name: localized(getattr(used, name)) for name in ("lexicon", "lemmas", "synonyms")}
+        return replace(used, signatures=localized(encoded), **tables)
 
 
 # -- blending and decisions -------------------------------------------------
@@ -150,51 +155,86 @@ def validate(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prompts.filter(good), prompts.filter(~good)
 
 
+def rejected(prompts: DataFrame) -> DataFrame:
+    """The prompts that are not scored, with the reason."""
+    return validate(prompts)[1].withColumn("reason", F.lit("a prompt needs at least one character"))
+
+
+def requests(prompts: DataFrame) -> DataFrame:
+    """request, prompt_id, prompt, weights of the valid prompts.
+
+    ``request`` is a hash of all that a request holds. Two texts under one id are two requests, a
+    null id is an id like others, and only equal requests, whose results are equal, share the key.
+    """
+    valid, _ = validate(prompts)
+    given = [F.col("weights")] if "weights" in prompts.columns else []
+    content = F.to_json(F.struct("prompt_id", "prompt", *given))
+    return valid.select(
+        F.sha2(content.cast("binary"), 256).alias("request"),
+        "prompt_id",
+        "prompt",
+        effective_weights(given[0] if given else None).alias("weights"),
+    )
+
+
+def _grouped_risks(varied: DataFrame, detectors: Detectors) -> DataFrame:
+    """request, slim, risks by a scorer that takes rows: a row per request, as often as it came."""
+    # The original alone carries the slim columns; it is always the first variant.
+    rows = variant_rows(varied, "slim").withColumn("slim", F.when(F.col("pos") == 0, F.col("slim")))
+    most = detectors.mutation_options.get("count", fv.MUTATION_COUNT)
+    at = [F.max(F.when(F.col("pos") == i, F.col("risk"))) for i in range(most + 1)]
+    return (
+        detectors.scorer(rows, "text")
+        .groupBy("prompt_id")
+        .agg(
+            F.first("slim", ignorenulls=True).alias("slim"),
+            F.array_compact(F.array(*at)).alias("risks"),
+            F.count(F.when(F.col("pos") == 0, 1)).cast("int").alias("copies"),
+        )
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .drop("copy", "copies")
+    )
+
+
 def score_prompts(
     prompts: DataFrame, detectors: Detectors, sanitizer: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """prompt_id, prompt_preview, weights, layers, rewritten: the slim result of all detectors."""
+    """request, prompt_id, prompt_preview, rewritten, layer_scores: the slim result of all detectors.
+
+    A scorer with ``in_row`` set scores the variants where they are; another one gets them as rows,
+    and their risks are put together by request. Lexicon hits come by request in both cases.
+    """
     used = detectors.completed()
-    valid, _ = validate(prompts)
-    weights = effective_weights(F.col("weights") if "weights" in prompts.columns else None)
     text = F.col("prompt")
-    looked_up = add_similarity(
-        valid.select("prompt_id", "prompt", weights.alias("weights")),
-        used.signatures,
-        **used.similarity_options,
-    ).drop("similarity_details")
-    varied = add_variants(looked_up, used.synonyms, **used.mutation_options)
+    keyed = requests(prompts)
+    # The operators below group and draw by prompt_id; here that is the request.
+    frame = keyed.select(F.col("request").alias("prompt_id"), F.col("prompt_id").alias("given_id"), "prompt", "weights")
+    looked_up = add_similarity(frame, used.signatures, **used.similarity_options).drop("similarity_details")
+    varied = add_variants(looked_up, used.synonyms, **used.mutation_options, draw_key="given_id")
     slim = F.struct(
+        "given_id",
         tx.preview(text).alias("prompt_preview"),
         "weights",
         "similarity_score",
         tx.word_count(text).alias("n_words"),
         (sanitizer(text) if sanitizer else F.lit(None).cast("string")).alias("rewritten"),
     )
-    rows = (
-        variant_rows(varied.withColumn("slim", slim), "slim")
-        # The original alone carries the slim columns; it is always the first variant.
-        .withColumn("slim", F.when(F.col("pos") == 0, F.col("slim")))
-    )
-    grouped = (
-        used.scorer(rows, "text")
-        .groupBy("prompt_id")
-        .agg(
-            F.first("slim", ignorenulls=True).alias("slim"),
-            F.collect_list("risk").alias("risks"),
-            F.max(F.when(F.col("pos") == 0, F.col("risk"))).alias("risk"),
-        )
-    )
-    hits = lx.lexicon_hits(lx.lexicon_matches(valid, used.lexicon, used.lemmas))
-    joined = grouped.join(hits, "prompt_id", "left")
+    varied = varied.withColumn("slim", slim)
+    if getattr(used.scorer, "in_row", False):
+        scored = varied.select("prompt_id", "slim", F.transform("variants", used.scorer.risk).alias("risks"))
+    else:
+        scored = _grouped_risks(varied, used)
+    hits = lx.lexicon_hits(lx.lexicon_matches(frame.select("prompt_id", "prompt"), used.lexicon, used.lemmas))
+    joined = scored.join(hits, "prompt_id", "left")
     scores = {
         "regex_analyzer": F.coalesce("lexicon_score", F.lit(0.0)),
-        "security_model": F.col("risk"),
+        "security_model": F.get("risks", F.lit(0)),
         "mutation_layer": consensus(F.col("risks"), F.col("slim.n_words"))["layer_score"],
         "bottleneck_extractor": F.col("slim.similarity_score"),
     }
     return joined.select(
-        "prompt_id",
+        F.col("prompt_id").alias("request"),
+        F.col("slim.given_id").alias("prompt_id"),
         "slim.prompt_preview",
         "slim.rewritten",
         layer_scores(scores, F.col("slim.weights")).alias("layer_scores"),
@@ -218,23 +258,31 @@ def gateway(
     detectors: Detectors,
     sanitizer: Callable[[Column], Column] | None = rule_sanitizer,
     block_failures: bool = False,
+    rewrite_rows: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """analyze, plus sanitized_prompt for the middle band.
+    """analyze, plus sanitized_prompt for the middle band. ``rejected`` has the prompts left out.
 
-    Without a sanitizer the middle band is blocked. A failed rewrite keeps the failure text, or
-    is blocked if ``block_failures`` is set. Prompts the lexicon rates harmful get a fixed text.
+    ``sanitizer`` is a column function, for rewriting by rules. ``rewrite_rows`` is for models: it
+    gets rows (request, prompt) of the middle band alone, each text once, and adds ``rewritten``.
+    Without either the middle band is blocked. A failed rewrite keeps the failure text, or is
+    blocked if ``block_failures`` is set. Prompts the lexicon rates harmful get a fixed text.
     """
-    scored = score_prompts(prompts, detectors, sanitizer).withColumn(
+    scored = score_prompts(prompts, detectors, None if rewrite_rows else sanitizer).withColumn(
         "sum_", weighted_sum(F.col("layer_scores"))
     )
     action = decide(F.col("sum_"))
+    if rewrite_rows:
+        scored = stored(scored.drop("rewritten"), "scored")  # decided once, before any rewriting
+        middle = scored.filter(action == "sanitize").select("request").distinct()
+        texts = requests(prompts).select("request", "prompt").join(middle, "request", "left_semi")
+        rewritten_rows = rewrite_rows(texts.dropDuplicates(["request"])).select("request", "rewritten")
+        scored = scored.join(rewritten_rows, "request", "left")
     rewritten = F.coalesce("rewritten", F.lit(fv.SANITIZER_FAILURE_TEXT))
     harm = F.get("layer_scores", F.lit(0))["score"] >= HARM_LIMIT
     rewritten = F.when(
-        harm & ~rewritten.isin(fv.SANITIZER_GENERIC_TEXT, fv.SANITIZER_FAILURE_TEXT),
-        F.lit(fv.SANITIZER_TOPIC_TEXT),
+        harm & ~rewritten.isin(fv.SANITIZER_GENERIC_TEXT, fv.SANITIZER_FAILURE_TEXT), F.lit(TOPIC_TEXT)
     ).otherwise(rewritten)
-    if sanitizer is None:
+    if sanitizer is None and rewrite_rows is None:
         blocked = action == "sanitize"
     elif block_failures:
         blocked = (action == "sanitize") & (rewritten == fv.SANITIZER_FAILURE_TEXT)

@@ -131,6 +131,34 @@ def test_admission_is_exact(spark, prompts):
                 assert 200 * table_length(row["prompt"], variant) / both >= 80
 
 
+def test_swaps_of_one_place_count_once(spark):
+    """Short prompts, many draws: two picks often fall on one place, and the later one stands."""
+    from test_lexicon import table_length
+
+    lists = {}
+    for word, number, lemma in mu.synonym_rows():
+        for other, same, _ in mu.synonym_rows():
+            if same == number and other != word:
+                lists.setdefault(word.replace("_", " "), set()).add(other.replace("_", " "))
+    texts = ["go with me now ok", "tell me this", "from that story then"]
+    rows = spark.createDataFrame([(f"{i}", t) for i in range(400) for t in texts], PROMPT)
+    options = {"count": 100, "floor": 80.0}
+    found = {}
+    for row in mu.add_variants(rows, mu.default_synonyms(spark), **options).collect():
+        found.setdefault(row["prompt"], set()).update(row["variants"])
+    for text in texts:
+        words = text.split()
+        single = {
+            " ".join([*words[:i], other, *words[i + 1 :]])
+            for i, word in enumerate(words)
+            if len(word) > 3
+            for other in lists.get(word, ())
+        }
+        admitted = {t for t in single if 200 * table_length(text, t) / (len(t) + len(text)) >= 80}
+        # Ten draws hit every place of a short prompt, so a single swap is two picks of one place.
+        assert admitted <= found[text] and (admitted or text != texts[0])
+
+
 def test_large_thesaurus_path(spark, prompts, monkeypatch):
     small = {r["prompt_id"]: r["variants"] for r in mu.add_variants(prompts, mu.default_synonyms(spark)).collect()}
     monkeypatch.setattr(mu, "SYNONYM_MAP_ROWS", 0)
@@ -182,7 +210,7 @@ def test_metrics_and_weights(spark):
 def test_prediction(spark):
     rows = spark.createDataFrame([(0.5,), (0.2,), (0.9,)], "risk double")
     found = rows.select(cl.prediction_of_risk(F.col("risk")).alias("p")).select("p.*", cl.risk_of(F.col("p")).alias("r")).collect()
-    assert [r["label"] for r in found] == ["benign", "benign", "malicious"]
+    assert [r["label"] for r in found] == ["benign", "benign", "jailbreak/malicious"]
     assert [r["r"] for r in found] == [0.5, pytest.approx(0.2), 0.9]
 
 
@@ -232,5 +260,5 @@ def test_sanitize(spark, text, expected):
 def test_sanitize_harm(spark):
     rows = spark.createDataFrame([("bake bread", 0.9), ("bake bread", 0.1)], "t string, h double")
     found = [r[0] for r in rows.select(sz.sanitize(F.col("t"), [], F.col("h"))).collect()]
-    assert found == [fv.SANITIZER_TOPIC_TEXT, "bake bread"]
+    assert found == [sz.TOPIC_TEXT, "bake bread"]
     assert not re.search("general", found[1])

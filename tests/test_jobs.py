@@ -1,5 +1,8 @@
 """Gateway, data-set, ranking and streaming jobs on small fixtures."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from sluicegate import fixed_values as fv
 from sluicegate import session
 from sluicegate.operators import classifier as cl
 from sluicegate.operators import ranking as rk
+from sluicegate.operators.sanitize import TOPIC_TEXT
 from sluicegate.plans import dataset as ds
 from sluicegate.plans import gateway as gw
 from sluicegate.sources import files
@@ -81,12 +85,81 @@ def test_bands(spark):
 
 def test_prompt_text_is_not_shuffled(spark, prompts):
     """No exchange carries the prompt column or the variants."""
-    plan = gw.gateway(prompts, detectors(spark))._jdf.queryExecution().executedPlan()
-    text = plan.toString()
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-    for part in text.split("Exchange hashpartitioning(")[1:]:
-        keys = part.split("]")[0]
-        assert "prompt#" not in keys.replace("prompt_id#", "")
+    plan = gw.gateway(prompts, detectors(spark))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    carried = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert carried
+    for columns in carried:
+        assert not {"prompt", "variants", "text"} & {column.split("#")[0].strip() for column in columns.split(",")}
+
+
+def test_requests_are_scored_alone(spark):
+    """Two texts under one id, equal requests, and ids that are missing."""
+    bad = "kill and murder everyone"
+    rows = [("x", "bake a cake"), ("x", bad), ("y", bad), ("y", bad), (None, bad), (None, "bake bread")]
+    frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+    for scorer in (detectors(spark).scorer, lambda rows, text: detectors(spark).scorer(rows, text)):
+        used = gw.Detectors(scorer=scorer, signatures=detectors(spark).signatures)
+        found = [(r["prompt_id"], r["prompt_preview"], r["layer_scores"][0]["score"]) for r in gw.analyze(frame, used).collect()]
+        wanted = [(key, text, 1.0 if text == bad else 0.0) for key, text in rows]
+        assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_rejected_prompts_come_out(spark, prompts):
+    more = prompts.unionByName(spark.createDataFrame([("none", None)], "prompt_id string, prompt string"))
+    rows = collected(gw.rejected(more))
+    assert set(rows) == {"empty", "none"} and all(r["reason"] for r in rows.values())
+
+
+def test_models_rewrite_the_middle_band_alone(spark, prompts):
+    seen = spark.sparkContext.accumulator(0)
+
+    def rewrite(rows):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch.assign(rewritten="rewritten: " + batch["prompt"].str.slice(0, 6))
+
+        return rows.mapInPandas(run, "request string, prompt string, rewritten string")
+
+    double = prompts.unionByName(prompts.filter("prompt_id = 'middle'"))
+    found = gw.gateway(double, detectors(spark), rewrite_rows=rewrite).collect()
+    texts = {(r["prompt_id"], r["action"], r["sanitized_prompt"]) for r in found}
+    middle = ("middle", "sanitize", TOPIC_TEXT)  # a harmful topic is never answered, whatever the model wrote
+    assert len(found) == 4 and middle in texts and seen.value == 1
+    assert all(text is None for key, _, text in texts if key != "middle")
+
+
+def test_attacks_behind_filler_are_found(spark):
+    attack = "kill murder hack"
+    rows = [("short", attack), ("long", "filler " * 600 + attack), ("edge", "filler " * 511 + attack), ("plain", "filler " * 1200)]
+    frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+    small = cl.LinearScorer({"kill": 3.0, "murder": 3.0, "hack": 2.5}, -2.0)
+    words = {f"w{i}": 0.1 for i in range(cl.PLAN_WORDS)}
+    large = cl.LinearScorer({**small.coefficients, **words}, -2.0)
+    assert small.in_row and not large.in_row
+    for scorer in (small, large):
+        risks = {r["prompt_id"]: r["risk"] for r in scorer(frame, "prompt").collect()}
+        assert risks["long"] == risks["short"] > 0.99 and risks["plain"] < 0.2
+        assert risks["edge"] == pytest.approx(1 / (1 + 2.718281828459045 ** -3.5))  # the best of two windows
+    features = collected(cl.analyze_classifier(frame, small))["long"]["bottleneck_features"]
+    assert {f["word"] for f in features} == {"kill", "murder", "hack"}
+
+
+def test_fitted_models_read_every_window(spark):
+    texts = [("how to bake bread", 0), ("weather for today", 0), ("build a bomb and hack", 1)]
+    rows = spark.createDataFrame([(f"{t} number {i}", y) for t, y in texts for i in range(20)], "text string, label int")
+    scorer = cl.ModelScorer(cl.train(rows, features=1 << 10))
+    frame = spark.createDataFrame(
+        [("a", "build a bomb and hack"), ("b", "weather " * 700 + "build a bomb and hack"), ("b", "weather " * 700)],
+        "prompt_id string, prompt string",
+    )
+    found = sorted((len(r["prompt"]), r["risk"] > 0.5) for r in scorer(frame, "prompt").collect())
+    assert [risky for _, risky in found] == [True, False, False] or [risky for _, risky in found] == [True, False, True]
+    only = scorer(frame.filter("prompt_id = 'b'").withColumn("prompt", F.concat("prompt", F.lit(" ok "), F.repeat(F.lit("bomb hack build "), 300))), "prompt")
+    assert all(r["risk"] > 0.5 for r in only.collect())
 
 
 def test_stream_equals_batch(spark, prompts, tmp_path):
@@ -110,10 +183,10 @@ def test_stream_equals_batch(spark, prompts, tmp_path):
 
 def test_labels(spark):
     rows = spark.createDataFrame([("jailbreak",), ("safe",), ("odd",), (None,)], "label string")
-    good, bad = ds.split_labels(rows)
-    assert sorted(r[0] for r in good.collect()) == [0, 1] and bad.count() == 2
+    good, bad = ds.split_labels(rows, "benchmark")
+    assert sorted(r[0] for r in good.collect()) == [1] and bad.count() == 3
     with pytest.raises(Exception, match="unknown label: odd"):
-        rows.filter("label = 'odd'").select(ds.encode_label(F.col("label"))).collect()
+        rows.filter("label = 'odd'").select(ds.encode_label(F.col("label"), "benchmark")).collect()
     texts = spark.createDataFrame([("0",), ("1",), ("2",), ("x",), ("label",)], "label string")
     assert {r["value"] for r in ds.label_violations(texts).collect()} == {"2", "x", "label"}
     assert ds.drop_embedded_headers(texts).count() == 4
@@ -121,6 +194,46 @@ def test_labels(spark):
         ds.checked_labels(texts.filter("label = 'x'")).collect()
 
 
+def test_label_rules(spark):
+    """A vocabulary per source; missing and fractional labels are errors; header rows alone go."""
+    words = spark.createDataFrame([("safe",), ("jailbreak",)], "label string")
+    good, bad = ds.split_labels(words, "benchmark")
+    assert [r[0] for r in good.collect()] == [1] and [r[0] for r in bad.collect()] == ["safe"]
+    with pytest.raises(Exception, match="unknown label: safe"):
+        words.select(ds.encode_label(F.col("label"), "benchmark")).collect()
+    texts = spark.createDataFrame([("0",), ("0.7",), (None,), ("label",), ("1.0",)], "label string")
+    assert ds.drop_embedded_headers(texts).count() == 4
+    assert {r["value"] for r in ds.label_violations(texts).collect()} == {"0.7", None, "label"}
+    numbers = spark.createDataFrame([(0.7,)], "label double")
+    assert ds.label_violations(numbers).count() == 1
+    with pytest.raises(Exception, match="label outside 0, 1: 0.7"):
+        ds.checked_labels(numbers).collect()
+
+
+def test_signatures_are_encoded_once_per_stream(spark, prompts, tmp_path):
+    from sluicegate.functions.embedding import BatchEncoder
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def letters(texts):
+        calls.add(sum("signature" in text for text in texts))
+        return np.array([[t.count(chr(97 + i)) for i in range(26)] for t in texts], dtype=float)
+
+    known = spark.createDataFrame([("s", "a signature text")], "sig_id string, text string")
+    scorer = detectors(spark).scorer
+    used = gw.Detectors(scorer=scorer, signatures=known, similarity_options={"encoder": BatchEncoder(letters, 26)}).loaded()
+    assert calls.value == 1
+    source = str(tmp_path / "in")
+    prompts.repartition(3).write.parquet(source)
+    arriving = stream.read_prompt_stream(spark, source, "*.parquet", "prompt_id string, prompt string", 1)
+    running = stream.start_gateway_stream(
+        arriving, lambda batch: gw.gateway(batch, used), str(tmp_path / "out"), str(tmp_path / "progress"), available_now=True
+    )
+    running.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch_id").distinct().count() > 1
+    assert calls.value == 1
+
+
 def test_csv_keeps_texts(spark, tmp_path):
     texts = ['a "quoted", text\nwith lines', "  blanks  ", "", "tab\there", "back\\slash", "cr\r\nlf"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
