@@ -329,6 +329,18 @@ def mutation_report(spark, folder):
     )
 
 
+@query(
+    "mutation_details",
+    f"WITH {sql.PROMPTS}, {_VARIANT_RISKS} "
+    "SELECT prompt_id, pos::INTEGER AS pos, md5(text) AS text_md5, round(risk, 4) AS risk FROM risks",
+)
+def mutation_details(spark, folder):
+    """Every variant of the report and its risk; mutation_similarity has the cosines to four decimals."""
+    report = mu.mutation_report(tb.prompts(spark, folder), mu.default_synonyms(spark), _scorer())
+    tested = report.select("prompt_id", F.posexplode_outer("details.mutations_tested").alias("pos", "t"))
+    return tested.select("prompt_id", "pos", F.md5("t.text").alias("text_md5"), "t.risk")
+
+
 # -- gateway ----------------------------------------------------------------
 
 

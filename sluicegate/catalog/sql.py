@@ -312,6 +312,18 @@ variants AS (
     SELECT prompt_id, text, row_number() OVER (PARTITION BY prompt_id ORDER BY turn) AS pos FROM firsts)
   WHERE pos <= {fv.MUTATION_COUNT})"""
 
+# cosines: prompt_id, pos, semantic_sim of every variant and its prompt
+VARIANT_COSINES = f"""bags AS (SELECT prompt_id, pos, bucket, count(*) AS tf
+  FROM (SELECT prompt_id, pos, unnest({bag("text")}) AS bucket FROM variants) GROUP BY ALL),
+norms AS (SELECT prompt_id, pos, sqrt(sum(tf * tf)) AS norm FROM bags GROUP BY ALL),
+dots AS (SELECT a.prompt_id, b.pos, sum(a.tf * b.tf) AS dot
+  FROM bags a JOIN bags b ON a.prompt_id = b.prompt_id AND a.bucket = b.bucket WHERE a.pos = 0 GROUP BY ALL),
+cosines AS (
+  SELECT v.prompt_id, v.pos, coalesce(dot / (n.norm * o.norm), 0.0) AS semantic_sim
+  FROM variants v LEFT JOIN dots d ON v.prompt_id = d.prompt_id AND v.pos = d.pos
+  LEFT JOIN norms n ON v.prompt_id = n.prompt_id AND v.pos = n.pos
+  LEFT JOIN norms o ON v.prompt_id = o.prompt_id AND o.pos = 0)"""
+
 
 # -- scoring ----------------------------------------------------------------
 

@@ -214,16 +214,8 @@ def mutations(spark, folder):
 
 @query(
     "mutation_similarity",
-    f"""WITH {PROMPTS}, {sql.VARIANTS},
-bags AS (SELECT prompt_id, pos, bucket, count(*) AS tf
-  FROM (SELECT prompt_id, pos, unnest({sql.bag('text')}) AS bucket FROM variants) GROUP BY ALL),
-norms AS (SELECT prompt_id, pos, sqrt(sum(tf * tf)) AS norm FROM bags GROUP BY ALL),
-dots AS (SELECT a.prompt_id, b.pos, sum(a.tf * b.tf) AS dot
-  FROM bags a JOIN bags b ON a.prompt_id = b.prompt_id AND a.bucket = b.bucket WHERE a.pos = 0 GROUP BY ALL)
-SELECT v.prompt_id, v.pos::INTEGER AS pos, round(coalesce(dot / (n.norm * o.norm), 0.0), 4) AS semantic_sim
-FROM variants v LEFT JOIN dots d ON v.prompt_id = d.prompt_id AND v.pos = d.pos
-LEFT JOIN norms n ON v.prompt_id = n.prompt_id AND v.pos = n.pos
-LEFT JOIN norms o ON v.prompt_id = o.prompt_id AND o.pos = 0""",
+    f"WITH {PROMPTS}, {sql.VARIANTS}, {sql.VARIANT_COSINES} "
+    "SELECT prompt_id, pos::INTEGER AS pos, round(semantic_sim, 4) AS semantic_sim FROM cosines",
 )
 def mutation_similarity(spark, folder):
     rows = mu.variant_similarity(tb.prompts(spark, folder), mu.default_synonyms(spark))

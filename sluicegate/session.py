@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def build_session(app: str = "sluicegate", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,7 +46,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sluicegate-"))
         root = context.getCheckpointDir()
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the folders this process got from ``work_dir``, and return their number.
+
+    Frames that read them can't be used any more: call it when a job's results are written.
+    """
+    settings, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    number = len(_made)
+    while _made:
+        folder = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        folder.getFileSystem(settings).delete(folder, True)
+    return number
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from sluicegate.session import build_session  # noqa: E402
+from sluicegate.session import build_session, clear_work  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,4 +16,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()

@@ -285,6 +285,16 @@ def test_work_dir(spark):
     assert one != two and (root is None or one.startswith(root))
 
 
+def test_work_is_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    kept = session.stored(spark.range(3).toDF("n"), "numbers")
+    assert kept.count() == 3 and len(session._made) == 1
+    path = session._made[0]
+    assert session.clear_work(spark) == 1 and session._made == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 class Named:
     """A session of a cluster that names a shared folder, or does not."""
 
