@@ -65,6 +65,15 @@ PATTERNS = {
 ANY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
 
 
+def holds_any(text: Column) -> Column:
+    """Whether a text has a mention; most texts have no digit, @ or title, which is quickly seen."""
+    quick = text.rlike("[0-9@]")
+    for titles in TITLES.values():
+        for title in titles:
+            quick = quick | text.contains(title)
+    return F.coalesce(quick & text.rlike(ANY), F.lit(False))
+
+
 def _kind(mention: Column) -> Column:
     result = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())):
@@ -259,7 +268,7 @@ def _like(mention: Column, value: Column) -> Column:
 def mentions_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """text_key, place, mention, kind and normal forms of every mention of every different text."""
     source = F.col(f"`{text}`")
-    found = docs.filter(source.rlike(ANY)).select(
+    found = docs.filter(holds_any(source)).select(
         F.sha2(source.cast("binary"), 256).alias("text_key"),
         F.regexp_extract_all(source, F.lit(ANY), F.lit(0)).alias("mentions"),
     )
@@ -316,7 +325,7 @@ def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None
     replaced = stored(replaced, "replaced")
     names = [c for c in docs.columns if counts is None or c.lower() != counts.lower()]
     source = F.col(f"`{text}`")
-    has = F.coalesce(source.rlike(ANY), F.lit(False))
+    has = holds_any(source)
     plain = docs.filter(~has).select(*[f"`{c}`" for c in names])
     touched = docs.filter(has).withColumn("key of the text", F.sha2(source.cast("binary"), 256))
     joined = touched.join(replaced.withColumnRenamed("text_key", "key of the text"), "key of the text")
