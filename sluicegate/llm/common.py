@@ -26,13 +26,14 @@ def ship(module: str) -> None:
 def once(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept by a Python worker from one task to the next.
 
-    Only the latest value of each name, the key's first part, is kept.
+    Only the latest value is kept: what an operator has cached goes when the next one starts.
     """
     kept = sys.modules.setdefault("sluicegate_kept", types.ModuleType("sluicegate_kept")).__dict__
-    found = kept.get(key[0])
-    if found is None or found[0] != key:
-        kept[key[0]] = found = (key, make())
-    return found[1]
+    if kept.get("key") != key:
+        kept["key"] = kept["value"] = None
+        kept["value"] = make()
+        kept["key"] = key
+    return kept["value"]
 
 
 def slices(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
