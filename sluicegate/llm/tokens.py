@@ -37,7 +37,9 @@ CHUNK = 32_768
 OVERLAP = 512
 # Longer than any look-ahead of the pre-tokenizer; special tokens are added to it.
 MARGIN = 16
-CACHED_PIECES = 600_000
+CACHED_PIECES = 300_000
+# Encodings that are in memory at a time.
+PIECES_AT_A_TIME = 5_000
 CHUNK_SCHEMA = "text_key string, chunk long, begin long, last boolean, text string"
 SUMMARY_SCHEMA = (
     "text_key string, chunk long, last boolean, n_tokens long, "
@@ -67,8 +69,10 @@ class Counter:
         if len(self.cache) > CACHED_PIECES:
             self.cache = {}
         new = list({piece for parts in cut for piece in parts} - self.cache.keys())
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.cache.update(zip(new, [len(e) for e in encoded]))
+        for at in range(0, len(new), PIECES_AT_A_TIME):
+            some = new[at : at + PIECES_AT_A_TIME]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.cache.update(zip(some, [len(e) for e in encoded]))
         known = self.cache.__getitem__
         return [sum(map(known, parts)) for parts in cut]
 
