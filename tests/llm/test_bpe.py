@@ -44,7 +44,7 @@ def test_long_runs_as_the_library(encoder, library):
 
 def test_most_words_need_no_repair_and_some_do(encoder):
     encoder.cache, encoder.words, encoder.counts = {}, {}, {"words": 0, "repaired": 0}
-    encoder.encode(["the house and the garden that were there before, unbelievablyish zxqv"])
+    encoder.encode(["the house and the garden that were there before, thndea onheerthly thereatouble hetiontheat anoued"])
     assert 0 < encoder.counts["repaired"] < encoder.counts["words"]
 
 
