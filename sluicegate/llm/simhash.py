@@ -10,11 +10,13 @@ Equal fingerprints collapse before the join, so copies never meet as pairs, howe
 a variant agree in all other bits of a segment: their number follows the different fingerprints around one
 point, not the rows. Links become components by alternating stars (see ``graph``).
 
-``keep_one_of_each`` is a coarser dedup of whole texts, at a similarity of 0.8 of five-word shingles. At that
-distance no short segment is sure to agree, so it takes more of them: a signature of different words in
-segments of 24 bits finds candidates, a signature of the shingles verifies them. Members of a variant are
-linked to their neighbours in signature order and to the first one, a number of links that grows with the rows
-and not with pairs; groups of thousands come together through many variants.
+``keep_one_of_each`` is a coarser dedup of whole texts, at a Jaccard similarity of 0.8 of the sets of five-word
+shingles. At that distance no short segment of a fingerprint is sure to agree, so it takes no fingerprints but the
+sets themselves, by an exact prefix join: with the shingles of all texts in one order, two sets of at least 0.8
+share one among the first ``n - ceil(0.8 n) + 1`` of each. Texts that meet there are candidates, and the overlap of
+their sets decides. Shingles that a sample finds common come last in the order, which saves candidates and changes
+no result. A group of thousands is first compared with one of its texts; then all texts that meet and aren't yet
+in one component are compared, each with each.
 
 Null texts and texts without words have the fingerprint zero. Repeated rows stay, with the same component; null
 ids are never a component's smallest id unless there is no other. Rows are texts of any length; memory per task
@@ -28,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql.types import ArrayType, LongType, StructField
 
 from sluicegate.llm.common import annotate, ship
 from sluicegate.llm.graph import components
@@ -42,13 +44,17 @@ MOST_BITS = 3
 HASHES = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-# The coarser dedup: three numbers of two segments each find, two numbers verify.
+# The coarser dedup: sets of shingles similar at SIMILAR[0] / SIMILAR[1].
 WORDS_IN_SHINGLE = 5
-SEGMENT_BITS = 24
-FINDERS, VERIFIERS = 3, 2
-# Different bits of 128 up to which shingle sets count as similar: 19.4 are expected at a Jaccard similarity
-# of 0.8, with a standard deviation of 4.
-VERIFY_BITS = 23
+SIMILAR = (4, 5)
+# Texts, and times a shingle must be in them, that find common shingles; and at most so many of these.
+SAMPLE_TEXTS = 20_000
+COMMON_FROM = 5
+COMMON = 200_000
+# Pairs per meeting up to which all are compared at once, and rounds with one text of each meeting before that.
+PAIRS_PER_MEETING = 4
+ROUNDS = 6
+SALTS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,14 +82,6 @@ def majority(values: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<i8")[0])
 
 
-def rehash(values: np.ndarray, number: int) -> np.ndarray:
-    """Independent hashes from hashes: an invertible mix of each with a number."""
-    mixed = values + np.uint64((0x9E3779B97F4A7C15 * (number + 1)) % (1 << 64))
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return mixed ^ (mixed >> np.uint64(31))
-
-
 def add_fingerprints(
     docs: DataFrame,
     text: str = "text",
@@ -174,71 +172,136 @@ def group_documents(
     )
 
 
-def add_signatures(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Add find_0.. of the different words and verify_0.. of the shingles of a text column."""
-    names = [f"find_{i}" for i in range(FINDERS)] + [f"verify_{i}" for i in range(VERIFIERS)]
+def add_sets(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Add ``shingles``, the sorted different hashes of a text's five-word shingles."""
+    kind = ArrayType(LongType(), False)
 
     def start():
         def work(texts):
-            rows = []
-            for value in texts:
-                words = words_of(value)
-                found = hashes(set(words))
-                checked = hashes(set(shingles(words, WORDS_IN_SHINGLE)))
-                rows.append(
-                    [majority(rehash(found, i)) for i in range(FINDERS)]
-                    + [majority(rehash(checked, i)) for i in range(VERIFIERS)]
-                )
-            return [pa.array(column, pa.int64()) for column in zip(*rows)]
+            sets = [np.unique(hashes(shingles(words_of(t), WORDS_IN_SHINGLE)).view(np.int64)) for t in texts]
+            ends = np.cumsum([0] + [len(found) for found in sets]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))]
 
         return work
 
-    return annotate(docs, [StructField(name, LongType()) for name in names], start, text, keep)
-
-
-def _close(one: str, other: str) -> Column:
-    different = [F.bit_count(F.col(f"{one}_{i}").bitwiseXOR(F.col(f"{other}_{i}"))) for i in range(VERIFIERS)]
-    return sum(different[1:], different[0]) <= VERIFY_BITS
-
+    return annotate(docs, [StructField("shingles", kind)], start, text, keep)
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many texts of a sample have, and their numbers of texts."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, sets.count()))
+    sample = sets.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    counts = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = stored(counts.filter(F.col("n") >= COMMON_FROM), "common")
+    least, total = COMMON_FROM, 0
+    for n, number in sorted(((row[0], row[1]) for row in counts.groupBy("n").count().collect()), reverse=True):
+        total += number
+        if total > COMMON:
+            least = n + 1
+            break
+    rows = counts.filter(F.col("n") >= least).toArrow()
+    shingle, n = (rows[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """id, n, place, shingle: the first shingles of each set of n, one of which any similar set has among its own."""
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        known, counts = shared.value
+        for batch in batches:
+            ids, starts = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy()
+            for i, key in enumerate(ids):
+                found = values[starts[i] : starts[i + 1]]
+                often = np.zeros(len(found), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    often = np.where(known[at] == found, counts[at], 0)
+                n = len(found)
+                first = found[np.lexsort((found, often))[: n + 1 + (-SIMILAR[0] * n) // SIMILAR[1]]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(first), key)),
+                        pa.array(np.full(len(first), n, dtype=np.int32)),
+                        pa.array(np.arange(len(first), dtype=np.int32)),
+                        pa.array(first),
+                    ],
+                    names=["id", "n", "place", "shingle"],
+                )
 
-def similar_texts(signatures: DataFrame) -> DataFrame:
-    """a, b: links between different texts (column ``id``) of similar signatures."""
-    made = []
-    for number in range(FINDERS * 2):
-        value = F.shiftrightunsigned(f"find_{number // 2}", SEGMENT_BITS * (number % 2))
-        value = value.bitwiseAND((1 << SEGMENT_BITS) - 1)
-        for bit in range(SEGMENT_BITS):
-            place = (number * SEGMENT_BITS + bit) << SEGMENT_BITS
-            made.append(value.bitwiseAND(F.lit(~(1 << bit))).bitwiseOR(F.lit(place)))
-    checks = [f"verify_{i}" for i in range(VERIFIERS)]
-    indexed = signatures.select("id", *checks, F.explode(F.array(*made)).alias("variant"))
-    order = Window.partitionBy("variant").orderBy(*checks, "id")
-    near = indexed
-    for name, pick in (("last", F.lag), ("first", F.first)):
-        for column in ("id", *checks):
-            alias = f"{name}_{column.removeprefix('verify_')}"
-            near = near.withColumn(alias, pick(column).over(order))
-    both = near.select(
-        "id",
-        F.explode(
-            F.array(
-                F.when(F.col("last_id").isNotNull() & _close("verify", "last"), F.col("last_id")),
-                F.when(_close("verify", "first"), F.col("first_id")),
-            )
-        ).alias("other"),
-    )
-    return (
-        both.filter(F.col("other").isNotNull() & (F.col("other") != F.col("id")))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .distinct()
+    return sets.select("id", "shingles").mapInArrow(run, "id long, n int, place int, shingle long")
+
+
+def _possible(one: str, other: str) -> Column:
+    """Whether two sets can be similar, as far as their sizes and the place of their first common shingle tell."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    most = F.least(n - F.col(f"{one}.place"), m - F.col(f"{other}.place"))
+    part, whole = SIMILAR
+    return (most * (part + whole) >= (n + m) * part) & (F.least(n, m) * whole >= F.greatest(n, m) * part)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the different pairs (a, b) whose sets are similar. ``a`` may be in very many of them."""
+    part = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    spread = pairs.withColumn("part", part)
+    ones = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
+    others = sets.select(F.col("id").alias("b"), F.col("shingles").alias("other"))
+    ones = spread.select("a", "part").distinct().join(ones, "a")
+    both = spread.join(others, "b").join(ones, ["a", "part"])
+    common = F.size(F.array_intersect("one", "other"))
+    fits = common * sum(SIMILAR) >= (F.size("one") + F.size("other")) * SIMILAR[0]
+    return both.filter(fits).select("a", "b")
+
+
+def similar_texts(sets: DataFrame) -> DataFrame:
+    """node, root: components of the different texts (id, shingles) that are similar to others."""
+    by_shingle = Window.partitionBy("shingle")
+    first = prefixes(sets, common_shingles(sets)).withColumn("texts", F.count("*").over(by_shingle))
+    meetings = stored(first.filter("texts > 1").drop("texts"), "meetings")
+    met = stored(sets.join(meetings.select("id").distinct(), "id", "left_semi"), "met")
+    rows = meetings.count()
+    placed = meetings.withColumn("root", F.col("id"))
+    links = None
+    last = None
+    for number in range(ROUNDS + 1):
+        members = placed.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+        squares = members.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left = squares.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0] or 0
+        few = left <= 2 * PAIRS_PER_MEETING * rows
+        if few or number == ROUNDS or (last is not None and left > 0.9 * last):
+            break
+        last = left
+        # One text of each meeting, by an order that is the same in all meetings and new in every round.
+        row = F.struct("id", "n", "place", "root")
+        order = F.struct(F.xxhash64("id", F.lit(number)), "id")
+        head = placed.groupBy("shingle").agg(F.min_by(row, order).alias("x"))
+        pairs = placed.select("shingle", row.alias("y")).join(head, "shingle")
+        pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & _possible("x", "y"))
+        pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+        more = stored(_similar(pairs, met), "similar")
+        links = more if links is None else links.unionByName(more)
+        roots = components(links).withColumnRenamed("node", "id")
+        placed = stored(
+            meetings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
+        )
+    row = F.struct("id", "n", "place", "root")
+    one, other = placed.select("shingle", row.alias("x")), placed.select("shingle", row.alias("y"))
+    pairs = one.join(other, "shingle").filter(
+        (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
     )
+    pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    more = stored(_similar(pairs, met), "similar")
+    return components(more if links is None else links.unionByName(more))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group of similar texts: the one with the smallest key.
 
     Texts without words make no group and stay, but for rows that repeat text and key. Keys and hashes
-    decide, texts move once.
+    decide, texts move twice.
     """
     text_id = F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0))
     row_id = F.xxhash64(text_id, F.col(f"`{key}`"))
@@ -247,11 +310,9 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     plain = rows.filter(~has_words).select("id", "row key")
     worded = rows.filter(has_words)
     first = stored(worded.groupBy("id").agg(F.min("row key").alias("row key")), "first")
-    # Copies have equal signatures; a signature is made for each, and kept once.
-    signed = add_signatures(worded, "row text", ["id"])
-    columns = [F.first(c).alias(c) for c in signed.columns if c != "id"]
-    signed = stored(signed.groupBy("id").agg(*columns), "signatures")
-    rooted = components(similar_texts(signed)).withColumnRenamed("node", "id")
+    different = worded.select("id", "row text").dropDuplicates(["id"])
+    sets = stored(add_sets(different, "row text", ["id"]), "sets")
+    rooted = similar_texts(sets).withColumnRenamed("node", "id")
     linked = first.join(rooted, "id")
     best = linked.groupBy("root").agg(
         F.min(F.struct(F.col("row key").isNull().alias("no key"), "row key", "id")).alias("best")

@@ -139,3 +139,27 @@ def test_majority_of_many_hashes():
     values = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bits = [(2 * int(((values >> np.uint64(b)) & np.uint64(1)).sum()) > len(values)) for b in range(64)]
     assert simhash.majority(values) % (1 << 64) == sum(1 << b for b in range(64) if bits[b])
+
+
+def jaccard(one, other):
+    one, other = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, other))
+    return len(one & other) / len(one | other)
+
+
+def test_passages_in_one_run(spark):
+    rng = random.Random(11)
+    rows, wanted = [], set()
+    for number in range(60):
+        words = [f"w{rng.randrange(40_000)}" for _ in range(rng.randint(200, 600))]
+        size = int(len(words) * rng.uniform(0.1, 0.24))
+        new = [f"n{rng.randrange(40_000)}" for _ in range(size)]
+        at = rng.randint(30, len(words) - 30)
+        drop = int(size * 0.7)
+        other = [words + new, words[:at] + new + words[at:], words[: at - at // 2] + words[at - at // 2 + drop :]][number % 3]
+        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(other))]
+        wanted.add(2 * number)
+        if jaccard(words, other) < 0.8:
+            wanted.add(2 * number + 1)
+    assert 60 < len(wanted) < 75
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {row.doc_id for row in simhash.keep_one_of_each(docs).collect()} == wanted
