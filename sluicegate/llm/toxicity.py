@@ -6,7 +6,8 @@ n-grams that few texts have weighing more, and a linear softmax over it gives th
 seen still shares most n-grams with the words it comes from.
 
 *Learning* takes a bounded sample of the labelled rows: up to ``rows_per_class`` of each label, the lowest
-hashes of their keys, with whole texts. Tasks turn them into bucket weights, at most ``buckets`` numbers a row,
+hashes of their keys, with whole texts. The bound holds for rows of text: of a key with many, the one with the
+lowest hash comes first, and others fill what is left. Tasks turn them into bucket weights, at most ``buckets`` numbers a row,
 and only these go to the driver. Both classes have equal weight in learning, however rare one is.
 
 *Scoring* needs one number per bucket, as everything above is linear. The model, of fixed size, is broadcast.
@@ -14,7 +15,7 @@ Each worker scores a new word once. No row is moved.
 
 Null texts and texts without a letter get the score of the intercept alone. Rows whose label is null or not 0
 or 1 aren't learned from. With labels of one class only, or none, the score is the share of label 1 (0 if
-there is no label). Repeated rows count as often as they stand.
+there is no label). Repeated labels count once, as do rows that repeat key and text in learning; each row is scored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from sluicegate.llm.common import annotate, once, ship
+from sluicegate.session import stored
 
 BUCKETS = 1 << 16
 DIMENSIONS = 4
@@ -157,15 +159,28 @@ def fit(
     valid = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
         F.col(key).alias("sampled key"), F.col(label).cast("int").alias("sampled label")
     )
+    valid = valid.distinct()
     counts = {row[0]: row[1] for row in valid.groupBy("sampled label").count().collect()}
     total = sum(counts.values())
-    order = (F.xxhash64(F.col("sampled key").cast("string")), "sampled key")
-    chosen = valid.filter("`sampled label` = 0").orderBy(*order).limit(rows_per_class)
-    chosen = chosen.unionByName(valid.filter("`sampled label` = 1").orderBy(*order).limit(rows_per_class))
-    # At most twice rows_per_class keys are broadcast. A key may have several rows of text.
+
+    def least(frame: DataFrame, *order) -> DataFrame:
+        """At most rows_per_class rows of each label."""
+        first = frame.filter("`sampled label` = 0").orderBy(*order).limit(rows_per_class)
+        return first.unionByName(frame.filter("`sampled label` = 1").orderBy(*order).limit(rows_per_class))
+
+    chosen = least(valid, F.xxhash64(F.col("sampled key").cast("string")), "sampled key")
+    # At most twice rows_per_class keys are broadcast.
     sample = docs.select(F.col(key).alias("sampled key"), F.col(text).alias("sampled text")).join(
-        F.broadcast(chosen), "sampled key"
+        F.broadcast(stored(chosen, "chosen")), "sampled key"
     )
+    sample = sample.withColumn("row hash", F.xxhash64(F.col("sampled key").cast("string"), "sampled text"))
+    # A key may have many rows of text: each key's first different text comes before any key's second.
+    names = ["sampled key", "sampled label", "row hash"]
+    rows = stored(sample.select(names).distinct(), "sample")
+    firsts = rows.groupBy(names[:2]).agg(F.min("row hash").alias("row hash")).withColumn("later", F.lit(0))
+    ranked = rows.join(firsts, names, "left").withColumn("later", F.coalesce("later", F.lit(1)))
+    picked = stored(least(ranked, "later", "row hash", "sampled key").select(names), "picked")
+    sample = sample.join(F.broadcast(picked), names).dropDuplicates(names)
 
     def run(batches):
         for batch in batches:

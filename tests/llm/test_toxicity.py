@@ -73,3 +73,22 @@ def test_one_class_or_none(spark):
     for marks, score in (([(1, 1)], 1.0), ([(1, 0)], 0.0), ([], 0.0)):
         frame = spark.createDataFrame(marks, "doc_id long, toxic int")
         assert toxicity.score(docs, toxicity.fit(docs, frame)).first().score == pytest.approx(score, abs=1e-6)
+
+
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    texts, labels = corpus(5, 60)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, f"{texts[0]} w{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, n) for i, n in enumerate(labels)] + [(0, 1)] * 50, "doc_id long, toxic int")
+    seen = []
+
+    def watched(bags, answers, *more):
+        seen.append(answers.tolist())
+        return toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+
+    monkeypatch.setattr(toxicity, "train", watched)
+    toxicity.fit(docs, marks, rows_per_class=20)
+    assert seen[0].count(0) == 20 and seen[0].count(1) == 20
+    toxicity.fit(docs, marks, rows_per_class=12)
+    toxicity.fit(docs, marks.filter("doc_id < 3"), rows_per_class=12)
+    assert [seen[1].count(1), seen[2].count(0), seen[2].count(1)] == [12, 2, 12]
