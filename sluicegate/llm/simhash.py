@@ -300,15 +300,18 @@ def similar_texts(sets: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group of similar texts: the one with the smallest key.
 
-    Texts without words make no group and stay, but for rows that repeat text and key. Keys and hashes
+    Texts without words make no group and stay, but for rows that repeat another in all columns. Keys and hashes
     decide, texts move twice.
     """
     text_id = F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0))
-    row_id = F.xxhash64(text_id, F.col(f"`{key}`"))
-    rows = docs.select(F.col(f"`{key}`").alias("row key"), text_id.alias("id"), F.col(f"`{text}`").alias("row text"))
-    has_words = F.coalesce(F.col("row text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    plain = rows.filter(~has_words).select("id", "row key")
-    worded = rows.filter(has_words)
+    has_words = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Rows without words are told apart by all their columns.
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    row_id = F.when(has_words, F.xxhash64(text_id, F.col(f"`{key}`"))).otherwise(whole)
+    plain = docs.filter(~has_words).select(whole.alias("row of a group"))
+    worded = docs.filter(has_words).select(
+        F.col(f"`{key}`").alias("row key"), text_id.alias("id"), F.col(f"`{text}`").alias("row text")
+    )
     first = stored(worded.groupBy("id").agg(F.min("row key").alias("row key")), "first")
     different = worded.select("id", "row text").dropDuplicates(["id"])
     sets = stored(add_sets(different, "row text", ["id"]), "sets")
@@ -319,10 +322,8 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
     kept = best.select(F.col("best.id").alias("id"), F.col("best.row key").alias("row key"))
     alone = first.join(rooted.select("id"), "id", "left_anti")
-    keepers = kept.unionByName(alone).unionByName(plain).select(
-        F.xxhash64("id", "row key").alias("row of a group")
-    )
-    keepers = stored(keepers.distinct(), "keepers")
+    keepers = kept.unionByName(alone).select(F.xxhash64("id", "row key").alias("row of a group"))
+    keepers = stored(keepers.unionByName(plain).distinct(), "keepers")
     return (
         docs.withColumn("row of a group", row_id)
         .dropDuplicates(["row of a group"])

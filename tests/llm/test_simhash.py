@@ -163,3 +163,10 @@ def test_passages_in_one_run(spark):
     assert 60 < len(wanted) < 75
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {row.doc_id for row in simhash.keep_one_of_each(docs).collect()} == wanted
+
+
+def test_rows_without_words_stay(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "a"), (1, " ", "a"), (1, " ", "b"), (1, " ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [tuple(row) for row in simhash.keep_one_of_each(docs).collect()]
+    assert len(found) == 5 and set(found) == set(rows)
