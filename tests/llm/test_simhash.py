@@ -170,3 +170,14 @@ def test_rows_without_words_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = [tuple(row) for row in simhash.keep_one_of_each(docs).collect()]
     assert len(found) == 5 and set(found) == set(rows)
+
+
+def test_a_near_pair_among_unrelated_texts(spark):
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(12)]
+    rows = [(i, " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(60)])) for i in range(600)]
+    words = shared + [f"v{i}" for i in range(88)]
+    rows += [(1000, " ".join(words)), (1001, " ".join(words + ["t1", "t2", "t3", "t4", "t5"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(row.doc_id for row in simhash.keep_one_of_each(docs).collect())
+    assert found == [*range(600), 1000]
