@@ -181,3 +181,15 @@ def test_a_near_pair_among_unrelated_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted(row.doc_id for row in simhash.keep_one_of_each(docs).collect())
     assert found == [*range(600), 1000]
+
+
+def test_pairs_under_the_limit_stay(spark):
+    rows, wanted = [], []
+    for number in range(80):
+        words = [f"p{number}w{i}" for i in range(204)]
+        # 200 shingles, and so many more: 200 / 250 is 0.8, 200 / 251 isn't.
+        more = [f"p{number}n{i}" for i in range(50 + number % 2)]
+        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(words + more))]
+        wanted += [2 * number, 2 * number + 1][: 1 + number % 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(row.doc_id for row in simhash.keep_one_of_each(docs).collect()) == wanted
