@@ -6,7 +6,10 @@ the secret key, its type and its normal form:
 
 - digits become digits and letters letters of their script, in the same places; a phone keeps its country code,
   a card its first digit and its being valid or not by the check digit, an IBAN its country;
-- given names keep gender (from the title) and script, family names their script;
+- given names keep gender (from the title) and script, family names (the last of up to 16 parts) their script;
+  initials become other ones, not checked for collisions;
+- words of these names that stand elsewhere in the same text, with a capital and without a title, get the same
+  surrogates, also where such a word means something else. They don't count as mentions;
 - case and separators of each mention stay: spellings of one entity get spellings of one surrogate
   (coreference), across all texts.
 
@@ -50,17 +53,24 @@ CYRILLIC_LOWER = "абвгдежзиклмнопрстуфхцчшэюя"
 GREEK_LOWER = "αβγδεζηθικλμνξοπρστυφχψω"
 
 _TITLE = "|".join(title for titles in TITLES.values() for title in titles)
+# A word of a name: capitals, apostrophes and hyphens inside, but no possessive s and no title.
+_NAME_WORD = (
+    rf"(?!(?:{_TITLE})(?!\p{{L}}))\p{{Lu}}(?=\p{{L}}|['’]\p{{Lu}})[\p{{L}}\p{{M}}]*+"
+    r"(?:(?:['’](?!s(?!\p{L}))|-(?=\p{Lu}))\p{L}[\p{L}\p{M}]*+){0,5}"
+)
+_INITIALS = r"\p{Lu}(?:\.\p{Lu}){0,5}+\.?"
 # Every alternative starts where its kind of run starts and takes bounded or possessive steps: linear in the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}"
+    r"|(?: [A-Z0-9]{4}){2}(?:(?: [A-Z0-9]{4}){1,5}(?: [A-Z0-9]{1,3})?| [A-Z0-9]{3})(?<=[0-9][A-Z]{0,3}))(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}"
+    "phone": r"(?<![0-9+])(?:\+[0-9](?:\)?[ .-]?\(?[0-9]){4,18}\)?"
     r"|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? (?:(?:{_NAME_WORD}|{_INITIALS}) ){{0,15}}{_NAME_WORD}",
 }
 ANY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
 
@@ -97,7 +107,7 @@ def _normal(kind: Column, mention: Column) -> Column:
     return (
         F.when(kind == "phone", phone)
         .when(kind.isin("card", "ssn"), digits)
-        .when(kind == "iban", mention)
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(F.lower(mention))
     )
 
@@ -280,47 +290,79 @@ def mentions_of(docs: DataFrame, text: str = "text") -> DataFrame:
     gender = F.lit("n")
     for name, titles in TITLES.items():
         gender = F.when(title.isin(*titles), F.lit(name)).otherwise(gender)
-    family = F.lower(F.element_at(words, -1))
-    given = F.when((F.col("form") == "name") & (F.size(words) == 3), F.lower(F.get(words, F.lit(1))))
     is_name = F.col("form") == "name"
+    parts = F.when(is_name, F.slice(words, F.lit(2), F.size(words))).otherwise(F.array("mention"))
+    rows = rows.select(
+        "text_key", "place", "mention", "form", gender.alias("gender"), F.size(parts).alias("parts"),
+        F.posexplode(parts).alias("part", "word"),
+    )
+    word = F.lower(F.replace("word", F.lit("’"), F.lit("'")))
+    sort = F.when(F.col("part") + 1 == F.col("parts"), "s").otherwise(F.col("gender"))
+    initials = is_name & F.col("word").rlike(rf"^{_INITIALS}$")
     return rows.select(
         "text_key",
         "place",
+        "part",
         "mention",
         "form",
-        F.when(is_name, F.concat(F.lit("name:s:"), _script(family))).otherwise(F.col("form")).alias("kind"),
-        F.when(is_name, family).otherwise(_normal(F.col("form"), F.col("mention"))).alias("normal"),
-        F.when(given.isNotNull(), F.concat(F.lit("name:"), gender, F.lit(":"), _script(given))).alias("given_kind"),
-        given.alias("given"),
+        "word",
+        F.when(initials, F.lit("initials"))
+        .when(is_name, F.concat(F.lit("name:"), sort, F.lit(":"), _script(word)))
+        .otherwise(F.col("form"))
+        .alias("kind"),
+        F.when(is_name, word).otherwise(_normal(F.col("form"), F.col("mention"))).alias("normal"),
     )
 
 
+def _again(gap: Column, words: Column) -> Column:
+    """Text between mentions, with the name words of the same text's mentions replaced (lower case, surrogate)."""
+    pattern = F.lit(rf"(?<![\p{{L}}\p{{M}}]){_NAME_WORD}")
+
+    def one(word: Column) -> Column:
+        plain = F.lower(F.replace(word, F.lit("’"), F.lit("'")))
+        new = F.get(F.filter(words, lambda x: x["normal"] == plain), F.lit(0))["surrogate"]
+        return F.coalesce(F.when(F.upper(word) == word, F.upper(new)).otherwise(F.initcap(new)), word)
+
+    found = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), one)
+    between = F.call_function("split", gap, pattern, F.lit(-1))
+    return F.array_join(F.zip_with(between, F.array_append(found, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+
 def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """The rows with surrogates in the text column and, if named, a column with the number of mentions."""
     mentions = stored(mentions_of(docs, text), "mentions")
-    every = mentions.select("kind", "normal").unionByName(
-        mentions.filter("given is not null").select(F.col("given_kind").alias("kind"), F.col("given").alias("normal"))
-    )
+    every = mentions.filter("kind <> 'initials'").select("kind", "normal")
     chosen = stored(assign(stored(every.distinct(), "entities"), secret), "surrogates")
-    given = chosen.select(
-        F.col("kind").alias("given_kind"), F.col("normal").alias("given"), F.col("surrogate").alias("given_surrogate")
-    )
-    mention, value = F.col("mention"), F.col("surrogate")
-    words = F.split(mention, " ")
-    name = F.concat_ws(" ", F.get(words, F.lit(0)), F.initcap("given_surrogate"), F.initcap(value))
+    mention, word, value = F.col("mention"), F.col("word"), F.col("surrogate")
+    is_name = F.col("form") == "name"
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), F.col("kind"), F.col("normal")).cast("binary"), 256)
     written = (
-        F.when(F.col("form") == "name", name)
+        F.when(F.col("kind") == "initials", _masked(word, seed, F.lit(0)))
+        .when(is_name, F.when(F.upper(word) == word, F.upper(value)).otherwise(F.initcap(value)))
         .when(F.col("form").isin("phone", "card", "ssn"), _fill(mention, value))
         .when(F.col("form") == "email", _like(mention, value))
+        .when((F.col("form") == "iban") & mention.contains(" "), F.regexp_replace(value, "(.{4})(?=.)", "$1 "))
         .otherwise(value)
     )
+    known = F.when(is_name & value.isNotNull(), F.struct("normal", "surrogate"))
+    whole_mention = F.array_join(F.transform(F.array_sort("new"), lambda x: x["written"]), " ")
+    title = F.when(is_name, F.concat(F.get(F.split(mention, " "), F.lit(0)), F.lit(" "))).otherwise("")
     replaced = (
-        mentions.join(chosen, ["kind", "normal"])
-        .join(given, ["given_kind", "given"], "left")
-        .select("text_key", "place", written.alias("written"))
+        mentions.join(chosen, ["kind", "normal"], "left")
+        .select("text_key", "place", "part", title.alias("title"), written.alias("written"), known.alias("known"))
+        .groupBy("text_key", "place")
+        .agg(
+            F.first("title").alias("title"),
+            F.collect_list(F.struct("part", "written")).alias("new"),
+            F.collect_set("known").alias("known"),
+        )
+        .select("text_key", "place", F.concat("title", whole_mention).alias("written"), "known")
         .groupBy("text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "written"))).alias("new"))
-        .select("text_key", F.transform("new", lambda x: x["written"]).alias("new parts"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("place", "written"))).alias("new"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("known")))).alias("name words"),
+        )
+        .select("text_key", F.transform("new", lambda x: x["written"]).alias("new parts"), "name words")
     )
     replaced = stored(replaced, "replaced")
     names = [c for c in docs.columns if counts is None or c.lower() != counts.lower()]
@@ -330,6 +372,8 @@ def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None
     touched = docs.filter(has).withColumn("key of the text", F.sha2(source.cast("binary"), 256))
     joined = touched.join(replaced.withColumnRenamed("text_key", "key of the text"), "key of the text")
     gaps = F.split(source, ANY, -1)
+    named = F.transform(gaps, lambda gap: _again(gap, F.col("name words")))
+    gaps = F.when(F.size("name words") > 0, named).otherwise(gaps)
     whole = F.array_join(
         F.zip_with(gaps, F.array_append("new parts", F.lit("")), lambda a, b: F.concat(a, b)), ""
     )

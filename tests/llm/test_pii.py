@@ -89,3 +89,36 @@ def test_clashing_columns_and_empty_tables(spark):
 @pytest.mark.parametrize("text", ["version 1.2.3", "1234567890123456789012345", "2021-03-04", "5 555 1234", "Mr smith"])
 def test_clean_texts_stay(spark, text):
     assert replaced(spark, [text]) == [(text, 0)]
+
+
+def test_names_of_all_shapes_and_later_mentions(spark):
+    texts = [
+        "Mr. John Smith came. John Smith said that Smith's house, not Smithson, is his.", "Dr McDonald", "Mr. John O'Brien",
+        "Mr. J. Smith", "Mrs. Anna Maria Clara Jones-Brown left", "Mr. Smith Mrs. Jones", "Dr MARY STONE", "Smith alone",
+    ]
+    out = [t for t, _ in replaced(spark, texts)]
+    given, family, *more = re.fullmatch(
+        r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) said that (\w+)'s house, not Smithson, is his\.", out[0]
+    ).groups()
+    assert more == [given, family, family] and given != "John" and family != "Smith"
+    for number, pattern in ((1, r"Dr (\w+)"), (2, r"Mr\. (\w+) (\w+)"), (3, r"Mr\. ([A-Z])\. (\w+)"),
+                            (4, r"Mrs\. (\w+) (\w+) (\w+) (\w+) left"), (5, r"Mr\. (\w+) Mrs\. (\w+)"),
+                            (6, r"Dr ([A-Z]+) ([A-Z]+)")):
+        assert re.fullmatch(pattern, out[number])
+        for word in re.findall(r"\w{2,}", texts[number]):
+            assert word in ("Mr", "Mrs", "Dr", "left") or word not in out[number]
+    assert out[3].split()[-1] == family and out[7] == texts[7]
+
+
+def test_whole_phones_and_grouped_ibans(spark):
+    texts = [
+        "+33 6 12 34 56 78.", "+33 61 23 45 67 89", "iban DE44 5001 0517 5407 3249 31 IS", "DE44500105175407324931",
+        "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "+" + "1" * 100_000, "Mr " + "Ab " * 20_000,
+    ]
+    got = replaced(spark, texts)
+    out = [t for t, _ in got]
+    assert [n for _, n in got[:6]] == [1] * 6
+    assert re.fullmatch(r"\+\d\d \d( \d\d){4}\.", out[0]) and re.fullmatch(r"\+\d\d( \d\d){5}", out[1])
+    assert out[0][-9:-1] != texts[0][-9:-1] and out[1][-2:] != "89"
+    assert re.fullmatch(r"iban DE\d\d( \d{4}){4} \d\d IS", out[2]) and out[2][5:-3].replace(" ", "") == out[3]
+    assert out[4][2:] != texts[4][2:] and "MALT" not in out[5] and "MTLC" not in out[5] and "01S" not in out[5]
