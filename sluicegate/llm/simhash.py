@@ -55,6 +55,8 @@ COMMON = 200_000
 PAIRS_PER_MEETING = 4
 ROUNDS = 6
 SALTS = 64
+# Bits of a map that keeps most sets without a candidate from moving.
+MAP_BITS = 24
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -243,12 +245,22 @@ def _possible(one: str, other: str) -> Column:
     return (most * (part + whole) >= (n + m) * part) & (F.least(n, m) * whole >= F.greatest(n, m) * part)
 
 
+def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose id is in a column of ids, and few others: by a broadcast map of fixed size, nothing moves."""
+    place = F.pmod(F.col("id"), F.lit(1 << MAP_BITS))
+    word = F.shiftright(place, 6).alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    words = ids.toDF("id").select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    known = sets.withColumn("word", word).join(F.broadcast(words), "word")
+    return known.filter(F.col("bits").bitwiseAND(bit) != 0).select("id", "shingles")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the different pairs (a, b) whose sets are similar. ``a`` may be in very many of them."""
     part = F.pmod(F.xxhash64("b"), F.lit(SALTS))
     spread = pairs.withColumn("part", part)
-    ones = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-    others = sets.select(F.col("id").alias("b"), F.col("shingles").alias("other"))
+    ones = _of(sets, pairs.select("a")).select(F.col("id").alias("a"), F.col("shingles").alias("one"))
+    others = _of(sets, pairs.select("b")).select(F.col("id").alias("b"), F.col("shingles").alias("other"))
     ones = spread.select("a", "part").distinct().join(ones, "a")
     both = spread.join(others, "b").join(ones, ["a", "part"])
     common = F.size(F.array_intersect("one", "other"))
@@ -261,7 +273,6 @@ def similar_texts(sets: DataFrame) -> DataFrame:
     by_shingle = Window.partitionBy("shingle")
     first = prefixes(sets, common_shingles(sets)).withColumn("texts", F.count("*").over(by_shingle))
     meetings = stored(first.filter("texts > 1").drop("texts"), "meetings")
-    met = stored(sets.join(meetings.select("id").distinct(), "id", "left_semi"), "met")
     rows = meetings.count()
     placed = meetings.withColumn("root", F.col("id"))
     links = None
@@ -281,7 +292,7 @@ def similar_texts(sets: DataFrame) -> DataFrame:
         pairs = placed.select("shingle", row.alias("y")).join(head, "shingle")
         pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & _possible("x", "y"))
         pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-        more = stored(_similar(pairs, met), "similar")
+        more = stored(_similar(pairs, sets), "similar")
         links = more if links is None else links.unionByName(more)
         roots = components(links).withColumnRenamed("node", "id")
         placed = stored(
@@ -293,7 +304,7 @@ def similar_texts(sets: DataFrame) -> DataFrame:
         (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
     )
     pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    more = stored(_similar(pairs, met), "similar")
+    more = stored(_similar(pairs, sets), "similar")
     return components(more if links is None else links.unionByName(more))
 
 
