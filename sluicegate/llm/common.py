@@ -15,6 +15,9 @@ from pyspark.sql.types import StructField, StructType
 
 # Texts that a worker has as Python strings at a time; one longer text is taken alone.
 BATCH_BYTES = 4 << 20
+# A key with over this part of all rows, and this many, is hot: fewer keys than the divisor can be.
+HOT_SHARE = 1000
+HOT_ROWS = 1000
 HELD_OUT_OF = 5
 
 
@@ -81,6 +84,42 @@ def annotate(
     return docs.select(*columns, F.col(f"`{text}`").alias("text of the row")).mapInArrow(run, schema)
 
 
+def join_hot(rows: DataFrame, found: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``found``, a row per key with the number of the key's rows in ``count``.
+
+    Hot keys, fewer than ``HOT_SHARE`` by their definition, are joined where the rows lie; the rest is
+    shuffled. So no task gets a key with a third of all rows. ``how`` is inner or left.
+    """
+    total = found.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > max(total // HOT_SHARE, HOT_ROWS)
+    hot = found.filter(is_hot)
+    shuffled = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.filter(~is_hot), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(shuffled)
+
+
+def sheltered(
+    docs: DataFrame,
+    work: Callable[[DataFrame, dict[str, str]], DataFrame],
+    keep: list[str] | None = None,
+    needs: tuple[str, ...] = (),
+) -> DataFrame:
+    """Run an operator over documents whose columns may have the names of its own helpers.
+
+    ``work`` gets the frame with hidden names for the columns ``keep`` (all) and ``needs``, and a map from
+    the given names to the hidden ones. What it adds comes after the kept columns; one of these with the
+    name of an added column gives way to it.
+    """
+    kept = list(docs.columns) if keep is None else list(keep)
+    used = [*kept, *[c for c in needs if c not in kept]]
+    names = {c: f"column {number} of the caller" for number, c in enumerate(used)}
+    worked = work(docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in used]), names)
+    new = [c for c in worked.columns if c not in names.values()]
+    taken = {c.lower() for c in new}
+    return worked.select(
+        *[F.col(f"`{names[c]}`").alias(c) for c in kept if c.lower() not in taken], *[f"`{c}`" for c in new]
+    )
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

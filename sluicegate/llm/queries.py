@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicegate.catalog.tables import table
 from sluicegate.llm import (
+    alignment,
     bpe,
     decontamination,
     language,
@@ -21,12 +22,12 @@ from sluicegate.llm import (
 )
 from sluicegate.llm.checks import CORPUS_CHECKS
 from sluicegate.llm.common import documents, held_out
+from sluicegate.session import stored
 
 __all__ = ["CORPUS_CHECKS", "CORPUS_QUERIES"]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
-
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 MODEL_TOKENS = 512
 
 
@@ -112,6 +113,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
+    aligned = alignment.align(documents(spark, folder), TOKENIZER, PIECE_TOKENIZER, keep=["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    kept = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "alignments")
+    counted = alignment.add_counts(kept, alignment.vocabulary_size(TOKENIZER))
+    names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return counted.select(*names)
+
+
 CORPUS_QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_language": op2_language,
@@ -123,4 +134,5 @@ CORPUS_QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op13_alignment": op13_alignment,
 }
