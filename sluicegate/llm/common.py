@@ -58,6 +58,7 @@ def annotate(
     start: Callable[[], Callable[[list[str | None]], list[pa.Array]]],
     text: str = "text",
     keep: list[str] | None = None,
+    most: int = BATCH_BYTES,
 ) -> DataFrame:
     """Columns computed from a text column, after the columns ``keep`` (all).
 
@@ -73,7 +74,7 @@ def annotate(
         for batch in batches:
             work = work or start()
             texts = batch.column(len(names))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, most):
                 part = batch.slice(lo, hi - lo)
                 made = work(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(

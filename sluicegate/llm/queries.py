@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.catalog.tables import table
+from sluicegate.functions.text import let
 from sluicegate.llm import (
     alignment,
     bpe,
     decontamination,
     language,
+    licenses,
+    periodicity,
     pii,
     quality,
     secrets,
@@ -113,6 +116,61 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def with_planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text, in which a tenth of the documents gets a periodic end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        end = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), 1, n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), end), " ")).otherwise(text)
+
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.when((h % 10 == 0) & text.isNotNull(), let(words, planted)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_runs, the strongest run and the digests of every document."""
+    docs = documents(spark, folder).select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodicity.find_runs(docs, keep=["doc_id"]).withColumn("best", periodicity.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    ended = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(ended.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, the base places, the labels and the score of every document."""
+    found = licenses.scan(documents(spark, folder), keep=["doc_id"])
+    base = F.filter("notices", lambda notice: notice["kind"] == "base")
+
+    def labels(notices: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(notices, lambda n: n["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda notice: notice["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda notice: notice["word"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("notices")).alias("labels"),
+        "score",
+    )
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     aligned = alignment.align(documents(spark, folder), TOKENIZER, PIECE_TOKENIZER, keep=["doc_id"])
@@ -134,5 +192,7 @@ CORPUS_QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_licenses": op12_licenses,
     "op13_alignment": op13_alignment,
 }

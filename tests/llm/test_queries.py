@@ -24,7 +24,7 @@ def test_query(spark, name):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in names if name.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in names if name.startswith("op")}
     assert "pipeline" in names and set(contract.oracle_sql()) <= set(names)
 
 
