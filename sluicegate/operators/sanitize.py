@@ -39,8 +39,12 @@ FORMAT_RULES = (
     (r"[{}\[\]]", " "),
     (r"// todo:[^\n]*\n#", " "),
 )
+# A run of escapes is one blank. It is found escape by escape: the first becomes the blank, those that follow
+# another one go. A pattern that repeats the alternation would descend once per escape, without a bound.
+ESCAPE = r"(?:\\u[0-9a-f]{4}|\\x[0-9a-f]{2})"
 ENCODED_RULES = (
-    (r"(\\u[0-9a-f]{4}|\\x[0-9a-f]{2})+", " "),
+    (rf"(?<={ESCAPE}){ESCAPE}", ""),
+    (ESCAPE, " "),
     (r"[a-z0-9+/]{40,}={0,2}", " "),
     (r"(0x)?[0-9a-f]{32,}", " "),
 )
