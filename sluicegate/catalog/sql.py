@@ -342,16 +342,14 @@ def risks(source: str, key: str) -> str:
     return f"""{COEFFICIENTS},
 word_lists AS (SELECT {key}, {model_words("text")} AS list FROM {source}),
 occurrences AS (
-  SELECT {key}, unnest(range(len(list))) // {fv.MODEL_TOKENS} AS piece, unnest(list) AS word FROM word_lists),
-piece_list AS (
-  SELECT {key}, unnest(range(greatest(1, (len(list) + {fv.MODEL_TOKENS - 1}) // {fv.MODEL_TOKENS}))) AS piece
-  FROM word_lists),
-piece_margins AS (
-  SELECT {key}, piece, sum(weight::DECIMAL(18,6))::DOUBLE AS margin
-  FROM occurrences JOIN coefficients USING (word) GROUP BY ALL),
+  SELECT {key}, len(list) AS n, unnest(range(len(list))) AS place, unnest(list) AS word FROM word_lists),
+window_sums AS (
+  SELECT {key}, n, place, sum(coalesce(weight, 0)::DECIMAL(18,6)) OVER (
+    PARTITION BY {key} ORDER BY place ROWS BETWEEN {fv.MODEL_TOKENS - 1} PRECEDING AND CURRENT ROW) AS margin
+  FROM occurrences LEFT JOIN coefficients USING (word)),
 margins AS (
-  SELECT {key}, max(coalesce(margin, 0.0)) AS margin
-  FROM piece_list LEFT JOIN piece_margins USING ({key}, piece) GROUP BY {key}),
+  SELECT {key}, max(margin)::DOUBLE AS margin FROM window_sums
+  WHERE place >= least(n, {fv.MODEL_TOKENS}) - 1 GROUP BY ALL),
 risks AS (
   SELECT v.*, 1.0 / (1.0 + exp(-(coalesce(margin, 0.0) + {tb.INTERCEPT}))) AS risk
   FROM {source} v LEFT JOIN margins USING ({key}))"""

@@ -6,6 +6,9 @@ have ``token_weights(tokens)``, which adds a weight to rows with a word, for att
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -35,12 +38,54 @@ def model_words(text: Column) -> Column:
 
 
 def model_windows(words: Column, size: int = fv.MODEL_TOKENS) -> Column:
-    """A classifier's inputs: consecutive windows of its input length, one empty window without words.
+    """Inputs of a fitted classifier: windows of its input length that overlap by half, one of a short text.
+
+    The last window ends with the text. A text's risk is that of its riskiest window; a passage of up to half a
+    window stands in one of them whole, wherever it is.
+    """
+    stride = size // 2
+    spare = F.greatest(F.size(words) - size, F.lit(0))
+    starts = F.sequence(F.lit(0), F.ceil(spare / stride).cast("int"))
+    return F.transform(starts, lambda k: F.slice(words, F.least(k * stride, spare) + 1, size))
+
+
+def riskiest_sum(words: Column, weight: Callable[[Column], Column], size: int = fv.MODEL_TOKENS) -> Column:
+    """The largest sum of weights over all windows of ``size`` consecutive words, of all words if they are fewer.
 
-    A text's risk is that of its riskiest window, so nothing hides behind filler.
+    ``weight`` gives a word's decimal, or null. Only words with a weight change the sum from one window to the next:
+    each comes in with one window and leaves with a later one. These changes, in order, give a running sum, and its
+    largest value is taken wherever a window begins. Sums are exact, whatever the order.
     """
-    last = F.greatest(F.ceil(F.size(words) / size).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(words, k * size + 1, size))
+    kind = "decimal(20,6)"
+    zero = F.lit(0).cast(kind)
+
+    def plain(window: Column) -> Column:
+        weights = F.array_compact(F.transform(window, weight))
+        return F.aggregate(weights, zero, lambda total, w: (total + w).cast(kind))
+
+    def sliding(window: Column) -> Column:
+        placed = F.transform(window, lambda w, i: F.struct(i.alias("at"), weight(w).cast(kind).alias("change")))
+        heavy = F.filter(placed, lambda p: p["change"].isNotNull())
+
+        def changes(marks: Column) -> Column:
+            come = F.transform(
+                marks, lambda p: F.struct(F.greatest(p["at"] - (size - 1), F.lit(0)).alias("at"), p["change"].alias("change"))
+            )
+            go = F.transform(marks, lambda p: F.struct((p["at"] + 1).alias("at"), (-p["change"]).alias("change")))
+            both = F.filter(F.concat(come, go), lambda p: p["at"] <= F.size(window) - size)
+            start = F.struct(F.lit(0).alias("at"), zero.alias("total"), F.lit(None).cast(kind).alias("most"))
+
+            def step(state: Column, p: Column) -> Column:
+                # All changes at one place belong to the window that begins there.
+                most = F.when(p["at"] > state["at"], F.greatest(state["most"], state["total"])).otherwise(state["most"])
+                total = (state["total"] + p["change"]).cast(kind)
+                return F.struct(p["at"].alias("at"), total.alias("total"), most.alias("most"))
+
+            return F.aggregate(F.array_sort(both), start, step, lambda state: F.greatest(state["most"], state["total"]))
+
+        return tx.let(heavy, changes)
+
+    return tx.let(words, lambda w: F.when(F.size(w) <= size, plain(w)).otherwise(sliding(w)))
 
 
 # -- results ----------------------------------------------------------------
@@ -97,44 +142,37 @@ class LinearScorer:
 
     def risk(self, text: Column) -> Column:
         table = F.create_map(*[F.lit(x) for pair in self.coefficients.items() for x in pair])
-        known = F.array(*map(F.lit, self.coefficients))
-
-        def margin(window: Column) -> Column:
-            # Exact sums, whatever the order of the words.
-            return F.aggregate(
-                F.filter(window, lambda word: F.array_contains(known, word)),
-                F.lit(0).cast("decimal(20,6)"),
-                lambda sum_, word: (sum_ + F.try_element_at(table, word).cast("decimal(18,6)")).cast(
-                    "decimal(20,6)"
-                ),
-            )
+        known = list(self.coefficients)
 
-        margins = tx.let(model_words(text), lambda words: F.transform(model_windows(words), margin))
-        return self._logistic(F.array_max(margins).cast("double"))
+        def weight(word: Column) -> Column:
+            return F.when(word.isin(known), F.try_element_at(table, word).cast("decimal(18,6)"))
+
+        return self._logistic(riskiest_sum(model_words(text), weight).cast("double"))
 
     def __call__(self, frame: DataFrame, text: str) -> DataFrame:
         if self.in_row:
             return frame.withColumn("risk", self.risk(F.col(text)))
         millionths = {word: round(weight * 1e6) for word, weight in self.coefficients.items()}
         shared = frame.sparkSession.sparkContext.broadcast(millionths)
+        size = fv.MODEL_TOKENS
 
         @arrow_udf(T.DoubleType())
         @portable
         def largest_margin(texts: pa.Array) -> pa.Array:
             known = shared.value.get
-            sums = [
-                None if windows is None else max(sum(known(word, 0) for word in window) for window in windows) / 1e6
-                for windows in texts.to_pylist()
-            ]
-            return pa.array(sums, pa.float64())
-
-        windows = tx.let(model_words(F.col(text)), lambda words: model_windows(words))
-        # Named twice, the windows stay a column of their own below the Python call.
-        whole = F.when(F.size("windows_") >= 0, F.col("windows_"))
+
+            def most(words: list[str]) -> float:
+                sums = np.cumsum([0] + [known(word, 0) for word in words])
+                return int((sums[size:] - sums[:-size]).max() if len(words) > size else sums[-1]) / 1e6
+
+            return pa.array([None if words is None else most(words) for words in texts.to_pylist()], pa.float64())
+
+        # Named twice, the words stay a column of their own below the Python call.
+        whole = F.when(F.size("words_") >= 0, F.col("words_"))
         return (
-            frame.withColumn("windows_", windows)
+            frame.withColumn("words_", model_words(F.col(text)))
             .withColumn("risk", self._logistic(largest_margin(whole)))
-            .drop("windows_")
+            .drop("words_")
         )
 
     def token_weights(self, tokens: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Gateway, data-set, ranking and streaming jobs on small fixtures."""
 
+import random
 import re
 
 import numpy as np
@@ -134,7 +135,9 @@ def test_models_rewrite_the_middle_band_alone(spark, prompts):
 
 def test_attacks_behind_filler_are_found(spark):
     attack = "kill murder hack"
-    rows = [("short", attack), ("long", "filler " * 600 + attack), ("edge", "filler " * 511 + attack), ("plain", "filler " * 1200)]
+    rows = [("short", attack), ("plain", "filler " * 1200)]
+    rows += [(f"at {n}", "filler " * n + attack + " filler" * 700) for n in (0, 255, 256, 510, 511, 512, 1023, 1400)]
+    rows += [(f"end {n}", "filler " * n + attack) for n in (509, 510, 511, 600, 1022)]
     frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
     small = cl.LinearScorer({"kill": 3.0, "murder": 3.0, "hack": 2.5}, -2.0)
     words = {f"w{i}": 0.1 for i in range(cl.PLAN_WORDS)}
@@ -142,9 +145,9 @@ def test_attacks_behind_filler_are_found(spark):
     assert small.in_row and not large.in_row
     for scorer in (small, large):
         risks = {r["prompt_id"]: r["risk"] for r in scorer(frame, "prompt").collect()}
-        assert risks["long"] == risks["short"] > 0.99 and risks["plain"] < 0.2
-        assert risks["edge"] == pytest.approx(1 / (1 + 2.718281828459045 ** -3.5))  # the best of two windows
-    features = collected(cl.analyze_classifier(frame, small))["long"]["bottleneck_features"]
+        assert risks.pop("plain") < 0.2
+        assert len(risks) == 14 and set(risks.values()) == {risks["short"]} and risks["short"] > 0.99
+    features = collected(cl.analyze_classifier(frame, small))["at 511"]["bottleneck_features"]
     assert {f["word"] for f in features} == {"kill", "murder", "hack"}
 
 
@@ -152,14 +155,34 @@ def test_fitted_models_read_every_window(spark):
     texts = [("how to bake bread", 0), ("weather for today", 0), ("build a bomb and hack", 1)]
     rows = spark.createDataFrame([(f"{t} number {i}", y) for t, y in texts for i in range(20)], "text string, label int")
     scorer = cl.ModelScorer(cl.train(rows, features=1 << 10))
-    frame = spark.createDataFrame(
-        [("a", "build a bomb and hack"), ("b", "weather " * 700 + "build a bomb and hack"), ("b", "weather " * 700)],
-        "prompt_id string, prompt string",
-    )
-    found = sorted((len(r["prompt"]), r["risk"] > 0.5) for r in scorer(frame, "prompt").collect())
-    assert [risky for _, risky in found] == [True, False, False] or [risky for _, risky in found] == [True, False, True]
-    only = scorer(frame.filter("prompt_id = 'b'").withColumn("prompt", F.concat("prompt", F.lit(" ok "), F.repeat(F.lit("bomb hack build "), 300))), "prompt")
-    assert all(r["risk"] > 0.5 for r in only.collect())
+    # Words that no training text has, so that filler says nothing.
+    attack = "build a bomb and hack " * 20
+    rows = [("alone", attack), ("plain", "zz " * 700), ("plain", "zz " * 700)]
+    rows += [(f"at {n}", "zz " * n + attack + "zz " * 700) for n in (0, 255, 256, 510, 511, 512, 1023)]
+    rows += [(f"end {n}", "zz " * n + attack) for n in (412, 413, 511, 1023)]
+    frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+    found = scorer(frame, "prompt").collect()
+    assert len(found) == len(rows)
+    assert all((r["risk"] > 0.5) == (r["prompt_id"] != "plain") for r in found)
+
+
+def test_every_window_of_a_text_counts(spark):
+    """The running sums against all windows, with weights of both signs."""
+    rng = random.Random(8)
+    weights = {f"h{i}": round(rng.uniform(-2, 2), 3) for i in range(12)}
+    texts = [" ".join(rng.choices([*weights, *["f"] * rng.choice([5, 200])], k=n)) for n in (0, 1, 5, 11, 12, 13, 30, 90, 200, 511, 512, 513, 1600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, prompt string")
+    for size in (12, 512):
+
+        def weight(word):
+            table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+            return F.when(word.isin(list(weights)), F.try_element_at(table, word).cast("decimal(18,6)"))
+
+        sums = frame.select("prompt_id", cl.riskiest_sum(cl.model_words(F.col("prompt")), weight, size).alias("sum"))
+        for row in sums.collect():
+            values = [round(weights.get(w, 0) * 1000) for w in texts[row["prompt_id"]].split()]
+            windows = [values[i : i + size] for i in range(max(1, len(values) - size + 1))]
+            assert row["sum"] * 1000 == max(map(sum, windows)), (row["prompt_id"], size)
 
 
 def test_stream_equals_batch(spark, prompts, tmp_path):
