@@ -10,17 +10,13 @@ Equal fingerprints collapse before the join, so copies never meet as pairs, howe
 a variant agree in all other bits of a segment: their number follows the different fingerprints around one
 point, not the rows. Links become components by alternating stars (see ``graph``).
 
-``keep_one_of_each`` is a coarser dedup of whole texts, at a Jaccard similarity of 0.8 of the sets of five-word
-shingles. At that distance no short segment of a fingerprint is sure to agree, so it takes no fingerprints but the
-sets themselves, by an exact prefix join: with the shingles of all texts in one order, two sets of at least 0.8
-share one among the first ``n - ceil(0.8 n) + 1`` of each. Texts that meet there are candidates, and the overlap of
-their sets decides. Shingles that a sample finds common come last in the order, which saves candidates and changes
-no result. A group of thousands is first compared with one of its texts; then all texts that meet and aren't yet
-in one component are compared, each with each.
+``keep_one_of_each`` keeps of each group the row with the smallest key. Where rows share that key, their hash over
+all columns decides, so a retried task keeps the same one; rows equal in all columns count as one.
 
 Null texts and texts without words have the fingerprint zero. Repeated rows stay, with the same component; null
 ids are never a component's smallest id unless there is no other. Rows are texts of any length; memory per task
-is 4 MB of texts, or one longer text, and the hashes of a slice of its shingles.
+is 4 MB of texts, or one longer text, and the hashes of a slice of its shingles. Empty tables give empty results.
+Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,11 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import LongType, StructField
 
-from sluicegate.llm.common import annotate, ship
+from sluicegate.llm.common import annotate, join_hot, ship
 from sluicegate.llm.graph import components
 from sluicegate.session import stored
 
@@ -44,20 +40,6 @@ MOST_BITS = 3
 HASHES = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-# The coarser dedup: sets of shingles similar at SIMILAR[0] / SIMILAR[1].
-WORDS_IN_SHINGLE = 5
-SIMILAR = (4, 5)
-# Texts, and times a shingle must be in them, that find common shingles; and at most so many of these.
-SAMPLE_TEXTS = 20_000
-COMMON_FROM = 5
-COMMON = 200_000
-# Pairs per meeting up to which all are compared at once, and rounds with one text of each meeting before that.
-PAIRS_PER_MEETING = 4
-ROUNDS = 6
-SALTS = 64
-# Bits of a map that keeps most sets without a candidate from moving.
-MAP_BITS = 24
-
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
@@ -114,41 +96,65 @@ def segments(most_bits: int) -> list[tuple[int, int]]:
 
 
 def variants(fingerprints: DataFrame, most_bits: int) -> DataFrame:
-    """segment, bit, value, fingerprint: each segment once per bit, with that bit wiped."""
+    """variant, value, fingerprint: each segment once per bit, with that bit wiped.
+
+    The variant's number is ``BITS`` times that of the segment, plus the bit.
+    """
     made = []
     for number, (offset, width) in enumerate(segments(most_bits)):
         value = F.shiftrightunsigned("fingerprint", offset).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         for bit in range(width):
             wiped = value.bitwiseAND(F.lit(_signed(~(1 << bit))))
-            made.append(F.struct(F.lit(number).alias("segment"), F.lit(bit).alias("bit"), wiped.alias("value")))
+            made.append(F.struct(F.lit(number * BITS + bit).alias("variant"), wiped.alias("value")))
     return fingerprints.select("fingerprint", F.explode(F.array(*made)).alias("v")).select(
-        F.col("v.segment").alias("segment"), F.col("v.bit").alias("bit"), F.col("v.value").alias("value"), "fingerprint"
+        "v.variant", "v.value", "fingerprint"
     )
 
 
-def _first_meeting(difference: Column, most_bits: int) -> Column:
+def _first_meeting(difference: Column, variant: Column, most_bits: int) -> Column:
     """Whether a pair's variant is the first in which it meets."""
-    result, earlier = F.lit(False), F.lit(True)
+    cases, earlier = [], F.lit(True)
+    segment, bit = F.floor(variant / BITS), variant % BITS
     for number, (offset, width) in enumerate(segments(most_bits)):
         part = F.shiftrightunsigned(difference, offset).bitwiseAND(F.lit(_signed((1 << width) - 1)))
-        wiped = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-        here = ((part == 0) & (F.col("bit") == 0)) | (part == wiped)
-        result = result | ((F.col("segment") == number) & here & earlier)
+        wiped = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        here = ((part == 0) & (bit == 0)) | (part == wiped)
+        cases.append((number, here & earlier))
         earlier = earlier & (F.bit_count(part) > 1)
+    # Cases, not alternatives: a condition on one side alone would be pushed below its exchange.
+    result = cases[0][1]
+    for number, case in cases[1:]:
+        result = F.when(segment == number, case).otherwise(result)
     return result
 
 
 def links(fingerprints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """a, b: all pairs of different fingerprints, a < b, with at most ``most_bits`` different bits."""
     indexed = variants(fingerprints, most_bits)
-    other = indexed.withColumnRenamed("fingerprint", "b")
-    difference = F.col("fingerprint").bitwiseXOR(F.col("b"))
-    pairs = indexed.join(other, ["segment", "bit", "value"]).filter(
-        (F.col("fingerprint") < F.col("b"))
+    # Both sides are the same frame under two aliases, so that one exchange of the index serves both.
+    one, other = indexed.alias("one"), indexed.alias("other")
+    a, b = F.col("one.fingerprint"), F.col("other.fingerprint")
+    difference = a.bitwiseXOR(b)
+    same = (F.col("one.variant") == F.col("other.variant")) & (F.col("one.value") == F.col("other.value"))
+    pairs = one.join(other, same).filter(
+        (a < b)
         & (F.bit_count(difference) <= most_bits)
-        & _first_meeting(difference, most_bits)
+        & _first_meeting(difference, F.col("one.variant"), most_bits)
+    )
+    return pairs.select(a.alias("a"), b.alias("b"))
+
+
+def grouped(printed: DataFrame, best: Column, most_bits: int) -> DataFrame:
+    """fingerprint, root, best, rows, stored: a component's least fingerprint, and of each fingerprint the
+    least ``best`` and the number of rows."""
+    each = stored(printed.groupBy("fingerprint").agg(F.min(best).alias("best"), F.count("*").alias("rows")), "each")
+    rooted = components(links(each.select("fingerprint"), most_bits)).withColumnRenamed("node", "fingerprint")
+    return stored(
+        each.join(rooted, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "best", "rows"
+        ),
+        "grouped",
     )
-    return pairs.select(F.col("fingerprint").alias("a"), "b")
 
 
 def group_documents(
@@ -161,186 +167,49 @@ def group_documents(
     """key, fingerprint (long), component_id: the smallest key that links reach, for every row."""
     named = docs.select(F.col(f"`{key}`").alias("row key"), F.col(f"`{text}`").alias("row text"))
     printed = stored(add_fingerprints(named, "row text", "fingerprint", size, ["row key"]), "fingerprints")
-    first = stored(printed.groupBy("fingerprint").agg(F.min("row key").alias("first")), "first")
-    rooted = components(links(first.select("fingerprint"), most_bits)).withColumnRenamed("node", "fingerprint")
-    linked = first.join(rooted, "fingerprint")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    moved = stored(linked.join(least, "root").select("fingerprint", "least"), "least")
-    named_groups = first.join(moved, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("least", "first").alias("component_id")
-    )
-    return printed.join(named_groups, "fingerprint").select(
+    groups = grouped(printed, F.col("row key"), most_bits)
+    least = groups.groupBy("root").agg(F.min("best").alias("component_id"))
+    named_groups = groups.join(least, "root").select("fingerprint", "component_id", "rows")
+    return join_hot(printed, stored(named_groups, "components"), "fingerprint", "rows").select(
         F.col("row key").alias(key), "fingerprint", "component_id"
     )
 
 
-def add_sets(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Add ``shingles``, the sorted different hashes of a text's five-word shingles."""
-    kind = ArrayType(LongType(), False)
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes, 128 bits together, over all columns and which of them are null."""
+    nulls = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    values = [
+        F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value
+        for field in docs.schema
+        for value in [F.col(f"`{field.name}`")]
+    ]
+    return [F.xxhash64(F.lit(seed), *nulls, *values) for seed in (1, 2)]
 
-    def start():
-        def work(texts):
-            sets = [np.unique(hashes(shingles(words_of(t), WORDS_IN_SHINGLE)).view(np.int64)) for t in texts]
-            ends = np.cumsum([0] + [len(found) for found in sets]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))]
-
-        return work
-
-    return annotate(docs, [StructField("shingles", kind)], start, text, keep)
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many texts of a sample have, and their numbers of texts."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, sets.count()))
-    sample = sets.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    counts = sample.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    counts = stored(counts.filter(F.col("n") >= COMMON_FROM), "common")
-    least, total = COMMON_FROM, 0
-    for n, number in sorted(((row[0], row[1]) for row in counts.groupBy("n").count().collect()), reverse=True):
-        total += number
-        if total > COMMON:
-            least = n + 1
-            break
-    rows = counts.filter(F.col("n") >= least).toArrow()
-    shingle, n = (rows[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
-    order = np.argsort(shingle)
-    return shingle[order], n[order]
-
-
-def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n, place, shingle: the first shingles of each set of n, one of which any similar set has among its own."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches):
-        known, counts = shared.value
-        for batch in batches:
-            ids, starts = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy()
-            values = batch.column(1).values.to_numpy()
-            for i, key in enumerate(ids):
-                found = values[starts[i] : starts[i + 1]]
-                often = np.zeros(len(found), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    often = np.where(known[at] == found, counts[at], 0)
-                n = len(found)
-                first = found[np.lexsort((found, often))[: n + 1 + (-SIMILAR[0] * n) // SIMILAR[1]]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), key)),
-                        pa.array(np.full(len(first), n, dtype=np.int32)),
-                        pa.array(np.arange(len(first), dtype=np.int32)),
-                        pa.array(first),
-                    ],
-                    names=["id", "n", "place", "shingle"],
-                )
-
-    return sets.select("id", "shingles").mapInArrow(run, "id long, n int, place int, shingle long")
-
-
-def _possible(one: str, other: str) -> Column:
-    """Whether two sets can be similar, as far as their sizes and the place of their first common shingle tell."""
-    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
-    most = F.least(n - F.col(f"{one}.place"), m - F.col(f"{other}.place"))
-    part, whole = SIMILAR
-    return (most * (part + whole) >= (n + m) * part) & (F.least(n, m) * whole >= F.greatest(n, m) * part)
-
-
-def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets whose id is in a column of ids, and few others: by a broadcast map of fixed size, nothing moves."""
-    place = F.pmod(F.col("id"), F.lit(1 << MAP_BITS))
-    word = F.shiftright(place, 6).alias("word")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    words = ids.toDF("id").select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    known = sets.withColumn("word", word).join(F.broadcast(words), "word")
-    return known.filter(F.col("bits").bitwiseAND(bit) != 0).select("id", "shingles")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the different pairs (a, b) whose sets are similar. ``a`` may be in very many of them."""
-    part = F.pmod(F.xxhash64("b"), F.lit(SALTS))
-    spread = pairs.withColumn("part", part)
-    ones = _of(sets, pairs.select("a")).select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-    others = _of(sets, pairs.select("b")).select(F.col("id").alias("b"), F.col("shingles").alias("other"))
-    ones = spread.select("a", "part").distinct().join(ones, "a")
-    both = spread.join(others, "b").join(ones, ["a", "part"])
-    common = F.size(F.array_intersect("one", "other"))
-    fits = common * sum(SIMILAR) >= (F.size("one") + F.size("other")) * SIMILAR[0]
-    return both.filter(fits).select("a", "b")
-
-
-def similar_texts(sets: DataFrame) -> DataFrame:
-    """node, root: components of the different texts (id, shingles) that are similar to others."""
-    by_shingle = Window.partitionBy("shingle")
-    first = prefixes(sets, common_shingles(sets)).withColumn("texts", F.count("*").over(by_shingle))
-    meetings = stored(first.filter("texts > 1").drop("texts"), "meetings")
-    rows = meetings.count()
-    placed = meetings.withColumn("root", F.col("id"))
-    links = None
-    last = None
-    for number in range(ROUNDS + 1):
-        members = placed.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-        squares = members.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = squares.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0] or 0
-        few = left <= 2 * PAIRS_PER_MEETING * rows
-        if few or number == ROUNDS or (last is not None and left > 0.9 * last):
-            break
-        last = left
-        # One text of each meeting, by an order that is the same in all meetings and new in every round.
-        row = F.struct("id", "n", "place", "root")
-        order = F.struct(F.xxhash64("id", F.lit(number)), "id")
-        head = placed.groupBy("shingle").agg(F.min_by(row, order).alias("x"))
-        pairs = placed.select("shingle", row.alias("y")).join(head, "shingle")
-        pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & _possible("x", "y"))
-        pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-        more = stored(_similar(pairs, sets), "similar")
-        links = more if links is None else links.unionByName(more)
-        roots = components(links).withColumnRenamed("node", "id")
-        placed = stored(
-            meetings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed"
-        )
-    row = F.struct("id", "n", "place", "root")
-    one, other = placed.select("shingle", row.alias("x")), placed.select("shingle", row.alias("y"))
-    pairs = one.join(other, "shingle").filter(
-        (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y")
-    )
-    pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    more = stored(_similar(pairs, sets), "similar")
-    return components(more if links is None else links.unionByName(more))
 
+def keep_one_of_each(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    size: int = SHINGLE,
+    most_bits: int = MOST_BITS,
+) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked fingerprints: the one with the smallest key."""
+    hidden = [f"column {number}" for number in range(len(docs.columns))]
+    names = dict(zip(docs.columns, hidden))
+    frame = docs.toDF(*hidden)
+    ones, others = row_hashes(frame)
+    frame = frame.withColumn("row one", ones).withColumn("row other", others)
+    named = frame.select(F.col(names[key]).alias("row key"), "row one", "row other", F.col(names[text]).alias("row text"))
+    keep = ["row key", "row one", "row other"]
+    printed = stored(add_fingerprints(named, "row text", "fingerprint", size, keep), "fingerprints")
+    order = F.struct(F.col("row key").isNull().alias("no key"), *[F.col(c) for c in keep])
+    groups = grouped(printed, order, most_bits)
+    best = groups.groupBy("root").agg(F.min("best").alias("best"))
+    keepers = stored(best.select("best.row one", "best.row other"), "keepers")
+    rows = ["row one", "row other"]
+    return frame.join(keepers, rows, "left_semi").dropDuplicates(rows).select(*hidden).toDF(*docs.columns)
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each group of similar texts: the one with the smallest key.
 
-    Texts without words make no group and stay, but for rows that repeat another in all columns. Keys and hashes
-    decide, texts move twice.
-    """
-    text_id = F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0))
-    has_words = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # Rows without words are told apart by all their columns.
-    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    row_id = F.when(has_words, F.xxhash64(text_id, F.col(f"`{key}`"))).otherwise(whole)
-    plain = docs.filter(~has_words).select(whole.alias("row of a group"))
-    worded = docs.filter(has_words).select(
-        F.col(f"`{key}`").alias("row key"), text_id.alias("id"), F.col(f"`{text}`").alias("row text")
-    )
-    first = stored(worded.groupBy("id").agg(F.min("row key").alias("row key")), "first")
-    different = worded.select("id", "row text").dropDuplicates(["id"])
-    sets = stored(add_sets(different, "row text", ["id"]), "sets")
-    rooted = similar_texts(sets).withColumnRenamed("node", "id")
-    linked = first.join(rooted, "id")
-    best = linked.groupBy("root").agg(
-        F.min(F.struct(F.col("row key").isNull().alias("no key"), "row key", "id")).alias("best")
-    )
-    kept = best.select(F.col("best.id").alias("id"), F.col("best.row key").alias("row key"))
-    alone = first.join(rooted.select("id"), "id", "left_anti")
-    keepers = kept.unionByName(alone).select(F.xxhash64("id", "row key").alias("row of a group"))
-    keepers = stored(keepers.unionByName(plain).distinct(), "keepers")
-    return (
-        docs.withColumn("row of a group", row_id)
-        .dropDuplicates(["row of a group"])
-        .join(keepers, "row of a group", "left_semi")
-        .drop("row of a group")
-    )
 
 
 ship(__name__)

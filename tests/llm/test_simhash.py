@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sluicegate.llm import simhash
+from sluicegate.llm import common, simhash
 from sluicegate.llm.graph import components
 from sluicegate.llm.queries import op7_simhash
 
@@ -95,101 +95,84 @@ def test_odd_rows(spark):
     assert simhash.group_documents(docs.limit(0)).count() == 0
 
 
+def survivors(rows):
+    """doc_ids of rows (doc_id, text) that stay: of each component of linked fingerprints the smallest."""
+    prints = [fingerprint(text) for _, text in rows]
+    near = [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if (prints[a] ^ prints[b]).bit_count() <= simhash.MOST_BITS
+    ]
+    groups = {}
+    for place, root in roots(range(len(rows)), near).items():
+        groups.setdefault(root, []).append(rows[place][0])
+    return sorted(min((i is None, i or 0) for i in ids) for ids in groups.values())
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(1)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(3000)]
-
-    def fresh():
-        return rng.choices(vocabulary, k=rng.randint(40, 300))
-
-    rows, groups, number = [], [], 0
+    rows, number = [], 0
     for _ in range(60):
-        words = fresh()
-        family = [words]
-        for _ in range(rng.randint(0, 4)):
+        words = rng.choices(vocabulary, k=rng.randint(40, 300))
+        for _ in range(rng.randint(1, 5)):
             copy = list(words)
-            for _ in range(len(words) // 100):
+            for _ in range(rng.randint(0, len(words) // 60)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
-            family.append(copy)
-        groups.append([number + i for i in range(len(family))])
-        rows += [(number + i, " ".join(w)) for i, w in enumerate(family)]
-        number += len(family)
-    odd = [(9001, None), (9001, None), (9002, ""), (9003, " "), (None, "only one such text here")]
-    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(5)
-    kept = [row.doc_id for row in simhash.keep_one_of_each(docs).collect()]
-    assert sorted(i for i in kept if i is not None and i < 9000) == [g[0] for g in groups]
-    assert sorted(i for i in kept if i is not None and i > 9000) == [9001, 9002, 9003] and kept.count(None) == 1
+            rows.append((number, " ".join(copy)))
+            number += 1
+    rng.shuffle(rows)
+    rows += [(9001, None), (9001, None), (9002, ""), (9003, " "), (None, "only one such text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = simhash.keep_one_of_each(docs).collect()
+    assert sorted((row.doc_id is None, row.doc_id or 0) for row in kept) == survivors(rows)
+    assert 60 < len(kept) < len(rows) and [row.doc_id for row in kept].count(9001) == 1
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_ties_are_decided_by_all_columns(spark):
+    rows = [(1, "one text of some words", source, {"a": n}) for source in "cab" for n in (1, 2)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `row one` map<string,int>")
+    kept = {tuple(map(str, simhash.keep_one_of_each(docs.repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+    assert simhash.keep_one_of_each(docs).columns == docs.columns
+
+
 def test_large_families_collapse(spark):
-    words = [f"w{i}" for i in range(150)]
     rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
     rows = []
-    for i in range(400):
+    for i in range(600):
         copy = list(words)
-        for _ in range(rng.randint(0, 2)):
-            copy[rng.randrange(150)] = f"x{rng.randrange(1000)}"
+        copy[rng.randrange(3000)] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [row.doc_id for row in simhash.keep_one_of_each(docs).collect()] == [0]
 
 
-def test_majority_of_many_hashes():
-    values = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = [(2 * int(((values >> np.uint64(b)) & np.uint64(1)).sum()) > len(values)) for b in range(64)]
-    assert simhash.majority(values) % (1 << 64) == sum(1 << b for b in range(64) if bits[b])
-
-
-def jaccard(one, other):
-    one, other = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, other))
-    return len(one & other) / len(one | other)
-
-
-def test_passages_in_one_run(spark):
-    rng = random.Random(11)
-    rows, wanted = [], set()
-    for number in range(60):
-        words = [f"w{rng.randrange(40_000)}" for _ in range(rng.randint(200, 600))]
-        size = int(len(words) * rng.uniform(0.1, 0.24))
-        new = [f"n{rng.randrange(40_000)}" for _ in range(size)]
-        at = rng.randint(30, len(words) - 30)
-        drop = int(size * 0.7)
-        other = [words + new, words[:at] + new + words[at:], words[: at - at // 2] + words[at - at // 2 + drop :]][number % 3]
-        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(other))]
-        wanted.add(2 * number)
-        if jaccard(words, other) < 0.8:
-            wanted.add(2 * number + 1)
-    assert 60 < len(wanted) < 75
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {row.doc_id for row in simhash.keep_one_of_each(docs).collect()} == wanted
+def test_a_hot_text_is_joined_where_its_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(i, "the same text of all these rows") for i in range(500)] + [(i, f"w{i} " * 9) for i in range(500, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in simhash.group_documents(docs).collect()}
+    assert len(found) == 900 and {found[i] for i in range(500)} == {0}
+    assert {found[i] for i in range(500, 900)} <= set(range(500, 900))
 
 
-def test_rows_without_words_stay(spark):
-    rows = [(None, None, "a"), (None, None, "b"), (None, "", "a"), (1, " ", "a"), (1, " ", "b"), (1, " ", "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = [tuple(row) for row in simhash.keep_one_of_each(docs).collect()]
-    assert len(found) == 5 and set(found) == set(rows)
+def test_the_index_is_shuffled_once(spark):
+    frame = spark.range(5000).select(F.xxhash64("id").alias("fingerprint"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.links(frame)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
 
 
-def test_a_near_pair_among_unrelated_texts(spark):
-    rng = random.Random(5)
-    shared = [f"s{i}" for i in range(12)]
-    rows = [(i, " ".join(shared + [f"u{rng.randrange(10**6)}" for _ in range(60)])) for i in range(600)]
-    words = shared + [f"v{i}" for i in range(88)]
-    rows += [(1000, " ".join(words)), (1001, " ".join(words + ["t1", "t2", "t3", "t4", "t5"]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted(row.doc_id for row in simhash.keep_one_of_each(docs).collect())
-    assert found == [*range(600), 1000]
-
-
-def test_pairs_under_the_limit_stay(spark):
-    rows, wanted = [], []
-    for number in range(80):
-        words = [f"p{number}w{i}" for i in range(204)]
-        # 200 shingles, and so many more: 200 / 250 is 0.8, 200 / 251 isn't.
-        more = [f"p{number}n{i}" for i in range(50 + number % 2)]
-        rows += [(2 * number, " ".join(words)), (2 * number + 1, " ".join(words + more))]
-        wanted += [2 * number, 2 * number + 1][: 1 + number % 2]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(row.doc_id for row in simhash.keep_one_of_each(docs).collect()) == wanted
+def test_majority_of_many_hashes():
+    values = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = [(2 * int(((values >> np.uint64(b)) & np.uint64(1)).sum()) > len(values)) for b in range(64)]
+    assert simhash.majority(values) % (1 << 64) == sum(1 << b for b in range(64) if bits[b])
