@@ -14,7 +14,9 @@ Where an overlap has no such boundary (a run of a hundred thousand letters is on
 again with twice the chunk and four times the overlap, in the end whole. Chunks belong to a text's SHA-256,
 so a retried task repeats them, and copies of a text count once where chunks meet.
 
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows stay. Memory per task is the tokenizer, 4 MB of
+Null texts count as empty: 0 bytes, 0 tokens. Repeated rows stay, and a text that very many rows have is counted once
+and joined where they lie. Empty tables give empty results. Other columns may have any names; one called n_bytes or
+n_tokens gives way. Memory per task is the tokenizer, 4 MB of
 texts (or one longer text) and a bounded cache.
 """
 
@@ -155,7 +157,8 @@ def splice(summaries: DataFrame) -> DataFrame:
     A chunk counts from the boundary it shares with the chunk before up to the one it shares with the
     next. A row per chunk moves here, no text.
     """
-    once_each = summaries.dropDuplicates(["text_key", "chunk"])
+    # Stored: the join reads both sides from it, and no chunk is encoded for each of them.
+    once_each = stored(summaries.dropDuplicates(["text_key", "chunk"]), "summaries")
     following = once_each.select(
         "text_key",
         (F.col("chunk") - 1).alias("chunk"),
