@@ -60,8 +60,9 @@ _NAME_WORD = (
 )
 _INITIALS = r"\p{Lu}(?:\.\p{Lu}){0,5}+\.?"
 # Every alternative starts where its kind of run starts and takes bounded or possessive steps: linear in the text.
+# No group repeats without a bound, because Java's matcher descends once per repetition; a domain has 127 labels at most.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}"
     r"|(?: [A-Z0-9]{4}){2}(?:(?: [A-Z0-9]{4}){1,5}(?: [A-Z0-9]{1,3})?| [A-Z0-9]{3})(?<=[0-9][A-Z]{0,3}))(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
