@@ -12,7 +12,8 @@ with most letters, its score the share of letters so labelled.
 Null texts and texts without a letter are ``und`` with score 0. Words in a script that no language was seen in
 take the language around them but count for none; a text of only such words gets the most frequent
 language with score 0. Without any row to
-learn from every text is ``und``. Rows with a null language aren't learned from. Repeated rows stay. Memory per
+learn from every text is ``und``. Rows with a null language aren't learned from. Repeated rows stay; empty tables give empty results. Other columns may
+have any names; those of added columns give way. Memory per
 task is the model, 4 MB of texts (or one longer text) and a bounded cache. No row is moved.
 """
 
@@ -68,9 +69,18 @@ SCRIPT_BLOCKS = (
 SCRIPTS = sorted({script for _, script in SCRIPT_BLOCKS})
 _STARTS = [start for start, _ in SCRIPT_BLOCKS]
 _NUMBERS = [SCRIPTS.index(script) for _, script in SCRIPT_BLOCKS]
+# Letters and the numerals that aren't digits, such as those of fractions and Roman numbers.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (general category L) of a text."""
+    found = LETTERS.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return "".join(char if char.isalpha() else " " for char in text).split()
+
+
 def script_of(word: str) -> int:
     """Number of the script that most letters of a word belong to; the first one of equals."""
     if word.isascii():
@@ -123,7 +133,7 @@ def fit(
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in LETTERS.findall((value or "").lower()):
+                for word in letter_runs((value or "").lower()):
                     for place in (*grams(word, buckets), buckets + script_of(word)):
                         counts[name, place] = counts.get((name, place), 0) + 1
             if counts:
@@ -174,7 +184,7 @@ class Labeller:
             self.place[piece] = row
             self.scores[row] = 0
             self.letters[row] = self.known[row] = 0
-            for word in LETTERS.findall(piece):
+            for word in letter_runs(piece):
                 self.letters[row] += len(word)
                 able = allowed[script_of(word)]
                 if able.any():
@@ -265,7 +275,8 @@ def label(
     penalty: float = PENALTY,
 ) -> DataFrame:
     """Add lang_pred, score, n_spans and, if asked for, the spans of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus
+    # Buckets x languages, whatever the corpus. Plain values: workers unpickle them without this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.allowed))
     digest = (zlib.crc32(model.scores.tobytes()), tuple(model.languages), penalty)
     span = StructType(
         [StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())]
@@ -273,7 +284,7 @@ def label(
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def start():
-        labeller = once(("language", digest), lambda: Labeller(shared.value, penalty))
+        labeller = once(("language", digest), lambda: Labeller(Model(*shared.value), penalty))
 
         def work(texts):
             names, shares, runs, spans = labeller.label(texts, with_spans)

@@ -246,29 +246,14 @@ class Scorer:
         return result
 
 
-def score(self, texts: list[str | None]) -> list[float]:
-        if len(self.cache) > CACHED_PIECES:
-            self.cache = {}
-        result = []
-        for text in texts:
-            parts = (text or "").lower().split()
-            for piece in set(parts).difference(self.cache):
-                self.cache[piece] = self.piece(piece)
-            found = [self.cache[piece] for piece in parts]
-            number = sum([n for _, n in found])
-            mean = sum([value for value, _ in found]) / number if number else 0.0
-            odds = min(max(mean + self.model.intercept, -700.0), 700.0)
-            result.append(float(1 / (1 + np.exp(-odds))))
-        return result
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the score of label 1, between 0 and 1, of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: workers unpickle them without this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
     digest = (zlib.crc32(model.weights.tobytes()), model.intercept)
 
     def start():
-        scorer = once(("toxicity", digest), lambda: Scorer(shared.value))
+        scorer = once(("toxicity", digest), lambda: Scorer(Model(*shared.value)))
         return lambda texts: [pa.array(scorer.score(texts), pa.float64())]
 
     return annotate(docs, [StructField("score", DoubleType())], start, text, keep)
