@@ -6,13 +6,13 @@ given tables. All but the last keep the columns of the documents, whatever they
 | stage | what it does |
 |---|---|
 | toxicity | rows whose text scores 0.5 or more go |
-| near_duplicates | one row of each group of similar texts stays, the one with the smallest id |
+| near_duplicates | one row of each group of linked SimHash fingerprints stays, the one with the smallest id |
 | decontamination | rows with a benchmark passage go |
 | surrogates | personal data in texts is replaced |
 | tokens | doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row |
 
-Null and empty texts pass all stages, with any id or none; only near_duplicates keeps one of such rows that agree in
-all columns. Rows with null ids are rows like others. Empty tables give empty results.
+Null and empty texts pass all stages, with any id or none, but for near_duplicates: texts without words have the same
+fingerprint and are one group. Rows with null ids are rows like others. Empty tables give empty results.
 """
 
 from __future__ import annotations
