@@ -51,6 +51,22 @@ def lexicon_fuzzy(spark, folder):
     )
 
 
+@query(
+    "lexicon_fuzzy_map",
+    f"""WITH {sql.MATCHES}
+SELECT DISTINCT token, term, round(ratio, 4) AS ratio FROM (
+  SELECT token, term, ratio FROM near WHERE ratio >= 85
+  UNION ALL SELECT token, term, 100.0::DOUBLE FROM vocabulary JOIN lexicon ON token = term)""",
+)
+def lexicon_fuzzy_map(spark, folder):
+    """The map of the documents' words, stored, then grown by the words of the conversations that it hasn't seen."""
+    tokens = lx.prompt_tokens(tb.prompts(spark, folder), tb.lemmas(spark), distinct=True)
+    older = tokens.filter("prompt_id LIKE 'd:%'")
+    known = stored(lx.fuzzy_map(older, tb.lexicon(spark)), "fuzzy-map")
+    grown = lx.fuzzy_map(tokens, tb.lexicon(spark), known=known)
+    return grown.filter("term is not null").select("token", "term", F.round("ratio", 4).alias("ratio"))
+
+
 @query(
     "lexicon_score",
     f"WITH {sql.LEXICON_SCORES} SELECT prompt_id, round(lexicon_score, 4) AS lexicon_score FROM lexicon_scores",
@@ -427,7 +443,7 @@ def layer_bands(spark, folder):
 
 @query("stream_gateway", _GATEWAY)
 def stream_gateway(spark, folder):
-    """Documents and user turns arriving as files, scored batch by batch until none is left, then read back."""
+    """Documents and user turns arriving as files, scored by a stream that appends, then read back."""
     documents = stream.read_prompt_stream(
         spark, folder, "documents.parquet", "doc_id bigint, text string, lang string"
     ).select(
@@ -449,15 +465,16 @@ def stream_gateway(spark, folder):
     arriving = documents.unionByName(turns)
     detectors = _detectors(spark, folder).loaded()
     target = work_dir(spark, "scored")
-    running = stream.start_gateway_stream(
-        arriving,
-        lambda batch: gw.gateway(tb.spread(batch), detectors).drop("layer_scores"),
+    cores = spark.sparkContext.defaultParallelism
+    running = stream.start_append_stream(
+        arriving.repartition(2 * cores),  # a file of these tables is one task
+        lambda rows: gw.gateway(rows, detectors).drop("layer_scores"),
         target,
         work_dir(spark, "progress"),
         available_now=True,
     )
     running.awaitTermination()
-    return spark.read.parquet(target).drop("batch_id")
+    return spark.read.parquet(target)
 
 
 # -- learned models ---------------------------------------------------------

@@ -143,3 +143,23 @@ def bag_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
         rows = unit_rows(a, "bag", DIMENSIONS), unit_rows(b, "bag", DIMENSIONS)
         found.append(np.einsum("ij,ij->i", *rows))
     return pa.array(np.concatenate(found))
+
+
+@arrow_udf(T.ArrayType(T.DoubleType()))
+@portable
+def cosines_with_first(lists: pa.Array) -> pa.Array:
+    """Of each array of bags the cosines of all of them with the first one."""
+    found = [np.zeros(0)]
+    for part in blocks(lists):
+        sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = part.flatten()
+        at = 0
+        # So many arrays at a time that their bags fill about a block.
+        for rows in np.array_split(sizes, -(-len(flat) // ROWS_PER_BLOCK) or 1):
+            bags = unit_rows(flat.slice(at, int(rows.sum())), "bag", DIMENSIONS)
+            first = np.repeat(np.cumsum(rows) - rows, rows)
+            found.append(np.einsum("ij,ij->i", bags, bags[first]))
+            at += int(rows.sum())
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))

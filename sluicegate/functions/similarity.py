@@ -43,7 +43,7 @@ def indel_ratio(left: Column, right: Column) -> Column:
 
 
 @portable
-def _common_length(a: str, b: str) -> int:
+def common_length(a: str, b: str) -> int:
     """Longest common subsequence by bit sets: one big-integer step per character."""
     start, shortest = 0, min(len(a), len(b))
     while start < shortest and a[start] == b[start]:
@@ -75,6 +75,6 @@ def text_ratios(text: pa.Array, others: pa.Array) -> pa.Array:
             out.append(None)
         else:
             out.append(
-                [200.0 * _common_length(a, b) / (len(a) + len(b)) if a or b else 100.0 for b in group]
+                [200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0 for b in group]
             )
     return pa.array(out, pa.list_(pa.float64()))

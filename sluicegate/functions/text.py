@@ -33,6 +33,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def pinned(value: Column) -> Column:
+    """The value as a column that the optimizer never writes out again where it is used.
+
+    Projections are merged only if their expressions are deterministic, which a partition's number isn't for it.
+    A Python call gets its argument as a plain column then, whatever lambdas computed it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -1,26 +1,49 @@
 """Weighted lexicon: loading, merging, exact and fuzzy matching, scoring.
 
-Exact and fuzzy matching are one equi-join. The lexicon is turned into a key table: every term
-under its own text, and the longer ones also under their segments. If a token is close enough
-to a term to count as a match, at most ``edits`` characters were inserted or deleted, so at least
-one of ``edits + 1`` segments of the term stands in the token unchanged and shifted by no more
-than ``edits`` places. The join on segments therefore finds every match, and only the few pairs
-it yields are compared in full.
+The lexicon is turned into a key table: every term under its own text, and the longer ones also
+under their segments. If a token is close enough to a term to count as a match, at most ``edits``
+characters were inserted or deleted, so at least one of ``edits + 1`` segments of the term stands
+in the token unchanged and shifted by no more than ``edits`` places. Looking up segments therefore
+finds every match, and only the few pairs it yields are compared in full.
+
+A lexicon of measured small size is looked up in the row: the key table goes to the tasks, which
+compare each different token once, and nothing is shuffled. A larger one is joined with the
+*distinct* tokens of all prompts. Their matches are a table of their own, ``fuzzy_map``, that can
+be stored and grown by the tokens it hasn't seen; the tokens of the prompts are joined with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from sluicegate import fixed_values as fv
 from sluicegate.functions import text as tx
-from sluicegate.functions.similarity import indel_ratio
-from sluicegate.operators.joins import dimension_join, localized
-from sluicegate.session import dimension
+from sluicegate.functions.portable import portable
+from sluicegate.functions.similarity import common_length, indel_ratio
+from sluicegate.operators.joins import dimension_join, is_small, localized
+from sluicegate.session import dimension, stored
 
 LEXICON_SCHEMA = "term string, weight double, category string"
+# Rows of the key table, and base words, up to which tokens are looked up in the row.
+ROW_KEYS = 200_000
+ROW_LEMMAS = 200_000
+# Different tokens that a task remembers.
+REMEMBERED = 500_000
+MATCH = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("weight", T.DoubleType()),
+        T.StructField("is_exact", T.BooleanType()),
+        T.StructField("token", T.StringType()),
+        T.StructField("ratio", T.DoubleType()),
+    ]
+)
 
 
 def lexicon_rows() -> list[tuple[str, float, str]]:
@@ -183,59 +206,184 @@ def lexicon_keys(lexicon: DataFrame, ratio: int = fv.FUZZY_LONG_RATIO) -> DataFr
     return whole.unionByName(placed.select(key, "place", "size", "term", "weight", "part.segment"))
 
 
+@portable
+class TokenLookup:
+    """Matches of tokens with a lexicon's key table; every different token is looked up once."""
+
+    def __init__(self, keys: list[tuple], lemmas: dict[str, str], size: int, ratio: int, most: int):
+        self.lemmas, self.size, self.ratio, self.most = lemmas, size, ratio, most
+        self.terms: dict[str, float] = {}
+        parts: dict[int, dict[int, dict[str, list]]] = {}
+        for key, place, length, term, weight, segment in keys:
+            if place == 0:
+                self.terms[term] = max(weight, self.terms.get(term, weight))
+            else:
+                parts.setdefault(length, {}).setdefault(place - 1, {}).setdefault(key, []).append((segment, term, weight))
+        # By a token's size: its places, and what may begin there.
+        self.parts = {length: list(places.items()) for length, places in parts.items()}
+        self.known: dict[str, tuple] = {}
+
+    def matches(self, form: str) -> tuple:
+        """term, weight, is_exact, token, ratio of all terms that a form matches."""
+        token = self.lemmas.get(form, form)
+        found = {}
+        if token in self.terms:
+            found[token] = (token, self.terms[token], True, token, 100.0)
+        for place, begins in self.parts.get(len(token), ()):
+            for segment, term, weight in begins.get(token[place : place + self.size], ()):
+                if term != token and token.startswith(segment, place):
+                    ratio = 200.0 * common_length(token, term) / (len(token) + len(term))
+                    if ratio >= self.ratio:
+                        found[term] = (term, max(weight, found.get(term, (0, weight))[1]), False, token, ratio)
+        return tuple(found.values())
+
+    def of_prompt(self, forms: list[str]) -> list[tuple]:
+        """The matches of a prompt's tokens, one per term: exact, else the most similar, else the first."""
+        known, best = self.known, {}
+        if len(known) > self.most:
+            known.clear()
+        for form in forms:
+            found = known.get(form)
+            if found is None:
+                found = known[form] = self.matches(form)
+            for match in found:
+                held = best.get(match[0])
+                if held is None or (match[2], match[4]) > (held[2], held[4]):
+                    best[match[0]] = match
+        return [best[term] for term in sorted(best)]
+
+
+def row_lookup(
+    lexicon: DataFrame, lemmas: DataFrame | None = None, fuzzy: bool = True, ratio: int = fv.FUZZY_LONG_RATIO
+) -> Callable[[DataFrame, str], DataFrame] | None:
+    """A function that adds ``matches``, an array of (term, weight, is_exact, token, ratio), to rows with a text.
+
+    None if the lexicon or the base words are too many for it, by measure.
+    """
+    keys = lexicon_keys(localized(lexicon.select("term", "weight")), ratio)
+    if not fuzzy:
+        keys = keys.filter("place = 0")
+    if not is_small(keys, ROW_KEYS) or (lemmas is not None and not is_small(lemmas, ROW_LEMMAS)):
+        return None
+    table = keys.select("key", "place", "size", "term", "weight", "segment").toArrow()  # bounded by the check
+    rows = list(zip(*(column.to_pylist() for column in table.columns))) if len(table) else []
+    bases = {}
+    if lemmas is not None:
+        found = lemmas.select("form", "lemma").toArrow()
+        bases = dict(zip(found["form"].to_pylist(), found["lemma"].to_pylist()))
+    shared = lexicon.sparkSession.sparkContext.broadcast((rows, bases))
+    size, most = _key_size(ratio), REMEMBERED
+    made: list[TokenLookup] = []
+
+    @arrow_udf(T.ArrayType(MATCH))
+    @portable
+    def look_up(lists: pa.Array) -> pa.Array:
+        if not made:
+            made.append(TokenLookup(*shared.value, size, ratio, most))
+        found = [made[0].of_prompt(forms) if forms else [] for forms in lists.to_pylist()]
+        flat = [match for matches in found for match in matches]
+        offsets = [0]
+        for matches in found:
+            offsets.append(offsets[-1] + len(matches))
+        kinds = (pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.float64())
+        columns = zip(*flat) if flat else [[]] * len(kinds)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(columns, kinds)],
+            names=["term", "weight", "is_exact", "token", "ratio"],
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+    def add(frame: DataFrame, text: str) -> DataFrame:
+        forms = frame.withColumn("forms_", F.array_distinct(tx.tokens(F.col(text))))
+        # Named twice, the tokens stay a column of their own below the Python call.
+        whole = F.when(F.size("forms_") >= 0, F.col("forms_"))
+        return forms.withColumn("matches", look_up(whole)).drop("forms_")
+
+    return add
+
+
+def fuzzy_map(
+    tokens: DataFrame, lexicon: DataFrame, ratio: int = fv.FUZZY_LONG_RATIO, known: DataFrame | None = None
+) -> DataFrame:
+    """token, term, weight, is_exact, ratio of different tokens; term is null where no term is like a token.
+
+    ``known`` is a map of the same lexicon and ratio: its tokens are taken from it, the others looked up. So the
+    work follows the tokens that no map has seen, however often they stand in prompts.
+    """
+    tokens = tokens.select("token").distinct()
+    if known is not None:
+        new = fuzzy_map(tokens.join(known.select("token").distinct(), "token", "left_anti"), lexicon, ratio)
+        return known.unionByName(new)
+    lexicon = localized(lexicon.select("term", "weight"))
+    size, whole = F.col("size"), F.concat(F.lit("="), "token")
+    longest = lexicon.agg(F.max(F.length("term"))).first()[0] or 0
+    reach = longest * (200 - ratio) // ratio
+    least = -(-(fv.FUZZY_SHORT_CHARS + 1) * ratio // (200 - ratio))
+    places = F.when(size.between(least, reach), size).otherwise(0)
+    looked_up = (
+        tokens.withColumn("size", F.length("token"))
+        .withColumn("place", F.explode_outer(F.sequence(F.lit(0), places)))
+        .withColumn(
+            "key",
+            F.when(F.col("place") == 0, whole).otherwise(F.substring("token", F.col("place"), F.lit(_key_size(ratio)))),
+        )
+    )
+    pairs = dimension_join(looked_up, lexicon_keys(lexicon, ratio), ["key", "place", "size"], "inner", F.col("token"))
+    is_exact = F.col("place") == 0
+    near = (
+        "substring(token, place, length(segment)) = segment"
+        " and token <> term and levenshtein(token, term, edits) >= 0"
+    )
+    ratios = F.when(is_exact, F.lit(100.0)).otherwise(indel_ratio(F.col("token"), F.col("term")))
+    found = (
+        pairs.withColumn("edits", _edits(size, F.length("term"), F.lit(ratio)))
+        .filter(f"place = 0 or ({near})")
+        .withColumn("ratio", ratios)
+        .filter(F.col("ratio") >= ratio)
+        .groupBy("token", "term")
+        .agg(F.max("weight").alias("weight"), F.max(is_exact).alias("is_exact"), F.max("ratio").alias("ratio"))
+    )
+    return tokens.join(found, "token", "left")
+
+
+def _joined_matches(
+    prompts: DataFrame, lexicon: DataFrame, lemmas: DataFrame | None, fuzzy: bool, ratio: int
+) -> DataFrame:
+    """The matches by way of the distinct tokens, for a lexicon of any size."""
+    # Stored: the vocabulary and the join read the tokens, and no prompt is normalised for each of them.
+    tokens = stored(prompt_tokens(prompts, lemmas, distinct=True), "tokens")
+    found = fuzzy_map(tokens, lexicon, ratio).filter("term is not null")
+    if not fuzzy:
+        found = found.filter("is_exact")
+    # Few words of a language are like a term: their table is mostly small, else salted against frequent words.
+    pairs = dimension_join(tokens, found, "token", "inner", F.col("prompt_id"))
+    return pairs.groupBy("prompt_id", "term").agg(
+        F.max("weight").alias("weight"),
+        F.max("is_exact").alias("is_exact"),
+        F.max_by("token", F.struct("is_exact", "ratio", -F.col("pos"))).alias("token"),
+        F.max("ratio").alias("ratio"),
+    )
+
+
 def lexicon_matches(
     prompts: DataFrame,
     lexicon: DataFrame,
     lemmas: DataFrame | None = None,
     fuzzy: bool = True,
     ratio: int = fv.FUZZY_LONG_RATIO,
+    in_row: bool | None = None,
 ) -> DataFrame:
     """prompt_id, term, weight, is_exact, token, ratio: one row per term found in a prompt.
 
     A term found exactly is not looked for fuzzily; otherwise its best token counts, the first
     one on ties. Terms of up to four characters need a ratio of 95, which only equality reaches.
     """
-    lexicon = localized(lexicon.select("term", "weight"))
-    tokens = prompt_tokens(prompts, lemmas, distinct=True)
-    keys = lexicon_keys(lexicon, ratio)
-    tokens = tokens.withColumn("size", F.length("token"))
-    size, whole = F.col("size"), F.concat(F.lit("="), "token")
-    if fuzzy:
-        longest = lexicon.agg(F.max(F.length("term"))).first()[0] or 0
-        reach = longest * (200 - ratio) // ratio
-        least = -(-(fv.FUZZY_SHORT_CHARS + 1) * ratio // (200 - ratio))
-        places = F.when(size.between(least, reach), size).otherwise(0)
-        looked_up = tokens.withColumn(
-            "place", F.explode_outer(F.sequence(F.lit(0), places))
-        ).withColumn(
-            "key",
-            F.when(F.col("place") == 0, whole).otherwise(
-                F.substring("token", F.col("place"), F.lit(_key_size(ratio)))
-            ),
-        )
-    else:
-        keys = keys.filter("place = 0")
-        looked_up = tokens.withColumn("place", F.lit(0)).withColumn("key", whole)
-    pairs = dimension_join(looked_up, keys, ["key", "place", "size"], "inner", F.col("prompt_id"))
-    is_exact = F.col("place") == 0
-    found = pairs.withColumn("ratio", F.lit(100.0))
-    if fuzzy:
-        near = (
-            "substring(token, place, length(segment)) = segment"
-            " and token <> term and levenshtein(token, term, edits) >= 0"
-        )
-        ratios = F.when(is_exact, F.lit(100.0)).otherwise(indel_ratio(F.col("token"), F.col("term")))
-        found = (
-            pairs.withColumn("edits", _edits(size, F.length("term"), F.lit(ratio)))
-            .filter(f"place = 0 or ({near})")
-            .withColumn("ratio", ratios)
-            .filter(F.col("ratio") >= ratio)
-        )
-    return found.groupBy("prompt_id", "term").agg(
-        F.max("weight").alias("weight"),
-        F.max(is_exact).alias("is_exact"),
-        F.max_by("token", F.struct(is_exact, F.col("ratio"), -F.col("pos"))).alias("token"),
-        F.max("ratio").alias("ratio"),
+    add = row_lookup(lexicon, lemmas, fuzzy, ratio) if in_row is not False else None
+    if add is None:
+        return _joined_matches(prompts, lexicon, lemmas, fuzzy, ratio)
+    found = add(prompts.select("prompt_id", "prompt"), "prompt")
+    return found.select("prompt_id", F.explode_outer("matches").alias("m")).filter("m is not null").select(
+        "prompt_id", "m.*"
     )
 
 
@@ -243,27 +391,44 @@ def trigger(term: Column, token: Column, is_exact: Column) -> Column:
     return F.when(is_exact, term).otherwise(F.concat(term, F.lit(" (matched: '"), token, F.lit("')")))
 
 
-def lexicon_hits(matches: DataFrame) -> DataFrame:
-    """prompt_id, lexicon_score, triggers: only prompts with a hit. A group holds at most one
-    row per term of the lexicon."""
-    total = F.sum(F.col("weight").cast("decimal(18,9)"))
-    return matches.groupBy("prompt_id").agg(
-        F.least(total.cast("double"), F.lit(1.0)).alias("lexicon_score"),
-        F.array_sort(
-            F.collect_set(trigger(F.col("term"), F.col("token"), F.col("is_exact")))
-        ).alias("triggers"),
+def score_of(matches: Column) -> Column:
+    """The sum of the weights of an array of matches, at most 1."""
+    kind = "decimal(28,9)"
+    total = F.aggregate(
+        matches, F.lit(0).cast(kind), lambda sum_, m: (sum_ + m["weight"].cast("decimal(18,9)")).cast(kind)
+    )
+    return F.least(total.cast("double"), F.lit(1.0))
+
+
+def triggers_of(matches: Column) -> Column:
+    shown = F.transform(matches, lambda m: trigger(m["term"], m["token"], m["is_exact"]))
+    return F.array_sort(F.array_distinct(shown))
+
+
+def add_matches(
+    prompts: DataFrame, lexicon: DataFrame, lemmas: DataFrame | None = None, in_row: bool | None = None
+) -> DataFrame:
+    """Add ``matches`` to prompts: in the row, or, for a large lexicon, by a join on prompt_id."""
+    add = row_lookup(lexicon, lemmas) if in_row is not False else None
+    if add is not None:
+        return add(prompts, "prompt")
+    found = lexicon_matches(prompts.select("prompt_id", "prompt"), lexicon, lemmas, in_row=False)
+    names = [field.name for field in MATCH]
+    grouped = found.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("matches"))
+    # A group holds at most one row per term of the lexicon.
+    return prompts.join(grouped, "prompt_id", "left").withColumn(
+        "matches", F.coalesce("matches", F.array().cast(T.ArrayType(MATCH)))
     )
 
 
 def lexicon_score(
-    prompts: DataFrame, lexicon: DataFrame, lemmas: DataFrame | None = None
+    prompts: DataFrame, lexicon: DataFrame, lemmas: DataFrame | None = None, in_row: bool | None = None
 ) -> DataFrame:
     """prompt_id, lexicon_score, triggers for every prompt; 0 and none without a hit."""
-    hits = lexicon_hits(lexicon_matches(prompts, lexicon, lemmas))
-    return prompts.select("prompt_id").join(hits, "prompt_id", "left").select(
+    return add_matches(prompts.select("prompt_id", "prompt"), lexicon, lemmas, in_row).select(
         "prompt_id",
-        F.coalesce("lexicon_score", F.lit(0.0)).alias("lexicon_score"),
-        F.coalesce("triggers", F.array().cast(T.ArrayType(T.StringType()))).alias("triggers"),
+        score_of(F.col("matches")).alias("lexicon_score"),
+        triggers_of(F.col("matches")).alias("triggers"),
     )
 
 

@@ -414,31 +414,50 @@ def mutation_report(
 ) -> DataFrame:
     """prompt_id, layer_score, is_safe, details(mutation_count, max_risk, mutations_tested).
 
-    Every variant is scored in one transform; ``scorer`` adds a risk to rows with a text. A group
-    holds one prompt's variants.
+    A scorer with ``in_row`` set scores the variants in their prompt's row and nothing is shuffled. Another one
+    adds a risk to rows with a text, one row per variant; a group holds one prompt's variants.
     """
-    rows = variant_similarity(prompts, synonyms, **options)
-    tested = F.array_sort(
-        F.collect_list(
-            F.struct("pos", "text", F.round("risk", 4).alias("risk"), F.round("semantic_sim", 2).alias("semantic_sim"))
-        )
-    )
-    grouped = scorer(rows, "text").groupBy("prompt_id", "n_words").agg(
-        F.collect_list("risk").alias("risks"), tested.alias("tested")
-    )
-    result = grouped.withColumn("c", consensus(F.col("risks"), F.col("n_words"), threshold))
+    if getattr(scorer, "in_row", False):
+        result = _tested_in_row(prompts, synonyms, scorer, **options)
+    else:
+        result = _tested_as_rows(prompts, synonyms, scorer, **options)
+    result = result.withColumn("c", consensus(F.col("risks"), F.col("n_words"), threshold))
     return result.select(
         "prompt_id",
         "c.layer_score",
         "c.is_safe",
-        F.struct(
-            "c.mutation_count",
-            "c.max_risk",
-            F.transform(
-                "tested",
-                lambda t: F.struct(
-                    t["text"].alias("text"), t["risk"].alias("risk"), t["semantic_sim"].alias("semantic_sim")
-                ),
-            ).alias("mutations_tested"),
-        ).alias("details"),
+        F.struct("c.mutation_count", "c.max_risk", F.col("tested").alias("mutations_tested")).alias("details"),
+    )
+
+
+def _tested(text: Column, risk: Column, semantic_sim: Column) -> Column:
+    return F.struct(
+        text.alias("text"), F.round(risk, 4).alias("risk"), F.round(semantic_sim, 2).alias("semantic_sim")
+    )
+
+
+def _tested_in_row(prompts: DataFrame, synonyms: DataFrame, scorer, **options) -> DataFrame:
+    """prompt_id, n_words, risks, tested of every prompt, by a scorer that is an expression."""
+    varied = add_variants(prompts, synonyms, **options)
+    varied = em.WordBuckets().encode(varied.withColumn("variants", tx.pinned(F.col("variants"))), "variants", "bags_")
+    varied = varied.withColumn("bags_", tx.pinned(F.col("bags_")))
+    varied = varied.withColumn("n_words", tx.word_count(F.col("prompt")))
+    cosines = em.cosines_with_first(F.col("bags_"))
+    # Zipped, not looked up by place: no Python call moves into a lambda.
+    rows = F.arrays_zip(F.col("variants").alias("text"), F.col("risks").alias("risk"), F.col("cosines_").alias("sim"))
+    return varied.withColumn("cosines_", cosines).withColumn("risks", F.transform("variants", scorer.risk)).select(
+        "prompt_id",
+        "n_words",
+        "risks",
+        F.transform(rows, lambda row: _tested(row["text"], row["risk"], row["sim"])).alias("tested"),
+    )
+
+
+def _tested_as_rows(prompts: DataFrame, synonyms: DataFrame, scorer, **options) -> DataFrame:
+    """prompt_id, n_words, risks, tested of every prompt, by a scorer that takes rows."""
+    rows = variant_similarity(prompts, synonyms, **options)
+    row = F.struct("pos", _tested(F.col("text"), F.col("risk"), F.col("semantic_sim")).alias("tested"))
+    grouped = scorer(rows, "text").groupBy("prompt_id", "n_words").agg(
+        F.collect_list("risk").alias("risks"), F.array_sort(F.collect_list(row)).alias("rows")
     )
+    return grouped.select("prompt_id", "n_words", "risks", F.col("rows.tested").alias("tested"))

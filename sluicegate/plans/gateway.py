@@ -1,9 +1,11 @@
 """Blending of the four detectors, decisions, and the two user-level jobs.
 
-Everything that needs the text (similarity, variants, their scoring by an expression, previews, the
-rewrite of at most fifty words) is computed in the row; only scores and such short texts meet the
-lexicon hits, by request. Texts move in two cases: a scorer that takes rows gets the variants as rows
-(which it scores before they are grouped), and a model that rewrites gets the texts of the middle band.
+Everything that needs the text (lexicon matches, similarity, variants, their scoring by an expression,
+previews, the rewrite of at most fifty words) is computed in the row: with a scorer that is an expression
+and dictionaries of measured small size nothing is shuffled, and a stream can append what it scores. Texts
+move in three cases: a scorer that takes rows gets the variants as rows (which it scores before they are
+grouped by request), a lexicon too large for the row is joined, and a model that rewrites gets the texts of
+the middle band.
 """
 
 from __future__ import annotations
@@ -160,17 +162,18 @@ def rejected(prompts: DataFrame) -> DataFrame:
     return validate(prompts)[1].withColumn("reason", F.lit("a prompt needs at least one character"))
 
 
-def requests(prompts: DataFrame) -> DataFrame:
+def requests(prompts: DataFrame, keyed: bool = True) -> DataFrame:
     """request, prompt_id, prompt, weights of the valid prompts.
 
-    ``request`` is a hash of all that a request holds. Two texts under one id are two requests, a
-    null id is an id like others, and only equal requests, whose results are equal, share the key.
+    ``request`` is a hash of all that a request holds, for jobs that bring its parts together. Two texts
+    under one id are two requests, a null id is an id like others, and only equal requests, whose
+    results are equal, share the key. Unless ``keyed`` it is null.
     """
     valid, _ = validate(prompts)
     given = [F.col("weights")] if "weights" in prompts.columns else []
     content = F.to_json(F.struct("prompt_id", "prompt", *given))
     return valid.select(
-        F.sha2(content.cast("binary"), 256).alias("request"),
+        (F.sha2(content.cast("binary"), 256) if keyed else F.lit(None).cast("string")).alias("request"),
         "prompt_id",
         "prompt",
         effective_weights(given[0] if given else None).alias("weights"),
@@ -197,42 +200,53 @@ def _grouped_risks(varied: DataFrame, detectors: Detectors) -> DataFrame:
 
 
 def score_prompts(
-    prompts: DataFrame, detectors: Detectors, sanitizer: Callable[[Column], Column] | None = None
+    prompts: DataFrame,
+    detectors: Detectors,
+    sanitizer: Callable[[Column], Column] | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """request, prompt_id, prompt_preview, rewritten, layer_scores: the slim result of all detectors.
 
     A scorer with ``in_row`` set scores the variants where they are; another one gets them as rows,
-    and their risks are put together by request. Lexicon hits come by request in both cases.
+    and their risks are put together by request. ``request`` is null if nothing needs it.
     """
     used = detectors.completed()
     text = F.col("prompt")
-    keyed = requests(prompts)
+    in_row = getattr(used.scorer, "in_row", False)
+    look_up = lx.row_lookup(used.lexicon, used.lemmas)
+    moved = keyed or not in_row or look_up is None
     # The operators below group and draw by prompt_id; here that is the request.
-    frame = keyed.select(F.col("request").alias("prompt_id"), F.col("prompt_id").alias("given_id"), "prompt", "weights")
-    looked_up = add_similarity(frame, used.signatures, **used.similarity_options).drop("similarity_details")
+    frame = requests(prompts, moved).select(
+        F.col("request").alias("prompt_id"), F.col("prompt_id").alias("given_id"), "prompt", "weights"
+    )
+    if look_up:
+        matched = look_up(frame, "prompt")
+    else:
+        matched = lx.add_matches(frame, used.lexicon, used.lemmas, in_row=False)
+    matched = matched.withColumn("lexicon_score", lx.score_of(F.col("matches"))).drop("matches")
+    looked_up = add_similarity(matched, used.signatures, **used.similarity_options).drop("similarity_details")
     varied = add_variants(looked_up, used.synonyms, **used.mutation_options, draw_key="given_id")
     slim = F.struct(
         "given_id",
         tx.preview(text).alias("prompt_preview"),
         "weights",
+        "lexicon_score",
         "similarity_score",
         tx.word_count(text).alias("n_words"),
         (sanitizer(text) if sanitizer else F.lit(None).cast("string")).alias("rewritten"),
     )
     varied = varied.withColumn("slim", slim)
-    if getattr(used.scorer, "in_row", False):
+    if in_row:
         scored = varied.select("prompt_id", "slim", F.transform("variants", used.scorer.risk).alias("risks"))
     else:
         scored = _grouped_risks(varied, used)
-    hits = lx.lexicon_hits(lx.lexicon_matches(frame.select("prompt_id", "prompt"), used.lexicon, used.lemmas))
-    joined = scored.join(hits, "prompt_id", "left")
     scores = {
-        "regex_analyzer": F.coalesce("lexicon_score", F.lit(0.0)),
+        "regex_analyzer": F.col("slim.lexicon_score"),
         "security_model": F.get("risks", F.lit(0)),
         "mutation_layer": consensus(F.col("risks"), F.col("slim.n_words"))["layer_score"],
         "bottleneck_extractor": F.col("slim.similarity_score"),
     }
-    return joined.select(
+    return scored.select(
         F.col("prompt_id").alias("request"),
         F.col("slim.given_id").alias("prompt_id"),
         "slim.prompt_preview",
@@ -267,9 +281,8 @@ def gateway(
     Without either the middle band is blocked. A failed rewrite keeps the failure text, or is
     blocked if ``block_failures`` is set. Prompts the lexicon rates harmful get a fixed text.
     """
-    scored = score_prompts(prompts, detectors, None if rewrite_rows else sanitizer).withColumn(
-        "sum_", weighted_sum(F.col("layer_scores"))
-    )
+    scored = score_prompts(prompts, detectors, None if rewrite_rows else sanitizer, rewrite_rows is not None)
+    scored = scored.withColumn("sum_", weighted_sum(F.col("layer_scores")))
     action = decide(F.col("sum_"))
     if rewrite_rows:
         scored = stored(scored.drop("rewritten"), "scored")  # decided once, before any rewriting

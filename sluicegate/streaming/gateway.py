@@ -1,8 +1,10 @@
 """The gateway over arriving prompts.
 
-Scoring keeps no state between prompts, so a micro-batch is scored by the batch job itself.
-Each batch writes its own folder, replaced as a whole if the batch is retried: results are
-written exactly once.
+Scoring keeps no state between prompts. Where the whole job is a map (a scorer that is an expression,
+dictionaries of measured small size), ``start_append_stream`` runs it as a native stream that appends: the
+sink's log shows a batch's files when the batch is whole, so they are written exactly once. Otherwise, or
+with dictionaries that change while the stream runs, ``start_gateway_stream`` has each micro-batch scored
+by the batch job: every batch writes its own folder, replaced as a whole if the batch is retried.
 """
 
 from __future__ import annotations
@@ -45,6 +47,19 @@ def start_gateway_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def start_append_stream(
+    prompts: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Append the scores of arriving prompts; ``score`` must be a map, as a shuffle can't append here."""
+    writer = score(prompts).writeStream.format("parquet").outputMode("append").option("path", target)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def blend_stream(scores: DataFrame, columns: dict[str, str], weights) -> DataFrame:
     """Blend the layer scores of a stream in the row: stateless, so any output mode will do."""
     layers = layer_scores({name: F.col(column) for name, column in columns.items()}, weights)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sluicegate import fixed_values as fv
 from sluicegate import session
 from sluicegate.operators import classifier as cl
+from sluicegate.operators import mutation as mu
 from sluicegate.operators import ranking as rk
 from sluicegate.operators.sanitize import TOPIC_TEXT
 from sluicegate.plans import dataset as ds
@@ -85,15 +86,36 @@ def test_bands(spark):
 
 
 def test_prompt_text_is_not_shuffled(spark, prompts):
-    """No exchange carries the prompt column or the variants."""
-    plan = gw.gateway(prompts, detectors(spark))._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    carried = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
-    assert carried
-    for columns in carried:
-        assert not {"prompt", "variants", "text"} & {column.split("#")[0].strip() for column in columns.split(",")}
+    """The gateway is a map; with a scorer that takes rows no exchange carries the prompt or the variants."""
+    used = detectors(spark)
+    rows = gw.Detectors(scorer=lambda frame, text: used.scorer(frame, text), signatures=used.signatures)
+    for job in (lambda d: gw.gateway(prompts, d), lambda d: gw.analyze(prompts, d)):
+        for given in (used, rows):
+            plan = job(given)._jdf.queryExecution().explainString(
+                spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            )
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+            carried = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+            assert bool(carried) == (given is rows) and (carried or "Join" not in plan)
+            for columns in carried:
+                names = {column.split("#")[0].strip() for column in columns.split(",")}
+                assert not {"prompt", "variants", "text"} & names
+
+
+def test_a_large_lexicon_gives_the_same_scores(spark, prompts, monkeypatch):
+    found = {job: collected(job(prompts, detectors(spark))) for job in (gw.analyze, gw.gateway)}
+    monkeypatch.setattr(gw.lx, "row_lookup", lambda *_: None)
+    for job, rows in found.items():
+        assert collected(job(prompts, detectors(spark))) == rows
+
+
+def test_mutation_report_in_rows_and_in_the_row(spark, prompts):
+    scorer = detectors(spark).scorer
+    reports = [
+        collected(mu.mutation_report(prompts.filter("prompt <> ''"), mu.default_synonyms(spark), used))
+        for used in (scorer, lambda rows, text: scorer(rows, text))
+    ]
+    assert reports[0] == reports[1] and len(reports[0]) == 3
 
 
 def test_requests_are_scored_alone(spark):
@@ -201,6 +223,32 @@ def test_stream_equals_batch(spark, prompts, tmp_path):
     assert {k: r["weighted_score"] for k, r in collected(scored).items()} == {k: r["weighted_score"] for k, r in batch.items()}
 
 
+def test_a_stream_that_appends_equals_the_batch(spark, prompts, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    prompts.repartition(3).write.parquet(source)
+    used = detectors(spark).loaded()
+    arriving = stream.read_prompt_stream(spark, source, "*.parquet", "prompt_id string, prompt string", 1)
+
+    def run():
+        running = stream.start_append_stream(
+            arriving, lambda rows: gw.gateway(rows, used), target, str(tmp_path / "progress"), available_now=True
+        )
+        running.awaitTermination()
+        return len(running.recentProgress)
+
+    assert run() > 1
+    assert collected(spark.read.parquet(target)) == collected(gw.gateway(prompts, used))
+    # Another start goes on where the first one ended; a file that no batch has logged isn't read.
+    spark.createDataFrame([("new", "kill")], "prompt_id string, prompt string").write.mode("append").parquet(source)
+    half = spark.read.parquet(target).limit(1)
+    half.write.parquet(str(tmp_path / "half"))
+    for part in (tmp_path / "half").glob("*.parquet"):
+        (tmp_path / "out" / ("half-" + part.name)).write_bytes(part.read_bytes())
+    run()
+    rows = spark.read.parquet(target).collect()
+    assert sorted(r["prompt_id"] for r in rows) == sorted(["new", *collected(gw.gateway(prompts, used))])
+
+
 # -- data sets --------------------------------------------------------------
 
 

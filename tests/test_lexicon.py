@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_text import plain_normal
 
-from sluicegate.functions.similarity import _common_length, indel_ratio, text_ratios
+from sluicegate.functions.similarity import common_length, indel_ratio, text_ratios
 from sluicegate.operators import joins
 from sluicegate.operators import lexicon as lx
 from sluicegate.sources import files
@@ -32,7 +32,7 @@ def test_similarity(spark):
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(400)]
     pairs = list(zip(words[::2], words[1::2]))
     for a, b in pairs:
-        assert _common_length(a, b) == table_length(a, b)
+        assert common_length(a, b) == table_length(a, b)
     frame = spark.createDataFrame(pairs, "a string, b string")
     rows = frame.select(
         "a", "b", indel_ratio(F.col("a"), F.col("b")).alias("short"), text_ratios("a", F.array("b")).alias("long")
@@ -80,9 +80,9 @@ def noisy(spark):
     return [(str(i), text) for i, text in enumerate(texts)]
 
 
-def scored(spark, rows):
+def scored(spark, rows, in_row=None):
     frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
-    result = lx.lexicon_score(frame, lx.default_lexicon(spark), lx.default_lemmas(spark)).collect()
+    result = lx.lexicon_score(frame, lx.default_lexicon(spark), lx.default_lemmas(spark), in_row).collect()
     return {r["prompt_id"]: (round(r["lexicon_score"], 6), r["triggers"]) for r in result}
 
 
@@ -98,9 +98,36 @@ def test_against_brute_force(spark, noisy):
 
 
 def test_large_lexicon_path(spark, noisy, monkeypatch):
-    broadcast = scored(spark, noisy)
+    in_row = scored(spark, noisy)
+    assert scored(spark, noisy, in_row=False) == in_row
+    frame = spark.createDataFrame(noisy, "prompt_id string, prompt string")
+    terms, forms = lx.default_lexicon(spark), lx.default_lemmas(spark)
+    rows = [sorted(map(tuple, lx.lexicon_matches(frame, terms, forms, in_row=way).collect())) for way in (None, False)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+    # A lexicon that isn't small by measure is joined, both ways of the join agree, too.
     monkeypatch.setattr(joins, "is_small", lambda *_: False)
-    assert scored(spark, noisy) == broadcast
+    monkeypatch.setattr(lx, "is_small", lambda *_: False)
+    assert scored(spark, noisy) == in_row
+
+
+def test_lookup_in_the_row_moves_nothing(spark, noisy):
+    frame = spark.createDataFrame(noisy, "prompt_id string, prompt string")
+    scores = lx.lexicon_score(frame, lx.default_lexicon(spark), lx.default_lemmas(spark))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_map_grows_by_the_tokens_it_has_not_seen(spark, noisy):
+    terms = lx.default_lexicon(spark)
+    tokens = lx.prompt_tokens(spark.createDataFrame(noisy, "prompt_id string, prompt string"))
+    first = tokens.filter("crc32(token) % 2 = 0")
+    whole = sorted(map(str, lx.fuzzy_map(tokens, terms).collect()))
+    known = lx.fuzzy_map(first, terms)
+    assert sorted(map(str, lx.fuzzy_map(tokens, terms, known=known).collect())) == whole
+    # What a map says isn't looked up again, not even that a token matches nothing.
+    claimed = spark.createDataFrame([("murderi", None, None, None, None)], known.schema)
+    grown = lx.fuzzy_map(tokens, terms, known=claimed).filter("token = 'murderi'").collect()
+    assert [row["term"] for row in grown] == [None]
 
 
 def test_size_check(spark):
