@@ -247,15 +247,17 @@ SELECT s.prompt_id, round(similarity_score, 4) AS similarity_score, n_details::I
   n.sig_id, round(n.distance, 4) AS distance FROM similarities s LEFT JOIN nearest n ON n.prompt_id = s.prompt_id AND n.pos = 0""",
 )
 def signature_index_search(spark, folder):
-    """Every prompt against an index that was built, stored and read back: its score and nearest entry."""
-    path = work_dir(spark, "signatures")
+    """Every prompt against a store that was built in two steps: its score and nearest entry."""
     corpus = tb.table(spark, folder, "benchmark").select("text").distinct()
-    ds.write_signatures(ds.signature_index(corpus), path)
-    index = spark.read.parquet(path).select("sig_id", "features")
-    scored = nn.add_similarity(tb.prompts(spark, folder), index)
+    index = ds.signature_index(corpus).select("sig_id", "features")
+    store = nn.SignatureStore(spark, work_dir(spark, "signatures"))
+    later = F.crc32("sig_id") % 4 == 0
+    store.write(index.filter(~later), rows_per_part=16)
+    store.write(index.filter(later), append=True, rows_per_part=16)
+    scored = nn.add_similarity(tb.prompts(spark, folder), store)
     bags = F.array(em.word_buckets(F.col("prompt")))
     hit = F.get("nearest", F.lit(0))
-    return nn.with_nearest(scored.withColumn("bags", bags), "bags", index).select(
+    return store.with_nearest(scored.withColumn("bags", bags), "bags").select(
         "prompt_id",
         F.round("similarity_score", 4).alias("similarity_score"),
         F.size("similarity_details").alias("n_details"),

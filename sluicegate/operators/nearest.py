@@ -1,9 +1,17 @@
 """Exact nearest signature by cosine distance.
 
 Signatures are a reference table. While their measured matrix is small it goes to every task
-and the search happens inside the query's own row: no shuffle at all. Beyond that, queries and
-signatures are both cut into blocks, and every block of the one meets every block of the other
-in a task of bounded size; the best per query is a partial aggregate.
+and the search happens inside the query's own row: no shuffle at all.
+
+Beyond that, signatures are cut into *parts* of similar ones: each goes to the nearest of some
+pivots, and a pivot with many to several parts. Of a part its *bounds* are known: the least and
+largest value in every dimension, the centre and the largest angle to it. They say how similar a
+member can be to a query at most (the sum over dimensions of the larger product; the cosine of the
+angle to the centre less the radius) and, the other way round, how similar the best one is at least.
+A query goes first to the part that can hold the most similar one, then to those that can still hold
+a nearer one, or one below a limit if it is given; every other pair is never compared, and the
+result stays exact. Parts can be a stored table
+(``SignatureStore``) whose folders a search reads only as far as queries need them.
 """
 
 from __future__ import annotations
@@ -22,15 +30,22 @@ from sluicegate.functions.embedding import blocks, unit_rows
 from sluicegate.functions.portable import portable
 from sluicegate.operators.joins import is_small
 from sluicegate.session import stored
+from sluicegate.sources.snapshots import Snapshots
 
 MATRIX_BYTES = 64 * 1024 * 1024
-BLOCK_SIGNATURES = 8192
+PART_SIGNATURES = 8192
+MOST_PIVOTS = 1024
+# Above it the bounds of the parts don't go to the tasks, and every query goes to every part.
+BOUND_BYTES = 64 * 1024 * 1024
 # Distances in memory at a time: 16 MB, and as much again to round them.
 PAIRS_PER_STEP = 1 << 21
 BLOCK_QUERIES = 20_000
 FOUND = T.StructType(
     [T.StructField("sig_id", T.StringType()), T.StructField("distance", T.DoubleType())]
 )
+BOUNDS = "part int, n long, low array<double>, high array<double>, centre array<double>, radius double"
+# Distances are rounded to 12 digits, and angles close to 0 have half the digits of their cosine.
+SLACK = 1e-7
 
 
 @portable
@@ -64,16 +79,21 @@ def with_nearest(
     key: str = "prompt_id",
     out: str = "nearest",
     broadcast: bool | None = None,
+    limit: float | None = None,
 ) -> DataFrame:
     """Add an array of (sig_id, distance), one entry per element of the array column ``features``.
 
-    ``signatures`` has sig_id and features; no entry is found while it is empty.
+    ``signatures`` has sig_id and features; no entry is found while it is empty. With a ``limit`` an entry may be
+    null where no signature is at a distance below it.
     """
     signatures = signatures.select(F.col("sig_id").cast("string").alias("sig_id"), "features")
     if broadcast is None:
         broadcast = matrix_fits(signatures, dimensions)
     if not broadcast:
-        return _with_nearest_blocked(frame, features, signatures, kind, dimensions, key, out)
+        parted = stored(in_parts(signatures, kind, dimensions), "parts")
+        return with_nearest_of_parts(
+            frame, features, parted, bounds_of(parted, kind, dimensions), kind, dimensions, key, out, limit
+        )
     table = signatures.orderBy("sig_id").toArrow()  # bounded by the check above
     ids = np.array(table["sig_id"].to_pylist() + [None], dtype=object)
     features_array = table["features"].combine_chunks()
@@ -112,27 +132,133 @@ def with_nearest(
     return frame.withColumn(out, search(whole))
 
 
-def _with_nearest_blocked(
-    frame: DataFrame, features: str, signatures: DataFrame, kind: str, dimensions: int, key: str, out: str
+def in_parts(
+    signatures: DataFrame, kind: str = "bag", dimensions: int = em.DIMENSIONS, rows_per_part: int | None = None
 ) -> DataFrame:
-    rows = signatures.count()
-    parts = max(1, -(-rows // BLOCK_SIGNATURES))
-    queries = stored(
-        frame.select(key, F.posexplode_outer(features).alias("pos", "features")).filter("pos is not null"),
-        "queries",
-    )
-    shards = max(1, -(-queries.count() // BLOCK_QUERIES))
+    """sig_id, features, part: signatures that are alike have the same part, of about ``rows_per_part`` rows."""
+    rows_per_part = rows_per_part or PART_SIGNATURES
+    number = min(MOST_PIVOTS, -(-signatures.count() // rows_per_part))
+    if number <= 1:
+        return signatures.select("sig_id", "features", F.lit(0).alias("part"))
+    # Different signatures, drawn by a hash of their ids.
+    drawn = signatures.orderBy(F.xxhash64("sig_id"), "sig_id").limit(number).select("features").toArrow()
+    pivots = unit_rows(pa.concat_arrays(drawn["features"].chunks), kind, dimensions)
+    shared = signatures.sparkSession.sparkContext.broadcast(pivots)
 
-    def spread(column: Column, count: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+    @arrow_udf(T.IntegerType())
+    def nearest_pivot(lists: pa.Array) -> pa.Array:
+        found = [np.zeros(0, dtype=np.int32)]
+        for block in blocks(lists):
+            found.append((unit_rows(block, kind, dimensions) @ shared.value.T).argmax(axis=1).astype(np.int32))
+        return pa.array(np.concatenate(found))
 
-    left = queries.withColumn("shard", spread(F.struct(key, "pos"), shards)).withColumn(
-        "part", F.explode_outer(F.sequence(F.lit(0), F.lit(parts - 1)))
+    placed = stored(signatures.withColumn("pivot", nearest_pivot("features")), "placed")
+    counts = placed.groupBy("pivot").count().orderBy("pivot").collect()  # a row per pivot
+    pieces = {row["pivot"]: -(-row["count"] // rows_per_part) for row in counts}
+    first, table = 0, []
+    for pivot, n in pieces.items():
+        table.append((pivot, first, n))
+        first += n
+    dimension = signatures.sparkSession.createDataFrame(table, "pivot int, first int, pieces int")
+    piece = F.pmod(F.xxhash64("sig_id"), F.col("pieces")).cast("int")
+    return placed.join(F.broadcast(dimension), "pivot").select(
+        "sig_id", "features", (F.col("first") + piece).alias("part")
     )
-    right = signatures.withColumn("part", spread(F.col("sig_id"), parts)).withColumn(
-        "shard", F.explode_outer(F.sequence(F.lit(0), F.lit(shards - 1)))
+
+
+def bounds_of(parted: DataFrame, kind: str = "bag", dimensions: int = em.DIMENSIONS) -> DataFrame:
+    """The bounds of each part; a group is one part."""
+
+    def bound(group: pa.Table) -> pa.Table:
+        matrix = unit_rows(pa.concat_arrays(group["features"].chunks), kind, dimensions)
+        centre = matrix.sum(axis=0)
+        norm = np.linalg.norm(centre)
+        centre = centre / norm if norm else centre
+        angles = np.arccos(np.clip(matrix @ centre, -1, 1))
+        return pa.table(
+            {
+                "part": pa.array([group["part"][0].as_py()], pa.int32()),
+                "n": pa.array([len(matrix)], pa.int64()),
+                "low": [matrix.min(axis=0).tolist()],
+                "high": [matrix.max(axis=0).tolist()],
+                "centre": [centre.tolist()],
+                "radius": pa.array([float(angles.max())], pa.float64()),
+            }
+        )
+
+    return stored(parted.select("part", "features").groupBy("part").applyInArrow(bound, BOUNDS), "bounds")
+
+
+@portable
+def reachable(matrix: np.ndarray, bounds: tuple[np.ndarray, ...], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by parts: the highest similarity a part can hold, and whether the row's nearest signature can be there.
+
+    ``least`` is the similarity below which nothing counts.
+    """
+    low, high, centre, radius = bounds
+    up, down = np.maximum(matrix, 0), np.minimum(matrix, 0)
+    most = up @ high.T + down @ low.T
+    sure = np.full(len(matrix), least)
+    some = (matrix != 0).any(axis=1)  # without direction a row has the same distance to all
+    if len(radius) and some.any():
+        angle = np.arccos(np.clip(matrix[some] @ centre.T, -1, 1))
+        most[some] = np.minimum(most[some], np.cos(np.maximum(angle - radius, 0)))
+        # The nearest signature of a part is at least as near as its farthest, by either bound.
+        far = np.cos(np.minimum(angle + radius, np.pi))
+        inside = (up @ low.T + down @ high.T)[some]
+        sure[some] = np.maximum(sure[some], np.maximum(far, inside).max(axis=1))
+    return most, most >= sure[:, None] - SLACK
+
+
+def with_parts(
+    queries: DataFrame, bounds: DataFrame, kind: str, dimensions: int, limit: float | None = None
+) -> DataFrame:
+    """Add ``parts``, an array of (part, most): where a query's (``features``) nearest signature can be, the part
+    that can hold the most similar one first."""
+    size = bounds.count()
+    if size * dimensions * 24 > BOUND_BYTES:
+        every = F.array_sort(F.collect_list(F.struct("part", F.lit(1.0).alias("most"))))
+        return queries.withColumn("parts", bounds.agg(every).scalar())
+    table = bounds.orderBy("part").toArrow()
+    columns = [
+        np.array(table[name].to_pylist(), dtype=np.float64).reshape(size, -1) for name in ("low", "high", "centre")
+    ]
+    numbers = table["part"].to_numpy().astype(np.int32)
+    shared = queries.sparkSession.sparkContext.broadcast((numbers, (*columns, table["radius"].to_numpy())))
+    least = -2.0 if limit is None else 1.0 - limit
+
+    @arrow_udf(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("most", T.DoubleType())])))
+    def find(lists: pa.Array) -> pa.Array:
+        parts, known = shared.value
+        sizes, found, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
+        for block in blocks(lists):
+            most, possible = reachable(unit_rows(block, kind, dimensions), known, least)
+            row, column = np.nonzero(possible)
+            order = np.lexsort((column, -most[row, column], row))
+            sizes.append(possible.sum(axis=1))
+            found.append(parts[column[order]])
+            values.append(most[row, column][order])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        entries = [pa.array(np.concatenate(found)), pa.array(np.concatenate(values))]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(entries, names=["part", "most"]))
+
+    return queries.withColumn("parts", find("features"))
+
+
+def _search(sent: DataFrame, parted: DataFrame, kind: str, dimensions: int, key: str) -> DataFrame:
+    """key, pos, sig_id, distance: the nearest signature of each query in each ``part`` it is sent to."""
+    # A part that many queries need is searched in several shards.
+    shards = F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("shards")
+    needed = stored(sent.groupBy("part").agg(shards), "shards")  # a row per part
+    shard = F.pmod(F.xxhash64(key, "pos"), F.col("shards")).cast("int")
+    left = sent.join(F.broadcast(needed), "part").withColumn("shard", shard).drop("shards")
+    wanted = [row["part"] for row in needed.select("part").collect()]
+    right = (
+        parted.filter(F.col("part").isin(wanted))
+        .join(F.broadcast(needed), "part")
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .drop("shards")
     )
-    key_type = frame.schema[key].dataType
 
     def search(group: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("sig_id")
@@ -157,27 +283,108 @@ def _with_nearest_blocked(
         )
 
     schema = T.StructType(
-        [T.StructField(key, key_type), T.StructField("pos", T.IntegerType()), *FOUND.fields]
-    )
-    found = (
-        left.groupBy("part", "shard")
-        .cogroup(right.groupBy("part", "shard"))
-        .applyInArrow(search, schema)
-        .groupBy(key, "pos")
-        .agg(F.min(F.struct("distance", "sig_id")).alias("best"))
-        .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("pos", "best.sig_id", "best.distance"))
-            ).alias("entries")
-        )
-    )
-    entries = F.transform("entries", lambda e: F.struct(e["sig_id"].alias("sig_id"), e["distance"].alias("distance")))
-    return (
-        frame.join(found, key, "left")
-        .withColumn(out, F.coalesce(entries, F.array().cast(T.ArrayType(FOUND))))
-        .drop("entries")
+        [T.StructField(key, sent.schema[key].dataType), T.StructField("pos", T.IntegerType()), *FOUND.fields]
     )
+    return left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(search, schema)
+
+
+def search_parts(
+    queries: DataFrame,
+    parted: DataFrame,
+    bounds: DataFrame,
+    kind: str = "bag",
+    dimensions: int = em.DIMENSIONS,
+    key: str = "prompt_id",
+    limit: float | None = None,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """key, pos, best (distance, sig_id) of queries (key, pos, features), and what was sent to which part.
+
+    The first round looks into one part of each query; what it finds is what the others have to reach.
+    """
+    possible = stored(with_parts(queries, bounds, kind, dimensions, limit), "queries")
+    row = [key, "pos", "features"]
+    first = possible.select(*row, F.get("parts", F.lit(0))["part"].alias("part")).filter("part is not null")
+    best = F.min(F.struct("distance", "sig_id")).alias("best")
+    found = stored(_search(first, parted, kind, dimensions, key).groupBy(key, "pos").agg(best), "first")
+    reached = F.coalesce(1.0 - F.col("best.distance"), F.lit(-2.0)) - SLACK
+    others = F.filter(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1))), lambda p: p["most"] >= reached)
+    rest = possible.filter(F.size("parts") > 1).join(found, [key, "pos"], "left")
+    rest = stored(rest.select(*row, F.explode(others).alias("p")).select(*row, "p.part"), "rest")
+    more = _search(rest, parted, kind, dimensions, key)
+    both = found.select(key, "pos", "best.sig_id", "best.distance").unionByName(more)
+    return both.groupBy(key, "pos").agg(best), [first, rest]
+
+
+def with_nearest_of_parts(
+    frame: DataFrame,
+    features: str,
+    parted: DataFrame,
+    bounds: DataFrame,
+    kind: str = "bag",
+    dimensions: int = em.DIMENSIONS,
+    key: str = "prompt_id",
+    out: str = "nearest",
+    limit: float | None = None,
+) -> DataFrame:
+    """``with_nearest`` over signatures in parts. ``key`` tells the rows of the frame apart."""
+    queries = frame.select(key, F.posexplode_outer(features).alias("pos", "features")).filter("pos is not null")
+    found, _ = search_parts(queries, parted, bounds, kind, dimensions, key, limit)
+    entry = F.struct("pos", F.struct("best.sig_id", "best.distance"))
+    entries = found.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
+    nothing = F.lit(None).cast(FOUND)
+    listed = F.transform(features, lambda _, i: F.coalesce(F.try_element_at("entries", i), nothing))
+    return frame.join(entries, key, "left").withColumn(out, listed).drop("entries")
+
+
+def compared(sent: list[DataFrame], bounds: DataFrame) -> int:
+    """How many pairs are compared if queries are sent to parts so."""
+    total = 0
+    for queries in sent:
+        met = queries.groupBy("part").agg(F.count("*").alias("queries")).join(bounds.select("part", "n"), "part")
+        total += met.agg(F.sum(F.col("queries") * F.col("n"))).first()[0] or 0
+    return total
+
+
+class SignatureStore:
+    """Signatures in parts, as a versioned table: a folder per part, and the parts' bounds beside it."""
+
+    def __init__(self, spark, root: str, kind: str = "bag", dimensions: int = em.DIMENSIONS):
+        self.kind, self.dimensions = kind, dimensions
+        self.rows, self.bounds = Snapshots(spark, f"{root}/rows"), Snapshots(spark, f"{root}/bounds")
+
+    def write(self, signatures: DataFrame, append: bool = False, rows_per_part: int | None = None) -> int:
+        """Publish signatures (sig_id, features), alone or beside those there are; the version's number.
+
+        An append puts the new ones in parts of their own. Rows are whole before bounds name them.
+        """
+        older = self.bounds.read() if append else None
+        first = 0 if older is None else older.agg(F.max("part")).first()[0] + 1
+        signatures = signatures.select(F.col("sig_id").cast("string").alias("sig_id"), "features")
+        parted = in_parts(signatures, self.kind, self.dimensions, rows_per_part)
+        parted = stored(parted.withColumn("part", F.col("part") + first), "parts")
+        version = self.rows.write(parted, ("part",), append)
+        bounds = bounds_of(parted, self.kind, self.dimensions)
+        return self.bounds.write(bounds, append=append, notes={"rows": version})
+
+    def read(self) -> tuple[DataFrame, DataFrame] | None:
+        """Parts and bounds of the latest version, which stays as it is whatever is published later."""
+        latest = self.bounds.manifest()
+        if latest is None:
+            return None
+        return self.rows.read(latest["notes"][-1]["rows"]), self.bounds.read(latest["version"])
+
+    def with_nearest(
+        self,
+        frame: DataFrame,
+        features: str,
+        key: str = "prompt_id",
+        out: str = "nearest",
+        limit: float | None = None,
+    ) -> DataFrame:
+        found = self.read()
+        if found is None:
+            raise ValueError("nothing has been published")
+        return with_nearest_of_parts(frame, features, *found, self.kind, self.dimensions, key, out, limit)
 
 
 def encode_signatures(
@@ -193,7 +400,7 @@ def encode_signatures(
 
 def add_similarity(
     prompts: DataFrame,
-    signatures: DataFrame,
+    signatures: DataFrame | SignatureStore,
     whole_limit: float = fv.WHOLE_PROMPT_DISTANCE,
     sentence_limit: float = fv.SENTENCE_DISTANCE,
     encoder: em.WordBuckets | em.BatchEncoder | None = None,
@@ -201,18 +408,21 @@ def add_similarity(
 ) -> DataFrame:
     """Add similarity_score and similarity_details: the whole prompt, then its sentences in order.
 
-    ``signatures``: sig_id, text, or sig_id, features of a stored index. A sentence counts below its
+    ``signatures``: sig_id, text, or sig_id, features of a stored index, or a store. A sentence counts below its
     own limit; the score is one minus the least distance that counted, 0 if none did.
     """
     encoder = encoder or em.WordBuckets()
-    known = encode_signatures(signatures, encoder)
     queried = prompts.withColumn("sentences_", tx.sentence_chunks(F.col("prompt"))).withColumn(
         "pieces_", F.concat(F.array("prompt"), "sentences_")
     )
-    found = with_nearest(
-        encoder.encode(queried, "pieces_", "bags_"),
-        "bags_", known, encoder.kind, encoder.dimensions, out="nearest_", broadcast=broadcast,
-    )
+    coded, limit = encoder.encode(queried, "pieces_", "bags_"), max(whole_limit, sentence_limit)
+    if isinstance(signatures, SignatureStore):
+        found = signatures.with_nearest(coded, "bags_", out="nearest_", limit=limit)
+    else:
+        known = encode_signatures(signatures, encoder)
+        found = with_nearest(
+            coded, "bags_", known, encoder.kind, encoder.dimensions, out="nearest_", broadcast=broadcast, limit=limit
+        )
     named = F.transform(
         "nearest_",
         lambda hit, i: F.struct(
