@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,9 @@ from tokenizers import Tokenizer
 from sluicegate.llm.common import annotate, once, sheltered, ship
 from sluicegate.session import stored
 
-CACHED_SEGMENTS = 200_000
-# Segments that are encoded at a time.
-AT_A_TIME = 5_000
+CACHED_SEGMENTS = 300_000
+# Characters that are encoded at a time, as far as segments allow.
+CHUNK = 20_000
 PAIRS_PER_PASS = 4_000_000
 # Links that a task has in memory before it adds them up.
 LINKS_HELD = 2_000_000
@@ -77,13 +77,31 @@ def bytes_of_b(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     ]
 
 
-def byte_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Where tokens end, in bytes. A reported span counts if it fits the token's bytes, else these decide."""
-    ends, at = [], 0
-    for (begin, end), size in zip(spans, sizes):
-        at = end if begin == at and end - begin == size else at + size
-        ends.append(at)
-    return ends
+def byte_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where tokens end, in bytes: a reported span counts if it has as many bytes as the token.
+
+    That makes its end a coarse cut. Tokens from there to the next one, inside a character or with an empty span,
+    end where their own bytes do.
+    """
+    fits = spans[:, 1] - spans[:, 0] == sizes
+    last = np.maximum.accumulate(np.where(fits, np.arange(len(sizes)), -1))
+    so_far = np.cumsum(sizes)
+    cut, before = np.where(last >= 0, spans[last, 1], 0), np.where(last >= 0, so_far[last], 0)
+    return cut + so_far - before
+
+
+class Vocabulary:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, raw: list[bytes]):
+        self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        shift = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        return self.data[shift + np.arange(len(shift))]
 
 
 class Aligner:
@@ -99,129 +117,144 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.raw_a, self.size_a = bytes_of_a(spec)
-        self.raw_b = bytes_of_b(self.b)
+        raw_a, self.size_a = bytes_of_a(spec)
+        raw_b = bytes_of_b(self.b)
+        self.bytes_a, self.bytes_b = Vocabulary(raw_a), Vocabulary(raw_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
+        # What a token adds to the text of groups: more of its side follow, or none.
+        self.shown = [f"{i}{end}" for i in range(len(raw_a)) for end in ",|"]
+        self.first_b = len(self.shown)
+        self.shown += [f"{i}{end}" for i in range(len(raw_b)) for end in ",;"]
+        self.shown_size = np.array([len(x) for x in self.shown], dtype=np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.n_a: list[int] = []  # -1 if the bytes differ
-        self.n_b: list[int] = []
-        self.n_groups: list[int] = []
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
+        # n_a (-1 if the bytes differ), n_b, n_groups, n_links of the segments, and their links one after the other.
+        self.numbers = np.zeros((0, 4), dtype=np.int64)
+        self.links = np.zeros(0, dtype=np.int64)
 
     def segments(self, text: str) -> list[str]:
         return CLEAR_SPACE.split(text) if self.cuts else [text]
 
-    def tokens(self, some: list[str]):
-        """Ids and byte ends of A, then of B, of each segment; None if the bytes aren't the segment's."""
-        whole = [" " + segment for segment in some]
-        encoded = self.a.encode_batch(whole, add_special_tokens=False)
-        protos = self.b.encode(some, return_type="proto", num_threads=1)
-        raw_a, raw_b = self.raw_a, self.raw_b
-        for text, one, other in zip(whole, encoded, protos):
-            data = text.encode()
-            ids_a, spans_a = one.ids, one.offsets
-            found = [(piece.id, piece.begin, piece.end) for piece in other.pieces]
-            ids_b = [number for number, _, _ in found]
-            if b"".join([raw_a[i] for i in ids_a]) != data or b"".join([raw_b[i] for i in ids_b]) != data:
-                yield None
-                continue
-            if len(data) != len(text):
-                at = [0, *accumulate(len(char.encode()) for char in text)]
-                spans_a = [(at[begin], at[end]) for begin, end in spans_a]
-            # The space that B adds has no place in its spans.
-            spans_b = [(begin + 1 if begin else 0, end + 1) for _, begin, end in found]
-            yield (
-                ids_a,
-                byte_ends(spans_a, [len(raw_a[i]) for i in ids_a]),
-                ids_b,
-                byte_ends(spans_b, [len(raw_b[i]) for i in ids_b]),
-            )
+    def tokens(self, segments: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Bytes of the segments, a space before each; ids and byte ends of A, then of B; None if the bytes differ."""
+        text = " " + " ".join(segments)
+        data = text.encode()
+        one = self.a.encode(text, add_special_tokens=False)
+        other = self.b.encode(text[1:], return_type="proto")
+        ids_a, spans_a = np.array(one.ids, dtype=np.int64), np.array(one.offsets, dtype=np.int64).reshape(-1, 2)
+        found = np.array([(p.id, p.begin, p.end) for p in other.pieces], dtype=np.int64).reshape(-1, 3)
+        # The space that B adds has no place in its spans.
+        ids_b, spans_b = found[:, 0], found[:, 1:] + 1
+        spans_b[:1, 0] = 0
+        whole = np.frombuffer(data, dtype=np.uint8)
+        for ids, vocabulary in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if vocabulary.size[ids].sum() != len(data) or not np.array_equal(vocabulary.joined(ids), whole):
+                return None
+        if len(data) != len(text):
+            at = np.append(np.flatnonzero((whole & 0xC0) != 0x80), len(data))
+            spans_a = at[spans_a]
+        return (
+            data,
+            ids_a,
+            byte_ends(spans_a, self.bytes_a.size[ids_a]),
+            ids_b,
+            byte_ends(spans_b, self.bytes_b.size[ids_b]),
+        )
+
+    def match(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
+        """Numbers, links (``b * size_a + a``) and groups of segments; None if one of them has other bytes."""
+        found = self.tokens(segments)
+        if found is None:
+            return None
+        data, ids_a, ends_a, ids_b, ends_b = found
+        ends = np.cumsum([1 + (len(x) if x.isascii() else len(x.encode())) for x in segments])
+        marks = np.zeros((4, len(data) + 1), dtype=np.int64)
+        marks[0, ends_a] = marks[1, ends_b] = 1
+        marks[2], marks[3] = marks[0] & marks[1], marks[0] | marks[1]
+        if not marks[2, ends].all():
+            return None
+        before = np.cumsum(marks, axis=1)
+        numbers = np.diff(before[:, ends], axis=1, prepend=0).T
+        # Every end of either side ends a link: that of the two tokens before it.
+        at = np.flatnonzero(marks[3]) - 1
+        links = ids_b[before[1, at]] * self.size_a + ids_a[before[0, at]]
+        group_a, group_b = before[2, ends_a - 1], before[2, ends_b - 1]
+        count = int(before[2, -1])
+        older_b = np.append(0, np.cumsum(np.bincount(group_b, minlength=count)))
+        older_a = np.append(0, np.cumsum(np.bincount(group_a, minlength=count)))
+        shown = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        shown[np.arange(len(ids_a)) + older_b[group_a]] = 2 * ids_a + marks[2, ends_a]
+        shown[np.arange(len(ids_b)) + older_a[group_b + 1]] = self.first_b + 2 * ids_b + marks[2, ends_b]
+        text = "".join(map(self.shown.__getitem__, shown.tolist()))
+        until = np.cumsum(self.shown_size[shown])[np.cumsum(numbers[:, 0] + numbers[:, 1]) - 1].tolist()
+        return numbers, links, [text[a:b] for a, b in zip([0, *until], until)]
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), AT_A_TIME):
-            some = new[at : at + AT_A_TIME]
-            for segment, found in zip(some, self.tokens(some)):
-                self.place[segment] = len(self.n_a)
-                if found is None:
-                    row = (-1, 0, 0, "", [])
-                else:
-                    ids_a, ends_a, ids_b, ends_b = found
-                    groups, links = match(ids_a, ends_a, ids_b, ends_b, self.size_a)
-                    row = (len(ids_a), len(ids_b), len(groups), ";".join(groups), links)
-                for column, value in zip((self.n_a, self.n_b, self.n_groups, self.groups, self.links), row):
-                    column.append(value)
+        chunks: list[list[str]] = [[]]
+        alone, size = [], 0
+        for segment in new:
+            # Only between characters that are no white space does a space keep segments apart.
+            if not self.cuts or segment != segment.strip() or SPACE in segment or not segment:
+                alone.append([segment])
+                continue
+            chunks[-1].append(segment)
+            size += len(segment) + 1
+            if size > CHUNK:
+                chunks.append([])
+                size = 0
+        numbers, links = [self.numbers], [self.links]
+        waiting = [chunk for chunk in chunks if chunk] + alone
+        while waiting:
+            chunk = waiting.pop()
+            found = self.match(chunk)
+            if found is None and len(chunk) > 1:
+                waiting += [chunk[: len(chunk) // 2], chunk[len(chunk) // 2 :]]
+                continue
+            found = found or (np.array([[-1, 0, 0, 0]]), self.links[:0], [""])
+            for segment, groups in zip(chunk, found[2]):
+                self.place[segment] = len(self.groups)
+                self.groups.append(groups)
+            numbers.append(found[0])
+            links.append(found[1])
+        self.numbers, self.links = np.concatenate(numbers), np.concatenate(links)
 
     def align(self, texts: list[str | None]) -> list[pa.Array]:
-        """n_a, n_b, n_groups, n_links, the groups as text, and the linked pairs with their numbers."""
+        """n_a, n_b, n_groups, n_links, the groups as text, and the links of each text, in order."""
         if len(self.place) > CACHED_SEGMENTS:
             self.forget()
         cut = [self.segments(text) if text else [] for text in texts]
-        self.learn(list(set(chain.from_iterable(cut)).difference(self.place)))
-        sizes = np.array([len(parts) for parts in cut], dtype=np.int64)
+        new = list(set(chain.from_iterable(cut)).difference(self.place))
+        if new:
+            self.learn(new)
         known = self.place.__getitem__
-        places = np.fromiter(map(known, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
-        used, at = np.unique(places, return_inverse=True)
+        places = [list(map(known, parts)) for parts in cut]
+        sizes = np.array([len(parts) for parts in places], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
-        columns = [
-            np.array([column[i] for i in used.tolist()], dtype=np.int64)
-            for column in (self.n_a, self.n_b, self.n_groups)
-        ]
+        flat = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=int(sizes.sum()))
         # A text with a segment that can't be aligned has no tokens.
         whole = np.ones(len(texts), dtype=bool)
-        whole[row[columns[0][at] < 0]] = False
+        whole[row[self.numbers[flat, 0] < 0]] = False
         good = whole[row]
-        row, at = row[good], at[good]
-        sums = [np.bincount(row, column[at], minlength=len(texts)).astype(np.int64) for column in columns]
-        parts = [self.links[i] for i in used.tolist()]
-        number = np.array([len(part) for part in parts], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(number.sum()))
-        begin = np.cumsum(number) - number
-        each = number[at]
-        n_links = np.bincount(row, each, minlength=len(texts)).astype(np.int64)
-        shift = np.repeat(begin[at] - (np.cumsum(each) - each), each)
-        links = flat[shift + np.arange(len(shift))]
-        link_row = np.repeat(row, each)
-        order = np.lexsort((links, link_row))
-        links, link_row = links[order], link_row[order]
-        first = np.flatnonzero(
-            np.append(True, (links[1:] != links[:-1]) | (link_row[1:] != link_row[:-1])) if len(links) else []
-        )
-        times = np.diff(np.append(first, len(links)))
-        ends = np.append(0, np.cumsum(np.bincount(link_row[first], minlength=len(texts)))).astype(np.int32)
-        groups = self.groups
-        texts_of = [
-            ";".join([groups[i] for i in map(known, parts)]) if fits else "" for parts, fits in zip(cut, whole.tolist())
-        ]
+        row, flat = row[good], flat[good]
+        sums = [np.bincount(row, column, len(texts)).astype(np.int64) for column in self.numbers[flat].T]
+        each = self.numbers[flat, 3]
+        first = np.cumsum(self.numbers[:, 3]) - self.numbers[:, 3]
+        shift = np.repeat(first[flat] - (np.cumsum(each) - each), each)
+        links = self.links[shift + np.arange(len(shift))]
+        ends = np.append(0, np.cumsum(sums[3])).astype(np.int32)
+        groups = self.groups.__getitem__
+        shown = ["".join(map(groups, parts))[:-1] if fits else "" for parts, fits in zip(places, whole.tolist())]
         return [
-            *[pa.array(column, pa.int64()) for column in (*sums, n_links)],
-            pa.array(texts_of, pa.string()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(links[first], pa.int64())),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(times, pa.int64())),
+            *[pa.array(column, pa.int64()) for column in sums],
+            pa.array(shown, pa.string()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(links, pa.int64())),
         ]
 
 
-def match(
-    ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], size_a: int
-) -> tuple[list[str], list[int]]:
-    """Groups as ``a1,a2|b1`` and links as ``b * size_a + a`` of tokens that cover the same bytes."""
-    groups, links = [], []
-    i = j = from_a = from_b = 0
-    while i < len(ids_a):
-        links.append(ids_b[j] * size_a + ids_a[i])
-        end_a, end_b = ends_a[i], ends_b[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
-        if end_a == end_b:
-            groups.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-            from_a, from_b = i, j
-    return groups, links
-
-
 def _long(name: str) -> StructField:
     return StructField(name, LongType())
 
@@ -231,8 +264,8 @@ def align(
 ) -> DataFrame:
     """Add the alignment of a text's tokens.
 
-    n_a, n_b, n_groups, n_links; ``groups``, as ``a1,a2|b1;a3|b2,b3`` with the ids in order; ``pairs``, each pair of
-    linked ids as ``b * size + a`` (see ``vocabulary_size``), and ``times``, how many links hold it in the text.
+    n_a, n_b, n_groups, n_links; ``groups``, as ``a1,a2|b1;a3|b2,b3`` with the ids in order; ``links``, the ids of
+    linked tokens in order, as ``b * size + a`` (see ``vocabulary_size``).
     """
     with open(bytes_path, encoding="utf-8") as file:
         content = file.read()
@@ -247,8 +280,7 @@ def align(
     fields = [
         *map(_long, ("n_a", "n_b", "n_groups", "n_links")),
         StructField("groups", StringType()),
-        StructField("pairs", ArrayType(LongType(), False)),
-        StructField("times", ArrayType(LongType(), False)),
+        StructField("links", ArrayType(LongType(), False)),
     ]
 
     def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -267,29 +299,33 @@ def pair_counts(aligned: DataFrame, size: int) -> DataFrame:
     """pair, b, n: how many links of all rows hold a pair of ids."""
 
     def run(batches):
-        held, number = [], 0
+        held = [np.zeros((0, 2), dtype=np.int64)]
+        number = 0
 
-        def added():
-            pairs = np.concatenate([pairs for pairs, _ in held])
-            times = np.concatenate([times for _, times in held])
-            different, place = np.unique(pairs, return_inverse=True)
-            sums = np.bincount(place, times, minlength=len(different)).astype(np.int64)
-            return different, sums
+        def added() -> np.ndarray:
+            rows = np.concatenate(held)
+            different, place = np.unique(rows[:, 0], return_inverse=True)
+            sums = np.zeros(len(different), dtype=np.int64)
+            np.add.at(sums, place, rows[:, 1])
+            return np.stack([different, sums], axis=1)
+
+        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["pair", "n"])
 
         for batch in batches:
             # Flattened, a column has the values of this batch's rows alone.
-            held.append(tuple(batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in (0, 1)))
-            number += len(held[-1][0])
+            links = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append(np.stack(np.unique(links, return_counts=True), axis=1))
+            number += len(held[-1])
             if number > LINKS_HELD:
                 held = [added()]
-                number = 0
-                if len(held[0][0]) > LINKS_HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["pair", "n"])
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], names=["pair", "n"])
-
-    added = aligned.select("pairs", "times").mapInArrow(run, "pair long, n long")
+                number = len(held[0])
+                if number > LINKS_HELD // 2:
+                    yield batch_of(held[0])
+                    held, number = [held[0][:0]], 0
+        yield batch_of(added())
+
+    added = aligned.select("links").mapInArrow(run, "pair long, n long")
     counts = added.groupBy("pair").agg(F.sum("n").alias("n"))
     return counts.select("pair", F.floor(F.col("pair") / F.lit(size)).cast("int").alias("b"), "n")
 
@@ -313,27 +349,21 @@ def _add_pass(frame: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     pairs, n = table["pair"].to_numpy(), table["n"].to_numpy()
     shared = frame.sparkSession.sparkContext.broadcast((pairs, n, _best(pairs // size, n)))
     names = frame.columns
-    done = [names.index(c) for c in ("pairs", "times", "n_best", "count_sum")]
+    links_at, best_at, sum_at = (names.index(c) for c in ("links", "n_best", "count_sum"))
 
     def run(batches):
         known, counted, best = shared.value
         for batch in batches:
-            links, times = batch.column(done[0]), batch.column(done[1])
-            sizes = np.diff(links.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            links = links.flatten().to_numpy(zero_copy_only=False)
-            times = times.flatten().to_numpy(zero_copy_only=False)
+            column = batch.column(links_at)
+            ends = np.append(0, np.cumsum(np.diff(column.offsets.to_numpy())))
+            links = column.flatten().to_numpy(zero_copy_only=False)
             place = np.minimum(np.searchsorted(known, links), len(known) - 1)
             here = known[place] == links
-            place, times, row = place[here], times[here], row[here]
-            made = []
-            for number, values in ((2, times * best[place]), (3, times * counted[place])):
-                # Whole numbers: a sum of floats would be exact only up to 2 ** 53.
-                total = np.zeros(batch.num_rows, dtype=np.int64)
-                np.add.at(total, row, values)
-                made.append(pa.array(batch.column(done[number]).to_numpy() + total))
             columns = list(batch.columns)
-            columns[done[2]], columns[done[3]] = made
+            for number, values in ((best_at, best[place]), (sum_at, counted[place])):
+                so_far = np.append(0, np.cumsum(np.where(here, values, 0)))
+                total = so_far[ends[1:]] - so_far[ends[:-1]]
+                columns[number] = pa.array(columns[number].to_numpy() + total)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return frame.mapInArrow(run, frame.schema)
@@ -347,7 +377,7 @@ def _best(b: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def add_counts(aligned: DataFrame, size: int, most: int = PAIRS_PER_PASS) -> DataFrame:
-    """Add n_best and count_sum to stored alignments, instead of their ``pairs`` and ``times``.
+    """Add n_best and count_sum to stored alignments, instead of their ``links``.
 
     A pair's count is the number of links of all rows that hold it. count_sum is the sum over the links of a row,
     n_best the number of those whose count is the highest of their id of B.
@@ -357,7 +387,7 @@ def add_counts(aligned: DataFrame, size: int, most: int = PAIRS_PER_PASS) -> Dat
     frame = aligned.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
     for first, last in passes(numbers, most):
         frame = _add_pass(frame, counts.filter(F.col("b").between(first, last)), size)
-    return frame.drop("pairs", "times")
+    return frame.drop("links")
 
 
 ship(__name__)

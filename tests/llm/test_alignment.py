@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -99,7 +100,7 @@ def test_odd_texts_in_any_number_of_passes(spark):
     texts = ODD + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(150)]
     texts += [" ".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(150)] + ["a b"] * 5
     rows = list(enumerate(texts))
-    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, pairs int, `text of the row` int")
+    docs = spark.createDataFrame([(i, t, 7, 8) for i, t in rows], "doc_id long, text string, links int, `text of the row` int")
     wanted = expected(rows)
     assert sum(1 for row in wanted.values() if row[0]) > 150
     for most in (10**6, 40):
@@ -117,22 +118,27 @@ def test_text_cut_into_segments_is_the_whole_text(spark):
     with open(BYTES, encoding="utf-8") as file, open(PIECES, "rb") as model:
         aligner = alignment.Aligner(file.read(), model.read())
     assert aligner.cuts
-    for _ in range(300):
-        text = "".join(rng.choice("ab é\n\t €. 王1") for _ in range(rng.randint(1, 60)))
-        rows = list(aligner.tokens(aligner.segments(text)))
+    texts = ["".join(rng.choice("ab é\n\t €. 王1") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    texts += ["plain words only"] * 3
+    # All segments learned together, then put together again.
+    columns = [column.to_pylist() for column in aligner.align(texts)]
+    for number, text in enumerate(texts):
         one, other = tokens(text)
-        if one:
-            assert [i for row in rows for i in row[0]] == [i for i, _ in one], text
-            assert [i for row in rows for i in row[2]] == [i for i, _ in other], text
-        else:
-            assert None in rows, text
+        n_a, n_b, _, n_links, groups, links = (column[number] for column in columns)
+        assert (n_a, n_b, n_links) == (len(one), len(other), len(links)), text
+        parts = [group.split("|") for group in groups.split(";") if group]
+        assert [int(i) for a, _ in parts for i in a.split(",")] == [i for i, _ in one], text
+        assert [int(i) for _, b in parts for i in b.split(",")] == [i for i, _ in other], text
 
 
 def test_spans_that_do_not_fit_give_way_to_bytes():
+    def ends(spans, sizes):
+        return alignment.byte_ends(np.array(spans), np.array(sizes)).tolist()
+
     # A character of three bytes in three byte tokens: empty spans, then one that holds the whole character.
-    assert alignment.byte_ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 6)], [1, 1, 1, 1, 2]) == [1, 2, 3, 4, 6]
+    assert ends([(0, 1), (1, 1), (1, 1), (1, 4), (4, 6)], [1, 1, 1, 1, 2]) == [1, 2, 3, 4, 6]
     # Two tokens that share a character report it both.
-    assert alignment.byte_ends([(0, 4), (1, 4), (4, 5)], [2, 2, 1]) == [2, 4, 5]
+    assert ends([(0, 4), (1, 4), (4, 5)], [2, 2, 1]) == [2, 4, 5]
 
 
 def test_passes_hold_whole_ids():
