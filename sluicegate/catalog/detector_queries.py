@@ -14,6 +14,7 @@ from sluicegate.catalog.text_queries import sql_rewrite
 from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
 from sluicegate.operators import classifier as cl
+from sluicegate.operators import epochs as ep
 from sluicegate.operators import lexicon as lx
 from sluicegate.operators import mutation as mu
 from sluicegate.operators import nearest as nn
@@ -500,6 +501,90 @@ def classifier_train(spark, folder):
     ).select("n", *[F.round(m, 4).alias(m) for m in ("accuracy", "precision", "recall", "f1")])
 
 
+@query("classifier_epochs")
+def classifier_epochs(spark, folder):
+    """Quality on the held-out fifth after every epoch, and which one was kept."""
+    rows = _training_rows(spark, folder)
+    _, history = ep.train_epochs(rows.filter("not is_test"), rows.filter("is_test"))
+    names = ("accuracy", "precision", "recall", "f1")
+    rows = [(row["epoch"], row["n"], *[round(row[c], 4) for c in names], row["kept"]) for row in history]
+    kinds = ", ".join(f"{c} double" for c in names)
+    return spark.createDataFrame(rows, f"epoch int, n long, {kinds}, kept boolean")
+
+
+_BUCKETS = 4096
+
+
+def _bucket_list(x):
+    return (
+        f"list_transform({sql.model_words(x)}, "
+        f"lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % {_BUCKETS})::INTEGER)"
+    )
+
+
+# shares: bucket, weight of the model that one pass over the labelled documents gives; hashed_risks: its scores
+_SHARES = f"""labelled AS (SELECT toxic AS label, {_bucket_list("text")} AS ids FROM labels JOIN documents USING (doc_id)),
+sizes AS (SELECT count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM labelled),
+seen AS (SELECT label, unnest(list_distinct(ids)) AS bucket FROM labelled),
+shares AS (
+  SELECT bucket, round((count(*) FILTER (WHERE label = 1) / greatest(any_value(n1), 1)::DOUBLE
+                        - count(*) FILTER (WHERE label = 0) / greatest(any_value(n0), 1)::DOUBLE) * 4.0::DOUBLE, 6) AS weight
+  FROM seen, sizes GROUP BY bucket),
+id_lists AS (SELECT prompt_id, {_bucket_list("prompt")} AS ids FROM prompts),
+placed AS (SELECT prompt_id, len(ids) AS n, unnest(range(len(ids))) AS place, unnest(ids) AS bucket FROM id_lists),
+hashed_sums AS (
+  SELECT prompt_id, n, place, sum(round(coalesce(weight, 0) * 1e6)::BIGINT) OVER (
+    PARTITION BY prompt_id ORDER BY place ROWS BETWEEN {fv.MODEL_TOKENS - 1} PRECEDING AND CURRENT ROW) AS millionths
+  FROM placed LEFT JOIN shares USING (bucket)),
+largest AS (
+  SELECT prompt_id, max(millionths)::DOUBLE AS millionths FROM hashed_sums
+  WHERE place >= least(n, {fv.MODEL_TOKENS}) - 1 GROUP BY prompt_id),
+hashed_risks AS (
+  SELECT prompt_id, 1.0 / (1.0 + exp(-(coalesce(millionths, 0) / 1e6 - 1.0))) AS risk
+  FROM prompts LEFT JOIN largest USING (prompt_id))"""
+
+
+def _share_model(spark, folder):
+    return ep.fit_shares(tb.labelled(spark, folder).select("label", "text"), _BUCKETS)
+
+
+@query(
+    "classifier_shares",
+    f"""WITH {_SHARES.split("id_lists AS")[0].rstrip().rstrip(",")}
+SELECT bucket, weight FROM shares WHERE weight <> 0""",
+)
+def classifier_shares(spark, folder):
+    """The weights of a model over hashed words that one pass over the labelled documents gives."""
+    path = work_dir(spark, "shares")
+    _share_model(spark, folder).save(spark, path)
+    kept = spark.read.parquet(path).filter("bucket >= 0")
+    return kept.select("bucket", (F.col("millionths") / F.lit(1e6)).alias("weight"))
+
+
+@query(
+    "classifier_hashed_score",
+    f"WITH {sql.PROMPTS}, {_SHARES} SELECT prompt_id, round(risk, 4) AS risk, risk > 0.5 AS is_dangerous FROM hashed_risks",
+)
+def classifier_hashed_score(spark, folder):
+    """Every prompt scored by that model over all windows of its words, saved and loaded again."""
+    path = work_dir(spark, "shares")
+    _share_model(spark, folder).save(spark, path)
+    scored = cl.classify(tb.prompts(spark, folder), ep.HashedScorer.load(spark, path))
+    return scored.select("prompt_id", F.round("risk", 4).alias("risk"), "prediction.is_dangerous")
+
+
+@query("attributions_occlusion")
+def attributions_occlusion(spark, folder):
+    """Words that drove the verdicts of a scorer that has no weights to show: each left out and scored again."""
+    scorer = _scorer()
+    scored = cl.classify(tb.prompts(spark, folder), scorer)
+    dangerous = stored(scored.filter("prediction.is_dangerous").select("prompt_id", "prompt"), "dangerous")
+    found = cl.attributions(dangerous, lambda rows, text: scorer(rows, text))
+    return found.select("prompt_id", F.posexplode_outer("features").alias("pos", "f")).filter("f is not null").select(
+        "prompt_id", "pos", "f.word", "f.impact"
+    )
+
+
 @query("classifier_select")
 def classifier_select(spark, folder):
     """F1 of class 1 for every regularisation tried, on held-out rows, and which one was kept."""

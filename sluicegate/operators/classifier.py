@@ -1,7 +1,9 @@
 """Class-weighted text classifier: training, selection, scoring, attributions.
 
-A scorer is any callable ``scorer(frame, text_column) -> frame with a risk column``. It may also
-have ``token_weights(tokens)``, which adds a weight to rows with a word, for attributions.
+A scorer is any callable ``scorer(frame, text_column) -> frame with a risk column``. It may also have
+``add_risks(frame, texts_column, out)``, which adds an array of risks, one per text of an array column, where the
+rows are; and ``token_weights(tokens)``, which adds a weight to rows with a word, for attributions. Attributions of
+a scorer without weights come from scoring texts with a word left out.
 """
 
 from __future__ import annotations
@@ -152,27 +154,39 @@ class LinearScorer:
     def __call__(self, frame: DataFrame, text: str) -> DataFrame:
         if self.in_row:
             return frame.withColumn("risk", self.risk(F.col(text)))
+        risks = self.add_risks(frame.withColumn("texts_", F.array(text)), "texts_", "risks_")
+        return risks.withColumn("risk", F.get("risks_", F.lit(0))).drop("texts_", "risks_")
+
+    def add_risks(self, frame: DataFrame, texts: str, out: str) -> DataFrame:
+        """Add an array of risks, one per text of an array column."""
+        if self.in_row:
+            return frame.withColumn(out, F.transform(texts, self.risk))
         millionths = {word: round(weight * 1e6) for word, weight in self.coefficients.items()}
         shared = frame.sparkSession.sparkContext.broadcast(millionths)
         size = fv.MODEL_TOKENS
 
-        @arrow_udf(T.DoubleType())
+        @arrow_udf(T.ArrayType(T.DoubleType()))
         @portable
-        def largest_margin(texts: pa.Array) -> pa.Array:
+        def largest_margins(lists: pa.Array) -> pa.Array:
             known = shared.value.get
 
             def most(words: list[str]) -> float:
                 sums = np.cumsum([0] + [known(word, 0) for word in words])
                 return int((sums[size:] - sums[:-size]).max() if len(words) > size else sums[-1]) / 1e6
 
-            return pa.array([None if words is None else most(words) for words in texts.to_pylist()], pa.float64())
+            found = [
+                None if texts is None else [None if words is None else most(words) for words in texts]
+                for texts in lists.to_pylist()
+            ]
+            return pa.array(found, pa.list_(pa.float64()))
 
-        # Named twice, the words stay a column of their own below the Python call.
-        whole = F.when(F.size("words_") >= 0, F.col("words_"))
+        words = tx.pinned(F.transform(texts, lambda text: model_words(text)))
+        margins = tx.pinned(largest_margins("words_"))
         return (
-            frame.withColumn("words_", model_words(F.col(text)))
-            .withColumn("risk", self._logistic(largest_margin(whole)))
-            .drop("words_")
+            frame.withColumn("words_", words)
+            .withColumn("margins_", margins)
+            .withColumn(out, F.transform("margins_", self._logistic))
+            .drop("words_", "margins_")
         )
 
     def token_weights(self, tokens: DataFrame) -> DataFrame:
@@ -223,39 +237,77 @@ def load_scorer(path: str) -> ModelScorer:
     return ModelScorer(PipelineModel.load(path))
 
 
-def attributions(
-    prompts: DataFrame, scorer, text: str = "prompt", floor: float = fv.ATTRIBUTION_FLOOR
-) -> DataFrame:
-    """prompt_id, features array(word, impact): words that drove a verdict, in text order.
-
-    A word's impact is its share of the whole text's contribution vector, scaled to length one. Give
-    only the dangerous prompts; a group is one prompt's distinct words.
-    """
+def _linear_parts(prompts: DataFrame, scorer, text: str) -> DataFrame:
+    """prompt_id, pos, word, part: what each different word adds to the margin, by the scorer's own weights."""
     words = prompts.select(
         "prompt_id", F.posexplode_outer(model_words(F.col(text))).alias("pos", "word")
     ).filter("word is not null")
     counted = words.groupBy("prompt_id", "word").agg(
         F.min("pos").alias("pos"), F.count("*").alias("times")
     )
-    weighted = scorer.token_weights(counted).withColumn("part", F.col("weight") * F.col("times"))
+    weighted = scorer.token_weights(counted)
+    return weighted.select("prompt_id", "pos", "word", (F.col("weight") * F.col("times")).alias("part"))
+
+
+def _margin(risk: Column) -> Column:
+    kept = F.least(F.greatest(risk, F.lit(1e-15)), F.lit(1 - 1e-15))
+    return F.log(kept / (1 - kept))
+
+
+def occlusion_parts(prompts: DataFrame, scorer, text: str) -> DataFrame:
+    """prompt_id, pos, word, part: what the margin of the riskiest window loses without each of its words.
+
+    For any scorer: the windows of a text are scored, and then the riskiest one again, once without each different
+    word. So a row has at most as many rows here as a window has words, however long its text is, and they are
+    scored where they arise; only words and numbers move.
+    """
+    windows = prompts.select(
+        "prompt_id", F.posexplode_outer(model_windows(model_words(F.col(text)))).alias("window", "words")
+    ).withColumn("window_text", F.array_join("words", " "))
+    scored = scorer(windows, "window_text").select("prompt_id", "window", "words", "risk")
+    best = F.max_by(F.struct("words", "risk"), F.struct("risk", -F.col("window"))).alias("best")
+    rows = (
+        scored.groupBy("prompt_id")
+        .agg(best)
+        .select(
+            "prompt_id",
+            "best.words",
+            F.col("best.risk").alias("whole"),
+            F.posexplode_outer(F.array_distinct("best.words")).alias("pos", "word"),
+        )
+        .filter("word is not null")
+        .withColumn("rest", F.array_join(F.filter("words", lambda w: w != F.col("word")), " "))
+        .drop("words")
+    )
+    return scorer(rows, "rest").select(
+        "prompt_id", "pos", "word", (_margin(F.col("whole")) - _margin(F.col("risk"))).alias("part")
+    )
+
+
+def attributions(
+    prompts: DataFrame, scorer, text: str = "prompt", floor: float = fv.ATTRIBUTION_FLOOR
+) -> DataFrame:
+    """prompt_id, features array(word, impact): words that drove a verdict, in text order.
+
+    A word's impact is its share of the whole contribution vector, scaled to length one. A scorer with
+    ``token_weights`` gives the contributions to the whole text, any other one those to its riskiest window, by
+    occlusion. Give only the dangerous prompts; a group is one prompt's distinct words.
+    """
+    parts = (_linear_parts if hasattr(scorer, "token_weights") else occlusion_parts)(prompts, scorer, text)
+
+    def share(p: Column) -> Column:
+        # Without any contribution no word has a share.
+        return F.struct(
+            p["word"].alias("word"), F.when(F.col("norm") > 0, p["part"] / F.col("norm")).alias("impact")
+        )
+
     return (
-        weighted.groupBy("prompt_id")
+        parts.groupBy("prompt_id")
         .agg(
             F.sqrt(F.sum(F.col("part") * F.col("part"))).alias("norm"),
             F.array_sort(F.collect_list(F.struct("pos", "word", "part"))).alias("parts"),
         )
-        .select(
-            "prompt_id",
-            F.filter(
-                F.transform(
-                    "parts",
-                    lambda p: F.struct(
-                        p["word"].alias("word"), (p["part"] / F.col("norm")).alias("impact")
-                    ),
-                ),
-                lambda p: p["impact"] >= floor,
-            ).alias("shares"),
-        )
+        .select("prompt_id", F.filter(F.transform("parts", share), lambda p: p["impact"] >= floor).alias("shares"))
         .select(
             "prompt_id",
             F.transform(

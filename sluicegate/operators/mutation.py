@@ -414,10 +414,10 @@ def mutation_report(
 ) -> DataFrame:
     """prompt_id, layer_score, is_safe, details(mutation_count, max_risk, mutations_tested).
 
-    A scorer with ``in_row`` set scores the variants in their prompt's row and nothing is shuffled. Another one
+    A scorer with ``add_risks`` scores the variants in their prompt's row and nothing is shuffled. Another one
     adds a risk to rows with a text, one row per variant; a group holds one prompt's variants.
     """
-    if getattr(scorer, "in_row", False):
+    if hasattr(scorer, "add_risks"):
         result = _tested_in_row(prompts, synonyms, scorer, **options)
     else:
         result = _tested_as_rows(prompts, synonyms, scorer, **options)
@@ -437,7 +437,7 @@ def _tested(text: Column, risk: Column, semantic_sim: Column) -> Column:
 
 
 def _tested_in_row(prompts: DataFrame, synonyms: DataFrame, scorer, **options) -> DataFrame:
-    """prompt_id, n_words, risks, tested of every prompt, by a scorer that is an expression."""
+    """prompt_id, n_words, risks, tested of every prompt, by a scorer that works on arrays."""
     varied = add_variants(prompts, synonyms, **options)
     varied = em.WordBuckets().encode(varied.withColumn("variants", tx.pinned(F.col("variants"))), "variants", "bags_")
     varied = varied.withColumn("bags_", tx.pinned(F.col("bags_")))
@@ -445,7 +445,7 @@ def _tested_in_row(prompts: DataFrame, synonyms: DataFrame, scorer, **options) -
     cosines = em.cosines_with_first(F.col("bags_"))
     # Zipped, not looked up by place: no Python call moves into a lambda.
     rows = F.arrays_zip(F.col("variants").alias("text"), F.col("risks").alias("risk"), F.col("cosines_").alias("sim"))
-    return varied.withColumn("cosines_", cosines).withColumn("risks", F.transform("variants", scorer.risk)).select(
+    return scorer.add_risks(varied.withColumn("cosines_", tx.pinned(cosines)), "variants", "risks").select(
         "prompt_id",
         "n_words",
         "risks",

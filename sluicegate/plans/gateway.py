@@ -1,7 +1,7 @@
 """Blending of the four detectors, decisions, and the two user-level jobs.
 
 Everything that needs the text (lexicon matches, similarity, variants, their scoring by an expression,
-previews, the rewrite of at most fifty words) is computed in the row: with a scorer that is an expression
+previews, the rewrite of at most fifty words) is computed in the row: with a scorer that works on arrays
 and dictionaries of measured small size nothing is shuffled, and a stream can append what it scores. Texts
 move in three cases: a scorer that takes rows gets the variants as rows (which it scores before they are
 grouped by request), a lexicon too large for the row is joined, and a model that rewrites gets the texts of
@@ -207,12 +207,12 @@ def score_prompts(
 ) -> DataFrame:
     """request, prompt_id, prompt_preview, rewritten, layer_scores: the slim result of all detectors.
 
-    A scorer with ``in_row`` set scores the variants where they are; another one gets them as rows,
+    A scorer with ``add_risks`` scores the variants where they are; another one gets them as rows,
     and their risks are put together by request. ``request`` is null if nothing needs it.
     """
     used = detectors.completed()
     text = F.col("prompt")
-    in_row = getattr(used.scorer, "in_row", False)
+    in_row = hasattr(used.scorer, "add_risks")
     look_up = lx.row_lookup(used.lexicon, used.lemmas)
     moved = keyed or not in_row or look_up is None
     # The operators below group and draw by prompt_id; here that is the request.
@@ -237,7 +237,8 @@ def score_prompts(
     )
     varied = varied.withColumn("slim", slim)
     if in_row:
-        scored = varied.select("prompt_id", "slim", F.transform("variants", used.scorer.risk).alias("risks"))
+        kept = varied.select("prompt_id", "slim", tx.pinned(F.col("variants")).alias("variants"))
+        scored = used.scorer.add_risks(kept, "variants", "risks").drop("variants")
     else:
         scored = _grouped_risks(varied, used)
     scores = {

@@ -1,5 +1,6 @@
 """Gateway, data-set, ranking and streaming jobs on small fixtures."""
 
+import hashlib
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from sluicegate import fixed_values as fv
 from sluicegate import session
 from sluicegate.operators import classifier as cl
+from sluicegate.operators import epochs as ep
 from sluicegate.operators import mutation as mu
 from sluicegate.operators import ranking as rk
 from sluicegate.operators.sanitize import TOPIC_TEXT
@@ -188,6 +190,78 @@ def test_fitted_models_read_every_window(spark):
     assert all((r["risk"] > 0.5) == (r["prompt_id"] != "plain") for r in found)
 
 
+def test_training_by_epochs_keeps_the_best_under_any_partitioning(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+
+    def text(label):
+        return " ".join(rng.choices(words, k=rng.randint(5, 40)) + (["bad", "worse"] if label and rng.random() < 0.9 else []))
+
+    data = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    rows = spark.createDataFrame(data[:300], "doc_id long, text string, label int")
+    held = spark.createDataFrame(data[300:], "doc_id long, text string, label int")
+    options = {"features": 512, "epochs": 3, "batches": 4}
+    scorer, history = ep.train_epochs(rows.repartition(1), held, **options)
+    again, same = ep.train_epochs(rows.repartition(7), held.repartition(5), **options)
+    assert (scorer.millionths == again.millionths).all() and scorer.intercept == again.intercept and history == same
+    kept = [row for row in history if row["kept"]]
+    assert len(history) == 3 and len(kept) == 1 and kept[0]["f1"] == max(row["f1"] for row in history) > 0.7
+    # One step against plain numbers.
+    coded = ep.encoded_rows(rows, "doc_id", 512, 4, 42)
+    rare = ep.rarity(coded, 512)
+    weights = np.linspace(-1, 1, 512)
+    grains, n = ep.gradient(coded.filter("batch = 2"), (weights, rare, 0.25), 512)
+    wanted, count = np.zeros(513), 0
+    bucket = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 512 for w in [*words, "bad", "worse"]}
+    for row in spark.createDataFrame(data[:300], "doc_id long, text string, label int").selectExpr("*", "pmod(xxhash64(42, cast(doc_id as string)), 4) as batch").collect():
+        if row["batch"] == 2:
+            value = np.bincount([bucket[w] for w in row["text"].split()], minlength=512) * rare
+            p = 1 / (1 + np.exp(-(value @ weights + 0.25)))
+            weight = 300 / (2 * (75 if row["label"] else 225))
+            wanted += np.append(value, 1) * (p - row["label"]) * weight
+            count += 1
+    assert n == count and np.allclose(grains / ep.GRAIN, wanted, atol=1e-5)
+    # A model goes on from another one, and comes back from its file.
+    _, more = ep.train_epochs(rows, held, start=scorer, **{**options, "epochs": 1})
+    assert more[0]["f1"] > 0.7
+    path = session.work_dir(spark, "hashed")
+    scorer.save(spark, path)
+    loaded = ep.HashedScorer.load(spark, path)
+    assert (loaded.millionths == scorer.millionths).all() and loaded.intercept == scorer.intercept
+
+
+def test_hashed_models_read_every_window(spark):
+    millionths = np.zeros(1 << 14, dtype=np.int64)
+    for word, weight in (("kill", 3.0), ("murder", 3.0), ("hack", 2.5)):
+        millionths[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % len(millionths)] = round(weight * 1e6)
+    hashed = ep.HashedScorer(millionths, -2.0)
+    plain = cl.LinearScorer({"kill": 3.0, "murder": 3.0, "hack": 2.5}, -2.0)
+    rows = [(str(n), "filler " * n + "kill murder hack" + " filler" * m) for n in (0, 255, 510, 511, 512, 1023) for m in (0, 700)]
+    rows += [("none", None), ("empty", ""), ("plain", "filler " * 1200)]
+    frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+    found = [sorted((r["prompt_id"], len(r["prompt"] or ""), r["risk"]) for r in s(frame, "prompt").collect()) for s in (hashed, plain)]
+    assert [x[:2] for x in found[0]] == [x[:2] for x in found[1]]
+    assert [x[2] for x in found[0]] == [pytest.approx(x[2]) for x in found[1]]
+    used = gw.Detectors(scorer=hashed, signatures=detectors(spark).signatures)
+    prompts = frame.filter("prompt <> ''").limit(4)
+    plan = gw.gateway(spark.createDataFrame(prompts.collect(), prompts.schema), used)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 4
+
+
+def test_attributions_of_any_scorer(spark):
+    scorer = cl.LinearScorer({"kill": 3.0, "murder": 2.0, "hack": 1.0, "cake": -2.0}, -1.0)
+    rows = [("a", "Kill the cake and murder, kill"), ("b", "hack it"), ("c", "nothing here"), ("d", ""), ("e", "murder " * 3 + "filler " * 400)]
+    frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+    linear = {r["prompt_id"]: r["features"] for r in cl.attributions(frame, scorer).collect()}
+    any_scorer = {r["prompt_id"]: r["features"] for r in cl.attributions(frame, lambda f, t: scorer(f, t)).collect()}
+    assert any_scorer == {key: value for key, value in linear.items()} or {k: v for k, v in any_scorer.items() if v} == {k: v for k, v in linear.items() if v}
+    assert [f["word"] for f in any_scorer["a"]] == ["kill", "murder"]
+    # Behind filler the riskiest window is the one that is looked at.
+    late = spark.createDataFrame([("late", "filler " * 1500 + "kill and hack")], "prompt_id string, prompt string")
+    found = cl.attributions(late, lambda f, t: scorer(f, t)).first()["features"]
+    assert {f["word"] for f in found} == {"kill", "hack"}
+
+
 def test_every_window_of_a_text_counts(spark):
     """The running sums against all windows, with weights of both signs."""
     rng = random.Random(8)
