@@ -158,6 +158,23 @@ def table_profile(spark, folder):
     return ds.table_profile(tb.table(spark, folder, "documents"))
 
 
+@query(
+    "written_profile",
+    "WITH t AS (SELECT doc_id, text, label FROM (SELECT doc_id, text, toxic AS label FROM labels JOIN documents USING (doc_id)))"
+    + " UNION ALL ".join(
+        f" SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS n_rows, count({c}) AS non_null, "
+        f"{'min(label)::VARCHAR' if c == 'label' else 'NULL'} AS least, "
+        f"{'max(label)::VARCHAR' if c == 'label' else 'NULL'} AS greatest FROM t"
+        for c, t in (("doc_id", "bigint"), ("text", "string"), ("label", "int"))
+    ),
+)
+def written_profile(spark, folder):
+    """The profile of the labelled documents, taken while they are written."""
+    rows = tb.labelled(spark, folder).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    path = work_dir(spark, "profiled")
+    return ds.written_profile(rows, lambda frame: frame.write.parquet(path), "label")
+
+
 @query("table_head", "SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")
 def table_head(spark, folder):
     return (

@@ -267,6 +267,29 @@ def signature_index_search(spark, folder):
     )
 
 
+# Other limits than the published ones: a prompt counts below 0.8, a sentence below 0.5.
+_LIMITS = (0.8, 0.5)
+
+
+@query(
+    "similarity_limits",
+    f"WITH {_NEAREST} ".replace(
+        f"CASE WHEN pos = 0 THEN {fv.WHOLE_PROMPT_DISTANCE} ELSE {fv.SENTENCE_DISTANCE} END",
+        f"CASE WHEN pos = 0 THEN {_LIMITS[0]} ELSE {_LIMITS[1]} END",
+    )
+    + "SELECT prompt_id, round(similarity_score, 4) AS similarity_score, n_details::INTEGER AS n_details FROM similarities",
+)
+def similarity_limits(spark, folder):
+    found = nn.add_similarity(
+        tb.prompts(spark, folder), tb.signatures(spark, folder), whole_limit=_LIMITS[0], sentence_limit=_LIMITS[1]
+    )
+    return found.select(
+        "prompt_id",
+        F.round("similarity_score", 4).alias("similarity_score"),
+        F.size("similarity_details").alias("n_details"),
+    )
+
+
 @query(
     "similarity_details",
     f"""WITH {_NEAREST} SELECT prompt_id, (row_number() OVER (PARTITION BY prompt_id ORDER BY pos) - 1)::INTEGER AS rank,

@@ -12,10 +12,12 @@ from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
 from sluicegate.functions.draws import draw, seed_of
 from sluicegate.functions.similarity import indel_ratio
+from sluicegate.operators import baseforms as bf
 from sluicegate.operators import lexicon as lx
 from sluicegate.operators import mutation as mu
 from sluicegate.operators import sanitize as sz
 from sluicegate.plans.gateway import profanity_terms
+from sluicegate.session import stored
 
 PROMPTS = sql.PROMPTS
 
@@ -100,6 +102,38 @@ def tokens(spark, folder):
     )
 
 
+# Words of so many prompts may be bases of others.
+_KNOWN_FROM = 5
+_RULES = sql.values([(rank, *rule[:2], int(rule[2])) for rank, rule in enumerate(bf.rules())])
+
+
+@query(
+    "base_words",
+    f"""WITH {sql.TOKENS},
+exceptions(form, lemma) AS {sql.values(list(fv.IRREGULAR_FORMS))},
+rules(rank, suffix, new, doubled) AS {_RULES},
+known AS (SELECT form AS word FROM forms GROUP BY form HAVING count(DISTINCT prompt_id) >= {_KNOWN_FROM}
+  UNION SELECT term FROM {sql.values(tb.merged_rows())} l(term, weight, category)),
+vocabulary AS (SELECT DISTINCT form FROM forms),
+stems AS (SELECT form, rank, new, doubled, left(form, length(form) - length(suffix)) AS stem
+  FROM vocabulary JOIN rules ON form LIKE '%' || suffix AND length(form) >= length(suffix) + {bf.LEAST_STEM}
+  WHERE form NOT IN (SELECT form FROM exceptions) AND form NOT IN (SELECT word FROM known)),
+made AS (SELECT form, rank, CASE WHEN doubled = 1 THEN left(stem, length(stem) - 1) ELSE stem END || new AS base
+  FROM stems WHERE doubled = 0 OR (right(stem, 1) = substr(stem, length(stem) - 1, 1)
+    AND regexp_matches(right(stem, 1), '[b-df-hj-np-tv-z]')))
+SELECT form, arg_min(base, rank) AS lemma FROM made JOIN known ON base = word GROUP BY form HAVING arg_min(base, rank) <> form
+UNION ALL SELECT form, lemma FROM vocabulary JOIN exceptions USING (form) WHERE form <> lemma""",
+)
+def base_words(spark, folder):
+    """The bases of all different words of the prompts, where these or the lexicon know them."""
+    tokens = stored(lx.prompt_tokens(tb.prompts(spark, folder), distinct=True), "tokens")
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= _KNOWN_FROM)
+    known = frequent.select(F.col("token").alias("word")).unionByName(
+        tb.lexicon(spark).select(F.col("term").alias("word"))
+    )
+    return bf.base_words(tokens.select(F.col("token").alias("form")), known)
+
+
 @query(
     "sentences",
     f"WITH {PROMPTS} SELECT prompt_id, (unnest(range(len(list))))::INTEGER AS pos, unnest(list) AS sentence "

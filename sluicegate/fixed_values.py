@@ -134,3 +134,34 @@ LEXICON = (
     ("ignore constraints", 0.9, "manipulation"), ("do anything now", 0.9, "manipulation"),
     ("always answer", 0.7, "manipulation"), ("roleplay", 0.3, "manipulation"),
 )
+
+# -- base words: fixed values of English ------------------------------------
+
+# Suffix, what replaces it, and whether the letter before it is doubled.
+SUFFIX_RULES = (
+    ("iest", "y", False), ("ings", "", False), ("ings", "e", False), ("sses", "ss", False), ("ches", "ch", False),
+    ("shes", "sh", False), ("xes", "x", False), ("zes", "z", False), ("oes", "o", False), ("ves", "f", False),
+    ("ves", "fe", False), ("ies", "y", False), ("ied", "y", False), ("ier", "y", False), ("iers", "y", False),
+    ("ing", "", True), ("ing", "", False), ("ing", "e", False), ("ers", "", True), ("ers", "", False),
+    ("ers", "e", False), ("est", "", True), ("est", "", False), ("est", "e", False), ("ed", "", True),
+    ("ed", "", False), ("ed", "e", False), ("er", "", True), ("er", "", False), ("er", "e", False),
+    ("es", "", False), ("es", "e", False), ("s", "", False),
+)
+IRREGULAR_FORMS = (
+    ("was", "be"), ("were", "be"), ("been", "be"), ("did", "do"), ("done", "do"), ("had", "have"), ("has", "have"),
+    ("went", "go"), ("gone", "go"), ("ran", "run"), ("took", "take"), ("taken", "take"), ("gave", "give"),
+    ("given", "give"), ("got", "get"), ("made", "make"), ("said", "say"), ("saw", "see"), ("seen", "see"),
+    ("told", "tell"), ("thought", "think"), ("bought", "buy"), ("brought", "bring"), ("caught", "catch"),
+    ("fought", "fight"), ("taught", "teach"), ("sold", "sell"), ("stole", "steal"), ("stolen", "steal"),
+    ("shot", "shoot"), ("slew", "slay"), ("slain", "slay"), ("hid", "hide"), ("hidden", "hide"), ("broke", "break"),
+    ("broken", "break"), ("beaten", "beat"), ("bitten", "bite"), ("blew", "blow"), ("blown", "blow"), ("built", "build"),
+    ("burnt", "burn"), ("chose", "choose"), ("chosen", "choose"), ("drew", "draw"), ("drawn", "draw"),
+    ("drove", "drive"), ("driven", "drive"), ("forgot", "forget"), ("forgotten", "forget"), ("hung", "hang"),
+    ("held", "hold"), ("knew", "know"), ("known", "know"), ("led", "lead"), ("left", "leave"), ("lost", "lose"),
+    ("meant", "mean"), ("overrode", "override"), ("overridden", "override"), ("paid", "pay"), ("sent", "send"),
+    ("sought", "seek"), ("spoke", "speak"), ("spoken", "speak"), ("stuck", "stick"), ("struck", "strike"),
+    ("swore", "swear"), ("threw", "throw"), ("thrown", "throw"), ("wrote", "write"), ("written", "write"),
+    ("dying", "die"), ("lying", "lie"), ("tying", "tie"), ("men", "man"), ("women", "woman"), ("children", "child"),
+    ("people", "person"), ("mice", "mouse"), ("teeth", "tooth"), ("feet", "foot"), ("worse", "bad"), ("worst", "bad"),
+    ("better", "good"), ("best", "good"),
+)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate import fixed_values as fv
@@ -85,8 +87,13 @@ def evasion_part(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def training_set(spark: SparkSession, paths: dict[str, str], target: str) -> DataFrame:
-    """Append the four sources to one CSV, read it back, drop stray headers, check the labels."""
+def training_set(
+    spark: SparkSession, paths: dict[str, str], target: str, cleaned: str | None = None
+) -> DataFrame:
+    """Append the four sources to one CSV, read it back, drop stray headers, check the labels.
+
+    With ``cleaned`` the result is written there as CSV, too, and read back from it: the raw file stays as it is.
+    """
     readers = {
         "synthetic": synthetic_part,
         "benchmark": benchmark_part,
@@ -97,7 +104,11 @@ def training_set(spark: SparkSession, paths: dict[str, str], target: str) -> Dat
         if name in paths:
             files.write_csv(reader(spark, paths[name]).select("text", "label"), target, mode="append")
     final = files.read_csv(spark, target, "text string, label string")
-    return checked_labels(drop_embedded_headers(final))
+    checked = checked_labels(drop_embedded_headers(final))
+    if cleaned is None:
+        return checked
+    files.write_csv(checked.select("text", "label"), cleaned)
+    return files.read_csv(spark, cleaned, "text string, label int")
 
 
 def label_counts(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -110,6 +121,31 @@ def label_counts(rows: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
+def written_profile(frame: DataFrame, write: Callable[[DataFrame], None], label: str | None = None) -> DataFrame:
+    """Write a frame by ``write`` and profile it from what passed by: no further pass over it.
+
+    column_name, data_type, n_rows, non_null, least and greatest (of the label column, if one is named).
+    """
+    seen = Observation()
+    counts = [F.count(F.col(f"`{field.name}`")).alias(f"c{i}") for i, field in enumerate(frame.schema.fields)]
+    ends = [F.min(label).cast("string").alias("least"), F.max(label).cast("string").alias("greatest")] if label else []
+    write(frame.observe(seen, F.count(F.lit(1)).alias("n_rows"), *counts, *ends))
+    found = seen.get
+    rows = [
+        (
+            field.name,
+            field.dataType.simpleString(),
+            found["n_rows"],
+            found[f"c{i}"],
+            found["least"] if field.name == label else None,
+            found["greatest"] if field.name == label else None,
+        )
+        for i, field in enumerate(frame.schema.fields)
+    ]
+    schema = "column_name string, data_type string, n_rows long, non_null long, least string, greatest string"
+    return frame.sparkSession.createDataFrame(rows, schema)
+
+
 def table_profile(frame: DataFrame) -> DataFrame:
     """column_name, data_type, n_rows, non_null: one pass over the table, one output row per column."""
     counted = frame.agg(

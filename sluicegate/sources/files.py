@@ -22,9 +22,16 @@ CSV_WRITE_OPTIONS = {
 RECORDS_PER_FILE = 200_000
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header; fields may be quoted and hold newlines. Columns are taken by name."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, enforceSchema=False).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType, newlines_in_fields: bool = True
+) -> DataFrame:
+    """CSV with a header; fields may be quoted and hold newlines. Columns are taken by name.
+
+    A file whose fields may hold newlines is read by one task, however large it is. Say that they hold none, and
+    it is split like any text.
+    """
+    options = {**CSV_OPTIONS, "multiLine": newlines_in_fields}
+    return spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "overwrite") -> None:

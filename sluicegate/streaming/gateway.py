@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluicegate.plans.gateway import decide, layer_scores, weighted_sum
+from sluicegate.sources.snapshots import Snapshots
 
 
 def read_prompt_stream(
@@ -60,6 +61,34 @@ def start_append_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def start_renewed_stream(
+    prompts: DataFrame,
+    dictionaries: dict[str, Snapshots],
+    score: Callable[[DataFrame, dict[str, DataFrame]], DataFrame],
+    target: Snapshots,
+    checkpoint: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Score every micro-batch with the latest version of each dictionary, and publish it as a version of ``target``.
+
+    A dictionary that is published while the stream runs takes effect with the next batch. A batch is visible when
+    all its rows are written; one that is retried after that isn't written again. ``Snapshots.merge`` shortens the
+    list of folders that many batches leave.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        latest = target.manifest()
+        if latest and max([notes.get("batch", -1) for notes in latest["notes"]]) >= batch_id:
+            return
+        manifests = {name: table.manifest() for name, table in dictionaries.items()}
+        versions = {name: found["version"] for name, found in manifests.items() if found}
+        tables = {name: dictionaries[name].read(version) for name, version in versions.items()}
+        target.write(score(batch, tables), append=True, notes={"batch": batch_id, "dictionaries": versions})
+
+    writer = prompts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def blend_stream(scores: DataFrame, columns: dict[str, str], weights) -> DataFrame:
     """Blend the layer scores of a stream in the row: stateless, so any output mode will do."""
     layers = layer_scores({name: F.col(column) for name, column in columns.items()}, weights)

@@ -12,12 +12,14 @@ from sluicegate import fixed_values as fv
 from sluicegate import session
 from sluicegate.operators import classifier as cl
 from sluicegate.operators import epochs as ep
+from sluicegate.operators import lexicon as lx
 from sluicegate.operators import mutation as mu
 from sluicegate.operators import ranking as rk
 from sluicegate.operators.sanitize import TOPIC_TEXT
 from sluicegate.plans import dataset as ds
 from sluicegate.plans import gateway as gw
 from sluicegate.sources import files
+from sluicegate.sources.snapshots import Snapshots
 from sluicegate.streaming import gateway as stream
 
 TEXTS = [
@@ -323,9 +325,78 @@ def test_a_stream_that_appends_equals_the_batch(spark, prompts, tmp_path):
     assert sorted(r["prompt_id"] for r in rows) == sorted(["new", *collected(gw.gateway(prompts, used))])
 
 
+def test_a_lexicon_is_renewed_between_batches(spark, tmp_path):
+    source = str(tmp_path / "in")
+    words, target = Snapshots(spark, str(tmp_path / "lexicon")), Snapshots(spark, str(tmp_path / "out"))
+    schema = "term string, weight double"
+    rows = "prompt_id string, prompt string"
+    words.write(spark.createDataFrame([("alpha", 0.5)], schema))
+    calls = []
+
+    def score(batch, tables):
+        calls.append(1)
+        if len(calls) == 1:
+            # While the first batch is scored, a new lexicon appears.
+            words.write(spark.createDataFrame([("beta", 0.25)], schema), append=True)
+        return lx.lexicon_score(batch, tables["lexicon"]).select("prompt_id", "lexicon_score")
+
+    def run():
+        arriving = spark.readStream.schema(rows).option("maxFilesPerTrigger", 1).parquet(source)
+        stream.start_renewed_stream(
+            arriving, {"lexicon": words}, score, target, str(tmp_path / "progress"), available_now=True
+        ).awaitTermination()
+
+    spark.createDataFrame([("1", "alpha beta")], rows).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("2", "alpha beta")], rows).coalesce(1).write.mode("append").parquet(source)
+    run()
+    found = [r["lexicon_score"] for r in target.read().orderBy("lexicon_score").collect()]
+    assert found == [0.5, 0.75] and len(calls) == 2
+    # A batch whose version is published isn't written again, and files that no version names aren't read.
+    assert [notes["batch"] for notes in target.manifest()["notes"]] == [0, 1]
+    spark.createDataFrame([("half", 9.0)], "prompt_id string, lexicon_score double").write.parquet(
+        str(tmp_path / "out" / "data" / "added_by_write=half")
+    )
+    assert target.read().count() == 2
+    for name in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "progress" / name).unlink(missing_ok=True)
+    run()
+    assert target.read().count() == 2 and len(calls) == 2
+    target.merge()
+    assert target.read().count() == 2 and target.manifest()["notes"][0]["batch"] == 1
+
+
 # -- data sets --------------------------------------------------------------
 
 
+def test_a_profile_taken_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None), (None, 0)], "text string, label int")
+    passes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passes.add(len(batch))
+            yield batch
+
+    frame = rows.mapInPandas(count, rows.schema)
+    profile = ds.written_profile(frame, lambda f: f.write.parquet(str(tmp_path / "rows")), "label")
+    found = {r["column_name"]: (r["n_rows"], r["non_null"], r["least"], r["greatest"]) for r in profile.collect()}
+    assert found == {"text": (3, 2, None, None), "label": (3, 2, "0", "1")}
+    assert passes.value == 3 and spark.read.parquet(str(tmp_path / "rows")).count() == 3
+
+
+def test_csv_without_newlines_in_fields_is_split(spark, tmp_path):
+    lines = ["text,label"] + [f'"a, {i}",x' for i in range(5000)]
+    (tmp_path / "one.csv").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        whole = files.read_csv(spark, str(tmp_path / "one.csv"), "text string, label string")
+        parts = files.read_csv(spark, str(tmp_path / "one.csv"), "text string, label string", newlines_in_fields=False)
+        assert whole.rdd.getNumPartitions() == 1 < parts.rdd.getNumPartitions()
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and parts.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("jailbreak",), ("safe",), ("odd",), (None,)], "label string")
     good, bad = ds.split_labels(rows, "benchmark")

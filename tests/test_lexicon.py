@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_text import plain_normal
 
 from sluicegate.functions.similarity import common_length, indel_ratio, text_ratios
+from sluicegate.operators import baseforms as bf
 from sluicegate.operators import joins
 from sluicegate.operators import lexicon as lx
 from sluicegate.sources import files
@@ -159,3 +160,27 @@ def test_more_terms_never_lower_a_score(spark, noisy):
 def test_review_bands(spark):
     rows = spark.createDataFrame([(0.3,), (0.31,), (0.7,), (0.71,)], "s double")
     assert [r[0] for r in rows.select(lx.review_band(F.col("s"))).collect()] == ["safe", "moderate", "moderate", "high"]
+
+
+def test_base_words(spark):
+    known = "kill stop make carry knife box kiss church zero die big happy robber rob king bus".split()
+    wanted = {
+        "kills": "kill", "killed": "kill", "killing": "kill", "killings": "kill", "killer": "kill", "killers": "kill",
+        "stopped": "stop", "stopping": "stop", "stopper": "stop", "making": "make", "makers": "make", "maker": "make",
+        "carries": "carry", "carried": "carry", "carrier": "carry", "carriers": "carry", "knives": "knife",
+        "boxes": "box", "kisses": "kiss", "churches": "church", "zeroes": "zero", "bigger": "big", "biggest": "big",
+        "happiest": "happy", "happier": "happy", "robbers": "rob", "buses": "bus", "dying": "die", "dies": "die",
+        "shot": "shoot", "stolen": "steal", "went": "go", "children": "child", "worse": "bad",
+    }
+    # No rule gives a known word for these, or they are known themselves.
+    same = ["king", "robber", "sing", "bring", "wing", "thing", "ed", "s", "", "xyzing", "fest", "ring"]
+    forms = spark.createDataFrame([(w,) for w in [*wanted, *same, *wanted]], "form string")
+    words = spark.createDataFrame([(w,) for w in known + known], "word string")
+    rows = bf.base_words(forms, words).collect()
+    assert {r["form"]: r["lemma"] for r in rows} == wanted and len(rows) == len(wanted)
+    own = spark.createDataFrame([("king", "ruler")], "form string, lemma string")
+    assert {r["form"]: r["lemma"] for r in bf.base_words(forms, words, own).collect()}["king"] == "ruler"
+    table = bf.base_words(forms, words)
+    frame = spark.createDataFrame([("p", "The killers were stopped")], "prompt_id string, prompt string")
+    found = lx.lexicon_matches(frame, spark.createDataFrame([("kill", 1.0), ("stop", 0.5)], "term string, weight double"), table)
+    assert sorted(r["term"] for r in found.collect()) == ["kill", "stop"]
