@@ -67,7 +67,9 @@ def annotate(
     """
     new = {field.name.lower() for field in fields}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    schema = StructType([docs.schema[c] for c in names] + fields)
+    # Kept columns have numbers for names on the way, whatever they are called.
+    hidden = [StructField(f"kept {i}", docs.schema[c].dataType, docs.schema[c].nullable) for i, c in enumerate(names)]
+    schema = StructType(hidden + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -81,8 +83,9 @@ def annotate(
                     [*part.columns[: len(names)], *made], names=schema.names
                 )
 
-    columns = [F.col(f"`{c}`") for c in names]
-    return docs.select(*columns, F.col(f"`{text}`").alias("text of the row")).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`").alias(f"kept {i}") for i, c in enumerate(names)]
+    made = docs.select(*columns, F.col(f"`{text}`").alias("text of the row")).mapInArrow(run, schema)
+    return made.toDF(*names, *[field.name for field in fields])
 
 
 def join_hot(rows: DataFrame, found: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from sluicegate.llm.common import annotate, once, ship, slices
+from sluicegate.llm.common import annotate, once, sheltered, ship, slices
 from sluicegate.session import stored
 
 WINDOW = 10
@@ -135,9 +135,25 @@ def find_benchmark(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """Add n_words, n_hit, items (the ids as sorted strings), hit_spans (word intervals) and contaminated."""
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        kept = [names[c] for c in (docs.columns if keep is None else keep)]
+        return _find_benchmark(frame, benchmark, names[text], item, item_text, kept, window, block_windows)
+
+    return sheltered(docs, work, keep, (text,))
+
+
+def _find_benchmark(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str,
+    item: str,
+    item_text: str,
+    names: list[str],
+    window: int,
+    block_windows: int,
+) -> DataFrame:
     spark = docs.sparkSession
-    made = {"n_words", "n_hit", "items", "hit_spans", "contaminated"}
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     windows = item_windows(benchmark, item, item_text, window)
     blocks = max(1, -(-windows.count() // block_windows))
     span = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])

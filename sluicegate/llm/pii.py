@@ -5,9 +5,10 @@ numbers, IBANs and names after a title. Each different entity of the corpus gets
 the secret key, its type and its normal form:
 
 - digits become digits and letters letters of their script, in the same places; a phone keeps its country code,
-  a card its first digit and its being valid or not by the check digit, an IBAN its country;
-- given names keep gender (from the title) and script, family names (the last of up to 16 parts) their script;
-  initials become other ones, not checked for collisions;
+  a card its first digit and its being valid or not by the check digit, an IBAN its country and validity;
+- given names keep gender (from the title) and script, family names (the last of up to 16 parts) their script:
+  Latin, Cyrillic or Greek, all others get Latin ones. Names are found by their capitals, so not in scripts without;
+- initials follow a keyed order of their alphabet, so different ones stay different;
 - words of these names that stand elsewhere in the same text, with a capital and without a title, get the same
   surrogates, also where such a word means something else. They don't count as mentions;
 - case and separators of each mention stay: spellings of one entity get spellings of one surrogate
@@ -18,18 +19,23 @@ entity's surrogate; of two entities that draw the same one, the smaller keeps it
 go on until none is left; after ``SAME_SIZE_ROUNDS`` rounds, when a form is used up, surrogates get longer.
 
 Everything is Spark SQL. Texts are cut at their mentions and put together again in their own row; what moves are
-mentions of different texts, different entities and, for texts with mentions, the text once. An entity or text
-that a third of the rows have collapses before it moves.
+mentions of different texts, different entities and, for texts with mentions, the text once; rows of a text that
+very many rows have don't move at all. An entity that a third of the rows have collapses before it moves.
 
-Null and empty texts stay as they are. Repeated rows stay. Surrogates depend on the key and on which entities the
-corpus has, not on partitions or order.
+Null and empty texts stay as they are. Repeated rows stay; empty tables give empty results. Very long texts are rows
+like others: no pattern takes more than a bounded step back or down. Other columns may have any names; one called as
+the number of mentions gives way. Surrogates depend on the key and on which entities the corpus has, not on
+partitions or order.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm.common import join_hot, sheltered
 from sluicegate.session import stored
 
 SAME_SIZE_ROUNDS = 8
@@ -43,10 +49,12 @@ TITLES = {
 SYLLABLES = {
     "latin": ("ba", "del", "fi", "gor", "ha", "jen", "ka", "lin", "mo", "nar", "ol", "pe", "ras", "sim", "tu", "vel"),
     "cyrillic": ("ба", "дел", "фи", "гор", "жа", "зин", "ка", "лин", "мо", "нар", "ол", "пе", "рас", "сим", "ту", "вел"),
+    "greek": ("βα", "δελ", "φι", "γορ", "χα", "ζεν", "κα", "λιν", "μο", "ναρ", "ολ", "πε", "ρασ", "σιμ", "του", "βελ"),
 }
 ENDINGS = {
     "latin": {"f": "a", "m": "o", "n": "en", "s": "er"},
     "cyrillic": {"f": "а", "m": "й", "n": "ен", "s": "ов"},
+    "greek": {"f": "α", "m": "ος", "n": "ι", "s": "ιδης"},
 }
 LATIN_LOWER = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC_LOWER = "абвгдежзиклмнопрстуфхцчшэюя"
@@ -67,7 +75,7 @@ PATTERNS = {
     r"|(?: [A-Z0-9]{4}){2}(?:(?: [A-Z0-9]{4}){1,5}(?: [A-Z0-9]{1,3})?| [A-Z0-9]{3})(?<=[0-9][A-Z]{0,3}))(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}"
     r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9](?:\)?[ .-]?\(?[0-9]){4,18}\)?"
     r"|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
@@ -98,7 +106,7 @@ def _digits(value: Column) -> Column:
 
 
 def _script(value: Column) -> Column:
-    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _normal(kind: Column, mention: Column) -> Column:
@@ -166,6 +174,47 @@ def _card(normal: Column, seed: Column) -> Column:
     return F.concat(body, F.pmod(right + shift, F.lit(10)).cast("string"))
 
 
+def _mod97(text: Column) -> Column:
+    """A text of digits and capitals as the number that account check digits are computed from, modulo 97."""
+
+    def step(rest: Column, char: Column) -> Column:
+        letter = F.when(char.rlike("[A-Z]"), (100 * rest + F.ascii(char) - 55) % 97)
+        return letter.otherwise((10 * rest + F.coalesce(F.try_to_number(char, F.lit("9")).cast("int"), F.lit(0))) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(normal: Column, seed: Column) -> Column:
+    """Another account of the same country and form, with valid check digits if and only if the account had them."""
+    country, body = F.substring(normal, 1, 2), F.call_function("substring", normal, F.lit(5), F.length(normal))
+    new = _masked(body, seed, F.lit(0))
+    right = 98 - _mod97(F.concat(new, country, F.lit("00")))
+    was_right = _mod97(F.concat(body, F.substring(normal, 1, 4))) == 1
+    shift = F.when(was_right, F.lit(0)).otherwise(1 + _draw(seed, F.lit(-1), 96))
+    digits = F.lpad((2 + (right - 2 + shift) % 97).cast("string"), 2, "0")
+    return F.concat(country, digits, new)
+
+
+def _initials(word: Column, secret: str) -> Column:
+    """Initials with every letter replaced by the next one in a keyed order of its alphabet.
+
+    Different initials stay different, everywhere and for one name alike. Letters outside the alphabets are drawn.
+    """
+    letters, new = "", ""
+    for alphabet in (LATIN_LOWER, CYRILLIC_LOWER, GREEK_LOWER):
+        order = sorted(alphabet.upper(), key=lambda x: hashlib.sha256(f"{secret}\x1finitial\x1f{x}".encode()).digest())
+        letters += "".join(order)
+        new += "".join(order[1:] + order[:1])
+    seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), F.lit("initials"), word).cast("binary"), 256)
+    drawn = F.split(_masked(word, seed, F.lit(0)), "")
+
+    def one(char: Column, place: Column) -> Column:
+        known = F.translate(char, letters, "") == ""
+        return F.when(known, F.translate(char, letters, new)).otherwise(F.get(drawn, place))
+
+    return F.array_join(F.transform(F.split(word, ""), one), "")
+
+
 def _ip(seed: Column) -> Column:
     return F.concat_ws(".", *[(1 + _draw(seed, F.lit(i), 254)).cast("string") for i in range(4)])
 
@@ -206,7 +255,7 @@ def _surrogate(secret: str, attempt: int) -> Column:
         .when(kind == "ip", _ip(seed))
         .when(kind == "card", _card(normal, seed))
         .when(kind == "phone", _masked(normal, seed, country))
-        .when(kind == "iban", _masked(normal, seed, F.lit(2)))
+        .when(kind == "iban", _iban(normal, seed))
         .when(kind == "ssn", _masked(normal, seed, F.lit(0)))
         .otherwise(_name(kind, seed, F.lit(attempt)))
     )
@@ -216,7 +265,11 @@ def _surrogate(secret: str, attempt: int) -> Column:
     digit = F.when(kind.startswith("name"), F.lit("")).otherwise(
         F.array_join(F.transform(F.sequence(F.lit(0), F.lit(longer)), lambda i: _draw(seed, 1000 + i, 10)), "")
     )
-    return F.when(kind == "email", F.concat(digit, made)).otherwise(F.concat(made, digit))
+    return (
+        F.when(kind == "email", F.concat(digit, made))
+        .when(kind == "ip", F.concat(made, F.lit(":"), digit))  # a port: the address itself stays one
+        .otherwise(F.concat(made, digit))
+    )
 
 
 def assign(entities: DataFrame, secret: str) -> DataFrame:
@@ -283,8 +336,8 @@ def mentions_of(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sha2(source.cast("binary"), 256).alias("text_key"),
         F.regexp_extract_all(source, F.lit(ANY), F.lit(0)).alias("mentions"),
     )
-    once_each = found.groupBy("text_key").agg(F.first("mentions").alias("mentions"))
-    rows = once_each.select("text_key", F.posexplode("mentions").alias("place", "mention"))
+    once_each = found.groupBy("text_key").agg(F.first("mentions").alias("mentions"), F.count("*").alias("rows"))
+    rows = once_each.select("text_key", "rows", F.posexplode("mentions").alias("place", "mention"))
     rows = rows.withColumn("form", _kind(F.col("mention")))
     words = F.split(F.col("mention"), " ")
     title = F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")
@@ -294,7 +347,7 @@ def mentions_of(docs: DataFrame, text: str = "text") -> DataFrame:
     is_name = F.col("form") == "name"
     parts = F.when(is_name, F.slice(words, F.lit(2), F.size(words))).otherwise(F.array("mention"))
     rows = rows.select(
-        "text_key", "place", "mention", "form", gender.alias("gender"), F.size(parts).alias("parts"),
+        "text_key", "rows", "place", "mention", "form", gender.alias("gender"), F.size(parts).alias("parts"),
         F.posexplode(parts).alias("part", "word"),
     )
     word = F.lower(F.replace("word", F.lit("’"), F.lit("'")))
@@ -302,6 +355,7 @@ def mentions_of(docs: DataFrame, text: str = "text") -> DataFrame:
     initials = is_name & F.col("word").rlike(rf"^{_INITIALS}$")
     return rows.select(
         "text_key",
+        "rows",
         "place",
         "part",
         "mention",
@@ -331,14 +385,21 @@ def _again(gap: Column, words: Column) -> Column:
 
 def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """The rows with surrogates in the text column and, if named, a column with the number of mentions."""
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _replace(frame, secret, names[text], counts)
+
+    return sheltered(docs, work)
+
+
+def _replace(docs: DataFrame, secret: str, text: str, counts: str | None) -> DataFrame:
     mentions = stored(mentions_of(docs, text), "mentions")
     every = mentions.filter("kind <> 'initials'").select("kind", "normal")
     chosen = stored(assign(stored(every.distinct(), "entities"), secret), "surrogates")
     mention, word, value = F.col("mention"), F.col("word"), F.col("surrogate")
     is_name = F.col("form") == "name"
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(secret), F.col("kind"), F.col("normal")).cast("binary"), 256)
     written = (
-        F.when(F.col("kind") == "initials", _masked(word, seed, F.lit(0)))
+        F.when(F.col("kind") == "initials", _initials(word, secret))
         .when(is_name, F.when(F.upper(word) == word, F.upper(value)).otherwise(F.initcap(value)))
         .when(F.col("form").isin("phone", "card", "ssn"), _fill(mention, value))
         .when(F.col("form") == "email", _like(mention, value))
@@ -350,20 +411,26 @@ def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None
     title = F.when(is_name, F.concat(F.get(F.split(mention, " "), F.lit(0)), F.lit(" "))).otherwise("")
     replaced = (
         mentions.join(chosen, ["kind", "normal"], "left")
-        .select("text_key", "place", "part", title.alias("title"), written.alias("written"), known.alias("known"))
+        .select(
+            "text_key", "rows", "place", "part", title.alias("title"), written.alias("written"), known.alias("known")
+        )
         .groupBy("text_key", "place")
         .agg(
+            F.first("rows").alias("rows"),
             F.first("title").alias("title"),
             F.collect_list(F.struct("part", "written")).alias("new"),
             F.collect_set("known").alias("known"),
         )
-        .select("text_key", "place", F.concat("title", whole_mention).alias("written"), "known")
+        .select("text_key", "rows", "place", F.concat("title", whole_mention).alias("written"), "known")
         .groupBy("text_key")
         .agg(
+            F.first("rows").alias("rows of the text"),
             F.array_sort(F.collect_list(F.struct("place", "written"))).alias("new"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("known")))).alias("name words"),
         )
-        .select("text_key", F.transform("new", lambda x: x["written"]).alias("new parts"), "name words")
+        .select(
+            "text_key", "rows of the text", F.transform("new", lambda x: x["written"]).alias("new parts"), "name words"
+        )
     )
     replaced = stored(replaced, "replaced")
     names = [c for c in docs.columns if counts is None or c.lower() != counts.lower()]
@@ -371,7 +438,8 @@ def replace(docs: DataFrame, secret: str, text: str = "text", counts: str | None
     has = holds_any(source)
     plain = docs.filter(~has).select(*[f"`{c}`" for c in names])
     touched = docs.filter(has).withColumn("key of the text", F.sha2(source.cast("binary"), 256))
-    joined = touched.join(replaced.withColumnRenamed("text_key", "key of the text"), "key of the text")
+    found = replaced.withColumnRenamed("text_key", "key of the text")
+    joined = join_hot(touched, found, "key of the text", "rows of the text")
     gaps = F.split(source, ANY, -1)
     named = F.transform(gaps, lambda gap: _again(gap, F.col("name words")))
     gaps = F.when(F.size("name words") > 0, named).otherwise(gaps)

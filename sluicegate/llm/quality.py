@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicegate.llm.common import sheltered
 from sluicegate.session import stored
 
 LEAST_WORDS = 10
@@ -181,12 +182,15 @@ def judge(
 
     Kept columns that are named as a count give way to it.
     """
-    made = {
-        "n_words", "word_chars", "n_symbols", "n_punctuation", "n_capitals", "n_lines", "n_dup_lines",
-        "n_repeat_words", "base_failed", "kept", "windows", "language", "origin", "language of the row",
-        "source of the row",
-    }
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made and c != text]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text]
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _judge(frame, [names[c] for c in kept], names[text], names[lang], names[source])
+
+    return sheltered(docs, work, kept, (text, lang, source))
+
+
+def _judge(docs: DataFrame, names: list[str], text: str, lang: str, source: str) -> DataFrame:
     named = docs.select(
         *[f"`{c}`" for c in names],
         F.col(f"`{lang}`").alias("language of the row"),

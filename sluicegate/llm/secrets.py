@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicegate.llm.common import join_hot, sheltered
 from sluicegate.session import stored
 
 SCOPE = 200
@@ -161,7 +162,15 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
     """The columns ``keep`` (all but the text), and spans: kind, begin, until by begin, then kind as listed."""
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "spans" and c != text]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != text]
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _find_secrets(frame, names[text], [names[c] for c in kept], scope)
+
+    return sheltered(docs, work, kept, (text,))
+
+
+def _find_secrets(docs: DataFrame, text: str, names: list[str], scope: int) -> DataFrame:
     scanned = scan(docs, names, text)
     spans = stored(located(scanned), "spans")
     strong = spans.filter(F.col("kind").isin([kind for kind, *_ in STRONG]))
@@ -177,15 +186,14 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             F.get(F.lit(ORDER), (x["place"] - 1).cast("int")).alias("kind"), x["begin"].alias("begin"), x["until"].alias("until")
         ),
     )
-    by_text = stored(by_text.select("text_key", made.alias("spans")), "spans-by-text")
+    rows = scanned.filter("text_key is not null").groupBy("text_key").agg(F.count("*").alias("rows of the text"))
+    by_text = rows.join(by_text.select("text_key", made.alias("spans")), "text_key", "left")
+    by_text = stored(by_text, "spans-by-text")
     none = F.array().cast("array<struct<kind:string,begin:bigint,until:bigint>>")
     plain = scanned.filter("text_key is null").select(*[f"`{c}`" for c in names], none.alias("spans"))
-    found = (
-        scanned.filter("text_key is not null")
-        .drop("pieces")
-        .join(by_text, "text_key", "left")
-        .select(*[f"`{c}`" for c in names], F.coalesce("spans", none).alias("spans"))
-    )
+    found = join_hot(
+        scanned.filter("text_key is not null").drop("pieces"), by_text, "text_key", "rows of the text"
+    ).select(*[f"`{c}`" for c in names], F.coalesce("spans", none).alias("spans"))
     return plain.unionByName(found)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructField
 from tokenizers import Tokenizer
 
 from sluicegate.llm.bpe import pieces
-from sluicegate.llm.common import annotate, once, ship
+from sluicegate.llm.common import annotate, join_hot, once, sheltered, ship
 from sluicegate.session import stored
 
 CHUNK = 32_768
@@ -186,6 +186,16 @@ def count_tokens(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """Add n_bytes (UTF-8) and n_tokens of a text column, as the tokenizer at ``path`` counts them."""
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _count_tokens(
+            frame, path, names[text], [names[c] for c in (docs.columns if keep is None else keep)], chunk, overlap
+        )
+
+    return sheltered(docs, work, keep, (text,))
+
+
+def _count_tokens(docs: DataFrame, path: str, text: str, names: list[str], chunk: int, overlap: int) -> DataFrame:
     content, digest = _read(path)
     shared = docs.sparkSession.sparkContext.broadcast(content)  # a vocabulary file, of fixed size
 
@@ -207,21 +217,20 @@ def count_tokens(
     source = F.col(f"`{text}`")
     is_huge = F.coalesce(F.length(source) > chunk, F.lit(False))
     fields = [StructField("n_bytes", LongType()), StructField("n_tokens", LongType())]
-    counted = annotate(docs.filter(~is_huge), fields, start, text, keep)
+    counted = annotate(docs.filter(~is_huge), fields, start, text, names)
     texts = docs.filter(is_huge).select(
         F.sha2(source.cast("binary"), 256).alias("text_key"), source.alias("text")
     )
     spliced = spliced_counts(texts, counter, chunk, overlap)
-    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens")]
     added = docs.filter(is_huge).select(
         *[f"`{c}`" for c in names],
         F.octet_length(source).cast("long").alias("n_bytes"),
         F.sha2(source.cast("binary"), 256).alias("key of the text"),
     )
-    added = added.join(
-        spliced.withColumnRenamed("text_key", "key of the text"), "key of the text", "left"
-    ).drop("key of the text")
-    return counted.unionByName(added)
+    rows = added.groupBy("key of the text").agg(F.count("*").alias("rows of the text"))
+    found = spliced.withColumnRenamed("text_key", "key of the text").join(rows, "key of the text")
+    added = join_hot(added, stored(found, "counts"), "key of the text", "rows of the text")
+    return counted.unionByName(added.drop("key of the text", "rows of the text"))
 
 
 def spliced_counts(texts: DataFrame, counter, chunk: int, overlap: int) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicegate.llm.common import sheltered
 from sluicegate.session import stored
 
 LEAST_SUPPORT = 0.01
@@ -167,8 +168,14 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, keep: list[str] | None = None, url: str = "url") -> DataFrame:
     """The columns ``keep``, host, path, rule (null if no fixed rule fits) and verdict of every row."""
-    made = {"host", "path", "rule", "verdict"}
-    names = [c for c in (pages.columns if keep is None else keep) if c.lower() not in made]
+
+    def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+        return _judge(frame, [names[c] for c in (pages.columns if keep is None else keep)], names[url])
+
+    return sheltered(pages, work, keep, (url,))
+
+
+def _judge(pages: DataFrame, names: list[str], url: str) -> DataFrame:
     parsed = parse(pages, url)
     labelled = parsed.filter("fixed is not null").select("tokens", F.col("fixed.verdict").alias("verdict"))
     rules = mine(labelled)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -69,3 +70,58 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
     right = predicted.join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right >= 0.95
+
+
+def plainly_labelled(model, text, penalty=language.PENALTY):
+    """The language and the score of a text, one word, one letter and one language at a time."""
+    pieces = (text or "").lower().split()
+    rows = []
+    for piece in pieces:
+        words, word = [], ""
+        for char in piece + " ":
+            if char.isalpha():
+                word += char
+            elif word:
+                words.append(word)
+                word = ""
+        sums, known = [0.0] * len(model.languages), 0
+        for word in words:
+            scripts = [language.SCRIPTS[language.script_of(char)] for char in word]
+            most = max(sorted(set(scripts)), key=scripts.count)
+            able = model.allowed[language.SCRIPTS.index(most)]
+            if able.any():
+                known += len(word)
+                for n in range(len(sums)):
+                    marked = f"<{word}>"
+                    parts = [marked[i : i + 3] for i in range(len(marked) - 2)] + [f"={word}"]
+                    own = sum(model.scores[zlib.crc32(p.encode()) % len(model.scores)][n] for p in parts)
+                    sums[n] += own if able[n] else language.EXCLUDED
+        rows.append((sums, sum(map(len, words)), known))
+    letters = sum(n for _, n, _ in rows)
+    if not letters:
+        return "und", 0.0
+    best = [([], 0.0)] * len(model.languages)
+    for t, (sums, _, _) in enumerate(rows):
+        top = max(range(len(best)), key=lambda n: (best[n][1], -n))
+        jump = best[top][1] - (penalty if t else 0.0)
+        best = [
+            ((best[n][0] if best[n][1] >= jump else best[top][0]) + [n], max(best[n][1], jump) + sums[n])
+            for n in range(len(best))
+        ]
+    path = max(best, key=lambda way: way[1])[0]
+    shares = [sum(known for (_, _, known), n in zip(rows, path) if n == k) for k in range(len(model.languages))]
+    return model.languages[shares.index(max(shares))], max(shares) / letters
+
+
+def test_labels_and_scores_by_brute_force(spark, model):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    odd = ["½ ²", "Ⅷ", "³", "½ ² the", "12a3b", "ʰ", "a½b", "ª", "Привет", "Привет der Mann", "漢字 the house", "_a_", "é", "ا", "①"]
+    texts = [row.text for row in rows] + odd
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {row.doc_id: row for row in language.label(docs, model).collect()}
+    for number, text in enumerate(texts):
+        name, score = plainly_labelled(model, text)
+        assert found[number].lang_pred == name and found[number].score == pytest.approx(score), text
+    labels = {text: found[60 + n].lang_pred for n, text in enumerate(odd)}
+    assert all(labels[text] == "und" for text in ("½ ²", "Ⅷ", "³", "①")) and labels["½ ² the"] != "und"
+    assert found[60 + odd.index("½ ²")].score == 0.0 and labels["ª"] != "und"

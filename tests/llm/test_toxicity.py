@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -92,3 +95,78 @@ def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
     toxicity.fit(docs, marks, rows_per_class=12)
     toxicity.fit(docs, marks.filter("doc_id < 3"), rows_per_class=12)
     assert [seen[1].count(1), seen[2].count(0), seen[2].count(1)] == [12, 2, 12]
+
+
+def plainly_trained(texts, labels, buckets, epochs, seed=7):
+    """The same descent with loops over texts, words and dimensions."""
+    bags = []
+    for text in texts:
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        bag = {}
+        for word in words:
+            marked = f"<{word}>"
+            grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]
+            for gram in grams:
+                place = zlib.crc32(gram.encode()) % buckets
+                bag[place] = bag.get(place, 0) + 1 / len(grams) / (2.5 * math.sqrt(len(words) + 30))
+        bags.append(bag)
+    have = [sum(place in bag for bag in bags) for place in range(buckets)]
+    gain = [
+        (math.log((1 + len(bags)) / (1 + n)) / math.log(1 + len(bags))) ** 2 if n >= 2 else 0.0 for n in have
+    ]
+    sizes = [labels.count(0), labels.count(1)]
+    rng = np.random.default_rng(seed)
+    table, layer, shift = rng.normal(0, 0.1, (4, buckets)), rng.normal(0, 1.0, (4, 2)), np.zeros(2)
+    pace, power = [np.zeros_like(v) for v in (table, layer, shift)], [0.0] * 3
+    batches = -(-len(bags) // toxicity.BATCH)
+    steps, step = epochs * batches + 1, 0
+    for _ in range(epochs):
+        order = rng.permutation(len(bags)).tolist()
+        for at in range(0, len(order), toxicity.BATCH):
+            rows = order[at : at + toxicity.BATCH]
+            grads = [np.zeros_like(v) for v in (table, layer, shift)]
+            for row in rows:
+                mean = [sum(table[d][p] * w * gain[p] for p, w in bags[row].items()) for d in range(4)]
+                odds = [sum(mean[d] * layer[d][k] for d in range(4)) + shift[k] for k in (0, 1)]
+                top = max(odds)
+                share = [math.exp(x - top) / sum(math.exp(y - top) for y in odds) for x in odds]
+                weight = 0.5 / sizes[labels[row]] * len(labels) / len(rows)
+                wrong = [(share[k] - (k == labels[row])) * weight for k in (0, 1)]
+                for d in range(4):
+                    back = sum(wrong[k] * layer[d][k] for k in (0, 1))
+                    for p, w in bags[row].items():
+                        grads[0][d][p] += back * w * gain[p]
+                    for k in (0, 1):
+                        grads[1][d][k] += mean[d] * wrong[k]
+                for k in (0, 1):
+                    grads[2][k] += wrong[k]
+            step += 1
+            for i, value in enumerate((table, layer, shift)):
+                pace[i] = 0.9 * pace[i] + 0.1 * grads[i]
+                power[i] = 0.99 * power[i] + 0.01 * float((grads[i] ** 2).mean())
+                size = math.sqrt(power[i] / (1 - 0.99**step)) + 1e-12
+                value -= toxicity.RATE * (1 - step / steps) * pace[i] / size / (1 - 0.9**step)
+    weights = [sum((layer[d][1] - layer[d][0]) * table[d][p] for d in range(4)) * gain[p] for p in range(buckets)]
+    return weights, float(shift[1] - shift[0])
+
+
+def test_training_and_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    monkeypatch.setattr(toxicity, "BATCH", 16)
+    texts, labels = corpus(6, 40)
+    buckets = 512
+    model = toxicity.train([toxicity.bag(t, buckets) for t in texts], np.array(labels), 0.2, buckets)
+    weights, intercept = plainly_trained(texts, labels, buckets, 3)
+    assert np.allclose(model.weights, weights, atol=1e-8) and model.intercept == pytest.approx(intercept)
+    more = texts[:10] + ["Grumblehead, grumblehead!", "", "12", "é ü"]
+    docs = spark.createDataFrame(list(enumerate(more)), "doc_id int, text string")
+    for row in toxicity.score(docs, model).collect():
+        words = set(re.findall(r"[^\W\d_]+", row.text.lower()))
+        total = 0.0
+        for word in words:
+            marked = f"<{word}>"
+            grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)] + [marked]
+            total += sum(weights[zlib.crc32(g.encode()) % buckets] for g in grams) / len(grams)
+        odds = total / (2.5 * math.sqrt(len(words) + 30)) + intercept
+        assert row.score == pytest.approx(1 / (1 + math.exp(-odds)))
