@@ -15,13 +15,13 @@ Both tokenizers cut before a single space that has no white space around it: A a
 its pieces has a space after another character (checked when the model is loaded; without that, texts are
 aligned whole). So a text is aligned segment by segment, and a worker aligns each different segment once.
 
-*Counts*: the links of the whole corpus are counted per pair of ids. Tasks add up the pairs of their rows before
-anything moves, and no more rows than different pairs reach a reducer from each. The counts go back to the rows by
+*Counts*: the links of the whole corpus are counted per pair of ids; tasks add up the pairs of their rows before
+anything moves. The counts go back to the rows by
 broadcast, at most ``PAIRS_PER_PASS`` pairs at a time; more pairs take more passes, all exact, because the sums
 of a row are sums over its pairs.
 
 Repeated rows stay and count each. Very long texts are rows like others: memory per task is the two vocabularies,
-4 MB of texts (or one longer text), a cache of bounded size, and the pairs of one pass. Empty tables give empty
+half a MB of texts (or one longer text), a cache of bounded size, and the pairs of one pass. Empty tables give empty
 results. Other columns may have any names; those of added columns give way.
 """
 
@@ -37,18 +37,20 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 from tokenizers import Tokenizer
 
 from sluicegate.llm.common import annotate, once, sheltered, ship
 from sluicegate.session import stored
 
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 200_000
+# Bytes of text at a time; what the tokens of a text take is several times that.
+BATCH_BYTES = 1 << 19
 # Characters that are encoded at a time, as far as segments allow.
 CHUNK = 20_000
 PAIRS_PER_PASS = 4_000_000
-# Links that a task has in memory before it adds them up.
-LINKS_HELD = 2_000_000
+# Links that are looked up at a time.
+LINKS_AT_A_TIME = 1 << 18
 CLEAR_SPACE = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
 
@@ -120,6 +122,7 @@ class Aligner:
         raw_a, self.size_a = bytes_of_a(spec)
         raw_b = bytes_of_b(self.b)
         self.bytes_a, self.bytes_b = Vocabulary(raw_a), Vocabulary(raw_b)
+        self.number = np.int32 if fits_int(self.size_a * len(raw_b)) else np.int64
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
         # What a token adds to the text of groups: more of its side follow, or none.
@@ -133,8 +136,26 @@ class Aligner:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
         # n_a (-1 if the bytes differ), n_b, n_groups, n_links of the segments, and their links one after the other.
-        self.numbers = np.zeros((0, 4), dtype=np.int64)
-        self.links = np.zeros(0, dtype=np.int64)
+        self.numbers = np.zeros((0, 4), dtype=np.int32)
+        self.links = np.zeros(0, dtype=self.number)
+        self.hits = np.zeros(0, dtype=np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the segments that were seen again since the last time, at most half of those that fit."""
+        order = np.argsort(-self.hits, kind="stable")[: CACHED_SEGMENTS // 2]
+        kept = np.sort(order[self.hits[order] > 1])
+        new = np.full(len(self.hits), -1)
+        new[kept] = np.arange(len(kept))
+        places = new.tolist()
+        self.place = {segment: places[place] for segment, place in self.place.items() if places[place] >= 0}
+        self.groups = [self.groups[place] for place in kept.tolist()]
+        number = self.numbers[:, 3].astype(np.int64)
+        first = np.cumsum(number) - number
+        number = number[kept]
+        shift = np.repeat(first[kept] - (np.cumsum(number) - number), number)
+        self.links = self.links[shift + np.arange(len(shift))]
+        self.numbers = self.numbers[kept]
+        self.hits = np.ones(len(kept), dtype=np.int32)
 
     def segments(self, text: str) -> list[str]:
         return CLEAR_SPACE.split(text) if self.cuts else [text]
@@ -145,10 +166,12 @@ class Aligner:
         data = text.encode()
         one = self.a.encode(text, add_special_tokens=False)
         other = self.b.encode(text[1:], return_type="proto")
-        ids_a, spans_a = np.array(one.ids, dtype=np.int64), np.array(one.offsets, dtype=np.int64).reshape(-1, 2)
-        found = np.array([(p.id, p.begin, p.end) for p in other.pieces], dtype=np.int64).reshape(-1, 3)
+        ids_a = np.array(one.ids, dtype=np.int64)
+        spans_a = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+        pieces = list(other.pieces)
+        ids_b = np.array([piece.id for piece in pieces], dtype=np.int64)
         # The space that B adds has no place in its spans.
-        ids_b, spans_b = found[:, 0], found[:, 1:] + 1
+        spans_b = 1 + np.stack([[p.begin for p in pieces], [p.end for p in pieces]], axis=1).astype(np.int64)
         spans_b[:1, 0] = 0
         whole = np.frombuffer(data, dtype=np.uint8)
         for ids, vocabulary in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
@@ -181,7 +204,7 @@ class Aligner:
         numbers = np.diff(before[:, ends], axis=1, prepend=0).T
         # Every end of either side ends a link: that of the two tokens before it.
         at = np.flatnonzero(marks[3]) - 1
-        links = ids_b[before[1, at]] * self.size_a + ids_a[before[0, at]]
+        links = (ids_b[before[1, at]] * self.size_a + ids_a[before[0, at]]).astype(self.number)
         group_a, group_b = before[2, ends_a - 1], before[2, ends_b - 1]
         count = int(before[2, -1])
         older_b = np.append(0, np.cumsum(np.bincount(group_b, minlength=count)))
@@ -220,12 +243,13 @@ class Aligner:
                 self.groups.append(groups)
             numbers.append(found[0])
             links.append(found[1])
-        self.numbers, self.links = np.concatenate(numbers), np.concatenate(links)
+        self.numbers, self.links = np.concatenate(numbers).astype(np.int32), np.concatenate(links)
+        self.hits = np.append(self.hits, np.zeros(len(self.numbers) - len(self.hits), dtype=np.int32))
 
     def align(self, texts: list[str | None]) -> list[pa.Array]:
         """n_a, n_b, n_groups, n_links, the groups as text, and the links of each text, in order."""
         if len(self.place) > CACHED_SEGMENTS:
-            self.forget()
+            self.forget_rare()
         cut = [self.segments(text) if text else [] for text in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.place))
         if new:
@@ -235,14 +259,15 @@ class Aligner:
         sizes = np.array([len(parts) for parts in places], dtype=np.int64)
         row = np.repeat(np.arange(len(texts)), sizes)
         flat = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=int(sizes.sum()))
+        self.hits += np.bincount(flat, minlength=len(self.hits)).astype(np.int32)
         # A text with a segment that can't be aligned has no tokens.
         whole = np.ones(len(texts), dtype=bool)
         whole[row[self.numbers[flat, 0] < 0]] = False
         good = whole[row]
         row, flat = row[good], flat[good]
         sums = [np.bincount(row, column, len(texts)).astype(np.int64) for column in self.numbers[flat].T]
-        each = self.numbers[flat, 3]
-        first = np.cumsum(self.numbers[:, 3]) - self.numbers[:, 3]
+        each = self.numbers[flat, 3].astype(np.int64)
+        first = np.cumsum(self.numbers[:, 3], dtype=np.int64) - self.numbers[:, 3]
         shift = np.repeat(first[flat] - (np.cumsum(each) - each), each)
         links = self.links[shift + np.arange(len(shift))]
         ends = np.append(0, np.cumsum(sums[3])).astype(np.int32)
@@ -251,10 +276,15 @@ class Aligner:
         return [
             *[pa.array(column, pa.int64()) for column in sums],
             pa.array(shown, pa.string()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(links, pa.int64())),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(links)),
         ]
 
 
+def fits_int(pairs: int) -> bool:
+    """Whether so many pairs have 32-bit numbers."""
+    return pairs < 1 << 31
+
+
 def _long(name: str) -> StructField:
     return StructField(name, LongType())
 
@@ -273,6 +303,8 @@ def align(
         model = file.read()
     shared = docs.sparkSession.sparkContext.broadcast((content, model))  # two files, of fixed size
     digest = hashlib.sha256(content.encode() + model).hexdigest()
+    size_b = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
+    pair = IntegerType() if fits_int(vocabulary_size(bytes_path) * size_b) else LongType()
 
     def start():
         return once(("alignment", digest), lambda: Aligner(*shared.value)).align
@@ -280,11 +312,12 @@ def align(
     fields = [
         *map(_long, ("n_a", "n_b", "n_groups", "n_links")),
         StructField("groups", StringType()),
-        StructField("links", ArrayType(LongType(), False)),
+        StructField("links", ArrayType(pair, False)),
     ]
 
     def work(frame: DataFrame, names: dict[str, str]) -> DataFrame:
-        return annotate(frame, fields, start, names[text], [names[c] for c in (docs.columns if keep is None else keep)])
+        kept = [names[c] for c in (docs.columns if keep is None else keep)]
+        return annotate(frame, fields, start, names[text], kept, BATCH_BYTES)
 
     return sheltered(docs, work, keep, (text,))
 
@@ -297,36 +330,7 @@ def vocabulary_size(bytes_path: str) -> int:
 
 def pair_counts(aligned: DataFrame, size: int) -> DataFrame:
     """pair, b, n: how many links of all rows hold a pair of ids."""
-
-    def run(batches):
-        held = [np.zeros((0, 2), dtype=np.int64)]
-        number = 0
-
-        def added() -> np.ndarray:
-            rows = np.concatenate(held)
-            different, place = np.unique(rows[:, 0], return_inverse=True)
-            sums = np.zeros(len(different), dtype=np.int64)
-            np.add.at(sums, place, rows[:, 1])
-            return np.stack([different, sums], axis=1)
-
-        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["pair", "n"])
-
-        for batch in batches:
-            # Flattened, a column has the values of this batch's rows alone.
-            links = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            held.append(np.stack(np.unique(links, return_counts=True), axis=1))
-            number += len(held[-1])
-            if number > LINKS_HELD:
-                held = [added()]
-                number = len(held[0])
-                if number > LINKS_HELD // 2:
-                    yield batch_of(held[0])
-                    held, number = [held[0][:0]], 0
-        yield batch_of(added())
-
-    added = aligned.select("links").mapInArrow(run, "pair long, n long")
-    counts = added.groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = aligned.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     return counts.select("pair", F.floor(F.col("pair") / F.lit(size)).cast("int").alias("b"), "n")
 
 
@@ -348,22 +352,34 @@ def _add_pass(frame: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     table = counts.orderBy("pair").toArrow()
     pairs, n = table["pair"].to_numpy(), table["n"].to_numpy()
     shared = frame.sparkSession.sparkContext.broadcast((pairs, n, _best(pairs // size, n)))
+    key = ("pair counts", int(pairs[0]), len(pairs))
     names = frame.columns
     links_at, best_at, sum_at = (names.index(c) for c in ("links", "n_best", "count_sum"))
 
     def run(batches):
-        known, counted, best = shared.value
+        # Makes a worker drop the tokenizers that it has kept for the step before.
+        known, counted, best = once(key, lambda: shared.value)
         for batch in batches:
             column = batch.column(links_at)
             ends = np.append(0, np.cumsum(np.diff(column.offsets.to_numpy())))
             links = column.flatten().to_numpy(zero_copy_only=False)
-            place = np.minimum(np.searchsorted(known, links), len(known) - 1)
-            here = known[place] == links
+            sums = np.zeros((2, len(ends)), dtype=np.int64)  # up to the end of each row
+            done = np.zeros(2, dtype=np.int64)
+            row = 1
+            for at in range(0, len(links), LINKS_AT_A_TIME):
+                some = links[at : at + LINKS_AT_A_TIME]
+                place = np.minimum(np.searchsorted(known, some), len(known) - 1)
+                here = known[place] == some
+                last = int(np.searchsorted(ends, at + len(some), side="right"))
+                for which, values in enumerate((best, counted)):
+                    so_far = np.append(0, np.cumsum(np.where(here, values[place], 0))) + done[which]
+                    sums[which, row:last] = so_far[ends[row:last] - at]
+                    done[which] = so_far[-1]
+                row = last
+            sums[:, row:] = done[:, None]
             columns = list(batch.columns)
-            for number, values in ((best_at, best[place]), (sum_at, counted[place])):
-                so_far = np.append(0, np.cumsum(np.where(here, values, 0)))
-                total = so_far[ends[1:]] - so_far[ends[:-1]]
-                columns[number] = pa.array(columns[number].to_numpy() + total)
+            for number, total in ((best_at, sums[0]), (sum_at, sums[1])):
+                columns[number] = pa.array(columns[number].to_numpy() + np.diff(total))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return frame.mapInArrow(run, frame.schema)

@@ -94,7 +94,8 @@ def counted(docs, most):
     return alignment.add_counts(aligned, alignment.vocabulary_size(BYTES), most).collect()
 
 
-def test_odd_texts_in_any_number_of_passes(spark):
+def test_odd_texts_in_any_number_of_passes(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "LINKS_AT_A_TIME", 7)
     rng = random.Random(3)
     parts = [t for t in ODD if t] + ["the", "ünter", "Ελλάδα", "ab12", "\U0001f9d1‍\U0001f680"]
     texts = ODD + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(150)]
@@ -155,3 +156,23 @@ def test_empty_and_long(spark):
     wanted = expected([(1, long)])[1]
     assert (rows[1].n_a, rows[1].n_b, rows[1].n_groups, rows[1].n_links) == wanted[:4]
     assert rows[2].n_a > 0 and rows[None].n_groups >= 1
+
+
+def test_a_small_memory_gives_the_same(monkeypatch):
+    with open(BYTES, encoding="utf-8") as file, open(PIECES, "rb") as model:
+        spec, pieces = file.read(), model.read()
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))} é{rng.randrange(9)}" for _ in range(40)) for _ in range(120)]
+    whole = alignment.Aligner(spec, pieces)
+    wanted = [column.to_pylist() for column in whole.align(texts)]
+    monkeypatch.setattr(alignment, "CACHED_SEGMENTS", 60)
+    small = alignment.Aligner(spec, pieces)
+    found = [[], [], [], [], [], []]
+    sizes = []
+    for at in range(0, len(texts), 3):
+        for column, values in zip(found, small.align(texts[at : at + 3])):
+            column += values.to_pylist()
+        sizes.append(len(small.place))
+    assert found == wanted
+    # A batch adds some hundred segments at most; what is rare goes before the next one.
+    assert max(sizes) < len(whole.place)
