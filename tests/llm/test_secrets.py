@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sluicegate.llm import secrets
+from sluicegate.llm import common, secrets
 
 KEY = "AKIA" + "Q" * 16
 BLOB = "aB3" * 8
@@ -111,3 +111,14 @@ def test_scopes_as_brute_force(spark, scope):
             if {"login": valued, "blob": named, "endpoint": named and valued}[s[0]]:
                 wanted.add(s)
         assert got[i] == wanted
+
+
+def test_one_text_in_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i, "password=abcdefghijkl12") for i in range(60)] + [(i, f"x token: abcdefghijkl{i:04d}") for i in range(60, 150)]
+    rows += [(i, "nothing") for i in range(150, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: [(s.kind, s.begin, s.until) for s in r.spans] for r in secrets.find_secrets(docs).collect()}
+    assert len(found) == 180 and all(found[i] == [("assign", 0, 23)] for i in range(60))
+    assert all(found[i] == [("assign", 2, 2 + len(f"token: abcdefghijkl{i:04d}"))] for i in range(60, 150))
+    assert all(found[i] == [] for i in range(150, 180))
