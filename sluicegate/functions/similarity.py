@@ -8,11 +8,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from sluicegate.functions import text as tx
 from sluicegate.functions.portable import portable
 
 
+# Characters of the shorter string up to which a row of the comparison is the bits of one long: sums must not overflow.
+WORD_BITS = 62
+
+
 def lcs_length(left: Column, right: Column) -> Column:
-    """Longest common subsequence of two short strings, inside the JVM."""
+    """Longest common subsequence of two short strings, inside the JVM.
+
+    Where one of them fits a machine word, a step over the other's characters is a few operations on its bits; else
+    every step makes a row of the table of lengths.
+    """
+    swapped = F.length(left) > F.length(right)
+    pair = F.struct(F.when(swapped, right).otherwise(left).alias("a"), F.when(swapped, left).otherwise(right).alias("b"))
+
+    def either(p: Column) -> Column:
+        return F.when(F.length(p["a"]) <= WORD_BITS, _lcs_by_bits(p["a"], p["b"])).otherwise(_lcs_by_rows(p["a"], p["b"]))
+
+    return tx.let(pair, either)
+
+
+def _lcs_by_bits(left: Column, right: Column) -> Column:
+    """A free bit is a character of ``left`` that no common subsequence has taken yet."""
+    one = F.lit(1).cast("long")
+    full = F.call_function("shiftleft", one, F.length(left)) - 1
+
+    def places(char: Column) -> Column:
+        def add(mask: Column, i: Column) -> Column:
+            here = F.substring(left, i + 1, F.lit(1)) == char
+            return F.when(here, mask.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(mask)
+
+        return F.aggregate(F.sequence(F.lit(0), F.length(left) - 1), F.lit(0).cast("long"), add)
+
+    def step(free: Column, char: Column) -> Column:
+        def taken(hit: Column) -> Column:
+            return (free + hit).bitwiseOR(free - hit).bitwiseAND(full)
+
+        return tx.let(free.bitwiseAND(places(char)), taken)
+
+    chars = F.filter(F.split(right, ""), lambda char: char != "")
+    free = F.aggregate(chars, full, step)
+    return F.when((F.length(left) == 0) | (F.length(right) == 0), F.lit(0)).otherwise(F.length(left) - F.bit_count(free))
+
+
+def _lcs_by_rows(left: Column, right: Column) -> Column:
     size = F.length(right)
     zeros = F.array_repeat(F.lit(0), size + 1)
 

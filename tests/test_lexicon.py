@@ -32,6 +32,9 @@ def test_similarity(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(400)]
     pairs = list(zip(words[::2], words[1::2]))
+    # Around the size of a machine word, on either side, and beyond it on both.
+    sizes = [(62, 62), (62, 80), (80, 62), (61, 3), (63, 63), (63, 70), (0, 90), (70, 0), (62, 0)]
+    pairs += [tuple("".join(rng.choice("abé1") for _ in range(n)) for n in size) for size in sizes]
     for a, b in pairs:
         assert common_length(a, b) == table_length(a, b)
     frame = spark.createDataFrame(pairs, "a string, b string")
