@@ -248,7 +248,7 @@ _CORPUS = """corpus AS (
   UNION SELECT text FROM documents WHERE text IS NOT NULL)"""
 
 
-def _corpus(spark, folder):
+def _corpus_parts(spark, folder):
     """User turns as the labelled split, benchmark and documents as the second list."""
     path = work_dir(spark, "splits")
     turns = tb.table(spark, folder, "conversations")
@@ -260,7 +260,11 @@ def _corpus(spark, folder):
     extra = tb.table(spark, folder, "benchmark").select("text").unionByName(
         tb.table(spark, folder, "documents").select("text")
     )
-    return ds.signature_corpus(files.read_split(spark, path, "test"), extra)
+    return files.read_split(spark, path, "test"), extra
+
+
+def _corpus(spark, folder):
+    return ds.signature_corpus(*_corpus_parts(spark, folder))
 
 
 @query("signature_corpus", f"WITH {_CORPUS} SELECT text FROM corpus")
@@ -274,12 +278,10 @@ def signature_corpus(spark, folder):
   (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM documents) AS listed, (SELECT count(*) FROM corpus) AS distinct_texts""",
 )
 def signature_corpus_stats(spark, folder):
-    turns = tb.table(spark, folder, "conversations").filter("role = 'user'").agg(F.count("*")).scalar()
-    documents = tb.table(spark, folder, "documents").agg(F.count("*")).scalar()
-    benchmark = tb.table(spark, folder, "benchmark").agg(F.count("*")).scalar()
-    return _corpus(spark, folder).agg(F.count("*").alias("distinct_texts")).select(
-        turns.alias("labelled"), (benchmark + documents).alias("listed"), "distinct_texts"
-    )
+    """Counts of the corpus and of what went into it, taken while it is written."""
+    path = work_dir(spark, "corpus")
+    counts = ds.write_corpus(*_corpus_parts(spark, folder), lambda corpus: corpus.write.parquet(path))
+    return spark.createDataFrame([tuple(counts.values())], "labelled long, listed long, distinct_texts long")
 
 
 @query(

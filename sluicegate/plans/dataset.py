@@ -173,6 +173,19 @@ def signature_corpus(labelled: DataFrame, extra: DataFrame) -> DataFrame:
     return jailbreaks.unionByName(extra.select("text").na.drop(subset=["text"])).dropDuplicates(["text"])
 
 
+def write_corpus(labelled: DataFrame, extra: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write the corpus by ``write``: labelled, listed and distinct_texts, counted as the rows pass by."""
+    seen = {name: Observation() for name in ("labelled", "listed", "distinct_texts")}
+
+    def counted(frame: DataFrame, name: str) -> DataFrame:
+        return frame.observe(seen[name], F.count(F.lit(1)).alias("n"))
+
+    jailbreaks = counted(labelled.filter(F.col("label") == "jailbreak"), "labelled")
+    corpus = signature_corpus(jailbreaks, counted(extra.select("text"), "listed"))
+    write(counted(corpus, "distinct_texts"))
+    return {name: observed.get["n"] for name, observed in seen.items()}
+
+
 def signature_index(corpus: DataFrame) -> DataFrame:
     """sig_id, text, features: dense ids and the embedding of each signature."""
     return dense_ids(corpus).select(
