@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sluicegate import fixed_values as fv
@@ -13,6 +14,7 @@ from sluicegate.catalog.registry import query
 from sluicegate.catalog.text_queries import sql_rewrite
 from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
+from sluicegate.functions.portable import portable
 from sluicegate.operators import classifier as cl
 from sluicegate.operators import epochs as ep
 from sluicegate.operators import lexicon as lx
@@ -267,6 +269,31 @@ def signature_index_search(spark, folder):
     )
 
 
+@portable
+def letter_counts(texts):
+    """An encoder that isn't the default: how often each letter stands in a text."""
+    return np.array([[text.count(chr(97 + i)) for i in range(26)] for text in texts], dtype=float)
+
+
+_LETTER_BAG = "list_transform(list_filter(string_split(text, ''), lambda c: c >= 'a' AND c <= 'z'), lambda c: ascii(c) - 97)"
+
+
+@query(
+    "similarity_encoder",
+    f"WITH {_NEAREST.replace(sql.bag('text'), _LETTER_BAG)} SELECT prompt_id, round(similarity_score, 4) AS similarity_score, "
+    "n_details::INTEGER AS n_details FROM similarities",
+)
+def similarity_encoder(spark, folder):
+    """The similarity layer with an encoder of the caller's, which makes vectors batch by batch."""
+    encoder = em.BatchEncoder(letter_counts, 26)
+    found = nn.add_similarity(tb.prompts(spark, folder), tb.signatures(spark, folder), encoder=encoder)
+    return found.select(
+        "prompt_id",
+        F.round("similarity_score", 4).alias("similarity_score"),
+        F.size("similarity_details").alias("n_details"),
+    )
+
+
 # Other limits than the published ones: a prompt counts below 0.8, a sentence below 0.5.
 _LIMITS = (0.8, 0.5)
 
