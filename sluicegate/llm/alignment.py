@@ -43,7 +43,7 @@ from tokenizers import Tokenizer
 from sluicegate.llm.common import annotate, once, sheltered, ship
 from sluicegate.session import stored
 
-CACHED_SEGMENTS = 200_000
+CACHED_SEGMENTS = 300_000
 # Bytes of text at a time; what the tokens of a text take is several times that.
 BATCH_BYTES = 1 << 19
 # Characters that are encoded at a time, as far as segments allow.
@@ -170,9 +170,9 @@ class Aligner:
         spans_a = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
         pieces = list(other.pieces)
         ids_b = np.array([piece.id for piece in pieces], dtype=np.int64)
-        # The space that B adds has no place in its spans.
-        spans_b = 1 + np.stack([[p.begin for p in pieces], [p.end for p in pieces]], axis=1).astype(np.int64)
-        spans_b[:1, 0] = 0
+        # Pieces begin where the one before ends. The space that B adds has no place in their spans.
+        ends = np.array([piece.end for piece in pieces], dtype=np.int64) + 1
+        spans_b = np.stack([np.append(0, ends[:-1]), ends], axis=1)
         whole = np.frombuffer(data, dtype=np.uint8)
         for ids, vocabulary in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
             if vocabulary.size[ids].sum() != len(data) or not np.array_equal(vocabulary.joined(ids), whole):
