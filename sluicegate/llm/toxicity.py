@@ -43,7 +43,7 @@ EPOCHS = 14
 LEAST_STEPS = 250
 BATCH = 128
 RATE = 0.1
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 # Words of no meaning that every text has besides its own: a few words alone prove little.
 NEUTRAL_WORDS = 30
 SCALE = 2.5
