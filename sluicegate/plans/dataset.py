@@ -11,6 +11,7 @@ from sluicegate import fixed_values as fv
 from sluicegate.functions import embedding as em
 from sluicegate.functions import text as tx
 from sluicegate.operators.ranking import dense_ids
+from sluicegate.session import in_own_session
 from sluicegate.sources import files
 
 
@@ -126,6 +127,8 @@ def written_profile(frame: DataFrame, write: Callable[[DataFrame], None], label:
 
     column_name, data_type, n_rows, non_null, least and greatest (of the label column, if one is named).
     """
+    given = frame.sparkSession
+    (frame,) = in_own_session(frame)
     seen = Observation()
     counts = [F.count(F.col(f"`{field.name}`")).alias(f"c{i}") for i, field in enumerate(frame.schema.fields)]
     ends = [F.min(label).cast("string").alias("least"), F.max(label).cast("string").alias("greatest")] if label else []
@@ -143,7 +146,7 @@ def written_profile(frame: DataFrame, write: Callable[[DataFrame], None], label:
         for i, field in enumerate(frame.schema.fields)
     ]
     schema = "column_name string, data_type string, n_rows long, non_null long, least string, greatest string"
-    return frame.sparkSession.createDataFrame(rows, schema)
+    return given.createDataFrame(rows, schema)
 
 
 def table_profile(frame: DataFrame) -> DataFrame:
@@ -176,6 +179,7 @@ def signature_corpus(labelled: DataFrame, extra: DataFrame) -> DataFrame:
 def write_corpus(labelled: DataFrame, extra: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
     """Write the corpus by ``write``: labelled, listed and distinct_texts, counted as the rows pass by."""
     seen = {name: Observation() for name in ("labelled", "listed", "distinct_texts")}
+    labelled, extra = in_own_session(labelled, extra)
 
     def counted(frame: DataFrame, name: str) -> DataFrame:
         return frame.observe(seen[name], F.count(F.lit(1)).alias("n"))

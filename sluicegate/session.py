@@ -72,6 +72,22 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_own_session(*frames: DataFrame) -> list[DataFrame]:
+    """The same rows in one new session, for jobs that observe what they write.
+
+    A session that has made an observation once can't run fitted pipelines any more: what keeps its observations is
+    part of it and doesn't serialise. Here it is part of a session that nothing else uses.
+    """
+    own = frames[0].sparkSession.newSession()
+    copies = []
+    for frame in frames:
+        name = f"rows_{uuid.uuid4().hex}"
+        frame.createGlobalTempView(name)
+        copies.append(own.table(f"global_temp.{name}"))
+        frame.sparkSession.catalog.dropGlobalTempView(name)
+    return copies
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal table as a local relation, so that the optimizer knows its size."""
     names = [field.strip().split(" ")[0] for field in schema.split(",")]

@@ -382,6 +382,10 @@ def test_a_profile_taken_while_writing(spark, tmp_path):
     found = {r["column_name"]: (r["n_rows"], r["non_null"], r["least"], r["greatest"]) for r in profile.collect()}
     assert found == {"text": (3, 2, None, None), "label": (3, 2, "0", "1")}
     assert passes.value == 3 and spark.read.parquet(str(tmp_path / "rows")).count() == 3
+    # Fitted pipelines still run in the session.
+    texts = spark.createDataFrame([(f"good text {i}" if i % 2 else f"bad one {i}", 1 - i % 2) for i in range(20)], "text string, label int")
+    scorer = cl.ModelScorer(cl.train(texts, features=1 << 8))
+    assert scorer(texts, "text").filter("risk > 0.5").count() == 10
 
 
 def test_csv_without_newlines_in_fields_is_split(spark, tmp_path):
