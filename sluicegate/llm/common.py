@@ -26,12 +26,23 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def _kept() -> dict:
+    return sys.modules.setdefault("sluicegate_kept", types.ModuleType("sluicegate_kept")).__dict__
+
+
+def forget() -> None:
+    """Drop what the worker has kept for an operator before this one."""
+    kept = _kept()
+    kept["key"] = kept["value"] = None
+
+
 def once(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` gives, kept by a Python worker from one task to the next.
 
     Only the latest value is kept: what an operator has cached goes when the next one starts.
     """
-    kept = sys.modules.setdefault("sluicegate_kept", types.ModuleType("sluicegate_kept")).__dict__
+    kept = _kept()
+    kept["used"] = kept.get("used", 0) + 1
     if kept.get("key") != key:
         kept["key"] = kept["value"] = None
         kept["value"] = make()
@@ -74,7 +85,11 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            work = work or start()
+            if work is None:
+                used = _kept().get("used")
+                work = start()
+                if _kept().get("used") == used:
+                    forget()
             texts = batch.column(len(names))
             for lo, hi in slices(texts, most):
                 part = batch.slice(lo, hi - lo)

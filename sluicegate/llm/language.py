@@ -38,7 +38,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from sluicegate.llm.common import annotate, once, ship
+from sluicegate.llm.common import annotate, forget, once, ship
 
 BUCKETS = 1 << 15
 ROWS_PER_LANGUAGE = 400
@@ -130,6 +130,7 @@ def fit(
     sample = known.filter(draw < F.element_at(share, F.col("language"))).select("language", "words")
 
     def run(batches):
+        forget()
         for batch in batches:
             counts: dict[tuple[str, int], int] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from sluicegate.llm.common import annotate, once, ship
+from sluicegate.llm.common import annotate, forget, once, ship
 from sluicegate.session import stored
 
 BUCKETS = 1 << 16
@@ -183,6 +183,7 @@ def fit(
     sample = sample.join(F.broadcast(picked), names).dropDuplicates(names)
 
     def run(batches):
+        forget()
         for batch in batches:
             for value, answer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, weights = bag(value, buckets)

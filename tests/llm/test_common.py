@@ -103,3 +103,19 @@ def test_columns_named_like_helpers_stay(spark, name):
             if column not in gave_way:
                 assert values[column] == number, column
     assert operators()[name](docs.limit(0)).count() == 0
+
+
+def test_an_operator_without_a_cache_drops_the_one_before(spark):
+    fields = [StructField("n", LongType())]
+
+    def keeping():
+        common.once(("kept by a test", 1), lambda: "something large")
+        return lambda texts: [pa.array([int(common._kept()["value"] is not None)] * len(texts), pa.int64())]
+
+    def plain():
+        return lambda texts: [pa.array([int(common._kept().get("value") is not None)] * len(texts), pa.int64())]
+
+    docs = spark.createDataFrame([(i, "a") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert {r.n for r in common.annotate(docs, fields, keeping).collect()} == {1}
+    # Dropped after the start, before the first batch is worked on.
+    assert {r.n for r in common.annotate(docs, fields, plain).collect()} == {0}
