@@ -168,8 +168,10 @@ def group_documents(
     named = docs.select(F.col(f"`{key}`").alias("row key"), F.col(f"`{text}`").alias("row text"))
     printed = stored(add_fingerprints(named, "row text", "fingerprint", size, ["row key"]), "fingerprints")
     groups = grouped(printed, F.col("row key"), most_bits)
-    least = groups.groupBy("root").agg(F.min("best").alias("component_id"))
-    named_groups = groups.join(least, "root").select("fingerprint", "component_id", "rows")
+    least = groups.groupBy("root").agg(F.min("best").alias("component_id"), F.count("*").alias("members"))
+    # A component may have very many different fingerprints.
+    named_groups = join_hot(groups, stored(least, "least"), "root", "members")
+    named_groups = named_groups.select("fingerprint", "component_id", "rows")
     return join_hot(printed, stored(named_groups, "components"), "fingerprint", "rows").select(
         F.col("row key").alias(key), "fingerprint", "component_id"
     )
@@ -210,6 +212,4 @@ def keep_one_of_each(
     return frame.join(keepers, rows, "left_semi").dropDuplicates(rows).select(*hidden).toDF(*docs.columns)
 
 
-
-
 ship(__name__)
