@@ -10,7 +10,8 @@ piece of a batch is encoded once:
 3. *Repair*: only words with a failing pair go through the merges in their order.
 
 Null texts count as empty and give no ids. Repeated rows stay. Memory per task is the vocabulary, a
-batch of 4 MB of text (or one longer text) and a cache of bounded size. No row is moved.
+batch of 4 MB of text (or one longer text) and a cache of bounded size. No row is moved. Empty tables give empty
+results. Other columns may have any names; those of added columns give way.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ Windows come in blocks of bounded number. A block's words and windows are broadc
 benchmark; there is one pass over the documents for each block, and no row is moved.
 
 Null texts have no words. Null item ids mark words as hit but don't count as items. Repeated items count once,
-repeated documents stay. Without items nothing is hit. Words are what ``WORD_TABLE`` leaves between separators.
+repeated documents stay. Without items nothing is hit; without documents the result is empty. Very long texts are rows
+like others: memory per task is 4 MB of texts (or one longer text), its words and a block of windows. Other columns
+may have any names; those of added columns give way. Words are what ``WORD_TABLE`` leaves between separators.
 """
 
 from __future__ import annotations

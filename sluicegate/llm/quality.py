@@ -13,7 +13,9 @@ merge by adding counts, in any order and with the same result, so
 The fences, a row per language and source, are then joined with the counts; the texts don't move.
 
 Null texts have no words; texts without words fail the base rules and enter no sketch. Null languages and
-sources are groups of their own. Repeated rows count and stay each.
+sources are groups of their own. Repeated rows count and stay each. Very long texts are rows like others: memory per
+task is one text, its words and a hash per window. Empty tables give empty results. Other columns may have any names;
+those of added columns give way.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ sum up to its start, as a running sum over rows. Scopes are cut into blocks of t
 interval join an equality join with a condition; a candidate is kept once whatever number of parts it meets.
 Only rows with matches move, without their texts; copies of a text collapse before they move.
 
-Null texts have no spans. Repeated rows stay. Positions are code points, ends exclusive.
+Null texts have no spans. Repeated rows stay, and a text that very many rows have is joined where they lie. Very long
+texts are rows like others; patterns take runs whole. Empty tables give empty results. Other columns may have any
+names; one called spans gives way. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations

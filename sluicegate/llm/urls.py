@@ -12,7 +12,9 @@ of a rule are then compared. Everything goes by different urls, so a page that m
 mining counts every row.
 
 Null urls and urls without ``://`` have an empty host and path, no rule and no tokens: they are allowed. Without
-``LEAST_ROWS`` labelled urls nothing is mined. Repeated rows stay.
+``LEAST_ROWS`` labelled urls nothing is mined. Repeated rows stay. Very long urls are rows like others, with as many
+tokens as they have parts. Empty tables give empty results. Other columns may have any names; those of added columns
+give way.
 """
 
 from __future__ import annotations
