@@ -16,6 +16,8 @@ Each worker scores a new word once. No row is moved.
 Null texts and texts without a letter get the score of the intercept alone. Rows whose label is null or not 0
 or 1 aren't learned from. With labels of one class only, or none, the score is the share of label 1 (0 if
 there is no label). Repeated labels count once, as do rows that repeat key and text in learning; each row is scored.
+Very long texts are rows like others: memory per task is the model, 4 MB of texts (or one longer text) and a cache of
+bounded size. Empty tables give empty results. Other columns may have any names; one called score gives way.
 """
 
 from __future__ import annotations
