@@ -136,7 +136,8 @@ def links(fingerprints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     a, b = F.col("one.fingerprint"), F.col("other.fingerprint")
     difference = a.bitwiseXOR(b)
     same = (F.col("one.variant") == F.col("other.variant")) & (F.col("one.value") == F.col("other.value"))
-    pairs = one.join(other, same).filter(
+    # The files of the fingerprints are small, so Spark would broadcast the index, 64 rows for each of them.
+    pairs = one.join(other.hint("merge"), same).filter(
         (a < b)
         & (F.bit_count(difference) <= most_bits)
         & _first_meeting(difference, F.col("one.variant"), most_bits)

@@ -176,3 +176,10 @@ def test_majority_of_many_hashes():
     values = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bits = [(2 * int(((values >> np.uint64(b)) & np.uint64(1)).sum()) > len(values)) for b in range(64)]
     assert simhash.majority(values) % (1 << 64) == sum(1 << b for b in range(64) if bits[b])
+
+
+def test_the_index_is_never_broadcast(spark, tmp_path):
+    path = str(tmp_path / "fingerprints")
+    spark.range(1000).select(F.xxhash64("id").alias("fingerprint")).write.parquet(path)
+    plan = simhash.links(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
