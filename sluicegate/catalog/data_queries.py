@@ -471,7 +471,7 @@ def mutation_score_window(spark, folder):
 def stream_weighted(spark, folder):
     """Blending as an append-mode stream, run until nothing is left, then read back."""
     schema = tb.table(spark, folder, "lineitem").schema
-    arriving = stream.read_prompt_stream(spark, folder, "lineitem.parquet", schema).select(
+    arriving = stream.read_table_stream(spark, f"{folder}/lineitem.parquet", schema).select(
         "l_orderkey", "l_linenumber", *[F.expr(x).alias(name) for name, x in _NUMBERS.items()]
     )
     blended = stream.blend_stream(arriving, {n: n for n in fv.LAYER_WEIGHTS}, gw.effective_weights())

@@ -533,3 +533,24 @@ def test_work_dir_on_a_cluster():
     assert session.work_dir(Named("/shared/here"), "x").startswith("/shared/here/x-")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.work_dir(Named(None), "x")
+
+
+def test_a_table_arrives_from_one_file_or_a_folder_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        arriving = stream.read_table_stream(spark, str(tmp_path / f"{name}.parquet"), "id long, text string")
+        target = str(tmp_path / f"{name}-out")
+        stream.start_append_stream(arriving, lambda r: r, target, str(tmp_path / f"{name}-log"), True).awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(i, f"text {i}") for i in range(6)]
+
+
+def test_a_salted_dimension_is_not_broadcast(spark):
+    from sluicegate.operators.joins import dimension_join
+
+    facts = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    table = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = dimension_join(facts, table, "k", "inner", F.col("id"), rows=3)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.filter("v = 2 * k").count() == 1000
