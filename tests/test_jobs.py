@@ -554,3 +554,31 @@ def test_a_salted_dimension_is_not_broadcast(spark):
     joined = dimension_join(facts, table, "k", "inner", F.col("id"), rows=3)
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.filter("v = 2 * k").count() == 1000
+
+
+def test_a_fitted_pipeline_scores_in_the_row_as_it_does_as_a_pipeline(spark):
+    long = " ".join(f"w{i % 97} é{i % 13}" for i in range(700)) + " scum"
+    texts = spark.createDataFrame(
+        [(i, t, i % 2) for i, t in enumerate(["", "You scum!", "Ünïcode, wörds 東京 a1", "a ab abc abcd abcde", long])],
+        "id long, text string, label int",
+    )
+    scorer = cl.ModelScorer(cl.train(texts, features=1 << 8))
+    mine = {r["id"]: r["risk"] for r in scorer(texts, "text").collect()}
+    assert "Exchange" not in scorer(texts, "text")._jdf.queryExecution().executedPlan().toString()
+    scorer.weights = None
+    theirs = {r["id"]: r["risk"] for r in scorer(texts, "text").collect()}
+    assert mine.keys() == theirs.keys() and all(abs(mine[i] - theirs[i]) < 1e-9 for i in mine)
+
+
+def test_cosines_of_texts_are_those_of_their_buckets(spark):
+    from sluicegate.functions import embedding as em
+
+    rows = spark.createDataFrame([(["A b c b", "a B", "", "İx ß"],), ([],), (None,)], "texts array<string>")
+    coded = em.WordBuckets().encode(rows, "texts", "bags").withColumn("plain", F.transform("texts", lambda t: em.word_buckets(t)))
+    assert all((r["bags"] or []) == (r["plain"] or []) for r in coded.collect())
+    found = em.WordBuckets().add_cosines(rows, "texts", "cosines").collect()[0]["cosines"]
+    pairs = rows.limit(1).select(F.posexplode("texts").alias("pos", "other"), F.get("texts", F.lit(0)).alias("first"))
+    wanted = [r["c"] for r in pairs.select("pos", em.text_cosine(F.col("first"), F.col("other")).alias("c")).orderBy("pos").collect()]
+    assert np.allclose(found, wanted)
+    plan = em.WordBuckets().add_cosines(rows, "texts", "cosines")._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan
