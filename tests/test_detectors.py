@@ -354,3 +354,30 @@ def test_sanitize_harm(spark):
     found = [r[0] for r in rows.select(sz.sanitize(F.col("t"), [], F.col("h"))).collect()]
     assert found == [sz.TOPIC_TEXT, "bake bread"]
     assert not re.search("general", found[1])
+
+
+def test_a_query_goes_once_to_parts_that_lie_together(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    # Without clusters the bounds leave many parts.
+    rows = [(f"s{i}", [float(x) for x in rng.normal(size=8)]) for i in range(200)]
+    known = spark.createDataFrame(rows, "sig_id string, features array<double>")
+    queries = [(f"q{i}", [[float(x) for x in rng.normal(size=8)]]) for i in range(50)]
+    frame = spark.createDataFrame(queries, "prompt_id string, q array<array<double>>")
+    store = nn.SignatureStore(spark, str(tmp_path / "store"), "dense", 8)
+    store.write(known, rows_per_part=10)
+    kept, write = {}, nn.stored
+
+    def counted(df, name, *more):
+        made = write(df, name, *more)
+        kept[name] = (made.count(), made.dtypes)
+        return made
+
+    monkeypatch.setattr(nn, "stored", counted)
+    found = store.with_nearest(frame, "q")
+    assert kept["rest"][0] <= 50 and "double" not in dict(kept["queries"][1])["parts"]
+    plain = nn.with_nearest(frame, "q", known, "dense", 8, broadcast=True)
+
+    def nearest(found):
+        return {r["prompt_id"]: r["nearest"][0]["sig_id"] for r in found.collect()}
+
+    assert nearest(found) == nearest(plain)
