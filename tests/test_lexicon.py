@@ -134,6 +134,20 @@ def test_a_map_grows_by_the_tokens_it_has_not_seen(spark, noisy):
     assert [row["term"] for row in grown] == [None]
 
 
+def test_a_map_makes_its_words_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def word(number):
+        made.add(1)
+        return ("kill", "murderr", "plain")[number % 3]
+
+    tokens = spark.range(60, numPartitions=3).select(word("id").alias("token"))
+    known = spark.createDataFrame([("kill", "kill", 1.0, True, 100.0)], "token string, term string, weight double, is_exact boolean, ratio double")
+    found = {(r["token"], r["term"]) for r in lx.fuzzy_map(tokens, lx.default_lexicon(spark), known=known).collect()}
+    assert found >= {("kill", "kill"), ("murderr", "murder"), ("plain", None)} and made.value == 60
+
+
 def test_size_check(spark):
     frame = spark.range(50)
     assert joins.is_small(frame, rows=50) and not joins.is_small(frame, rows=49)
