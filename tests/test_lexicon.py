@@ -148,6 +148,36 @@ def test_a_map_makes_its_words_once(spark):
     assert found >= {("kill", "kill"), ("murderr", "murder"), ("plain", None)} and made.value == 60
 
 
+def test_counts_of_tokens(spark, noisy, monkeypatch):
+    rows = [*noisy, (None, "kills kill"), ("twice", "Kill it"), ("twice", "and kills"), ("none", None), ("blank", " ")]
+    rows += [("camel", "aB cD . a b c  d e"), ("camels", "theCat _x-y.z ABcD fooBAR éA")]
+
+    def plain(rows):
+        counts = {}
+        for key, text in rows:
+            words = [t for t in re.split("[^a-z0-9]+", plain_normal(text or "").lower()) if t]
+            for pos, word in enumerate(words):
+                token = FORMS.get(word, word)
+                n, keys, first = counts.get(token, (0, frozenset(), pos))
+                counts[token] = (n + 1, keys | ({key} - {None}), min(first, pos))
+        return {token: (n, len(keys), first) for token, (n, keys, first) in counts.items()}
+
+    def found(rows):
+        frame = spark.createDataFrame(rows, "prompt_id string, prompt string")
+        counted = lx.token_counts(frame, lx.default_lemmas(spark))
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        return {r["token"]: (r["n"], r["n_prompts"], r["first_pos"]) for r in counted.collect()}, plan
+
+    counts, plan = found(rows)
+    assert counts == plain(rows) and plan.count("explode") == 2
+    different = [row for row in rows if row[0] != "twice"]
+    counts, plan = found(different)
+    # Neither ids nor texts are grouped by.
+    assert counts == plain(different) and plan.count("Aggregate [") == 1
+    monkeypatch.setattr(lx, "PLAN_LEMMAS", 1)
+    assert found(rows)[0] == plain(rows)
+
+
 def test_size_check(spark):
     frame = spark.range(50)
     assert joins.is_small(frame, rows=50) and not joins.is_small(frame, rows=49)
