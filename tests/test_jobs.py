@@ -264,6 +264,32 @@ def test_attributions_of_any_scorer(spark):
     assert {f["word"] for f in found} == {"kill", "hack"}
 
 
+def test_left_out_words_and_scores_by_batch(spark, monkeypatch):
+    """Each word left out against lists of words, and the scores of batches against the expression, a text at a time too."""
+    for line in ("a", "a a a", "b a a c a", "été x été"):
+        words = line.split(" ")
+        assert list(cl.without_each_word(line)) == [(w, " ".join(v for v in words if v != w)) for w in dict.fromkeys(words)]
+    # Words are found once a text, not once a window.
+    assert str(cl.model_windows(cl.model_words(F.col("prompt")))).count("split(") == 1
+    scorer = cl.LinearScorer({"kill": 3.0, "é²": 2.0, "убить": 1.5, "cake": -2.0, "": 9.0, "a b": 9.0}, -1.0)
+    texts = [None, "", " ", "\n", "KILL, the cake_kill\nkill", "É² ×é²÷ é²\xa0KILL", "Убить kill É² – убить", "İkill K\u0085kill \u2028"]
+    texts += [f"kill {'cake, ' * n}{w} Kill" for n in (509, 510, 511, 512, 1400) for w in ("É²", "Убить", "x")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, prompt string").coalesce(2)
+    wanted = {r["prompt_id"]: r["risk"] for r in frame.select("prompt_id", scorer.risk(F.col("prompt")).alias("risk")).collect()}
+    lists = frame.groupBy().agg(F.collect_list(F.struct("prompt_id", "prompt")).alias("all"))
+    lists = lists.select("all.prompt_id", F.concat("all.prompt", F.lit([None]).cast("array<string>")).alias("texts"))
+    for step in (1, cl.BYTES_PER_STEP):
+        monkeypatch.setattr(cl, "BYTES_PER_STEP", step)
+        assert {r["prompt_id"]: r["risk"] for r in scorer(frame, "prompt").collect()} == wanted
+        with monkeypatch.context() as small:
+            small.setattr(cl, "PLAN_WORDS", 0)
+            found = scorer.add_risks(lists, "texts", "risks").first()
+            assert dict(zip(found["prompt_id"], found["risks"])) == wanted and found["risks"][-1] is None
+        parts = cl.occlusion_parts(frame, lambda f, t: scorer(f, t), "prompt").collect()
+        assert {r["word"] for r in parts if r["prompt_id"] == 4} == {"kill", "the", "cake"}
+        assert {r["prompt_id"] for r in parts} == {i for i, t in enumerate(texts) if t and t.strip()}
+
+
 def test_every_window_of_a_text_counts(spark):
     """The running sums against all windows, with weights of both signs."""
     rng = random.Random(8)
