@@ -106,6 +106,17 @@ def test_prompt_text_is_not_shuffled(spark, prompts):
                 assert not {"prompt", "variants", "text"} & names
 
 
+def test_a_worker_gets_the_prompt_once(spark, prompts):
+    """Everything that Python does for a request happens in one call, and the middle band alone is rewritten."""
+    for job in (gw.gateway, gw.analyze):
+        plan = job(prompts, detectors(spark))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    used, seen = detectors(spark), gw.gateway(prompts, detectors(spark)).collect()
+    counting = gw.gateway(prompts, used, sanitizer=lambda text: F.raise_error(text).cast("string"))
+    outside = [r["prompt_id"] for r in seen if r["action"] != "sanitize"]
+    assert outside and counting.filter(F.col("prompt_id").isin(outside)).count() == len(outside)
+
+
 def test_a_large_lexicon_gives_the_same_scores(spark, prompts, monkeypatch):
     found = {job: collected(job(prompts, detectors(spark))) for job in (gw.analyze, gw.gateway)}
     monkeypatch.setattr(gw.lx, "row_lookup", lambda *_: None)
