@@ -316,6 +316,21 @@ def test_margins_of_variants_are_risks_of_their_texts(spark):
         assert "variants" not in mine._jdf.queryExecution().executedPlan().toString()
 
 
+def test_similarity_of_a_small_store_is_found_in_the_row(spark, tmp_path):
+    known = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(ODD) if t.strip()], "sig_id string, text string")
+    rows = spark.createDataFrame([(f"{i}", t + " and so on. " + ODD[i - 3]) for i, t in enumerate(ODD)], PROMPT)
+    store = nn.SignatureStore(spark, str(tmp_path / "store"))
+    store.write(nn.encode_signatures(known), rows_per_part=4)
+
+    def found(signatures, **options):
+        scored = nn.add_similarity(rows, signatures, **options)
+        return scored, {r["prompt_id"]: (r["similarity_score"], r["similarity_details"]) for r in scored.collect()}
+
+    scored, mine = found(store)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert mine == found(known)[1] == found(store, broadcast=False)[1] == found(known, broadcast=False)[1]
+
+
 def test_consensus(spark):
     rows = spark.createDataFrame(
         [([0.9, 0.8, 0.1, 0.1, 0.1], 5), ([0.9, 0.8, 0.1, 0.1, 0.1], 2), ([0.75], 3)], "r array<double>, n int"
